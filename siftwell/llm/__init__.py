@@ -14,12 +14,13 @@ from .neardup import op4_minhash_near_dedup
 from .packing import op8_best_fit_packing
 from .secrets import op7_secret_ledger
 from .sharding import op2_histogram_sort
+from .syncmers import op9_closed_syncmers
 from .warc import op3_warc_bundles
 
 # Functions go to executors by value, so that the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op7_secret_ledger, op8_best_fit_packing, op10_pareto_mixing)
+_QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op7_secret_ledger, op8_best_fit_packing, op9_closed_syncmers, op10_pareto_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
