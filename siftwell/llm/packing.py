@@ -8,6 +8,8 @@ among pieces of their length, so no task and no driver ever holds the pieces.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +21,10 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 CAPACITY, SALTS = 2048, 32
-_CACHE_ROWS, _CACHE_CHARS = 300_000, 48
+#: Entries of each of a task's two caches, the longest text that they hold, characters encoded at a time.
+_CACHE_ROWS, _CACHE_CHARS, _BATCH_CHARS = 400_000, 48, 1 << 21
+#: Runs that this tokenizer never joins with each other: Latin letters, a digit, ASCII signs but ' and <.
+_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
 
 def tokenizer_path() -> str:
@@ -28,30 +33,46 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes.
+class _Encoder:
+    """Texts to their ids as little-endian unsigned 32-bit bytes.
 
-    This tokenizer drops white space and never joins across a space or line feed, so the ids of a text are those
-    of its parts between them; parts repeat, and are encoded once.
+    The tokenizer drops white space and never joins across a space or line feed, so a text's ids are those of
+    its parts between them, and a part of plain runs has the ids of its runs. Both are encoded once and cached;
+    any other part goes to the tokenizer as it is.
     """
-    from tokenizers import Tokenizer
 
-    tok, cache = Tokenizer.from_file(path), {"": b""}
-    raw = lambda e: np.asarray(e.ids, "<u4").tobytes()
-
-    def encode(text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        if len(cache) > _CACHE_ROWS:
-            cache.clear()
-            cache[""] = b""
-        new = [p for p in dict.fromkeys(parts) if p not in cache]
-        got = {p: raw(e) for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True)} if new else {}
-        if not got:
-            return b"".join(map(cache.__getitem__, parts))
-        cache.update((p, b) for p, b in got.items() if len(p) <= _CACHE_CHARS)
-        return b"".join([got[p] if p in got else cache[p] for p in parts])
-
-    return encode
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
+        from tokenizers import Tokenizer
+
+        self.tok, self.parts, self.runs = Tokenizer.from_file(path), {"": b""}, {}
+
+    def _learn(self, runs: list[str]) -> None:
+        got = self.tok.encode(" ".join(runs), add_special_tokens=False)
+        ids, of = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
+        cuts = np.searchsorted(of, np.arange(len(runs) + 1))
+        data = ids.tobytes()
+        self.runs.update((r, data[4 * a : 4 * b]) for r, a, b in zip(runs, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > _CACHE_ROWS:
+            self.parts = {"": b""}
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        plain, other = {}, []
+        for p in set().union(*split).difference(self.parts):
+            runs = _RUNS.findall(p.lower()) if len(p) <= _CACHE_CHARS else ()
+            if runs and sum(map(len, runs)) == len(p):
+                plain[p] = runs
+            else:
+                other.append(p)
+        if len(self.runs) > _CACHE_ROWS:
+            self.runs.clear()
+        if new := list(set().union(*plain.values()).difference(self.runs)):
+            self._learn(new)
+        self.parts.update((p, b"".join(map(self.runs.__getitem__, runs))) for p, runs in plain.items())
+        rest = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True)} if other else {}
+        self.parts.update((p, b) for p, b in rest.items() if len(p) <= _CACHE_CHARS)
+        return [b"".join([self.parts[p] if p in self.parts else rest[p] for p in parts] if rest else map(self.parts.__getitem__, parts)) for parts in split]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -62,14 +83,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, step = _encoder(path), 4 * capacity
+        encode, step = _Encoder(path), 4 * capacity
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = (encode(text) if isinstance(text, str) else b"") + b"\0\0\0\0"
-                rows += [(doc_id, k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            upto = np.cumsum([len(t) for t in texts], dtype="int64") // _BATCH_CHARS
+            for g in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(upto)) + 1):
+                rows = []
+                for i, ids in zip(g, encode([texts[i] for i in g]), strict=True):
+                    ids += b"\0\0\0\0"
+                    rows += [(pdf["doc_id"].iat[i], k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
