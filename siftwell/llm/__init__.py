@@ -13,6 +13,7 @@ from .mixing import op10_pareto_mixing
 from .neardup import op4_minhash_near_dedup
 from .packing import op8_best_fit_packing
 from .pii import op5_weak_supervision_pii
+from .search import op6_block_max_wand
 from .secrets import op7_secret_ledger
 from .sharding import op2_histogram_sort
 from .syncmers import op9_closed_syncmers
@@ -21,7 +22,7 @@ from .warc import op3_warc_bundles
 # Functions go to executors by value, so that the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op5_weak_supervision_pii, op7_secret_ledger, op8_best_fit_packing, op9_closed_syncmers, op10_pareto_mixing)
+_QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op5_weak_supervision_pii, op6_block_max_wand, op7_secret_ledger, op8_best_fit_packing, op9_closed_syncmers, op10_pareto_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
