@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwell.llm import language_id, mixing, packing
+from siftwell.llm import language_id, mixing, neardup, packing, pii
 
-STAGES = [("language_id", language_id.stage), ("mixing", mixing.stage), ("packing", packing.stage)]
+STAGES = [
+    ("language_id", language_id.stage),
+    ("near_dedup", neardup.stage),
+    ("personal_data", pii.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
+]
+#: Language ID compresses and packing tokenizes: SQL can't express either.
 ORACLE_SQL = None
 
 
