@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm import language_id, mixing, neardup, packing, pii
+from siftwell.llm.common import written
 
 STAGES = [
     ("language_id", language_id.stage),
@@ -19,6 +20,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *first, (_, last) = STAGES
+    for name, stage in first:  # each is written once; the next reads that
+        docs = written(stage(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)
