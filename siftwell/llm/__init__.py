@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op1_language_id
@@ -19,9 +17,6 @@ from .sharding import op2_histogram_sort
 from .syncmers import op9_closed_syncmers
 from .warc import op3_warc_bundles
 
-# Functions go to executors by value, so that the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op5_weak_supervision_pii, op6_block_max_wand, op7_secret_ledger, op8_best_fit_packing, op9_closed_syncmers, op10_pareto_mixing)
 
 

@@ -1,13 +1,15 @@
-"""What the corpus operators share: reading, scratch tables in the shared folder, graph components."""
+"""What the corpus operators share: reading, and the sizes of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept, shared_dir, written
+from ..operators.graph import components
+
+__all__ = ["WORD", "components", "kept", "shared_dir", "table", "utf8_size", "word_count", "written"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,31 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="siftwell-")
-        if not found.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; Spark removes its files once nothing refers to them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
@@ -48,28 +25,3 @@ def utf8_size(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of WORDs; null counts none. Every word but the last ends where white space follows."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every id in links (a, b): root is the smallest id reachable.
-
-    Alternating large-star and small-star steps: each is one exchange of narrow rows, a vertex of many
-    neighbours is aggregated before the exchange, and the number of rounds is logarithmic. Every round ends
-    in a checkpoint. Empty links give an empty result; loops and repeated links are harmless.
-    """
-    both = lambda e: e.select(F.col("a").alias("v"), F.col("b").alias("u")).union(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        low = both(edges).groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        # large star: the larger neighbours of v link to the least of v's neighbourhood
-        large = edges.join(low, edges["b"] == low["v"]).select("a", F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: the smaller neighbours of v, and v, link to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "v")
-        small = large.join(low, large["a"] == low["v"]).select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("v").alias("a"), F.col("m").alias("b")))
-        edges = kept(small.where("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-    return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root").union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
