@@ -1,0 +1,6 @@
+"""Queries over the library's operators."""
+
+from . import queries as _queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "_queries"]
