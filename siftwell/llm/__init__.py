@@ -12,7 +12,7 @@ from .neardup import op4_minhash_near_dedup
 from .packing import op8_best_fit_packing
 from .pii import op5_weak_supervision_pii
 from .search import op6_block_max_wand
-from .secrets import op7_secret_ledger
+from .secret_ledger import op7_secret_ledger
 from .sharding import op2_histogram_sort
 from .syncmers import op9_closed_syncmers
 from .warc import op3_warc_bundles

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import kept, shared_dir, written
 from ..operators.graph import components
 
-__all__ = ["WORD", "components", "kept", "shared_dir", "table", "utf8_size", "word_count", "written"]
+__all__ = ["WORD", "components", "kept", "shared_dir", "table", "unwrapped", "utf8_size", "word_count", "wrapped", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,3 +25,13 @@ def utf8_size(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of WORDs; null counts none. Every word but the last ends where white space follows."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row as the struct `row`, so that no column of docs can clash with those that an operator adds."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *more)
+
+
+def unwrapped(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of `row` again, those in new replaced."""
+    return rows.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns))

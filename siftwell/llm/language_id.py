@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unwrapped, wrapped
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Bounds of the fitted classifier, whatever the size of the corpus.
@@ -87,20 +87,22 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
 
+def taught(docs: DataFrame) -> DataFrame:
+    """(text, lang) of the rows that may teach; a null doc_id teaches."""
+    return docs.where(~F.coalesce(held_out(), F.lit(False))).select("text", "lang")
+
+
 def identify(docs: DataFrame, *, reject_margin: float = REJECT_MARGIN, **how) -> DataFrame:
-    """docs with lang_pred, score, margin, rejected. Rejected: no letter, or a margin under reject_margin."""
-    taught = docs.where(~F.coalesce(held_out(), F.lit(False)))
-    out = docs.withColumn("_id", predict(F.col("text"), fit(taught, **how)))
-    cols = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "margin", "rejected")]
-    return out.select(*cols, "_id.*", ((F.col("_id.lang_pred") == "und") | (F.col("_id.margin") < reject_margin)).alias("rejected"))
+    """(row, lang_pred, score, margin, rejected) of docs (doc_id, text, lang, ...). Rejected: no letter, or a margin under reject_margin."""
+    out = wrapped(docs).withColumn("id", predict(F.col("row.text"), fit(taught(docs), **how)))
+    return out.select("row", "id.*", ((F.col("id.lang_pred") == "und") | (F.col("id.margin") < reject_margin)).alias("rejected"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that language ID rejects; lang becomes the predicted language."""
-    got = identify(docs.select(*docs.columns)).where(~F.col("rejected"))
-    return got.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    return unwrapped(identify(docs).where(~F.col("rejected")), docs.columns, lang=F.col("lang_pred"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    return got.select("row.doc_id", "lang_pred", "score", "margin", "rejected").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")

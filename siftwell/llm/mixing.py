@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, table, word_count
+from .common import kept, table, unwrapped, word_count, wrapped
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 ROUNDS, BITS, STEP, LEVELS = 3, 48, 12, 2
@@ -94,16 +94,17 @@ def sample(rows: DataFrame, seed: int = 0, rounds: int = ROUNDS, **how) -> DataF
     return out.withColumn("copies", F.floor("each").cast("int") + extra).drop("each", "cuts", "rank")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", word_count(F.col("text"))).withColumn("tie", F.crc32(F.encode("text", "UTF-8")))
+def _sizes(text: str) -> list[Column]:
+    return [word_count(F.col(text)).alias("size"), F.crc32(F.encode(F.col(text), "UTF-8")).alias("tie")]
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those that it does not take go."""
-    got = sample(_rows(docs.select(*docs.columns)))
-    return got.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = wrapped(docs, "doc_id", "source", *_sizes("text"))
+    got = sample(rows).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return unwrapped(got, docs.columns)
 
 
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(table(spark, sf_dir, "documents")).select("doc_id", "tie", "source", "size")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", *_sizes("text"))
     return sample(rows).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

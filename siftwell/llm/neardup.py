@@ -64,7 +64,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     low = np.minimum(low, (np.multiply.outer(a, x[at : at + 4096]) + b[:, None]).min(1))
                 rows.append((len(s), *np.array([s.sum(dtype="uint64"), (s * s).sum(dtype="uint64")]).view("int64"), low.tobytes(), low.view("uint8")[::4].tobytes()))
             out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "code"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", pdf["doc_id"])
             yield out
 
 
@@ -206,14 +206,15 @@ def group(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of docs (doc_id, text).
 
     Documents of equal shingle sets are one node, their smallest doc_id. Null, empty and blank texts have no
-    shingles and link with nothing. Rows that repeat a doc_id share its component; no rows, no result.
+    shingles and link with nothing. Rows that repeat a doc_id share its component; a row without one is alone; no rows, no result.
     """
-    sketched = written(docs.select("doc_id", "text").mapInPandas(_sketch, "doc_id long, n long, s1 long, s2 long, mins binary, code binary"), "sketches")
+    sketched = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_sketch, "doc_id string, n long, s1 long, s2 long, mins binary, code binary")
+    sketched = written(sketched.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     some = sketched.where("n > 0")
-    nodes = written(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("mins", "doc_id").alias("mins"), F.min_by("code", "doc_id").alias("code")), "nodes")
+    nodes = written(some.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("mins", "doc_id").alias("mins"), F.min_by("code", "doc_id").alias("code")), "nodes")
     found = components(links(docs, nodes.select("rep", "n", "mins", "code"), **how))
     classes = nodes.select("s1", "s2", "n", "rep").join(found, F.col("rep") == F.col("id"), "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component"))
-    out = sketched.drop("mins", "code").join(classes, ["s1", "s2", "n"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    out = sketched.drop("mins", "code").join(classes, ["s1", "s2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

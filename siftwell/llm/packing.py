@@ -92,9 +92,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                 for i, ids in zip(g, encode([texts[i] for i in g]), strict=True):
                     ids += b"\0\0\0\0"
                     rows += [(pdf["doc_id"].iat[i], k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, pandas leaves ids beside nulls whole
+    return rows.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -9,12 +9,11 @@ spans that no base rule has settled. Base spans always stay.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unwrapped, wrapped, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Possessive forms of the contract's, with the same leftmost matches: what follows a repeated class never
@@ -201,10 +200,9 @@ def redact(docs: DataFrame) -> DataFrame:
         step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"])).alias("out")))
         return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    cols = [c for c in docs.columns if c != "text"]
-    got = labelled(docs.withColumnRenamed("text", "_was").withColumn("text", F.col("_was")), "_was", *cols).withColumn("spans", accepted(weights, F.col("spans")))
-    got = got.withColumn("text", F.when(F.size("spans") == 0, F.col("_was")).otherwise(cut(F.col("text"), F.col("spans"))))
-    return got.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    rows = labelled(wrapped(docs).withColumn("text", F.col("row.text")), "row").withColumn("spans", accepted(weights, F.col("spans")))
+    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(cut(F.col("text"), F.col("spans")))
+    return unwrapped(rows.withColumn("clean", text), docs.columns, text=F.col("clean"), n_chars=F.length("clean").cast("long"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,18 +25,18 @@ from .common import shared_dir, table, utf8_size
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 25, 3
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-INDEX = "record_id long, bundle string, frame long, frame_start long, at long, length long"
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+INDEX = "record_id string, bundle string, frame long, frame_start long, at long, length long"
+READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """A WARC 1.1 record; a revisit has no block but the digest and length of the payload it repeats."""
     kind, block = ("response", payload) if refers_to is None else ("revisit", b"")
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join((url or "").split())), ("Content-Type", "text/html; charset=utf-8"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Payload-Length", len(payload))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id or ''}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join((url or "").split())), ("Content-Type", "text/html; charset=utf-8"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Payload-Length", len(payload))]
     if refers_to is not None:
         head.append(("WARC-Refers-To", f"<urn:page:{refers_to}>"))
         head.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
@@ -44,15 +44,15 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     return b"WARC/1.1\r\n" + lines.encode("utf-8", "replace") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[int, int, str, str, int | None]:
+def parse(data: bytes) -> tuple[str | None, int, str, str, str | None]:
     """A READ row of one record; a response's digest and length are those of its block, and must be as stated."""
     head, _, rest = data.partition(b"\r\n\r\n")
     got = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
-    number = lambda x: int(x[len("<urn:page:") : -1])
+    name = lambda x: x[len("<urn:page:") : -1] or None
     stated, length, block = got["WARC-Payload-Digest"].removeprefix("sha1:"), int(got["X-Payload-Length"]), rest[: int(got["Content-Length"])]
     if got["WARC-Type"] == "response" and (digest(block), len(block)) != (stated, length):
         raise ValueError(f"record {got['WARC-Record-ID']}: its block is not what its head states")
-    return number(got["WARC-Record-ID"]), length, stated, got["WARC-Type"], number(got["WARC-Refers-To"]) if "WARC-Refers-To" in got else None
+    return name(got["WARC-Record-ID"]), length, stated, got["WARC-Type"], name(got["WARC-Refers-To"]) if "WARC-Refers-To" in got else None
 
 
 class Bundle:
@@ -65,7 +65,7 @@ class Bundle:
     def clear(self) -> None:
         self.name, self.frames, self.sizes, self.open, self.rows, self.start = f"{self.folder}/{uuid.uuid4().hex}.warc.zst", [], [], bytearray(), [], 0
 
-    def add(self, record_id: int, data: bytes) -> None:
+    def add(self, record_id: str | None, data: bytes) -> None:
         self.rows.append((record_id, self.name, len(self.frames), self.start, len(self.open), len(data)))
         self.open += data
         if len(self.open) >= self.frame_bytes:
@@ -114,20 +114,21 @@ def write(pages: DataFrame, folder: str, *, least: int = 0, frame_bytes: int = F
     """Archives pages (page_id, url, html) in folder; returns its index (INDEX), which also stands in folder/index.
 
     Of equal payloads of `least` bytes or more the one with the smallest page_id is a response and the others
-    revisit it. A null html is an empty payload. Only digests are gathered to find the repeats, and only those
+    revisit it. A null html is an empty payload; a record without page_id is a response, unless one with the same payload has an id. Only digests are gathered to find the repeats, and only those
     of payloads that repeat are joined back; a digest of a third of all pages is one row there.
     """
     spark, folder = pages.sparkSession, uri(folder)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha1"), utf8_size(F.col("html")).alias("n"))
     repeats = rows.where(F.col("n") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("sha1", "first")
-    known = rows.join(repeats, "sha1", "left").select("page_id", "url", "payload", F.when((F.col("n") >= least) & (F.col("first") != F.col("page_id")), F.col("first")).alias("refers_to"))
+    refers = F.when((F.col("n") >= least) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
+    known = rows.join(repeats, "sha1", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", refers.cast("string").alias("refers_to"))
 
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundle = Bundle(folder, frame_bytes, level)
         for pdf in batches:
             for page_id, url, data, refers in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["refers_to"], strict=True):
-                bundle.add(page_id, record(page_id, url, data, None if pd.isna(refers) else int(refers)))
+                bundle.add(page_id, record(page_id, url, data, refers))
                 if bundle.start >= bundle_bytes:
                     yield bundle.close()
         if bundle.rows:
@@ -155,15 +156,15 @@ def read(index: DataFrame) -> DataFrame:
                             file.seek(start)
                             held = (bundle, frame, unpack.decompress(file.read(packed), max_output_size=size))
                         out += [parse(held[2][at : at + n]) for at, n in zip(of_frame["at"], of_frame["length"], strict=True)]
-            got = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield got.astype({"refers_to": "Int64"})
+            yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return index.mapInPandas(records, READ)
+    got = index.mapInPandas(records, READ)
+    return got.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def lookup(index: DataFrame, record_ids: list[int]) -> DataFrame:
     """READ rows of some records: the index is filtered by id, and only their frames are read."""
-    return read(index.where(F.col("record_id").isin(record_ids)))
+    return read(index.where(F.col("record_id").isin([str(i) for i in record_ids])))
 
 
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
