@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from .common import components, kept, table, written
 
 SHINGLE = 5
-#: Two collections of HALVES half-keys of ROWS minhashes make HALVES^2 tables of 2 x ROWS rows: 60 minhashes do the
-#: work of 600. At a similarity of .85 all tables miss a pair with probability .00015.
-HALVES, ROWS, SEED = 10, 3, 7
+#: Two collections of HALVES half-keys of ROWS minhashes make HALVES^2 tables of 2 x ROWS rows: 72 minhashes do the work of
+#: 864. All tables miss a pair of similarity .85 with probability .00002, and one of .80 with .0004.
+HALVES, ROWS, SEED = 12, 3, 7
 MINS = 2 * HALVES * ROWS
-#: Agreeing minhashes of MINS from which two documents of a bucket are compared in full: 3.7 standard deviations below .85.
-AGREE = 41
+#: Hundredths of similarity from which documents link; agreeing minhashes that lead to a comparison in full lie four
+#: standard deviations below.
+PERCENT = 80
 #: Documents in a block of the comparison in full, rows of a bucket beyond which it is cut by a further half-key, documents
 #: up to which the ids of those to be compared are broadcast.
 BLOCK, WIDE, BROADCAST_ROWS = 256, 2048, 2_000_000
@@ -89,12 +90,17 @@ def _table_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key.ravel().view("int64"), "rep": np.repeat(part["rep"].to_numpy(), HALVES * HALVES)})
 
 
-def _alike(n: np.ndarray, codes: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+def _agreeing(percent: int) -> int:
+    p = percent / 100
+    return int(MINS * p - 4 * (MINS * p * (1 - p)) ** 0.5)
+
+
+def _alike(n: np.ndarray, codes: np.ndarray, x: int, others: np.ndarray, percent: int) -> np.ndarray:
     low, high = np.minimum(n[others], n[x]), np.maximum(n[others], n[x])
-    return ((codes[others] == codes[x]).sum(1) >= AGREE) & (100 * low >= 85 * high)
+    return ((codes[others] == codes[x]).sum(1) >= _agreeing(percent)) & (100 * low >= percent * high)
 
 
-def _spanning(rep: np.ndarray, n: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+def _spanning(rep: np.ndarray, n: np.ndarray, codes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of a bucket's likely pairs: at most one pair a row."""
     if len(rep) > WIDE:
         for h in range(2 * HALVES):
@@ -102,28 +108,28 @@ def _spanning(rep: np.ndarray, n: np.ndarray, codes: np.ndarray) -> Iterator[tup
             order = np.argsort(at, kind="stable")
             for g in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
                 if 1 < len(g) < len(rep):
-                    yield from _spanning(rep[g], n[g], codes[g])
+                    yield from _spanning(rep[g], n[g], codes[g], percent)
                 elif len(g) == len(rep):
-                    yield from _walk(rep, n, codes)
+                    yield from _walk(rep, n, codes, percent)
                     return
     else:
-        yield from _walk(rep, n, codes)
+        yield from _walk(rep, n, codes, percent)
 
 
-def _walk(rep: np.ndarray, n: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+def _walk(rep: np.ndarray, n: np.ndarray, codes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     left = np.arange(len(rep))
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            hit = _alike(n, codes, x, left)
+            hit = _alike(n, codes, x, left, percent)
             for y in left[hit]:
                 yield rep[x], rep[y]
                 queue.append(y)
             left = left[~hit]
 
 
-def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _likely(percent: int):
     """Likely pairs (a, b) of rows (key, rep, n, code) that come sorted by key; a bucket may span batches."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -132,48 +138,57 @@ def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: set = set()
         for g in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(pdf["key"].to_numpy())) + 1):
             if len(g) > 1:
-                out.update((min(p), max(p)) for p in _spanning(rep[g], n[g], codes[g]))
+                out.update((min(p), max(p)) for p in _spanning(rep[g], n[g], codes[g], percent))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        last = pdf["key"].to_numpy()[-1] if len(pdf) else None
-        if last is None or pdf["key"].iloc[0] == last and (not held or held[0]["key"].iloc[0] == last):
-            held += [pdf] if last is not None else []
-            continue
-        whole = pd.concat([*held, pdf])
-        tail = whole["key"].to_numpy() == last
-        held = [whole[tail]]
-        yield pairs(whole[~tail])
-    if held:
-        yield pairs(pd.concat(held))
-
-
-def _exact(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf["key"].to_numpy()
+            if keys[0] == keys[-1] and (not held or held[0]["key"].iloc[0] == keys[-1]):
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf])
+            tail = whole["key"].to_numpy() == keys[-1]
+            held = [whole[tail]]
+            yield pairs(whole[~tail])
+        if held:
+            yield pairs(pd.concat(held))
+
+    return run
+
+
+def _exact(percent: int):
     """Links (a, b) between one or two blocks of documents of one likely group: a spanning forest of those that hold on full sets."""
-    pdf = pdf.drop_duplicates("rep").sort_values("rep")
-    sets = [np.frombuffer(x, "uint64") for x in pdf["shingles"]]
-    rep, n, size = pdf["rep"].to_numpy(), len(sets), np.array([len(s) for s in sets])
-    cross = (pdf["bi"] != pdf["bj"]).to_numpy()[0] if n else False
-    side = (pdf["block"] == pdf["bi"]).to_numpy()
-    tokens, owner = np.concatenate(sets) if n else np.empty(0, "uint64"), np.repeat(np.arange(n), size)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    root, out = np.arange(n), []
-    for x in np.flatnonzero(side) if cross else range(n):
-        other = ~side if cross else np.arange(n) > x
-        todo = other & (root != root[x]) & (100 * np.minimum(size, size[x]) >= 85 * np.maximum(size, size[x]))
-        if not todo.any():
-            continue
-        lo, hi = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
-        k = hi - lo
-        hits = owner[np.repeat(lo - np.concatenate(([0], np.cumsum(k)[:-1])), k) + np.arange(k.sum())]
-        both = np.bincount(hits, minlength=n)
-        for y in np.flatnonzero(todo & (100 * both >= 85 * (size + size[x] - both))):
-            if root[y] != root[x]:
-                root[root == root[y]] = root[x]
-                out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("rep").sort_values("rep")
+        sets = [np.frombuffer(x, "uint64") for x in pdf["shingles"]]
+        rep, n, size = pdf["rep"].to_numpy(), len(sets), np.array([len(s) for s in sets])
+        cross = pdf["bi"].iat[0] != pdf["bj"].iat[0]
+        side = (pdf["block"] == pdf["bi"]).to_numpy()
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        root, out = np.arange(n), []
+        for x in np.flatnonzero(side) if cross else range(n):
+            other = ~side if cross else np.arange(n) > x
+            todo = other & (root != root[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
+            if not todo.any():
+                continue
+            lo, hi = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
+            k = hi - lo
+            hits = owner[np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            both = np.bincount(hits, minlength=n)
+            for y in np.flatnonzero(todo & (100 * both >= percent * (size + size[x] - both))):
+                if root[y] != root[x]:
+                    root[root == root[y]] = root[x]
+                    out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +196,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="text").assign(shingles=[shingles(t).tobytes() for t in pdf["text"]])
 
 
-def links(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Confirmed links (a, b) of nodes (rep, n, mins, code: a byte of each minhash): enough of them that all that link are connected.
 
     1. Table keys are exchanged as (key, rep) and only keys of two or more nodes stay. 2. In those buckets
@@ -191,7 +206,7 @@ def links(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, broadcast_rows:
     """
     keys = nodes.select("rep", "mins").mapInPandas(_table_keys, "key long, rep long")
     rows = keys.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1").select("key", "rep")
-    pairs = rows.join(nodes.select("rep", "n", "code"), "rep").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_likely, "a long, b long").distinct()
+    pairs = rows.join(nodes.select("rep", "n", "code"), "rep").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_likely(percent), "a long, b long").distinct()
     group = kept(components(pairs))
     wide = group.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = group.join(wide, "root").select(F.col("id").alias("doc_id"), "root", "blocks")
@@ -199,11 +214,11 @@ def links(docs: DataFrame, nodes: DataFrame, block: int = BLOCK, broadcast_rows:
     sets = docs.select("doc_id", "text").join(member, "doc_id").mapInPandas(_sets, "doc_id long, root long, blocks int, shingles binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select(F.col("doc_id").alias("rep"), "root", "block", F.least("block", "k").alias("bi"), F.greatest("block", "k").alias("bj"), "shingles")
-    return sets.groupBy("root", "bi", "bj").applyInPandas(_exact, "a long, b long").distinct()
+    return sets.groupBy("root", "bi", "bj").applyInPandas(_exact(percent), "a long, b long").distinct()
 
 
 def group(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row per row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept), a row per row of docs (doc_id, text). Documents link from `percent` on.
 
     Documents of equal shingle sets are one node, their smallest doc_id. Null, empty and blank texts have no
     shingles and link with nothing. Rows that repeat a doc_id share its component; a row without one is alone; no rows, no result.
@@ -226,4 +241,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group(table(spark, sf_dir, "documents"))
+    return group(table(spark, sf_dir, "documents"), percent=85)

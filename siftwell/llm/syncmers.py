@@ -9,8 +9,8 @@ from .common import table
 
 #: Words of a k-mer and of its inner s-mer; anchors that a fingerprint keeps; characters from which words are the tokens.
 K, S, KEEP, BY_WORD = 5, 2, 64, 256
-#: Ranges of doc_id in which neighbours are found.
-RANGES = 400
+#: Ranges of doc_id in which neighbours are found, and how many of their ends are one step of the search for a row's range.
+RANGES, STEP = 2048, 64
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -84,7 +84,10 @@ def with_next(docs: DataFrame, key: str, columns: list[str], ranges: int = RANGE
     if not cuts:
         return docs.select("*", *(F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns))
     ends = F.array(*map(F.lit, cuts))
-    below = F.size(F.filter(ends, lambda e: e < F.col(key)))  # the range whose upper end is the least one not below the key
+    under = lambda some: F.size(F.filter(some, lambda e: e < F.col(key)))
+    coarse = F.array(*map(F.lit, cuts[STEP - 1 :: STEP] or cuts[-1:]))
+    step = F.when(F.lit(len(cuts) >= STEP), under(coarse)).otherwise(0) * STEP
+    below = step + under(F.slice(ends, step + 1, F.lit(STEP)))  # the range whose upper end is the least one not below the key
     ghost = F.when(F.col(key) == last, F.array(below, F.lit(-1))).when(F.array_contains(ends, F.col(key)), F.array(below, below + 1)).otherwise(F.array(below))
     placed = docs.select("*", F.posexplode(ghost).alias("_copy", "_range"))
     # the greatest key's ghost goes to the range of the least key, after it
