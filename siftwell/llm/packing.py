@@ -22,9 +22,9 @@ from .common import table, written
 
 CAPACITY, SALTS = 2048, 32
 #: Entries of each of a task's two caches, the longest text that they hold, characters encoded at a time.
-_CACHE_ROWS, _CACHE_CHARS, _BATCH_CHARS = 400_000, 48, 1 << 21
-#: Runs that this tokenizer never joins with each other: Latin letters, a digit, ASCII signs but ' and <.
-_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+_CACHE_ROWS, _CACHE_CHARS, _BATCH_CHARS = 700_000, 48, 1 << 22
+#: Runs that this tokenizer never joins with each other: lower-case Latin letters, a digit, ASCII signs but ' and <.
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
 
 def tokenizer_path() -> str:
@@ -46,21 +46,31 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.parts, self.runs = Tokenizer.from_file(path), {"": b""}, {}
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a run
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _learn(self, runs: list[str]) -> None:
-        got = self.tok.encode(" ".join(runs), add_special_tokens=False)
-        ids, of = np.asarray(got.ids, "<u4"), np.asarray(got.word_ids)
-        cuts = np.searchsorted(of, np.arange(len(runs) + 1))
+        ids = np.asarray(self.tok.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         data = ids.tobytes()
-        self.runs.update((r, data[4 * a : 4 * b]) for r, a, b in zip(runs, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        self.runs.update((r, data[a:b]) for r, a, b in zip(runs, [0, *cuts[:-1]], cuts, strict=True))
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # letter by letter here, as the tokenizer does
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.parts) > _CACHE_ROWS:
             self.parts = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._split(t) for t in texts]
         plain, other = {}, []
         for p in set().union(*split).difference(self.parts):
-            runs = _RUNS.findall(p.lower()) if len(p) <= _CACHE_CHARS else ()
+            runs = _RUNS.findall(p) if len(p) <= _CACHE_CHARS else ()
             if runs and sum(map(len, runs)) == len(p):
                 plain[p] = runs
             else:
