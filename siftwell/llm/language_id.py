@@ -15,7 +15,7 @@ from .common import table, unwrapped, wrapped
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Bounds of the fitted classifier, whatever the size of the corpus.
 SAMPLE_ROWS, SLICE_CHARS, DICT_BYTES = 1000, 400, 1 << 17
-LEVEL, WINDOW_BYTES = 5, 4096
+LEVEL, WINDOW_BYTES = 7, 4096
 #: A text is rejected if the runner-up needs less than this share more bytes than the best.
 REJECT_MARGIN = 0.004
 
