@@ -26,8 +26,8 @@ def gaps(log: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def conflicts(log: DataFrame, keys: list[str], payload: str) -> DataFrame:
-    """(keys, n): sequence numbers that were written with more than one payload; equal repeats are harmless."""
-    return log.groupBy(*keys).agg(F.countDistinct(F.coalesce(payload, F.lit(""))).alias("n")).where("n > 1")
+    """(keys, payloads): sequence numbers that were written with more than one payload; equal repeats are harmless."""
+    return log.groupBy(*keys).agg(F.countDistinct(F.coalesce(payload, F.lit(""))).alias("payloads")).where("payloads > 1")
 
 
 def append(log: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:

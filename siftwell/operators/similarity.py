@@ -26,14 +26,14 @@ def hamming_pairs(rows: DataFrame, key: str, value: str, radius: int, bits: int
     cuts = [bits * i // (radius + 1) for i in range(radius + 2)]
     of = lambda c: F.array(*(F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)))
     rows = rows.where(F.col(value).isNotNull())
-    classes = rows.groupBy(F.col(value).alias("v")).agg(F.min(key).alias("k"))
-    banded = classes.select("v", "k", F.posexplode(of(F.col("v"))).alias("band", "part"))
+    classes = rows.groupBy(F.col(value).alias("_v")).agg(F.min(key).alias("_k"))
+    banded = classes.select("_v", "_k", F.posexplode(of(F.col("_v"))).alias("band", "part"))
     l, r = banded.alias("l"), banded.alias("r")
-    found = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.k") < F.col("r.k")))
-    same = F.zip_with(of(F.col("l.v")), of(F.col("r.v")), lambda x, y: x == y)
-    found = found.withColumn("distance", hamming(F.col("l.v"), F.col("r.v"))).where((F.col("distance") <= radius) & (F.array_position(same, F.lit(True)) == F.col("l.band") + 1))
-    members = rows.join(classes, F.col(value) == F.col("v")).where(F.col(key) > F.col("k")).select(F.col("k").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
-    return found.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), "distance").unionByName(members)
+    found = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.part") == F.col("r.part")) & (F.col("l._k") < F.col("r._k")))
+    same = F.zip_with(of(F.col("l._v")), of(F.col("r._v")), lambda x, y: x == y)
+    found = found.withColumn("distance", hamming(F.col("l._v"), F.col("r._v"))).where((F.col("distance") <= radius) & (F.array_position(same, F.lit(True)) == F.col("l.band") + 1))
+    members = rows.join(classes, F.col(value) == F.col("_v")).where(F.col(key) > F.col("_k")).select(F.col("_k").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
+    return found.select(F.col("l._k").alias("a"), F.col("r._k").alias("b"), "distance").unionByName(members)
 
 
 def nearest(pairs: DataFrame, key: str, other: str, distance: str) -> DataFrame:
