@@ -95,3 +95,59 @@ def margin(rows: DataFrame, key: str, score: str, order: list[str], least: float
     first = F.max(F.when(F.col("_r") == 1, F.struct(*(c for c in rows.columns if c != key)))).alias("_b")
     out = best.groupBy(key).agg(first, second).select(key, "_b.*", "runner_up")
     return out.withColumn("ambiguous", F.coalesce(F.col(score) - F.col("runner_up") < least, F.lit(False)))
+
+
+#: Limits of a face's focus figures. Contrast of eye and core and eye distance come first; then severe, clear.
+FACE = {
+    "eye_distance": 56.0, "eye_contrast": 0.10, "core_contrast": 0.08,
+    "severe": (0.00145, 0.00175, 0.16), "severe_coarse": (0.0032, 0.0034, 0.15, 0.0010),
+    "clear": (0.0045, 0.0060, 0.18, 0.215, 0.25, 0.0008),
+}
+
+
+def face_focus(m: Column, landmarks: Column, supported: Column, noisy: Column, directional: Column) -> Column:
+    """struct(state, reason) of a face from its figures m (eye_distance, eye_contrast, core_contrast, eye_lap, core_lap,
+    eye_curvature, coarse_lap, native_curvature, eye_gradient). The first rule that applies decides; what is unknown fails its rule.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    of = lambda state, reason: F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))
+    s, c, k = FACE["severe"], FACE["severe_coarse"], FACE["clear"]
+    severe = ((m["eye_lap"] < s[0]) & (m["core_lap"] < s[1]) & (m["eye_curvature"] < s[2])) | ((m["eye_lap"] < c[0]) & (m["core_lap"] < c[1]) & (m["eye_curvature"] < c[2]) & (m["coarse_lap"] < c[3]))
+    clear = (m["eye_lap"] >= k[0]) & (m["core_lap"] >= k[1]) & (m["eye_curvature"] >= k[2]) & (m["native_curvature"] >= k[3]) & (m["eye_gradient"] >= k[4]) & (m["coarse_lap"] >= k[5])
+    return (
+        F.when(~yes(landmarks), of("uncertain", "no_landmarks"))
+        .when(~yes(m["eye_distance"] >= FACE["eye_distance"]), of("uncertain", "small_eyes"))
+        .when(~yes((m["eye_contrast"] >= FACE["eye_contrast"]) & (m["core_contrast"] >= FACE["core_contrast"])), of("uncertain", "low_contrast"))
+        .when(~yes(supported), of("uncertain", "outside_source"))
+        .when(yes(noisy), of("uncertain", "noise"))
+        .when(yes(severe), of("severe_blur", "weak_detail"))
+        .when(yes(directional), of("uncertain", "smear"))
+        .when(yes(clear), of("clear", "strong_detail"))
+        .otherwise(of("uncertain", "borderline"))
+    )
+
+
+def local_recommendation(pending: Column, portrait: Column, current: Column, policy: Column, evidence: Column, state: Column, rejected: Column, reason: Column) -> Column:
+    """keep, reject or review from local evidence alone. A portrait needs a current policy result; elsewhere evidence goes
+    before its state, that before the screening flag, and a reason left by an expired model result gives review."""
+    known = lambda c: F.when(c.isin("keep", "reject", "review"), c)
+    of_state = F.when(state.isin("uncertain", "insufficient", "unavailable"), "review").when(state.isin("severe_blur", "blur"), "reject").when(state == "clear", "keep")
+    plain = F.when(F.coalesce(reason.startswith("ai_focus_"), F.lit(False)), "review").when(F.coalesce(rejected, F.lit(False)), "reject").when(reason == "subject_not_obviously_blurred", "keep").otherwise("review")
+    return (
+        F.when(F.coalesce(pending, F.lit(False)), "review")
+        .when(F.coalesce(portrait, F.lit(True)), F.when(F.coalesce(current, F.lit(False)), F.coalesce(known(policy), F.lit("review"))).otherwise("review"))
+        .otherwise(F.coalesce(known(evidence), of_state, plain))
+    )
+
+
+def needs_review(pending: Column, portrait: Column, focus: Column, local: Column, settled: Column, doubtful: Column, evidence_state: Column) -> Column:
+    """True, false, or null where nothing says: a pending person, an uncertain focus or a local review in portraits; else by settled and doubtful reasons."""
+    by_evidence = F.when(evidence_state.isNotNull(), ~evidence_state.isin("clear", "severe_blur", "blur"))
+    other = F.when(F.coalesce(settled, F.lit(False)), False).when(F.coalesce(doubtful, F.lit(False)), True).otherwise(by_evidence)
+    return F.when(F.coalesce(pending, F.lit(False)), True).when(F.coalesce(portrait, F.lit(True)), F.when(focus.isNotNull(), focus == "uncertain").otherwise(F.coalesce(local == "review", F.lit(False)))).otherwise(other)
+
+
+def labelled(code: Column, labels: dict[str, str]) -> Column:
+    """Readable text of each code of an array, in order and once; an unknown code stays as it is."""
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return F.array_distinct(F.transform(code, lambda c: F.coalesce(F.try_element_at(known, c), c)))

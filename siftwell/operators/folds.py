@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], inputs: list[str], output: str, kind: str) -> DataFrame:
     """rows with output: step(state, values of inputs) of each row in order; the state begins anew with each key."""
-    spark_schema = rows.schema.add(output, kind)
+    spark_schema = StructType(list(rows.schema.fields)).add(output, kind)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, None
@@ -176,3 +177,128 @@ def numbered(rows: DataFrame, group: str, position: str) -> DataFrame:
     first = rows.groupBy(F.col(group).alias("_g")).agg(F.min(position).alias("_p"))
     order = first.withColumn("number", F.row_number().over(Window.orderBy("_p", "_g")))
     return rows.join(order.select("_g", "number"), F.col(group) == F.col("_g")).drop("_g")
+
+
+def open_bursts(rows: DataFrame, keys: list[str], ts: str, order: list[str], vector: str, gap: float, span: float, least: float, seed: str | None = None) -> DataFrame:
+    """rows with burst: several bursts of a key may be open at once, and a row joins the one whose anchor is most like it.
+
+    Open are bursts whose last row lies within gap seconds before and whose first, the anchor, within span seconds;
+    a cosine of `least` with the anchor is needed, ties go to the earlier burst, and without any a new one opens.
+    Anchors never move. A row with a burst in `seed` keeps that number and later rows may join it, so a second run
+    after an import renumbers nothing. The state is the bursts still open.
+    """
+    import numpy as np
+
+    class State:
+        def __init__(self):
+            self.next, self.open = 0, []
+
+    def step(s: State, values: tuple) -> int:
+        t, v, given, reserved = values
+        u = np.asarray(v, "float64")
+        u = u / (np.linalg.norm(u) or 1.0)
+        s.next = max(s.next, int(reserved) + 1)
+        s.open = [b for b in s.open if t - b[2] <= gap and t - b[1] <= span]
+        if given is not None and not pd.isna(given):
+            mine = [b for b in s.open if b[0] == int(given)]
+        else:
+            best = max(((float(b[3] @ u), -b[0], b) for b in s.open), default=None, key=lambda x: x[:2])
+            mine = [best[2]] if best and best[0] >= least else []
+        if mine:
+            mine[0][2] = t
+            return mine[0][0]
+        number = int(given) if given is not None and not pd.isna(given) else s.next
+        s.next = max(s.next, number + 1)
+        s.open.append([number, t, t, u])
+        return number
+
+    seeded = rows.withColumn("_seed", F.col(seed).cast("double") if seed else F.lit(None).cast("double"))
+    top = seeded.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.coalesce(F.max("_seed"), F.lit(-1.0)).alias("_top"))
+    given = seeded.join(top, [F.col(k) == F.col(f"_k_{k}") for k in keys]).drop(*(f"_k_{k}" for k in keys))
+    return fold(given, keys, [ts, *order], State, step, [ts, vector, "_seed", "_top"], "burst", "long").drop("_seed", "_top")
+
+
+def guarded_merge(pairs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """members (keys, id, part) with root: pairs (keys, a, b: compatible) merge parts, in order, only if all their cross pairs are compatible too.
+
+    A merge is checked by counting compatible pairs between two parts, so no cross pair is listed. A key is one
+    task's work, as the order of merges matters; keys run side by side.
+    """
+
+    def run(key: tuple, p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        root = dict(zip(m["id"], m["part"], strict=True))
+        size = m.groupby("part").size().to_dict()
+        between: dict = {}
+        for a, b in zip(p["a"], p["b"], strict=True):
+            x, y = root.get(a), root.get(b)
+            if x is not None and y is not None and x != y:
+                between.setdefault(x, {})[y] = between.get(x, {}).get(y, 0) + 1
+                between.setdefault(y, {})[x] = between[x][y]
+        into = {x: x for x in size}
+
+        def find(x):
+            while into[x] != x:
+                x = into[x]
+            return x
+
+        for a, b in p.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
+            if a not in root or b not in root:
+                continue
+            x, y = sorted((find(root[a]), find(root[b])))
+            if x != y and between.get(x, {}).get(y, 0) == size[x] * size[y]:
+                into[y] = x
+                size[x] += size[y]
+                for z, n in between.pop(y, {}).items():
+                    between[z].pop(y, None)
+                    if z != x:
+                        between[x][z] = between[x].get(z, 0) + n
+                        between[z][x] = between[x][z]
+        return m.assign(root=[find(x) for x in m["part"]])
+
+    schema = StructType(list(members.schema.fields)).add("root", members.schema["part"].dataType)
+    once = pairs.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    return once.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def matched(pairs: DataFrame, keys: list[str], left: str, right: str, score: str) -> DataFrame:
+    """The pairs that greedy matching keeps: by falling score, a pair stays if neither side is taken. Ties go to the greater ids."""
+
+    def step(taken: set, values: tuple) -> bool:
+        a, b = values
+        if ("l", a) in taken or ("r", b) in taken:
+            return False
+        taken.update((("l", a), ("r", b)))
+        return True
+
+    order = ["_falling", "_fl", "_fr"]
+    ranked = pairs.select("*", (-F.col(score)).alias("_falling"), (-F.col(left)).alias("_fl"), (-F.col(right)).alias("_fr"))
+    return fold(ranked, keys, order, set, step, [left, right], "_stays", "boolean").where("_stays").drop("_stays", *order)
+
+
+def revisions(log: DataFrame, keys: list[str], order: list[str], expected: str) -> DataFrame:
+    """log with accepted and revision: a write is taken if it expects the key's current revision, from 0, and then raises it."""
+
+    def step(state: list, values: tuple) -> int:
+        if values[0] is not None and values[0] == state[0]:
+            state[0] += 1
+            return state[0]
+        return -state[0] - 1
+
+    out = fold(log, keys, order, lambda: [0], step, [expected], "_r", "long")
+    return out.withColumn("accepted", F.col("_r") > 0).withColumn("revision", F.when(F.col("_r") > 0, F.col("_r")).otherwise(-F.col("_r") - 1)).drop("_r")
+
+
+def split_at(rows: DataFrame, group: str, position: str, at: Column, new: Column) -> DataFrame:
+    """rows whose group is split from the position `at` on, the rest going to the group `new`; a split at a group's first row does nothing."""
+    first = rows.groupBy(F.col(group).alias("_g")).agg(F.min(position).alias("_first"))
+    moved = (F.col(position) >= at) & (at > F.col("_first"))
+    return rows.join(first, F.col(group) == F.col("_g")).withColumn(group, F.when(F.coalesce(moved, F.lit(False)), new).otherwise(F.col(group))).drop("_g", "_first")
+
+
+def merge_adjacent(rows: DataFrame, group: str, position: str, wanted: DataFrame) -> DataFrame:
+    """rows in which wanted (first, second) groups are one, the earlier; only groups that follow each other by first position merge."""
+    order = rows.groupBy(F.col(group).alias("_g")).agg(F.min(position).alias("_p")).withColumn("_n", F.row_number().over(Window.orderBy("_p", "_g"))).select("_g", "_n")
+    a, b = order.select(F.col("_g").alias("first"), F.col("_n").alias("_a")), order.select(F.col("_g").alias("second"), F.col("_n").alias("_b"))
+    both = wanted.join(a, "first").join(b, "second").where(F.abs(F.col("_a") - F.col("_b")) == 1)
+    moves = both.select(F.when(F.col("_a") < F.col("_b"), F.col("second")).otherwise(F.col("first")).alias("_source"), F.when(F.col("_a") < F.col("_b"), F.col("first")).otherwise(F.col("second")).alias("_target"))
+    return rows.join(moves, F.col(group) == F.col("_source"), "left").withColumn(group, F.coalesce("_target", group)).drop("_source", "_target")

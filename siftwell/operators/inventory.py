@@ -63,3 +63,38 @@ def snapshot(rows: DataFrame, name: str) -> DataFrame:
 def keep_manual(automatic: DataFrame, manual: DataFrame, key: str) -> DataFrame:
     """Automatic rows beside manual ones; where both have a key the manual row stays."""
     return manual.unionByName(automatic.join(manual.select(key), key, "left_anti"))
+
+
+def memberships(rows: DataFrame, store: str, asset: str, group: str) -> DataFrame:
+    """Rows of stores that are valid as a whole: one with an asset twice, or a blank asset or group, gives none of its rows."""
+    each = rows.groupBy(store, asset).agg(F.count("*").alias("_n"), F.bool_and(F.coalesce(F.trim(F.col(asset).cast("string")) != "", F.lit(False)) & F.col(group).isNotNull()).alias("_ok"))
+    good = each.groupBy(store).agg(F.bool_and((F.col("_n") == 1) & F.col("_ok")).alias("_ok")).where("_ok").select(store)
+    return rows.join(good, store, "left_semi")
+
+
+def relocated(sources: DataFrame, found: DataFrame, path: str, old: str, new: str, stamp: list[str]) -> DataFrame:
+    """sources with now and status: those under the folder `old` are rebased to `new`, verified by their stamp among found (path, stamp).
+
+    moved with the same stamp, changed with another, missing without a file; paths elsewhere are outside and stay.
+    """
+    here = F.col(path).startswith(old)
+    out = sources.withColumn("now", F.when(here, F.concat(F.lit(new), F.substring(F.col(path), F.lit(len(old) + 1), F.length(path)))).otherwise(F.col(path)))
+    f = found.select(F.col(path).alias("_f"), *(F.col(c).alias(f"_f_{c}") for c in stamp))
+    same = F.lit(True)
+    for c in stamp:
+        same = same & F.col(c).eqNullSafe(F.col(f"_f_{c}"))
+    status = F.when(~here, "outside").when(F.col("_f").isNull(), "missing").when(same, "moved").otherwise("changed")
+    return out.join(f, F.col("now") == F.col("_f"), "left").select(*sources.columns, "now", status.alias("status"))
+
+
+def session(saved: DataFrame, files: DataFrame, key: str, stamp: str, keep_missing: bool = False) -> DataFrame:
+    """saved rows with stale: their stamp is not that of files (key, stamp). Rows without a file go, or stay as stale with keep_missing."""
+    f = files.select(F.col(key).alias("_f"), F.col(stamp).alias("_s"))
+    out = saved.join(f, F.col(key) == F.col("_f"), "left" if keep_missing else "inner")
+    return out.withColumn("stale", ~F.coalesce(F.col(stamp) == F.col("_s"), F.lit(False))).drop("_f", "_s")
+
+
+def exported(rows: DataFrame, target: str, rating: str) -> DataFrame:
+    """(target, ratings, problem): a target named twice or without a rating is a problem, and nothing may be written while there is one."""
+    out = rows.groupBy(target).agg(F.count("*").alias("ratings"), F.bool_and(F.col(rating).isNotNull()).alias("_ok"))
+    return out.select(target, "ratings", F.when(F.col("ratings") > 1, "repeated").when(~F.col("_ok"), "unrated").alias("problem"))

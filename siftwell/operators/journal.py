@@ -51,3 +51,26 @@ def stale_groups(members: DataFrame, group: str, member: str, now: Column, store
 
     current = members.groupBy(group).agg(group_digest(F.col(member), now).alias("_now"))
     return current.join(stored, group, "left").select(group, (~F.coalesce(F.col("_now") == F.col("digest"), F.lit(False))).alias("stale"))
+
+
+def self_times(spans: DataFrame, key: str, parent: str, elapsed: str) -> DataFrame:
+    """spans with own: their time less that of their children, 0 at least."""
+    inner = spans.where(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("_p")).agg(F.sum(elapsed).alias("_in"))
+    return spans.join(inner, F.col(key) == F.col("_p"), "left").withColumn("own", F.greatest(F.col(elapsed) - F.coalesce("_in", F.lit(0.0)), F.lit(0.0))).drop("_p", "_in")
+
+
+def operation_totals(rows: DataFrame, operations: str) -> DataFrame:
+    """(operation, calls, seconds, photos, repeated) over a column map<string, struct<count, seconds>>: photos that used it, and that used it more than once."""
+    each = rows.select(F.explode(operations).alias("operation", "o"))
+    return each.groupBy("operation").agg(F.sum("o.count").alias("calls"), F.sum("o.seconds").alias("seconds"), F.count_if(F.col("o.count") > 0).alias("photos"), F.count_if(F.col("o.count") > 1).alias("repeated"))
+
+
+def history(log: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:
+    """(keys, value, versions, before): the latest value, how many there were and the digest of those before it, oldest first.
+
+    Only the digest leaves the group, but a key's whole history meets in one row: keys are single photos.
+    """
+    every = F.array_sort(F.collect_list(F.struct(seq, value)))
+    out = log.groupBy(*keys).agg(every.alias("_h"))
+    old = F.array_join(F.transform(F.slice("_h", 1, F.size("_h") - 1), lambda h: F.coalesce(h[value].cast("string"), F.lit(""))), ",")
+    return out.select(*keys, F.element_at("_h", -1)[value].alias(value), F.size("_h").alias("versions"), F.sha2(old, 256).alias("before"))

@@ -1,6 +1,7 @@
 """Queries over the library's operators."""
 
+from . import evidence as _evidence
 from . import queries as _queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "_queries"]
+__all__ = ["ORACLES", "QUERIES", "_evidence", "_queries"]
