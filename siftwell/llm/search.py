@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table, written
 
 K1, B, TOP = 1.2, 0.75, 10
+#: Scores count to so many decimals; two that are equal then rank by doc_id.
+DIGITS = 6
 #: Documents and postings at which a shard is closed, documents of a block, queries of a block, blocks evaluated before pruning.
 SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, FIRST = 8192, 4_000_000, 32, 256, 8
 SHARD = "n long, words long, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary"
@@ -123,7 +125,7 @@ class _Searcher:
         best = np.empty(0)
         while done < self.blocks:
             take = order[done : done + FIRST] if not done else order[done:]
-            take = take[(bound[take] > 0) & (bound[take] >= floor)]
+            take = take[(bound[take] > 0) & (bound[take] >= floor - 10.0**-DIGITS)]  # a rounded score may still reach it
             done = done + FIRST if not done else self.blocks
             if not len(take):
                 break
@@ -141,8 +143,8 @@ class _Searcher:
         if not found:
             return np.empty(0, "int64"), np.empty(0)
         found, scores = np.concatenate(found), np.concatenate(scores)
-        stay = scores >= floor
-        return self.doc_ids[found[stay]], scores[stay]
+        stay = scores >= floor - 10.0**-DIGITS
+        return self.doc_ids[found[stay]], np.round(scores[stay], DIGITS)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +156,7 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, **how) -> DataFr
     """(query_id, rank, doc_id, score): the exact BM25 `top` documents of docs (doc_id, text) for queries (query_id, text).
 
     Terms weigh by global document frequencies and lengths, so a document's score does not depend on its shard,
-    and merging each task's `top` is exact. Equal scores rank by doc_id. Queries stand in the shared folder,
+    and merging each task's `top` is exact. Scores have DIGITS decimals, and equal ones rank by doc_id. Queries stand in the shared folder,
     and each task reads them a block at a time against its shards. A query without a term that occurs has no rows.
     """
     spark = docs.sparkSession
