@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import op1_language_id
 from .mixing import op10_pareto_mixing
 from .neardup import op4_minhash_near_dedup
+from .oracles import ORACLES
 from .packing import op8_best_fit_packing
 from .pii import op5_weak_supervision_pii
 from .search import op6_block_max_wand
@@ -25,4 +26,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express; the others are tested against brute force."""
+    return dict(ORACLES)
