@@ -39,3 +39,28 @@ def oriented(x: Column, y: Column, orientation: Column) -> Column:
 def tiles(rows: Column, cols: Column) -> Column:
     """array(struct(row, col)) of a grid."""
     return F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.transform(F.sequence(F.lit(0), cols - 1), lambda c: F.struct(r.alias("row"), c.alias("col")))))
+
+
+def oriented_box(box: Column, orientation: Column) -> Column:
+    """struct(x, y, w, h) of a box under the eight EXIF orientations, from its four corners."""
+    at = lambda dx, dy: oriented(box["x"] + dx * box["w"], box["y"] + dy * box["h"], orientation)
+    corners = F.array(at(0, 0), at(1, 0), at(0, 1), at(1, 1))
+    xs, ys = F.transform(corners, lambda c: c["x"]), F.transform(corners, lambda c: c["y"])
+    return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("w"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+
+
+#: Numbers that cameras write for "nothing".
+SENTINELS = (65535.0, 16777216.0, 4294967295.0)
+
+
+def focus_pair(x: Column, y: Column, is_size: bool = False) -> Column:
+    """struct(status, reason, x, y) of a pair that a camera has written: never better than not_validated.
+
+    Null or not finite, a sentinel, or beyond 0 to 1 (for a size also 0) is unknown and leaves the values null.
+    """
+    odd = lambda v: F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(True))
+    nothing = lambda v: v.isin(*SENTINELS) | ((v >= 4194303.9) & (v < 4194304))
+    beyond = lambda v: (v < 0) | (v > 1) | (F.lit(is_size) & (v == 0))
+    reason = F.when(odd(x) | odd(y), "nonfinite").when(nothing(x) | nothing(y), "sentinel").when(beyond(x) | beyond(y), "out_of_range").otherwise("normalized_pair_only")
+    ok = reason == "normalized_pair_only"
+    return F.struct(F.when(ok, "not_validated").otherwise("unknown").alias("status"), reason.alias("reason"), F.when(ok, x).alias("x"), F.when(ok, y).alias("y"))

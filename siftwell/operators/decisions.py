@@ -151,3 +151,52 @@ def labelled(code: Column, labels: dict[str, str]) -> Column:
     """Readable text of each code of an array, in order and once; an unknown code stays as it is."""
     known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
     return F.array_distinct(F.transform(code, lambda c: F.coalesce(F.try_element_at(known, c), c)))
+
+
+#: Overlap of appearance that a pair of photos needs: with a known camera, without one, and where people are unknown.
+SAME_CAMERA, NO_CAMERA, STRONG = 0.64, 0.70, 0.80
+
+
+def same_burst(camera: Column, framing_changed: Column, background_changed: Column, conflict: Column, matched: Column, unknown: Column, strong_identity: Column, appearance: Column, more_left: Column) -> Column:
+    """Whether two photos may share a burst: camera is same, different or unknown.
+
+    A different camera, an unknown one with changed framing or background, and a conflict of people each forbid it. Then
+    people must match with enough appearance, or be unknown with strong appearance. Without a camera, fewer people
+    than in the anchor need strong appearance and either a strong identity or unknown people. Unknown flags count as false.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    enough = lambda least: yes(appearance >= least)
+    blind = yes(unknown) & enough(STRONG)
+    with_camera = (yes(matched) & (enough(SAME_CAMERA) | yes(strong_identity))) | blind
+    part = yes(more_left)
+    without = (yes(matched) & F.when(part, enough(STRONG)).otherwise(enough(NO_CAMERA)) & (~part | yes(strong_identity) | yes(unknown))) | blind
+    barred = (camera == "different") | ((camera == "unknown") & (yes(framing_changed) | yes(background_changed))) | yes(conflict)
+    return F.when(yes(barred), False).when(camera == "same", with_camera).otherwise(without)
+
+
+def framing(scales: Column, ratio: float = 1.7, spread: float = 1.35) -> Column:
+    """unknown, compatible or different: scales of matched faces must agree within spread, and all lie beyond ratio to differ."""
+    lo, hi = F.array_min(scales), F.array_max(scales)
+    return F.when(F.coalesce(F.size(scales) == 0, F.lit(True)) | (hi / lo > spread), "unknown").when((lo > ratio) | (hi < 1 / ratio), "different").otherwise("compatible")
+
+
+def first_step(steps: list[tuple[str, Column]], done: str) -> Column:
+    """Aggregate-friendly: the name of the first step whose condition holds; unknown conditions don't; else done."""
+    return F.coalesce(*(F.when(c, F.lit(name)) for name, c in steps), F.lit(done))
+
+
+def replies(rows: DataFrame, scope: str, expected: DataFrame, subject: str, part: str, state: Column, supported: Column, absent: Column) -> DataFrame:
+    """(scope, recommendation, first_issue) of model replies, one row a part, against expected (scope, subject, ordinal).
+
+    One supported severe part rejects; all parts supported and clear (or allowed to be absent) keep; the rest is review. A
+    subject without a reply, or a reply to none, makes the scope invalid. The first issue is that of the least ordinal.
+    """
+    e = expected.select(F.col(scope).alias("_s"), F.col(subject).alias("_u"), "ordinal")
+    got = rows.withColumn("_state", state).withColumn("_sure", F.coalesce(supported, F.lit(False))).withColumn("_absent", F.coalesce(absent, F.lit(False)))
+    both = e.join(got, (F.col("_s") == F.col(scope)) & (F.col("_u") == F.col(subject)), "full_outer")
+    key = F.coalesce("_s", scope)
+    fine = (F.col("_sure") & (F.col("_state") == "clear")) | F.col("_absent")
+    issue = F.when(~F.coalesce(fine, F.lit(False)), F.struct(F.col("ordinal"), F.col(part).alias("part")))
+    out = both.groupBy(key.alias(scope)).agg(F.bool_and(F.col("_s").isNotNull() & F.col(scope).isNotNull()).alias("_whole"), F.bool_or(F.coalesce(F.col("_sure") & (F.col("_state") == "severe"), F.lit(False))).alias("_severe"), F.bool_and(F.coalesce(fine, F.lit(False))).alias("_clear"), F.min(issue).alias("_issue"))
+    verdict = F.when(~F.col("_whole"), "invalid").when(F.col("_severe"), "reject").when(F.col("_clear"), "keep").otherwise("review")
+    return out.select(scope, verdict.alias("recommendation"), F.when(F.col("_whole"), F.col("_issue.part")).alias("first_issue"))

@@ -65,3 +65,34 @@ def apart(boxes: DataFrame, others: DataFrame, key: str, least: float) -> DataFr
     """boxes (key, box, ...) that overlap none of the others (key, box) of their key by `least` or more: fallback detections beside better ones."""
     o = others.select(F.col(key).alias("_k"), F.col("box").alias("_o"))
     return boxes.join(o, (F.col(key) == F.col("_k")) & (iou(F.col("box"), F.col("_o")) >= least), "left_anti")
+
+
+def identities(faces: DataFrame, references: DataFrame, person: str, consistent: float = 0.52) -> DataFrame:
+    """(person, candidate, score, reference, reasons) of every face (person, candidate, vector) against its person's references
+    (person, ref, vector, positive): the best positive one, with what speaks against it.
+
+    below_threshold: under the limit for that number of references; negative: a negative one comes near; inconsistent: two
+    positive references differ; close: the best face of a person leads the second by less than MARGIN. Faces of a person without references stay, without a score.
+    """
+    w = Window.partitionBy(person, "positive").orderBy("ref")
+    few = references.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= REFERENCES)
+    refs = few.groupBy(F.col(person).alias("_p")).agg(F.expr("array_sort(collect_list(struct(ref, vector)) filter (where positive))").alias("_pos"), F.expr("collect_list(vector) filter (where not positive)").alias("_neg"))
+    differs = F.exists("_pos", lambda a: F.exists("_pos", lambda b: (a["ref"] < b["ref"]) & (cosine(a["vector"], b["vector"]) < consistent)))
+    refs = refs.withColumn("_differs", differs)
+    likeness = F.transform("_pos", lambda r: F.struct(F.round(cosine(F.col("vector"), r["vector"]), 9).alias("s"), (-r["ref"]).alias("r")))
+    out = faces.join(refs, F.col(person) == F.col("_p"), "left").withColumn("_best", F.array_max(likeness)).withColumn("_worst", F.array_max(F.transform("_neg", lambda v: F.round(cosine(F.col("vector"), v), 9))))
+    out = out.withColumn("score", F.col("_best.s")).withColumn("reference", -F.col("_best.r"))
+    limit = threshold(F.size("_pos"))
+    order = Window.partitionBy(person).orderBy(F.desc_nulls_last("score"), "candidate")
+    out = out.withColumn("_first", F.row_number().over(order) == 1).withColumn("_next", F.lead("score").over(order))
+    reasons = F.array_compact(F.array(F.when(F.col("_differs"), "inconsistent"), F.when(F.col("score") < limit, "below_threshold"), F.when((F.col("_worst") >= limit) | (F.col("_worst") >= F.col("score") - MARGIN), "negative"), F.when(F.col("_first") & (F.col("score") - F.col("_next") < MARGIN), "close")))
+    return out.select(person, "candidate", "score", "reference", reasons.alias("reasons"))
+
+
+def without_tombstones(samples: DataFrame, tombstones: DataFrame, identity: list[str]) -> DataFrame:
+    """samples whose identity was never removed; null parts of an identity are equal."""
+    t = tombstones.select(*(F.col(c).alias(f"_t_{c}") for c in identity)).distinct()
+    same = F.lit(True)
+    for c in identity:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    return samples.join(t, same, "left_anti")

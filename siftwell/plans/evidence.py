@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import annotation, decisions, folds, inventory, journal, people, regions
 from .registry import query, read
 
@@ -176,7 +177,7 @@ def subject_disjoint_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT lang AS b, quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.5) AS q2, quantile_cont(n_chars, 0.75) AS q3 FROM documents GROUP BY lang)
 SELECT doc_id, cast(q1 < n_chars AS INTEGER) + cast(q2 < n_chars AS INTEGER) + cast(q3 < n_chars AS INTEGER) AS stratum FROM documents JOIN c ON lang IS NOT DISTINCT FROM b""")
-def quantile_strata(spark: SparkSession, sf: str) -> DataFrame:
+def quantile_strata_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return annotation.strata(read(spark, sf, "documents"), "lang", "n_chars", 4).select("doc_id", "stratum")
 
 
@@ -331,3 +332,76 @@ def guarded_merge(spark: SparkSession, sf: str) -> DataFrame:
     pairs = near.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query"), F.col("label").alias("_l")), "query").where("label = _l").select("label", F.col("query").alias("a"), F.col("vec_id").alias("b"))
     members = label.select("label", F.col("vec_id").alias("id"), F.col("vec_id").alias("part"))
     return folds.guarded_merge(pairs, members, ["label"]).select("label", "id", "root")
+
+
+@query("""WITH s AS (SELECT event_id, ['same', 'different', 'unknown'][event_id % 3 + 1] AS camera, event_id % 5 = 0 AS fc, event_id % 7 = 0 AS bc, event_id % 11 = 0 AS conflict, event_id % 4 < 2 AS matched, event_id % 13 < 4 AS un, event_id % 17 < 8 AS strong, event_id % 2 = 0 AS part, least(value / 100, 1) AS a FROM events)
+SELECT event_id, CASE WHEN camera = 'different' OR camera = 'unknown' AND (fc OR bc) OR conflict THEN false WHEN camera = 'same' THEN matched AND (a >= 0.64 OR strong) OR un AND a >= 0.8
+  ELSE matched AND a >= if(part, 0.8, 0.7) AND (NOT part OR strong OR un) OR un AND a >= 0.8 END AS accepted FROM s""")
+def pair_acceptance(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.expr
+    got = decisions.same_burst(e("get(array('same', 'different', 'unknown'), cast(event_id % 3 as int))"), e("event_id % 5 = 0"), e("event_id % 7 = 0"), e("event_id % 11 = 0"), e("event_id % 4 < 2"), e("event_id % 13 < 4"), e("event_id % 17 < 8"), e("least(value / 100, 1D)"), e("event_id % 2 = 0"))
+    return read(spark, sf, "events").select("event_id", got.alias("accepted"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, list(l_quantity / 20) AS v FROM lineitem GROUP BY 1) SELECT l_orderkey, CASE WHEN list_max(v) / list_min(v) > 1.35 THEN 'unknown' WHEN list_min(v) > 1.7 OR list_max(v) < 1 / 1.7 THEN 'different' ELSE 'compatible' END AS framing FROM s""")
+def framing_state(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity") / 20).alias("v")).select("l_orderkey", decisions.framing(F.col("v")).alias("framing"))
+
+
+@query("""WITH u AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'signup') AS s, max(value) AS m FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN m > 300 THEN 'confirm' WHEN e > s THEN 'rescan' WHEN s > 0 THEN 'review' ELSE 'export' END AS step FROM u""")
+def next_step(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("event_type")
+    e, s = F.count_if(t == "error"), F.count_if(t == "signup")
+    return read(spark, sf, "events").groupBy("user_id").agg(decisions.first_step([("confirm", F.max("value") > 300), ("rescan", e > s), ("review", s > 0)], "export").alias("step"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'severe' WHEN 'N' THEN 'clear' ELSE 'borderline' END AS state, l_quantity > 5 AS sure, l_tax = 0.08 AS absent FROM lineitem WHERE l_discount < 0.1),
+e AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.005 OR l_orderkey % 5 <> 0),
+j AS (SELECT coalesce(e.l_orderkey, r.l_orderkey) AS o, e.l_orderkey IS NOT NULL AND r.l_orderkey IS NOT NULL AS whole, coalesce(sure AND state = 'severe', false) AS severe, coalesce((sure AND state = 'clear') OR absent, false) AS fine, e.l_linenumber AS n FROM e FULL JOIN r ON e.l_orderkey = r.l_orderkey AND e.l_linenumber = r.l_linenumber)
+SELECT o AS l_orderkey, CASE WHEN NOT bool_and(whole) THEN 'invalid' WHEN bool_or(severe) THEN 'reject' WHEN bool_and(fine) THEN 'keep' ELSE 'review' END AS recommendation, if(bool_and(whole), 'line ' || min(n) FILTER (NOT fine), NULL) AS first_issue FROM j GROUP BY o""")
+def reply_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _lines(spark, sf).where("l_discount < 0.1").withColumn("part", F.concat(F.lit("line "), F.col("l_linenumber").cast("string")))
+    expected = _lines(spark, sf).where("l_discount > 0.005 or l_orderkey % 5 <> 0").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("ordinal"))
+    state = F.expr("case l_returnflag when 'R' then 'severe' when 'N' then 'clear' else 'borderline' end")
+    return decisions.replies(rows, "l_orderkey", expected, "l_linenumber", "part", state, F.col("l_quantity") > 5, F.col("l_tax") == 0.08)
+
+
+_TURN = "CASE o WHEN 2 THEN [1 - x, y] WHEN 3 THEN [1 - x, 1 - y] WHEN 4 THEN [x, 1 - y] WHEN 5 THEN [y, x] WHEN 6 THEN [1 - y, x] WHEN 7 THEN [1 - y, 1 - x] WHEN 8 THEN [y, 1 - x] ELSE [x, y] END"
+
+
+@query(f"""WITH b AS (SELECT row_number() OVER () AS n, l_orderkey, l_linenumber, l_partkey % 9 AS o, l_discount AS x0, l_tax AS y0, l_quantity / 100 AS w, 0.25 AS h FROM lineitem),
+c AS (SELECT n, l_orderkey, l_linenumber, o, x0 + i * w AS x, y0 + j * h AS y FROM b, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) v(i, j)), t AS (SELECT n, l_orderkey, l_linenumber, {_TURN} AS p FROM c)
+SELECT l_orderkey, l_linenumber, round(min(p[1]), 6) AS x, round(min(p[2]), 6) AS y, round(max(p[1]) - min(p[1]), 6) AS w, round(max(p[2]) - min(p[2]), 6) AS h FROM t GROUP BY n, l_orderkey, l_linenumber""")
+def oriented_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    got = geometry.oriented_box(_box("l_discount", "l_tax", "l_quantity / 100", "0.25"), F.col("l_partkey") % 9)
+    return _lines(spark, sf).select("l_orderkey", "l_linenumber", got.alias("b")).select("l_orderkey", "l_linenumber", *(F.round(f"b.{c}", 6).alias(c) for c in "xywh"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'nonfinite' WHEN event_id % 10 = 1 THEN 'sentinel' WHEN value / 50 > 1 THEN 'out_of_range' ELSE 'normalized_pair_only' END AS reason, if(event_id % 10 > 1 AND value / 50 <= 1, value / 50, NULL) AS x FROM events""")
+def focus_point_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.expr("case event_id % 10 when 0 then double('nan') when 1 then 65535D else value / 50 end")
+    return read(spark, sf, "events").select("event_id", geometry.focus_pair(x, F.lit(0.5)).alias("p")).select("event_id", "p.reason", "p.x")
+
+
+_VEC = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+
+
+@query(f"""WITH r AS (SELECT label % 4 AS person, vec_id AS ref, embedding, vec_id % 3 <> 0 AS positive, row_number() OVER (PARTITION BY label % 4, vec_id % 3 <> 0 ORDER BY vec_id) AS n FROM embeddings WHERE vec_id % 41 = 0 QUALIFY n <= 6),
+d AS (SELECT a.person, bool_or({_VEC} < 0.52) AS differs FROM r a JOIN r b ON a.person = b.person AND a.ref < b.ref AND a.positive AND b.positive GROUP BY 1),
+k AS (SELECT person, count(*) AS k FROM r WHERE positive GROUP BY 1),
+s AS (SELECT b.label % 4 AS person, b.vec_id AS candidate, ref, positive, round({_VEC}, 9) AS s FROM embeddings b LEFT JOIN r a ON a.person = b.label % 4 WHERE b.vec_id % 41 <> 0),
+g AS (SELECT person, candidate, max(s) FILTER (positive) AS score, arg_max(ref, (s, -ref)) FILTER (positive) AS reference, max(s) FILTER (NOT positive) AS worst FROM s GROUP BY ALL),
+w AS (SELECT g.*, CASE WHEN k = 1 THEN 0.52 WHEN k <= 3 THEN 0.53 WHEN k <= 6 THEN 0.56 END AS lim, differs, row_number() OVER o = 1 AS first, lead(score) OVER o AS nxt FROM g LEFT JOIN k ON g.person = k.person LEFT JOIN d ON g.person = d.person WINDOW o AS (PARTITION BY g.person ORDER BY score DESC NULLS LAST, candidate))
+SELECT person, candidate, round(score, 6) AS score, reference, concat_ws(',', if(differs, 'inconsistent', NULL), if(score < lim, 'below_threshold', NULL), if(worst >= lim OR worst >= score - 0.05, 'negative', NULL), if(first AND score - nxt < 0.05, 'close', NULL)) AS reasons FROM w""")
+def identity_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "embeddings").select((F.col("label") % 4).alias("person"), F.col("vec_id").alias("candidate"), F.col("embedding").alias("vector"))
+    refs = e.where("candidate % 41 = 0").select("person", F.col("candidate").alias("ref"), "vector", (F.col("candidate") % 3 != 0).alias("positive"))
+    got = people.identities(e.where("candidate % 41 <> 0"), refs, "person")
+    return got.withColumn("score", F.round("score", 6)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents t WHERE t.doc_id % 10 = 0 AND t.lang IS NOT DISTINCT FROM d.lang AND t.source IS NOT DISTINCT FROM d.source AND t.n_chars // 50 IS NOT DISTINCT FROM d.n_chars // 50)""")
+def tombstone_subtraction(spark: SparkSession, sf: str) -> DataFrame:
+    d = read(spark, sf, "documents").select("doc_id", "lang", "source", F.floor(F.col("n_chars") / 50).alias("size"))
+    return people.without_tombstones(d, d.where("doc_id % 10 = 0"), ["lang", "source", "size"]).select("doc_id")
