@@ -98,3 +98,38 @@ def exported(rows: DataFrame, target: str, rating: str) -> DataFrame:
     """(target, ratings, problem): a target named twice or without a rating is a problem, and nothing may be written while there is one."""
     out = rows.groupBy(target).agg(F.count("*").alias("ratings"), F.bool_and(F.col(rating).isNotNull()).alias("_ok"))
     return out.select(target, "ratings", F.when(F.col("ratings") > 1, "repeated").when(~F.col("_ok"), "unrated").alias("problem"))
+
+
+def unequal(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """(key, only): keys of one side alone, `left` or `right`; two sets are equal if there is none. Repeats don't count, nulls are equal."""
+    both = a.select(*key, F.lit(1).alias("_s")).unionByName(b.select(*key, F.lit(2).alias("_s")))
+    sides = both.groupBy(*key).agg(F.bit_or("_s").alias("_s")).where("_s < 3")
+    return sides.select(*key, F.when(F.col("_s") == 1, "left").otherwise("right").alias("only"))
+
+
+def repeated_names(rows: DataFrame, path: str) -> DataFrame:
+    """(name, n): file names, in lower case, that more than one path ends in."""
+    name = F.lower(F.element_at(F.split(F.col(path), "/"), -1))
+    return rows.groupBy(name.alias("name")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def refreshed(cache: DataFrame, sources: DataFrame, key: str, stamp: str, derive) -> DataFrame:
+    """cache rows (key, stamp, ...) whose source still has their stamp, and derive(rows) of sources that have none.
+
+    derive takes the sources that changed or are new, whole rows, and returns the columns of cache: only they are
+    computed. Rows of sources that are gone go too.
+    """
+    now = sources.select(F.col(key).alias("_k"), F.col(stamp).alias("_s"))
+    current = cache.join(now, (F.col(key) == F.col("_k")) & (F.col(stamp) == F.col("_s")), "left_semi")
+    known = cache.select(F.col(key).alias("_k"), F.col(stamp).alias("_s"))
+    todo = sources.join(known, (F.col(key) == F.col("_k")) & (F.col(stamp) == F.col("_s")), "left_anti")
+    return current.unionByName(derive(todo).select(*cache.columns))
+
+
+def work(mode: str, dirty: Column, stale: Column, valid: Column, pending: Column, new: Column) -> Column:
+    """Which rows a run in a mode takes: changed ones, those to be checked, new ones or all. Unknown flags count as false."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    of = {"rescan": yes(dirty) | yes(stale), "focus": ~yes(valid) & yes(pending), "new": yes(new), "scan": F.lit(True)}
+    if mode not in of:
+        raise ValueError(f"no mode {mode!r}")
+    return of[mode]

@@ -84,3 +84,11 @@ def mutual(scores: DataFrame, a: str, b: str, score: str, ratio: float) -> DataF
         out = out.withColumn(f"_r_{side}", F.row_number().over(w)).withColumn(f"_n_{side}", F.lead(score).over(w))
     clear = lambda side: F.coalesce(F.col(f"_n_{side}") <= ratio * F.col(score), F.lit(True))
     return out.where((F.col(f"_r_{a}") == 1) & (F.col(f"_r_{b}") == 1) & clear(a) & clear(b)).select(a, b, score)
+
+
+def ratio_matches(scores: DataFrame, a: str, b: str, distance: str, ratio: float) -> DataFrame:
+    """(a, b, distance): the nearest b of each a, if the second nearest is farther by the ratio; of those that share a b the nearest stays."""
+    w = Window.partitionBy(a).orderBy(distance, b)
+    best = scores.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.lead(distance).over(w)).where("_r = 1")
+    clear = best.where(F.col("_n").isNull() | (F.col(distance) < ratio * F.col("_n")))
+    return clear.groupBy(b).agg(F.min(F.struct(distance, a)).alias("_m")).select(F.col(f"_m.{a}").alias(a), b, F.col(f"_m.{distance}").alias(distance))

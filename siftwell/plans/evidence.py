@@ -405,3 +405,40 @@ def identity_ranking(spark: SparkSession, sf: str) -> DataFrame:
 def tombstone_subtraction(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").select("doc_id", "lang", "source", F.floor(F.col("n_chars") / 50).alias("size"))
     return people.without_tombstones(d, d.where("doc_id % 10 = 0"), ["lang", "source", "size"]).select("doc_id")
+
+
+@query("""SELECT coalesce(c_nationkey, s_nationkey) AS nation, coalesce(seg, seg2) AS seg, if(s_nationkey IS NULL, 'left', 'right') AS only FROM (SELECT DISTINCT c_nationkey, c_custkey % 7 AS seg FROM customer) FULL JOIN (SELECT DISTINCT s_nationkey, s_suppkey % 7 AS seg2 FROM supplier) ON c_nationkey = s_nationkey AND seg = seg2 WHERE c_nationkey IS NULL OR s_nationkey IS NULL""")
+def set_equality(spark: SparkSession, sf: str) -> DataFrame:
+    a = read(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 7).alias("seg"))
+    return inventory.unequal(a, read(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 7).alias("seg")), ["nation", "seg"])
+
+
+@query("""SELECT lower(string_split(url, '/')[-1]) AS name, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1""")
+def repeated_names(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.repeated_names(read(spark, sf, "pages"), "url")
+
+
+@query("""SELECT c_custkey, c_nationkey AS stamp, if(c_nationkey = s_nationkey AND s_suppkey % 2 = 0, 'kept', 'derived') AS origin FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""")
+def derived_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    sources = read(spark, sf, "customer").selectExpr("c_custkey", "c_nationkey as stamp")
+    cache = read(spark, sf, "supplier").where("s_suppkey % 2 = 0").selectExpr("s_suppkey as c_custkey", "s_nationkey as stamp", "'kept' as origin")
+    return inventory.refreshed(cache, sources, "c_custkey", "stamp", lambda rows: rows.withColumn("origin", F.lit("derived")))
+
+
+@query("""SELECT event_id, event_type = 'error' OR value > 90 AS rescan, NOT event_id % 3 = 0 AND event_type = 'signup' AS focus, event_id > 500 AS fresh FROM events""")
+def work_selection(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("event_type")
+    flags = (t == "error", F.col("value") > 90, F.col("event_id") % 3 == 0, t == "signup", F.col("event_id") > 500)
+    return read(spark, sf, "events").select("event_id", *(inventory.work(m, *flags).alias(n) for m, n in (("rescan", "rescan"), ("focus", "focus"), ("new", "fresh"))))
+
+
+@query("""WITH d AS (SELECT a.l_orderkey * 10 + a.l_linenumber AS a, b.l_orderkey * 10 + b.l_linenumber AS b, abs(a.l_extendedprice - b.l_extendedprice) AS distance FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_returnflag) a JOIN (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_returnflag) b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'N' AND b.l_returnflag <> 'N'),
+r AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS nxt FROM d WINDOW w AS (PARTITION BY a ORDER BY distance, b))
+SELECT arg_min(a, (distance, a)) AS a, b, round(min(distance), 6) AS distance FROM r WHERE r = 1 AND (nxt IS NULL OR distance < 0.78 * nxt) GROUP BY b""")
+def ratio_matches(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.similarity import ratio_matches as matches
+
+    one = _lines(spark, sf).groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_extendedprice", "l_returnflag")).alias("m")).select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "m.*")
+    b = one.select(F.col("l_orderkey").alias("_o"), F.col("id").alias("b"), F.col("l_extendedprice").alias("_p"), F.col("l_returnflag").alias("_f"))
+    d = one.join(b, (F.col("l_orderkey") == F.col("_o")) & (F.col("l_returnflag") == "N") & (F.col("_f") != "N")).select(F.col("id").alias("a"), "b", F.abs(F.col("l_extendedprice") - F.col("_p")).alias("distance"))
+    return matches(d, "a", "b", "distance", 0.78).withColumn("distance", F.round("distance", 6))

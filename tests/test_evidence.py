@@ -100,3 +100,18 @@ def test_face_focus_order(spark):
         values = m | change
         df = spark.range(1).select(F.struct(*(F.lit(v).cast("double").alias(k) for k, v in values.items())).alias("m"))
         assert df.select(decisions.face_focus(F.col("m"), F.lit(True), F.lit(True), F.lit(None).cast("boolean"), F.lit(False))["state"]).first()[0] == want
+
+
+def test_metadata_files(spark, tmp_path):
+    import json
+
+    from siftwell.sources import metadata
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.json").write_text(json.dumps([{"SourceFile": "p1", "Make": " Acme ", "Orientation": "6", "DateTimeOriginal": "2020:01:02 03:04:05", "SubSecTimeOriginal": "12"}, {"SourceFile": "p2", "Orientation": 9, "DateTimeOriginal": "bad", "CreateDate": "2021-01-02 03:04:05"}, {"Make": "none"}]))
+    got = {r.path: (r.make, r.orientation, str(r.captured)) for r in metadata.metadata(spark, str(tmp_path / "a")).collect()}
+    assert got == {"p1": ("Acme", 6, "2020-01-02 03:04:05.120000"), "p2": (None, None, "2021-01-02 03:04:05")}
+    for s in ("s1", "s2"):
+        (tmp_path / "w" / s).mkdir(parents=True)
+        (tmp_path / "w" / s / "session.json").write_text("{}")
+    assert sorted(r.session for r in metadata.sessions(spark, str(tmp_path / "w")).collect()) == ["s1", "s2"]
