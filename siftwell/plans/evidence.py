@@ -105,7 +105,8 @@ def tile_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("o_orderkey", F.posexplode(regions.spans(F.col("n"), F.col("k"))).alias("tile", "r")).select("o_orderkey", F.col("tile").cast("long").alias("tile"), F.col("r.lo").cast("long").alias("lo"), F.col("r.hi").cast("long").alias("hi"))
 
 
-@query()
+@query("""WITH m AS (SELECT l_orderkey, list(l_partkey % 16 ORDER BY l_linenumber, l_partkey % 16) AS m FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), p AS (SELECT [a, b, c, d] AS p FROM range(4) w(a), range(4) x(b), range(4) y(c), range(4) z(d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d)
+SELECT l_orderkey, len(m) <= 4 AND bool_or(len(list_filter(range(1, len(m) + 1), lambda i: (m[i] // (1 << cast(p[i] AS INTEGER))) % 2 = 0)) = 0) AS covered FROM m, p GROUP BY l_orderkey, m""")
 def cohort_cover(spark: SparkSession, sf: str) -> DataFrame:
     """Up to four lines of an order against up to four parts of its keys: can each line have one of its own?"""
     mask = F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 16).cast("int").alias("m"))))
@@ -113,7 +114,11 @@ def cohort_cover(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("l_orderkey", regions.covers(F.col("m.m")).alias("covered"))
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT a.l_orderkey AS o, a.l_linenumber AS a, b.l_linenumber AS b, -abs(a.l_quantity - b.l_quantity) AS score FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'N' AND b.l_returnflag <> 'N'),
+r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY score DESC, a DESC, b DESC) AS n FROM q),
+s AS (SELECT o, a, b, score, n, true AS stays, [a] AS ta, [b] AS tb FROM r WHERE n = 1 UNION ALL
+  SELECT o, a, b, score, n, stays, if(stays, list_append(ta, a), ta), if(stays, list_append(tb, b), tb) FROM (SELECT r.*, s.ta, s.tb, NOT list_contains(s.ta, r.a) AND NOT list_contains(s.tb, r.b) AS stays FROM r JOIN s ON r.o = s.o AND r.n = s.n + 1))
+SELECT o AS l_orderkey, a AS l_linenumber, b AS other, score FROM s WHERE stays""")
 def greedy_matching(spark: SparkSession, sf: str) -> DataFrame:
     l = _lines(spark, sf).select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     r = l.select(F.col("l_orderkey").alias("_o"), F.col("l_linenumber").alias("other"), F.col("l_returnflag").alias("_f"), F.col("l_quantity").alias("_q"))

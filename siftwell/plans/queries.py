@@ -347,7 +347,10 @@ def similarity_components(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").join(linked, F.col("vec_id") == F.col("id"), "left").select(F.col("vec_id").alias("id"), F.coalesce("root", "vec_id").alias("root"))
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+s AS (SELECT label, vec_id, n, vec_id AS leader, [{'i': vec_id, 'v': v}] AS led FROM u WHERE n = 1 UNION ALL
+  SELECT label, vec_id, n, coalesce(hit, vec_id), if(hit IS NULL, list_append(led, {'i': vec_id, 'v': v}), led) FROM (SELECT u.*, s.led, (list_filter(s.led, lambda l: list_inner_product(l.v, u.v) >= 0.25)[1]).i AS hit FROM u JOIN s ON u.label = s.label AND u.n = s.n + 1))
+SELECT vec_id, label, leader FROM s""")
 def leader_clusters(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     return folds.leaders(e, ["label"], ["vec_id"], "embedding", "vec_id", 0.25).select("vec_id", "label", "leader")
@@ -420,12 +423,19 @@ def batch_packing(spark: SparkSession, sf: str) -> DataFrame:
     return folds.batches(_groups(spark, sf), ["o_custkey"], ["o_orderkey"], "size", 24).select("o_custkey", "o_orderkey", "batch")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GROUPS}, b AS (SELECT o_custkey, o_orderkey, n, 0 AS began, 0 AS page, 2690 - 48 - cast(ceil(size / 4.0) AS INTEGER) * 452 AS free FROM o WHERE n = 1 UNION ALL
+  SELECT o_custkey, o_orderkey, n, page, if(r <= fit, page, page + cast(ceil((r - fit) / 5.0) AS INTEGER)), if(r <= fit, free - 48 - r * 452, 2642 - ((r - fit - 1) % 5 + 1) * 452) FROM (SELECT *, (free - 48) // 452 AS fit FROM (
+    SELECT o.o_custkey, o.o_orderkey, o.n, cast(ceil(size / 4.0) AS INTEGER) AS r, if(b.free < 500, b.page + 1, b.page) AS page, if(b.free < 500, 2690, b.free) AS free FROM o JOIN b ON o.o_custkey = b.o_custkey AND o.n = b.n + 1)))
+SELECT o_custkey, o_orderkey, cast(began AS BIGINT) AS page FROM b""")
 def greedy_pagination(spark: SparkSession, sf: str) -> DataFrame:
     return folds.pages(_groups(spark, sf), ["o_custkey"], ["o_orderkey"], "size").select("o_custkey", "o_orderkey", "page")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS score, value AS lo, value + 20 AS hi, row_number() OVER (PARTITION BY user_id ORDER BY cast(json_extract_string(props, '$.k') AS BIGINT) DESC, event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, score, n, true AS stays, [{'lo': lo, 'hi': hi}] AS kept FROM o WHERE n = 1 UNION ALL
+  SELECT user_id, event_id, score, n, stays, if(stays, list_append(kept, {'lo': lo, 'hi': hi}), kept) FROM (SELECT o.*, s.kept, len(list_filter(s.kept, lambda k: least(o.hi, k.hi) - greatest(o.lo, k.lo) > 0
+    AND least(o.hi, k.hi) - greatest(o.lo, k.lo) >= 0.35 * ((o.hi - o.lo) + (k.hi - k.lo) - (least(o.hi, k.hi) - greatest(o.lo, k.lo))))) = 0 AS stays FROM o JOIN s ON o.user_id = s.user_id AND o.n = s.n + 1))
+SELECT event_id, user_id, score FROM s WHERE stays""")
 def nms_intervals(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("score"), F.col("value").alias("lo"), (F.col("value") + 20).alias("hi"))
     return folds.suppressed(e, ["user_id"], "score", ["event_id"], "lo", "hi", 0.35).select("event_id", "user_id", "score")
