@@ -339,7 +339,7 @@ def block_ssim_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("a", "b", F.round(vectors.ssim(F.col("x"), F.col("y")), 6).alias("ssim"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {_COS} >= {COSINE}),
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {_COS} >= {COSINE}),
 r AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
 SELECT id, min(other) AS root FROM r GROUP BY id""")
 def similarity_components(spark: SparkSession, sf: str) -> DataFrame:
