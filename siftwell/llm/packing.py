@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 CAPACITY, SALTS = 2048, 32
-#: Entries of each of a task's two caches, the longest text that they hold, characters encoded at a time.
-_CACHE_ROWS, _CACHE_CHARS, _BATCH_CHARS = 700_000, 48, 1 << 22
+#: Entries of each of a task's two caches, the longest text that they hold, bytes encoded at a time.
+_CACHE_ROWS, _CACHE_CHARS, _BATCH_BYTES = 300_000, 48, 1 << 20
 #: Runs that this tokenizer never joins with each other: lower-case Latin letters, a digit, ASCII signs but ' and <.
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
@@ -92,20 +94,25 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     """
     path = path or tokenizer_path()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = _Encoder(path), 4 * capacity
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            upto = np.cumsum([len(t) for t in texts], dtype="int64") // _BATCH_CHARS
-            for g in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(upto)) + 1):
-                rows = []
-                for i, ids in zip(g, encode([texts[i] for i in g]), strict=True):
+        for batch in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(), dtype="int64") // _BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):  # of a batch only so many texts are Python strings at once
+                of, rows = [], []
+                for i, ids in enumerate(encode([t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()]), lo):
                     ids += b"\0\0\0\0"
-                    rows += [(pdf["doc_id"].iat[i], k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, pandas leaves ids beside nulls whole
-    return rows.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long").withColumn("doc_id", F.col("doc_id").cast("long"))
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        of.append(i)
+                        rows.append((k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step])))
+                if rows:
+                    columns = (pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(kind)[1:], strict=True))
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(of, pa.int64())), *columns], schema=kind)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
