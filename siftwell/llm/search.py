@@ -21,14 +21,29 @@ K1, B, TOP = 1.2, 0.75, 10
 DIGITS = 6
 #: Documents and postings at which a shard is closed, documents of a block, queries of a block, blocks evaluated before pruning.
 SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, FIRST = 8192, 4_000_000, 32, 256, 8
+#: Most terms of a shard that count as common, and the share of its documents that such a term is in at least.
+COMMON, OFTEN = 512, 1 / 40
+#: Words whose hashes a task remembers.
+HASHES = 100_000
 SHARD = "n long, words long, doc_ids binary, lengths binary, terms binary, starts binary, docs binary, tfs binary"
 #: ASCII signs part words, as white space does.
 _SIGNS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
-def terms(text: str | None) -> Counter:
+class _Hashes(dict):
+    """Hashes of words met lately: most words of a text were in the texts before it."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HASHES:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def terms(text: str | None, hashes: dict | None = None) -> Counter:
     """Terms (hashes of words in ASCII lower case) with their frequencies; none for a null or blank text."""
-    return Counter(map(xxhash.xxh3_64_intdigest, (text or "").encode("utf-8", "surrogatepass").lower().translate(_SIGNS).split()))
+    words = Counter((text or "").encode("utf-8", "surrogatepass").lower().translate(_SIGNS).split())
+    return Counter(dict(zip(map((_Hashes() if hashes is None else hashes).__getitem__, words), words.values(), strict=True)))
 
 
 class _Shard:
@@ -61,9 +76,10 @@ def build(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_postings: int = S
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, shard = SHARD.replace(" long", "").replace(" binary", "").split(", "), _Shard()
+        hashes = _Hashes()
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                shard.add(doc_id, terms(text if isinstance(text, str) else None))
+                shard.add(doc_id, terms(text if isinstance(text, str) else None, hashes))
                 if len(shard.rows) >= shard_docs or shard.size >= shard_postings:
                     yield pd.DataFrame([shard.row()], columns=name)
         if shard.rows:
@@ -86,7 +102,11 @@ def _query_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Searcher:
-    """A shard in memory: impacts of its postings, and the greatest impact of each term in each block of documents."""
+    """A shard in memory: impacts of its postings, and the greatest impact of each term in each block of documents.
+
+    Terms that are in many of its documents stand as a table of impacts by document instead: no block lacks them, so
+    their greatest impacts bound little, and their exact sums cost less than a list of them.
+    """
 
     def __init__(self, row, mean: float):
         of = lambda name, kind: np.frombuffer(row[name], kind)
@@ -102,6 +122,15 @@ class _Searcher:
         self.run_block = self.docs[self.run[:-1]] // BLOCK
         self.run_max = np.maximum.reduceat(self.impacts, self.run[:-1]) if len(self.docs) else np.empty(0)
         self.term_run = np.searchsorted(self.run, self.starts)
+        n, df = len(self.doc_ids), np.diff(self.starts)
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        common = common[df[common] >= OFTEN * n]
+        self.column = np.full(len(self.terms), -1)
+        self.column[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), n))
+        for j, t in enumerate(common):
+            of_term = slice(self.starts[t], self.starts[t + 1])
+            self.common[j, self.docs[of_term]] = self.impacts[of_term]
 
     @staticmethod
     def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,36 +139,58 @@ class _Searcher:
         of = np.repeat(np.arange(len(n)), n)
         return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of], of
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, top: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    def search_all(self, terms: list[np.ndarray], weights: list[np.ndarray], top: int, floors: list[float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """search() for each of a block of queries; the common terms of all are summed at once."""
+        if not len(self.terms) or not terms:
+            yield from ((np.empty(0, "int64"), np.empty(0)) for _ in terms)
+            return
+        ends = np.cumsum([len(t) for t in terms])
+        t, w, query = np.concatenate(terms), np.concatenate(weights), np.repeat(np.arange(len(terms)), np.diff(ends, prepend=0))
+        at = np.searchsorted(self.terms, t)
+        here = self.terms[np.minimum(at, len(self.terms) - 1)] == t
+        at, w, query = at[here], w[here], query[here]
+        often = self.column[at] >= 0
+        table = np.zeros((len(terms), len(self.common)))
+        table[query[often], self.column[at[often]]] = w[often]
+        sums = table @ self.common
+        most = np.maximum.reduceat(sums, np.arange(0, len(self.doc_ids), BLOCK), axis=1)
+        at, w = at[~often], w[~often]
+        cuts = np.searchsorted(query[~often], np.arange(len(terms) + 1))
+        for q, floor in enumerate(floors):
+            own = slice(cuts[q], cuts[q + 1])
+            yield self.search(at[own], w[own], sums[q], most[q], top, floor)
+
+    def search(self, at: np.ndarray, weights: np.ndarray, sums: np.ndarray, most: np.ndarray, top: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """doc_ids and scores of all documents that can be among the `top`, given that scores under floor can't.
 
-        Each block's bound is the sum of its terms' greatest impacts. Blocks are scored from the highest bound down:
-        a few, and then those whose bound reaches the least score that now counts.
+        at: the query's terms that aren't common; sums: each document's score from the common ones, most: the greatest of a
+        block. A block's bound is that and the sum of the other terms' greatest impacts in it. Blocks are scored from the
+        highest bound down: a few, and then those whose bound reaches the least score that now counts.
         """
-        at = np.searchsorted(self.terms, terms)
-        here = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
-        at, weights = at[here], weights[here]
         runs, of = self._spread(self.term_run[at], self.term_run[at + 1])
-        bound = np.bincount(self.run_block[runs], self.run_max[runs] * weights[of], self.blocks) * (1 + 1e-9)
-        order, found, scores, done = np.argsort(-bound, kind="stable"), [], [], 0
-        best = np.empty(0)
-        while done < self.blocks:
-            take = order[done : done + FIRST] if not done else order[done:]
-            take = take[(bound[take] > 0) & (bound[take] >= floor - 10.0**-DIGITS)]  # a rounded score may still reach it
-            done = done + FIRST if not done else self.blocks
+        block = self.run_block[runs]
+        bound = (most + np.bincount(block, self.run_max[runs] * weights[of], self.blocks)) * (1 + 1e-9)
+        able = np.flatnonzero((bound > 0) & (bound >= floor - 10.0**-DIGITS))  # a rounded score may still reach the floor
+        order, found, scores, best = able[np.argsort(-bound[able], kind="stable")], [], [], np.empty(0)
+        for take in (order[:FIRST], order[FIRST:]):
+            take = take[bound[take] >= floor - 10.0**-DIGITS]
             if not len(take):
                 break
             chosen = np.zeros(self.blocks, bool)
             chosen[take] = True
-            some = chosen[self.run_block[runs]]
+            some = np.flatnonzero(chosen[block])
             post, which = self._spread(self.run[runs[some]], self.run[runs[some] + 1])
-            total = np.bincount(self.docs[post], self.impacts[post] * weights[of[some]][which], len(self.doc_ids))
-            hit = np.flatnonzero(total)
+            total = sums + np.bincount(self.docs[post], self.impacts[post] * weights[of[some]][which], len(sums))
+            hit = (take[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hit = hit[hit < len(sums)]
+            hit = hit[(total[hit] > 0) & (total[hit] >= floor - 10.0**-DIGITS)]
             found.append(hit)
             scores.append(total[hit])
-            best = np.sort(np.concatenate((best, total[hit])))[-top:]
+            best = np.concatenate((best, total[hit]))
+            if len(best) > top:
+                best = np.partition(best, len(best) - top)[-top:]
             if len(best) == top:
-                floor = max(floor, best[0])
+                floor = max(floor, best.min())
         if not found:
             return np.empty(0, "int64"), np.empty(0)
         found, scores = np.concatenate(found), np.concatenate(scores)
@@ -178,9 +229,11 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, **how) -> DataFr
             for _, row in pdf.iterrows():
                 shard = _Searcher(row, mean)
                 for batch in ds.dataset(folder, filesystem=store, format="parquet").to_batches(batch_size=QUERIES):
-                    for q, t, w in zip(batch["query_id"].to_pylist(), batch["terms"], batch["weights"], strict=True):
-                        ids, scores = held.get(q, (np.empty(0, "int64"), np.empty(0)))
-                        got = shard.search(t.values.to_numpy().view("uint64"), w.values.to_numpy(), top, scores[-1] if len(scores) == top else 0.0)
+                    asked = batch["query_id"].to_pylist()
+                    t, w = ([x.values.to_numpy() for x in batch[c]] for c in ("terms", "weights"))
+                    had = [held.get(q, (np.empty(0, "int64"), np.empty(0))) for q in asked]
+                    floors = [scores[-1] if len(scores) == top else 0.0 for _, scores in had]
+                    for q, (ids, scores), got in zip(asked, had, shard.search_all([x.view("uint64") for x in t], w, top, floors), strict=True):
                         held[q] = _best(np.concatenate((ids, got[0])), np.concatenate((scores, got[1])), top)
         for q, (ids, scores) in held.items():
             if len(ids):
