@@ -312,11 +312,11 @@ def cosine_reference_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH c AS (SELECT a.vec_id AS query, b.vec_id, round({_COS}, 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND b.vec_id % 25 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, query) AS n FROM c WHERE score >= 0.05)
-SELECT vec_id, max(query) FILTER (n = 1) AS query, round(max(score) FILTER (n = 1), 6) AS score, round(max(score) FILTER (n = 2), 6) AS runner_up, coalesce(max(score) FILTER (n = 1) - max(score) FILTER (n = 2) < 0.05, false) AS ambiguous FROM r GROUP BY vec_id""")
+SELECT vec_id, max(query) FILTER (n = 1) AS query, max(score) FILTER (n = 1) AS score, max(score) FILTER (n = 2) AS runner_up, coalesce(max(score) FILTER (n = 1) - max(score) FILTER (n = 2) < 0.05, false) AS ambiguous FROM r GROUP BY vec_id""")
 def margin_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
     got = _cosines(spark, sf, 0.05, 25).where("vec_id % 25 <> 0").withColumn("score", F.round("score", 9)).where("score >= 0.05")
     out = decisions.margin(got, "vec_id", "score", ["query"], 0.05)
-    return out.select("vec_id", "query", F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "ambiguous")
+    return out.select("vec_id", "query", "score", "runner_up", "ambiguous")  # scores were rounded once; rounding again would part halves
 
 
 @query(f"""WITH c AS (SELECT a.vec_id AS query, b.vec_id, round({_COS}, 9) AS score FROM embeddings a JOIN embeddings b ON a.label % 2 = 0 AND b.label % 2 = 1),
