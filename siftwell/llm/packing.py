@@ -24,7 +24,7 @@ from .common import table, written
 
 CAPACITY, SALTS = 2048, 32
 #: Entries of each of a task's two caches, the longest text that they hold, bytes encoded at a time.
-_CACHE_ROWS, _CACHE_CHARS, _BATCH_BYTES = 300_000, 48, 1 << 20
+_CACHE_ROWS, _CACHE_CHARS, _BATCH_BYTES = 600_000, 48, 1 << 21
 #: Runs that this tokenizer never joins with each other: lower-case Latin letters, a digit, ASCII signs but ' and <.
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
@@ -72,8 +72,11 @@ class _Encoder:
         split = [self._split(t) for t in texts]
         plain, other = {}, []
         for p in set().union(*split).difference(self.parts):
-            runs = _RUNS.findall(p) if len(p) <= _CACHE_CHARS else ()
-            if runs and sum(map(len, runs)) == len(p):
+            if len(p) > _CACHE_CHARS:
+                other.append(p)
+            elif p.isascii() and p.isalpha() and p.islower():  # one run, as most parts are
+                plain[p] = (p,)
+            elif sum(map(len, runs := _RUNS.findall(p))) == len(p):
                 plain[p] = runs
             else:
                 other.append(p)
@@ -81,7 +84,7 @@ class _Encoder:
             self.runs.clear()
         if new := list(set().union(*plain.values()).difference(self.runs)):
             self._learn(new)
-        self.parts.update((p, b"".join(map(self.runs.__getitem__, runs))) for p, runs in plain.items())
+        self.parts.update((p, self.runs[p] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))) for p, runs in plain.items())
         rest = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True)} if other else {}
         self.parts.update((p, b) for p, b in rest.items() if len(p) <= _CACHE_CHARS)
         return [b"".join([self.parts[p] if p in self.parts else rest[p] for p in parts] if rest else map(self.parts.__getitem__, parts)) for parts in split]
