@@ -19,7 +19,7 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----")
-#: Repeated paths up to which their ids are broadcast; beyond, the texts are exchanged.
+#: Repeated blobs, and paths of them, up to which they are broadcast; beyond, the texts are exchanged.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -62,10 +62,12 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, rule_version: int =
     """The ledger's new rows (LEDGER and rule_version): a scan of each blob of paths (path, text) that it lacks.
 
     Of a blob's paths only the least is read: the others' ids, which are narrow, are taken out by an anti-join
-    before texts reach Python. Those ids are broadcast if counted to be few, and otherwise exchanged.
+    before texts reach Python. Repeated blobs and those ids are tables of their own, broadcast if counted to be few; beyond
+    that they are exchanged, and Spark can split a blob that a third of all paths share.
     """
     every = versions(paths)
-    first = every.groupBy("blob").agg(F.min("path").alias("_first"))
+    first = written(every.groupBy("blob").agg(F.min("path").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("blob", "_first"), "repeated")
+    first = F.broadcast(first) if first.count() <= broadcast_rows else first
     again = written(every.select("path", "blob").join(first, "blob").where("path <> _first").select("path", "blob"), "repeats")
     again = F.broadcast(again) if again.count() <= broadcast_rows else again
     todo = every.join(again, ["path", "blob"], "left_anti")
