@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        low = both(edges).groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        # (a table of its own: the join then has an exchange of its own, in which Spark can split a vertex of many edges)
+        low = kept(both(edges).groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")))
         # large star: the larger neighbours of v link to the least of v's neighbourhood
         large = edges.join(low, edges["b"] == low["v"]).select("a", F.col("m").alias("b")).where("a <> b").distinct()
         # small star: the smaller neighbours of v, and v, link to the least of them
