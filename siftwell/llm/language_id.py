@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,11 +79,12 @@ def predict(text: Column, dictionaries: dict[str, bytes], *, level: int = LEVEL,
     the share of bytes that the runner-up needs more, score 2^-excess over all languages, normalised.
     """
 
-    @F.pandas_udf("lang_pred string, score double, margin double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, margin double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = _compressors(dictionaries, level)
-        for texts in batches:
-            yield pd.DataFrame([_classify(t, compressors, window) for t in texts], columns=["lang_pred", "score", "margin"])
+        for texts in batches:  # one text at a time is a Python string
+            lang, score, margin = zip(*(_classify(t.as_py(), compressors, window) for t in texts), strict=True) if len(texts) else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=["lang_pred", "score", "margin"])
 
     return of(text)
 

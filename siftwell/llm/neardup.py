@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,20 +54,22 @@ def _families(seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, MINS, "uint32") | np.uint32(1), rng.integers(0, 1 << 32, MINS, "uint32")
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("mins", pa.binary()), ("code", pa.binary())])
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a, b = _families(SEED)
     with np.errstate(over="ignore"):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for text in pdf["text"]:
-                s = shingles(text if isinstance(text, str) else None)
+            for text in batch["text"]:  # one text at a time is a Python string
+                s = shingles(text.as_py())
                 low, x = np.full(MINS, 0xFFFFFFFF, "uint32"), (s >> np.uint64(32)).astype("uint32")
                 for at in range(0, len(x), 4096):
                     low = np.minimum(low, (np.multiply.outer(a, x[at : at + 4096]) + b[:, None]).min(1))
-                rows.append((len(s), *np.array([s.sum(dtype="uint64"), (s * s).sum(dtype="uint64")]).view("int64"), low.tobytes(), low.view("uint8")[::4].tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "code"])
-            out.insert(0, "doc_id", pdf["doc_id"])
-            yield out
+                rows.append((len(s), *np.array([s.sum(dtype="uint64"), (s * s).sum(dtype="uint64")]).view("int64").tolist(), low.tobytes(), low.view("uint8")[::4].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(SKETCH)[1:], strict=True))], schema=SKETCH)
 
 
 def _half_keys(mins: np.ndarray) -> np.ndarray:
@@ -223,8 +226,8 @@ def group(docs: DataFrame, **how) -> DataFrame:
     Documents of equal shingle sets are one node, their smallest doc_id. Null, empty and blank texts have no
     shingles and link with nothing. Rows that repeat a doc_id share its component; a row without one is alone; no rows, no result.
     """
-    sketched = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_sketch, "doc_id string, n long, s1 long, s2 long, mins binary, code binary")
-    sketched = written(sketched.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
+    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n long, s1 long, s2 long, mins binary, code binary")
+    sketched = written(sketched, "sketches")
     some = sketched.where("n > 0")
     nodes = written(some.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("mins", "doc_id").alias("mins"), F.min_by("code", "doc_id").alias("code")), "nodes")
     found = components(links(docs, nodes.select("rep", "n", "mins", "code"), **how))

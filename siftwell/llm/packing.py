@@ -24,7 +24,7 @@ from .common import table, written
 
 CAPACITY, SALTS = 2048, 32
 #: Entries of each of a task's two caches, the longest text that they hold, bytes encoded at a time.
-_CACHE_ROWS, _CACHE_CHARS, _BATCH_BYTES = 600_000, 48, 1 << 21
+_CACHE_ROWS, _CACHE_CHARS, _BATCH_BYTES = 250_000, 48, 1 << 20
 #: Runs that this tokenizer never joins with each other: lower-case Latin letters, a digit, ASCII signs but ' and <.
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 
