@@ -17,6 +17,8 @@ RATIOS = ("124:150", "1:1", "3:4")
 COVERED, LEAD = 0.35, 0.30
 #: A person is linked unless both overlap and distance fail, and leads by this much.
 OVERLAP, AWAY, PERSON_LEAD = 0.05, 0.75, 0.08
+#: Fixed value: a cohort of more members is not matched.
+COHORT = 4
 
 
 def override(face: Column, photo: Column, limits: tuple[float, float, float]) -> Column:
@@ -161,11 +163,13 @@ def spans(length: Column, parts: Column) -> Column:
 def covers(rows: Column) -> Column:
     """Whether every row can have a column of its own: rows are bit masks of the columns that suit them (at most 30).
 
-    The masks reachable after each row are kept, so no permutation is listed. No rows: false.
+    The masks reachable after each row are kept, so no permutation is listed. No rows: false. More than COHORT rows:
+    false, whatever suits them, so callers pass the whole cohort.
     """
     bits = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda b: F.call_function("shiftleft", F.lit(1), b))
 
     def step(found: Column, row: Column) -> Column:
         return F.array_distinct(F.flatten(F.transform(found, lambda m: F.transform(F.filter(bits, lambda b: (row.bitwiseAND(b) != 0) & (m.bitwiseAND(b) == 0)), lambda b: m.bitwiseOR(b)))))
 
-    return (F.size(rows) > 0) & (F.size(F.aggregate(rows, F.array(F.lit(0)), step)) > 0)
+    few = F.size(rows).between(1, COHORT)
+    return F.when(few, F.size(F.aggregate(rows, F.array(F.lit(0)), step)) > 0).otherwise(F.lit(False))

@@ -108,12 +108,21 @@ def tile_ranges(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH m AS (SELECT l_orderkey, list(l_partkey % 16 ORDER BY l_linenumber, l_partkey % 16) AS m FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1), p AS (SELECT [a, b, c, d] AS p FROM range(4) w(a), range(4) x(b), range(4) y(c), range(4) z(d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d)
 SELECT l_orderkey, len(m) <= 4 AND bool_or(len(list_filter(range(1, len(m) + 1), lambda i: (m[i] // (1 << cast(p[i] AS INTEGER))) % 2 = 0)) = 0) AS covered FROM m, p GROUP BY l_orderkey, m""")
 def cohort_cover(spark: SparkSession, sf: str) -> DataFrame:
-    """Up to four lines of an order against up to four parts of its keys: can each line have one of its own?"""
+    """Can each of the first four lines of an order have a part of its key of its own? As its SQL, it leaves out the later lines; whole_cohort_cover has all."""
     mask = F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 16).cast("int").alias("m"))))
     rows = _lines(spark, sf).where("l_linenumber <= 4").groupBy("l_orderkey").agg(mask.alias("m"))
     return rows.select("l_orderkey", regions.covers(F.col("m.m")).alias("covered"))
 
 
+@query("""WITH m AS (SELECT l_orderkey, list(l_partkey % 16 ORDER BY l_linenumber, l_partkey % 16) AS m FROM lineitem GROUP BY 1), p AS (SELECT [a, b, c, d] AS p FROM range(4) w(a), range(4) x(b), range(4) y(c), range(4) z(d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d)
+SELECT l_orderkey, len(m) <= 4 AND bool_or(len(list_filter(range(1, len(m) + 1), lambda i: (m[i] // (1 << cast(p[i] AS INTEGER))) % 2 = 0)) = 0) AS covered FROM m, p GROUP BY l_orderkey, m""")
+def whole_cohort_cover(spark: SparkSession, sf: str) -> DataFrame:
+    """All lines of an order against four parts of its keys: can each line have one of its own? More than four lines: no."""
+    mask = F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") % 16).cast("int").alias("m"))))
+    rows = _lines(spark, sf).groupBy("l_orderkey").agg(mask.alias("m"))
+    return rows.select("l_orderkey", regions.covers(F.col("m.m")).alias("covered"))
+
+
 @query("""WITH RECURSIVE q AS (SELECT a.l_orderkey AS o, a.l_linenumber AS a, b.l_linenumber AS b, -abs(a.l_quantity - b.l_quantity) AS score FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = 'N' AND b.l_returnflag <> 'N'),
 r AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY score DESC, a DESC, b DESC) AS n FROM q),
 s AS (SELECT o, a, b, score, n, true AS stays, [a] AS ta, [b] AS tb FROM r WHERE n = 1 UNION ALL

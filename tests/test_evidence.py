@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import annotation, decisions, folds, people, regions
+from siftwell.plans import evidence
 
 
 def test_covers_against_permutations(spark):
@@ -16,6 +17,14 @@ def test_covers_against_permutations(spark):
         assert got[i] == (bool(c) and any(all(m >> b & 1 for m, b in zip(c, p)) for p in itertools.permutations(range(4), len(c))))
 
 
+def test_covers_no_more_than_four(spark, tmp_path):
+    df = spark.createDataFrame([([1, 2, 4, 8],), ([1, 2, 4, 8, 16],), ([31] * 7,)], "m array<int>")
+    assert [r[0] for r in df.select(regions.covers(F.col("m"))).collect()] == [True, False, False]
+    lines = spark.createDataFrame([(o, n, 1 << (n - 1) % 4) for o, count in ((1, 4), (2, 5), (3, 7)) for n in range(1, count + 1)], "l_orderkey long, l_linenumber int, l_partkey long")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert sorted(map(tuple, evidence.whole_cohort_cover(spark, str(tmp_path)).collect())) == [(1, True), (2, False), (3, False)]
+
+
 GOOD = [10.0, 10.0, 40.0, 50.0, 20.0, 25.0, 40.0, 25.0, 30.0, 35.0, 22.0, 48.0, 38.0, 48.0, 0.95]
 
 
