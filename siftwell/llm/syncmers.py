@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Words of a k-mer and of its inner s-mer; anchors that a fingerprint keeps; characters from which words are the tokens.
-K, S, KEEP, BY_WORD = 5, 2, 64, 256
+#: Characters of a k-mer and of its inner s-mer; anchors that a fingerprint keeps.
+K, S, KEEP = 12, 4, 64
 #: Ranges of doc_id in which neighbours are found, and how many of their ends are one step of the search for a row's range.
 RANGES, STEP = 2048, 64
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -19,34 +19,55 @@ def _bind(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def tokens(text: Column, by_word: int = BY_WORD) -> Column:
-    """Words, or the characters of a text of fewer than by_word characters."""
-    return F.when(F.length(text) < by_word, F.split(text, "")).otherwise(F.split(text, WORD_GAP))
+def squeezed(text: Column) -> Column:
+    """The text with each run of white space as one space."""
+    return F.regexp_replace(text, WORD_GAP, " ")
 
 
-def syncmers(text: Column, k: int = K, s: int = S) -> Column:
-    """Hashes (0 to 2^32 - 1) of the closed syncmers of a text, in order.
+def _joined(h: Column, apart: int, f) -> Column:
+    """f of each element and the one `apart` places on."""
+    n = F.greatest(F.size(h) - apart, F.lit(0))
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + apart, n), f)
 
-    A k-mer of tokens is one if the least hash among its k - s + 1 s-mers is its first or its last: the k-mer
-    alone decides, so the same passage has the same anchors wherever it stands. With s = 2 and
-    k = 5 about every other k-mer is one. A text of fewer tokens than a
-    k-mer has one anchor, its own hash; an empty one has none.
-    """
+
+def _doubled(h: Column, to: int, f, then, size: int = 1) -> Column:
+    """then(g), g having f over each run of `to` (a power of two) elements of h."""
+    return then(h) if size == to else _bind(_joined(h, size, f), lambda g: _doubled(g, to, f, then, 2 * size))
+
+
+def _closed(text: Column, k: int, s: int, made) -> Column:
+    """made(index, hash) of each closed syncmer of a text of k characters or more, in order."""
     span = k - s
-    pair = lambda h: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))
+    if s < 1 or s & (s - 1) or span < 2:
+        raise ValueError("s is a power of two and k at least s + 2")
+    wide = 1 << ((span - 1).bit_length() - 1)  # two runs so long cover the s-mers between the first and the last
+    tiles = (*range(0, span, s), span)
 
     def chosen(m: Column) -> Column:
-        at = lambda i, d: F.get(m, i + d)
-        inner = lambda i: F.least(*(at(i, d) for d in range(1, span)))
-        keep = lambda i: F.least(at(i, 0), at(i, span)) <= inner(i)
-        name = lambda i: F.pmod(F.xxhash64(*(at(i, d) for d in (*range(0, span, s), span))), F.lit(1 << 32))
-        return F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - span - 1), keep), name)
-
-    if s != 2:
-        raise ValueError("s-mers are pairs of tokens")
+        at = lambda i: F.get(m, i)
+        name = lambda i: F.pmod(F.xxhash64(*(at(i + d) for d in tiles)), F.lit(1 << 32))
+
+        def picked(low: Column) -> Column:
+            keep = lambda i: F.least(at(i), at(i + span)) <= F.least(F.get(low, i + 1), F.get(low, i + span - wide))
+            return F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - span - 1), keep), lambda i: made(i, name(i)))
+
+        return _doubled(m, wide, lambda a, b: F.least(a, b), picked)
+
+    hashes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+    return _bind(hashes, lambda h: _doubled(h, s, lambda a, b: F.xxhash64(a, b), chosen))
+
+
+def syncmers(text: Column, k: int = K, s: int = S) -> Column:
+    """Hashes (0 to 2^32 - 1) of the closed syncmers of a text, in order.
+
+    Tokens are the characters of every text, a run of white space counts as one. A k-mer is a closed syncmer if the
+    least hash among its k - s + 1 s-mers is its first or its last: the k-mer alone decides, so the same passage has
+    the same anchors wherever it stands, and the next one starts at most k - s characters on. A text of fewer
+    characters than a k-mer has one anchor, its own hash; an empty one has none.
+    """
     whole = F.array(F.pmod(F.xxhash64(text), F.lit(1 << 32)))
-    of_many = _bind(F.transform(tokens(text), lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) < k, whole).otherwise(_bind(pair(h), chosen)))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(of_many)
+    some = _bind(squeezed(text), lambda t: F.when(F.length(t) >= k, _closed(t, k, s, lambda _, h: h)).otherwise(whole))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(some)
 
 
 def anchors(text: Column, keep: int = KEEP, **how) -> Column:

@@ -292,6 +292,28 @@ def test_syncmers_need_no_context(spark):
     assert a and a <= b
 
 
+def test_syncmers_are_closed(spark):
+    text = "a  bcé😀d\n" * 3 + "".join(chr(97 + i * i % 23) for i in range(200))
+    got = spark.createDataFrame([(text,)], "text string").select(syncmers.syncmers(F.col("text"), 11, 4)).first()[0]
+    t = re.sub(r"[ \t-\r]+", " ", text)
+    letters = sorted(set(t))
+    h = {r.c: r.h for r in spark.createDataFrame([(c,) for c in letters], "c string").select("c", F.xxhash64("c").alias("h")).collect()}
+    pair = lambda rows: [r[0] for r in spark.createDataFrame(rows, "i long, a long, b long").orderBy("i").select(F.xxhash64("a", "b")).collect()]
+    two = pair([(i, h[t[i]], h[t[i + 1]]) for i in range(len(t) - 1)])
+    four = pair([(i, two[i], two[i + 2]) for i in range(len(two) - 2)])
+    want = [i for i in range(len(t) - 10) if min(four[i : i + 8]) in (four[i], four[i + 7])]
+    assert len(got) == len(want) and max(b - a for a, b in zip(want, want[1:])) <= 7
+    assert [got[a] == got[b] for a, b in zip(range(len(want)), range(1, len(want)))] == [t[i : i + 11] == t[j : j + 11] for i, j in zip(want, want[1:])]
+
+
+def test_syncmers_have_one_kind_of_token(spark):
+    words = " ".join(f"word{i * i % 97}" for i in range(60))
+    han = "".join(chr(0x4E00 + i * i * 7 % 5000) for i in range(400))
+    pairs = [(words[:250], words[:260]), (words[:303], words[:213]), (han, han[:200] + "x" + han[201:]), ("z".join(words.split()), "z".join(words.split())[:-9])]
+    near = syncmers.likeness(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b")))
+    assert all(r[0] > 0.5 for r in spark.createDataFrame(pairs, "a string, b string").select(near).collect())
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
