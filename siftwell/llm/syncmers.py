@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Characters of a k-mer and of its inner s-mer; anchors that a fingerprint keeps.
-K, S, KEEP = 12, 4, 64
+#: Characters of a k-mer and of its inner s-mer.
+K, S = 12, 4
 #: Ranges of doc_id in which neighbours are found, and how many of their ends are one step of the search for a row's range.
 RANGES, STEP = 2048, 64
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -63,32 +63,42 @@ def syncmers(text: Column, k: int = K, s: int = S) -> Column:
     Tokens are the characters of every text, a run of white space counts as one. A k-mer is a closed syncmer if the
     least hash among its k - s + 1 s-mers is its first or its last: the k-mer alone decides, so the same passage has
     the same anchors wherever it stands, and the next one starts at most k - s characters on. A text of fewer
-    characters than a k-mer has one anchor, its own hash; an empty one has none.
+    characters than a k-mer has one anchor, its own hash; an empty or null one has none.
     """
-    whole = F.array(F.pmod(F.xxhash64(text), F.lit(1 << 32)))
-    some = _bind(squeezed(text), lambda t: F.when(F.length(t) >= k, _closed(t, k, s, lambda _, h: h)).otherwise(whole))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(some)
+    return _bind(anchors(text, k, s), lambda a: a["hash"])
 
 
-def anchors(text: Column, keep: int = KEEP, **how) -> Column:
-    """The fingerprint as numbers: the `keep` least distinct syncmers, sorted; all of them where there are fewer.
+def anchors(text: Column, k: int = K, s: int = S) -> Column:
+    """array(struct(at, hash)): all closed syncmers of a text in order, `at` being where each starts in the squeezed text.
 
-    A text none of whose k-mers is a syncmer (a short one) has one anchor, its own hash.
+    A text none of whose k-mers is one (a short one) has one anchor, its own hash. Their number grows with the text:
+    2 of k - s + 1 characters start one on average.
     """
-    found = _bind(syncmers(text, **how), lambda a: F.slice(F.sort_array(F.array_distinct(a)), 1, keep))
-    return _bind(found, lambda a: F.when((F.size(a) == 0) & (F.length(text) > 0), F.array(F.pmod(F.xxhash64(text), F.lit(1 << 32)))).otherwise(a))
+    made = lambda i, h: F.struct(i.alias("at"), h.alias("hash"))
+    whole = lambda t: F.array(made(F.lit(0), F.pmod(F.xxhash64(t), F.lit(1 << 32))))
+    none = F.expr("cast(array() as array<struct<at: int, hash: bigint>>)")
 
+    def of(t: Column) -> Column:
+        found = F.when(F.length(t) >= k, _closed(t, k, s, made)).otherwise(none)
+        return _bind(found, lambda a: F.when((F.size(a) == 0) & (F.length(t) > 0), whole(t)).otherwise(a))
 
-def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
-    """Share of the `keep` least anchors of both that either has: an estimate of the similarity of their syncmer sets. Two empty ones: 1."""
-    both = lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, keep)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(_bind(union, both))
+    return _bind(squeezed(F.coalesce(text, F.lit(""))), of)
 
 
-def printed(a: Column) -> Column:
-    """Eight hexadecimal digits an anchor."""
-    return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the hashes of two arrays of anchors, exact. Two empty ones: 1."""
+    both = lambda x, y: _bind(F.size(F.array_intersect(x, y)), lambda n: F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(n / (F.size(x) + F.size(y) - n)))
+    return _bind(F.array_distinct(a["hash"]), lambda x: _bind(F.array_distinct(b["hash"]), lambda y: both(x, y)))
+
+
+def printed(a: Column, k: int = K, s: int = S) -> Column:
+    """Of each anchor its distance from the one before (from the start, for the first), then eight digits of its hash, in hexadecimal.
+
+    A distance is at most k - s, so each anchor has the same number of digits.
+    """
+    width = 8 + len(f"{k - s:x}")
+    apart = lambda x, i: x["at"] - F.coalesce(F.get(a, i - 1)["at"], F.lit(0))
+    return F.array_join(F.transform(a, lambda x, i: F.lower(F.lpad(F.hex(F.shiftleft(apart(x, i).cast("long"), 32) + x["hash"]), width, "0"))), "")
 
 
 def with_next(docs: DataFrame, key: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
@@ -119,17 +129,19 @@ def with_next(docs: DataFrame, key: str, columns: list[str], ranges: int = RANGE
     return placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("_copy = 0").drop("_copy", "_range", "_wrap")
 
 
-def fingerprints(docs: DataFrame, keep: int = KEEP) -> DataFrame:
-    """The columns of op9 for docs (doc_id, text). A null text is empty: no anchors, an empty fingerprint."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("fp", anchors(F.col("text"), keep))
-    near = with_next(rows, "doc_id", ["text", "fp"])
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """The columns of op9 for docs (doc_id, text). A null text is empty: no anchors, an empty fingerprint.
+
+    Only texts are exchanged; the anchors of the next text are found again beside it.
+    """
+    near = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"])
+    near = near.withColumn("next_text", F.coalesce("next_text", F.lit("")))
     n = F.length("text").cast("long")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
-    near = near.select("doc_id", n.alias("n_chars"), edited.alias("edited"), "fp", F.coalesce("next_fp", F.expr("cast(array() as array<bigint>)")).alias("next_fp"))
-    near = near.withColumn("edited_fp", anchors(F.col("edited"), keep))
-    return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("fp")).alias("fingerprint"), printed(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp"), keep).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), keep).alias("near_next"))
+    edited = F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring("next_text", F.lit(1), third))
+    near = near.select("doc_id", n.alias("n_chars"), edited.alias("edited"), anchors(F.col("text")).alias("fp"), anchors(F.col("next_text")).alias("next_fp"))
+    near = near.withColumn("edited_fp", anchors(F.col("edited")))
+    return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("fp")).alias("fingerprint"), printed(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
 def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,6 +314,23 @@ def test_syncmers_have_one_kind_of_token(spark):
     assert all(r[0] > 0.5 for r in spark.createDataFrame(pairs, "a string, b string").select(near).collect())
 
 
+def test_syncmers_keep_all_anchors_and_their_places(spark):
+    passage = " ".join(f"shared{i * i % 89}" for i in range(55))
+    a, b = (" ".join(f"{c}{i * i * 7 % 50_021}" for i in range(20_000)) for c in "ab")
+    texts = [(2, a + " " + passage), (1, b[:60_000] + " " + passage + " " + b[60_000:])]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = {r.doc_id: r.a for r in spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()}
+    for i, text in texts:
+        assert len(found[i]) > len(text) / 8 and all(0 <= y.at - x.at <= 8 for x, y in zip(found[i], found[i][1:]))
+        fp, at, read = got[i].fingerprint, 0, []
+        for j in range(0, len(fp), 9):
+            at += int(fp[j], 16)
+            read.append((at, int(fp[j + 1 : j + 9], 16)))
+        assert read == [(x.at, x.hash) for x in found[i]]
+    x, y = ({x.hash for x in found[i]} for i in (2, 1))
+    assert got[2].near_next == got[1].near_next == len(x & y) / len(x | y) > 0
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
