@@ -29,20 +29,24 @@ def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, slice_chars: int
     """Raw-content dictionaries by language from (text, lang), most frequent language first.
 
     At most sample_rows different texts of each language (those whose hashes are lowest in a share of the hash range
-    that holds about twice as many, so that no task reads more of a language however large the corpus) give their
-    first slice_chars characters, until dict_bytes are full. Rows with a null text or language teach nothing. No
-    usable row: no dictionaries.
+    that holds about twice as many different texts, so that no task reads more of a language however large the
+    corpus; in the whole range if that share holds too few) give their first slice_chars characters, until
+    dict_bytes are full. Rows with a null text or language teach nothing. No usable row: no dictionaries.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, slice_chars).alias("head"))
-    often = {lang: n for lang, n in rows.groupBy("lang").count().collect()}
-    if not often:
-        return {}
-    share = F.create_map(*(F.lit(x) for lang, n in often.items() for x in (lang, int(min(1.0, 2 * sample_rows / n) * (1 << 32)))))
-    few = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 32)) < F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.min("head").alias("head"))
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_rows)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).collect()
+    often = {r.lang: r.n for r in counts}
+    shares = {r.lang: min(1.0, 2 * sample_rows / max(r.texts, 1)) for r in counts}
     heads: dict[str, list] = {}
-    for lang, h, head in ranked.select("lang", "h", "head").collect():  # sample_rows a language
-        heads.setdefault(lang, []).append((h, head))
+    while shares:
+        share = F.create_map(*(F.lit(x) for lang, part in shares.items() for x in (lang, int(part * (1 << 32)))))
+        few = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 32)) < F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.min("head").alias("head"))
+        ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_rows)
+        found: dict[str, list] = {}
+        for lang, h, head in ranked.select("lang", "h", "head").collect():  # sample_rows a language
+            found.setdefault(lang, []).append((h, head))
+        heads |= found
+        shares = {lang: 1.0 for lang, part in shares.items() if part < 1 and len(found.get(lang, ())) < sample_rows}
     out = {}
     for lang in sorted(heads, key=lambda x: (-often[x], x)):
         data = b"".join(dict.fromkeys(letters(head) for _, head in sorted(heads[lang])))

@@ -40,6 +40,13 @@ def test_language_id(docs, empty, real):
     assert np.mean([r.lang == r.lang_pred for r in same]) > 0.9
 
 
+def test_language_id_learns_from_many_copies(spark):
+    texts = spark.range(20).select(F.concat(F.lit("a text of which there are many copies "), F.conv("id", 10, 2).alias("x"), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.when(F.col("id") < 10, "en").otherwise("de").alias("lang"))
+    copies = texts.crossJoin(spark.range(500)).select("text", "lang")
+    got = language_id.fit(copies, sample_rows=12)
+    assert set(got) == {"en", "de"} and got == {k: v for k, v in language_id.fit(texts, sample_rows=12).items()}
+
+
 def test_language_stage_keeps_columns(spark, docs):
     out = language_id.stage(spark, docs, "")
     assert out.columns == docs.columns and out.where("row = 'r'").count() > 5
