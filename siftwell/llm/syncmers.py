@@ -1,17 +1,27 @@
-"""Document fingerprints from closed syncmers, with DataFrame functions only."""
+"""Document fingerprints from closed syncmers, with DataFrame functions only.
+
+A text's anchors are found once. A closed syncmer is decided by its own characters, so the anchors of an edited text are
+those of its parts, moved to their new places, and the few k-mers across the seam.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 #: Characters of a k-mer and of its inner s-mer.
-K, S = 12, 4
-#: Ranges of doc_id in which neighbours are found, and how many of their ends are one step of the search for a row's range.
-RANGES, STEP = 2048, 64
-WORD_GAP = r"[\x20\x09-\x0D]+"
+K, S = 16, 4
+#: Characters by which two shared anchors may differ in displacement and still confirm each other.
+BAND = 32
+#: Rows of a range in which neighbours are found, ranges at most, and how many range ends are one step of a row's search.
+RANGE_ROWS, RANGES, STEP = 256, 65_536, 256
+#: An anchor is a whole number: its place times 2^32, and its hash; in the order of hashes: the hash, one bit for the side, the place.
+HASH, PLACE, SIDE = (1 << 32) - 1, 30, 31
+_NONE = "cast(array() as array<bigint>)"
 
 
 def _bind(value: Column, f) -> Column:
@@ -19,130 +29,152 @@ def _bind(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def squeezed(text: Column) -> Column:
-    """The text with each run of white space as one space."""
-    return F.regexp_replace(text, WORD_GAP, " ")
+def _at(anchor: Column) -> Column:
+    return F.shiftrightunsigned(anchor, 32)
+
+
+def _name(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(HASH))
 
 
-def _joined(h: Column, apart: int, f) -> Column:
-    """f of each element and the one `apart` places on."""
-    n = F.greatest(F.size(h) - apart, F.lit(0))
-    return F.zip_with(F.slice(h, 1, n), F.slice(h, 1 + apart, n), f)
+def _moved(anchors: Column, by: Column) -> Column:
+    return F.transform(anchors, lambda a: a + F.shiftleft(by.cast("long"), 32))
 
 
-def _doubled(h: Column, to: int, f, then, size: int = 1) -> Column:
-    """then(g), g having f over each run of `to` (a power of two) elements of h."""
-    return then(h) if size == to else _bind(_joined(h, size, f), lambda g: _doubled(g, to, f, then, 2 * size))
+def _least(m: Column, upto: int, then, size: int = 1) -> Column:
+    """then(low), low[i] being the least of the `upto` (a power of two) elements of m from i on."""
+    return then(m) if size == upto else _bind(F.transform(m, lambda x, i: F.least(x, F.get(m, i + size))), lambda low: _least(low, upto, then, 2 * size))
 
 
-def _closed(text: Column, k: int, s: int, made) -> Column:
-    """made(index, hash) of each closed syncmer of a text of k characters or more, in order."""
+def closed(text: Column, k: int = K, s: int = S) -> Column:
+    """The anchors of all closed syncmers of text, in order; fewer than k characters have none.
+
+    A k-mer is a closed syncmer if the least hash of its k - s + 1 s-mers is that of its first or of its last one. So
+    the next one starts at most k - s characters on, and 2 in k - s + 1 characters start one on average.
+    """
     span = k - s
-    if s < 1 or s & (s - 1) or span < 2:
-        raise ValueError("s is a power of two and k at least s + 2")
-    wide = 1 << ((span - 1).bit_length() - 1)  # two runs so long cover the s-mers between the first and the last
+    if s < 1 or span < 2:
+        raise ValueError("k is at least s + 2")
+    inner = span - 1
+    wide = 1 << (inner.bit_length() - 1)  # two runs of so many cover the s-mers between the first and the last
     tiles = (*range(0, span, s), span)
 
-    def chosen(m: Column) -> Column:
-        at = lambda i: F.get(m, i)
-        name = lambda i: F.pmod(F.xxhash64(*(at(i + d) for d in tiles)), F.lit(1 << 32))
-
+    def found(m: Column) -> Column:
         def picked(low: Column) -> Column:
-            keep = lambda i: F.least(at(i), at(i + span)) <= F.least(F.get(low, i + 1), F.get(low, i + span - wide))
-            return F.transform(F.filter(F.sequence(F.lit(0), F.size(m) - span - 1), keep), lambda i: made(i, name(i)))
+            name = lambda i: F.pmod(F.xxhash64(*(F.get(m, i + d) for d in tiles)), F.lit(1 << 32))
+            edge = lambda x, i: F.least(x, F.get(m, i + span)) <= F.least(F.get(low, i + 1), F.get(low, i + span - wide))
+            one = lambda x, i: F.when((i < F.size(m) - span) & edge(x, i), F.shiftleft(i.cast("long"), 32) + name(i))
+            return F.filter(F.transform(m, one), lambda a: a.isNotNull())
 
-        return _doubled(m, wide, lambda a, b: F.least(a, b), picked)
+        return _least(m, wide, picked)
 
-    hashes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
-    return _bind(hashes, lambda h: _doubled(h, s, lambda a, b: F.xxhash64(a, b), chosen))
+    mers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{s}}}))."), F.lit(1))
+    return F.when(F.length(text) >= k, _bind(F.transform(mers, lambda x: F.xxhash64(x)), found)).otherwise(F.expr(_NONE))
 
 
-def syncmers(text: Column, k: int = K, s: int = S) -> Column:
-    """Hashes (0 to 2^32 - 1) of the closed syncmers of a text, in order.
-
-    Tokens are the characters of every text, a run of white space counts as one. A k-mer is a closed syncmer if the
-    least hash among its k - s + 1 s-mers is its first or its last: the k-mer alone decides, so the same passage has
-    the same anchors wherever it stands, and the next one starts at most k - s characters on. A text of fewer
-    characters than a k-mer has one anchor, its own hash; an empty or null one has none.
-    """
-    return _bind(anchors(text, k, s), lambda a: a["hash"])
+def whole(found: Column, text: Column) -> Column:
+    """found, or for a text without a closed syncmer (a short one) the one anchor that is its own hash; an empty text has none."""
+    return F.when((F.size(found) == 0) & (F.length(text) > 0), F.array(F.pmod(F.xxhash64(text), F.lit(1 << 32)))).otherwise(found)
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """array(struct(at, hash)): all closed syncmers of a text in order, `at` being where each starts in the squeezed text.
-
-    A text none of whose k-mers is one (a short one) has one anchor, its own hash. Their number grows with the text:
-    2 of k - s + 1 characters start one on average.
-    """
-    made = lambda i, h: F.struct(i.alias("at"), h.alias("hash"))
-    whole = lambda t: F.array(made(F.lit(0), F.pmod(F.xxhash64(t), F.lit(1 << 32))))
-    none = F.expr("cast(array() as array<struct<at: int, hash: bigint>>)")
-
-    def of(t: Column) -> Column:
-        found = F.when(F.length(t) >= k, _closed(t, k, s, made)).otherwise(none)
-        return _bind(found, lambda a: F.when((F.size(a) == 0) & (F.length(t) > 0), whole(t)).otherwise(a))
+    """array<long>: the anchors of a text in order, each its place x 2^32 + its hash. Every character counts as it is; a null text is empty."""
+    return _bind(F.coalesce(text, F.lit("")), lambda t: _bind(closed(t, k, s), lambda a: whole(a, t)))
 
-    return _bind(squeezed(F.coalesce(text, F.lit(""))), of)
 
+def by_hash(found: Column) -> Column:
+    """hash x 2^31 + place, sorted; of an anchor that a text repeats the first place."""
+    order = F.sort_array(F.transform(found, lambda a: F.shiftleft(_name(a), SIDE) + _at(a)))
+    return _bind(order, lambda o: F.filter(o, lambda x, i: (i == 0) | (F.shiftright(F.get(o, i - 1), SIDE) != F.shiftright(x, SIDE))))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the hashes of two arrays of anchors, exact. Two empty ones: 1."""
-    both = lambda x, y: _bind(F.size(F.array_intersect(x, y)), lambda n: F.when(F.size(x) + F.size(y) == 0, F.lit(1.0)).otherwise(n / (F.size(x) + F.size(y) - n)))
-    return _bind(F.array_distinct(a["hash"]), lambda x: _bind(F.array_distinct(b["hash"]), lambda y: both(x, y)))
 
+def likeness(a: Column, b: Column, band: int = BAND) -> Column:
+    """Share of two texts' different anchors (by_hash()) that match in hash and place, of all that they have. Two empty ones: 1.
 
-def printed(a: Column, k: int = K, s: int = S) -> Column:
+    A shared anchor matches if another shared one is displaced between the texts by as much, give or take `band`
+    characters: what was inserted before a passage moves it whole, while a hash that the texts share by chance stands
+    alone. Where one of the texts has but one anchor, that it is shared is enough.
+    """
+    place = (1 << PLACE) - 1
+    pair = lambda both: lambda x, i: F.when(F.shiftright(x, SIDE) == F.shiftright(F.get(both, i + 1), SIDE), F.get(both, i + 1).bitwiseAND(F.lit(place)) - x.bitwiseAND(F.lit(place)))
+    moved = lambda both: F.sort_array(F.filter(F.transform(both, pair(both)), lambda d: d.isNotNull()))
+    near = lambda d: lambda x, i: (x - F.get(d, i - 1) <= band) | (F.get(d, i + 1) - x <= band)
+    few = F.least(F.size(a), F.size(b)) == 1
+    matched = lambda d: F.when(few, F.size(d)).otherwise(F.size(F.filter(d, near(d))))
+    share = lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n))
+    sides = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(1 << PLACE)))))
+    return _bind(_bind(sides, lambda both: _bind(moved(both), matched)), share)
+
+
+def printed(found: Column, k: int = K, s: int = S) -> Column:
     """Of each anchor its distance from the one before (from the start, for the first), then eight digits of its hash, in hexadecimal.
 
     A distance is at most k - s, so each anchor has the same number of digits.
     """
     width = 8 + len(f"{k - s:x}")
-    apart = lambda x, i: x["at"] - F.coalesce(F.get(a, i - 1)["at"], F.lit(0))
-    return F.array_join(F.transform(a, lambda x, i: F.lower(F.lpad(F.hex(F.shiftleft(apart(x, i).cast("long"), 32) + x["hash"]), width, "0"))), "")
+    padded = lambda x: F.substring(F.hex(x + (1 << 4 * width)), 2, width)
+    apart = lambda a, i: _at(a) - F.coalesce(_at(F.get(found, i - 1)), F.lit(0))
+    return F.lower(F.array_join(F.transform(found, lambda a, i: padded(F.shiftleft(apart(a, i).cast("long"), 32) + _name(a))), ""))
+
+
+def edited_anchors(found: Column, cut: Column, kept: Column, next_found: Column, taken: Column, k: int = K, s: int = S) -> Column:
+    """The closed syncmers of kept + taken: kept is the first `cut` characters of the text that has `found`, taken the start of the one that has next_found."""
+    own = F.filter(found, lambda a: _at(a) <= cut - k)
+    new = _moved(F.filter(next_found, lambda a: _at(a) <= F.length(taken) - k), cut)
+    left = F.least(cut, F.lit(k - 1))
+    seam = F.concat(F.substring(kept, cut - left + 1, left), F.substring(taken, F.lit(1), F.lit(k - 1)))
+    return F.concat(own, _moved(closed(seam, k, s), cut - left), new)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], ranges: int = RANGES) -> DataFrame:
-    """docs with next_<column>: the values of the next row by descending key; after the last comes the first.
+def ranged(docs: DataFrame, key: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """docs with `_range` and `_wrap`, exchanged by _range: every row, and beside each range's rows the one that follows them.
 
-    Rows go to ranges of the key that are cut at keys which occur, found by an approximate percentile (any cut is
-    right, an even one is fast). The greatest key of a range is also sent to the range above, as its last row,
-    so each range finds its neighbours alone: one exchange, no single task. Rows of equal key are ordered
-    by their text. A single row is its own next one.
+    Ranges of about `rows` rows are cut at keys which occur, found by an approximate percentile (any cut is right, an even
+    one is fast); beyond RANGES of them they grow. The greatest key of a range is also sent to the range above, and the
+    greatest of all to the range of the least, as rows with `_wrap` 0 and 1; other rows have -1. Rows without a key are in
+    the lowest range.
     """
-    found = docs.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000), F.min(key), F.max(key), F.count(key)).first()
-    cuts = sorted({*(found[0] or ()), *([found[2]] if found[3] else [])})  # upper ends of ranges; the last is the greatest key
-    first, last = found[1], found[2]
+    kind = docs.schema[key].dataType.simpleString()
+    n = min(RANGES, max(1, docs.count() // rows))
+    found = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 4 * max(n, 2500)), F.min(key), F.max(key)).first()
+    cuts = sorted({*(found[0] or ()), *([found[2]] if found[2] is not None else [])})  # upper ends of ranges; the last is the greatest key
     if not cuts:
-        return docs.select("*", *(F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns))
-    ends = F.array(*map(F.lit, cuts))
+        return docs.select("*", F.lit(0).alias("_range"), F.lit(-1).alias("_wrap")).repartition("_range")
+    literal = lambda ends: F.from_json(F.lit(json.dumps(ends)), f"array<{kind}>")  # noqa: E731  folded to one constant
     under = lambda some: F.size(F.filter(some, lambda e: e < F.col(key)))
-    coarse = F.array(*map(F.lit, cuts[STEP - 1 :: STEP] or cuts[-1:]))
-    step = F.when(F.lit(len(cuts) >= STEP), under(coarse)).otherwise(0) * STEP
-    below = step + under(F.slice(ends, step + 1, F.lit(STEP)))  # the range whose upper end is the least one not below the key
-    ghost = F.when(F.col(key) == last, F.array(below, F.lit(-1))).when(F.array_contains(ends, F.col(key)), F.array(below, below + 1)).otherwise(F.array(below))
-    placed = docs.select("*", F.posexplode(ghost).alias("_copy", "_range"))
-    # the greatest key's ghost goes to the range of the least key, after it
-    least = sum(c < first for c in cuts)
-    placed = placed.withColumn("_range", F.when(F.col("_range") == -1, F.lit(least)).otherwise(F.col("_range"))).withColumn("_wrap", (F.col("_copy") == 1) & (F.col(key) == last))
-    order = Window.partitionBy("_range").orderBy("_wrap", F.desc(key), F.desc_nulls_last("text"))
-    # Of the greatest key's repeated rows each has a ghost; the first of them is the one that follows the least key.
-    return placed.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("_copy = 0").drop("_copy", "_range", "_wrap")
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """The columns of op9 for docs (doc_id, text). A null text is empty: no anchors, an empty fingerprint.
-
-    Only texts are exchanged; the anchors of the next text are found again beside it.
+    step = (under(literal(cuts[STEP - 1 :: STEP])) if len(cuts) >= STEP else F.lit(0)) * STEP
+    placed = docs.withColumn("_step", step).withColumn("_range", F.col("_step") + under(F.slice(literal(cuts), F.col("_step") + 1, F.lit(STEP))))  # the range whose upper end is the least one not below the key
+    is_end = F.col(key) == F.get(literal(cuts), F.col("_range"))
+    least = sum(c < found[1] for c in cuts)
+    to = lambda at, wrap: F.struct(at.alias("_range"), F.lit(wrap).alias("_wrap"))
+    ghosts = F.when(F.col(key) == found[2], F.array(to(F.col("_range"), -1), to(F.lit(least), 1))).when(is_end, F.array(to(F.col("_range"), -1), to(F.col("_range") + 1, 0)))
+    placed = placed.withColumn("_to", F.explode(F.coalesce(ghosts, F.array(to(F.col("_range"), -1)))))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(cuts))  # stated, so that small tables aren't one task
+    return placed.select(*(F.col(c) for c in docs.columns), "_to._range", "_to._wrap").repartition(parts, "_range")
+
+
+def fingerprints(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """The columns of op9 for docs (doc_id, text); other columns are not read.
+
+    A null text is empty: no anchors, an empty fingerprint. Long texts count whole. Equal doc_ids are ordered by
+    their texts, rows without doc_id come after all others, and equal rows follow each other; a single row is its own next one. No rows: no result. Texts
+    are exchanged once, to ranges of the doc_id; anchors are found there and never exchanged.
     """
-    near = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"])
-    near = near.withColumn("next_text", F.coalesce("next_text", F.lit("")))
-    n = F.length("text").cast("long")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring("next_text", F.lit(1), third))
-    near = near.select("doc_id", n.alias("n_chars"), edited.alias("edited"), anchors(F.col("text")).alias("fp"), anchors(F.col("next_text")).alias("next_fp"))
-    near = near.withColumn("edited_fp", anchors(F.col("edited")))
-    return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("fp")).alias("fingerprint"), printed(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    near = ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", rows).withColumn("found", closed(F.col("text")))
+    # Of a greatest key's repeated rows each has a ghost; the first of them, as ordered, is the one that follows.
+    order = Window.partitionBy("_range").orderBy(F.col("_wrap") == 1, F.desc_nulls_last("doc_id"), F.desc("text"))
+    near = near.select("*", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next_text"), F.coalesce(F.lead("found").over(order), F.expr(_NONE)).alias("next_found")).where("_wrap = -1")
+    n = F.length("text")
+    cut = n - F.floor(n / 3).cast("int")
+    near = near.select("*", n.alias("n"), cut.alias("cut"), F.substring("text", F.lit(1), cut).alias("kept"), F.substring("next_text", F.lit(1), n - cut).alias("taken"))
+    near = near.select("doc_id", "n", F.concat("kept", "taken").alias("edited"), whole(F.col("found"), F.col("text")).alias("own"), whole(F.col("next_found"), F.col("next_text")).alias("next"), edited_anchors(F.col("found"), F.col("cut"), F.col("kept"), F.col("next_found"), F.col("taken")).alias("mixed"))
+    near = near.withColumn("mixed", whole(F.col("mixed"), F.col("edited"))).withColumn("own_sorted", by_hash(F.col("own")))
+    return near.select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("mixed")).alias("edited_fingerprint"),
+        likeness(F.col("own_sorted"), by_hash(F.col("mixed"))).alias("near_edited"), likeness(F.col("own_sorted"), by_hash(F.col("next"))).alias("near_next"),
+    )
 
 
 def op9_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the whole of `documents`: see fingerprints()."""
     return fingerprints(table(spark, sf_dir, "documents"))

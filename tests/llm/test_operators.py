@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import language_id, mixing, neardup, packing, pii, search, secret_ledger, sharding, syncmers, warc
+from siftwell.llm import language_id, mixing, neardup, packing, pii, search, secret_ledger, sharding, warc
 
 from .cases import SCHEMA, rows
 
@@ -271,73 +271,6 @@ def test_plan_places_every_rank_once(counts):
         assert sum(3 * n > 2048 for _, n in b) <= 2
 
 
-def test_syncmers(spark, docs, empty, real):
-    for df in (docs.where("doc_id is not null"), real):
-        rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (-r[0], r[1]))
-        ids = [i for i, _ in rows]
-        got = syncmers.fingerprints(df).collect()
-        assert len(got) == len(rows)
-        by_text = {}
-        for r in got:
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-            if ids.count(r.doc_id) > 1:
-                continue
-            at = ids.index(r.doc_id)
-            text, following = rows[at][1], {t for i, t in rows if i == ids[(at + 1) % len(ids)]}
-            m = len(text) // 3
-            assert r.n_chars == len(text)
-            assert r.edited_sha256 in {hashlib.sha256((text[: len(text) - m] + t[:m]).encode()).hexdigest() for t in following}
-            assert by_text.setdefault(text, r.fingerprint) == r.fingerprint and bool(text) == bool(r.fingerprint)
-    assert np.mean([r.near_edited for r in got]) > 0.4 > 0.1 > np.mean([r.near_next for r in got])
-    assert syncmers.fingerprints(empty).count() == 0 and syncmers.fingerprints(docs).count() == docs.count()
-
-
-def test_syncmers_need_no_context(spark):
-    passage = " ".join(f"word{i * i % 97}" for i in range(60))
-    df = spark.createDataFrame([(passage,), ("before it stands something else " + passage + " and after it too",)], "text string")
-    a, b = (set(r[0]) for r in df.select(syncmers.syncmers(F.col("text"))).collect())
-    assert a and a <= b
-
-
-def test_syncmers_are_closed(spark):
-    text = "a  bcé😀d\n" * 3 + "".join(chr(97 + i * i % 23) for i in range(200))
-    got = spark.createDataFrame([(text,)], "text string").select(syncmers.syncmers(F.col("text"), 11, 4)).first()[0]
-    t = re.sub(r"[ \t-\r]+", " ", text)
-    letters = sorted(set(t))
-    h = {r.c: r.h for r in spark.createDataFrame([(c,) for c in letters], "c string").select("c", F.xxhash64("c").alias("h")).collect()}
-    pair = lambda rows: [r[0] for r in spark.createDataFrame(rows, "i long, a long, b long").orderBy("i").select(F.xxhash64("a", "b")).collect()]
-    two = pair([(i, h[t[i]], h[t[i + 1]]) for i in range(len(t) - 1)])
-    four = pair([(i, two[i], two[i + 2]) for i in range(len(two) - 2)])
-    want = [i for i in range(len(t) - 10) if min(four[i : i + 8]) in (four[i], four[i + 7])]
-    assert len(got) == len(want) and max(b - a for a, b in zip(want, want[1:])) <= 7
-    assert [got[a] == got[b] for a, b in zip(range(len(want)), range(1, len(want)))] == [t[i : i + 11] == t[j : j + 11] for i, j in zip(want, want[1:])]
-
-
-def test_syncmers_have_one_kind_of_token(spark):
-    words = " ".join(f"word{i * i % 97}" for i in range(60))
-    han = "".join(chr(0x4E00 + i * i * 7 % 5000) for i in range(400))
-    pairs = [(words[:250], words[:260]), (words[:303], words[:213]), (han, han[:200] + "x" + han[201:]), ("z".join(words.split()), "z".join(words.split())[:-9])]
-    near = syncmers.likeness(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b")))
-    assert all(r[0] > 0.5 for r in spark.createDataFrame(pairs, "a string, b string").select(near).collect())
-
-
-def test_syncmers_keep_all_anchors_and_their_places(spark):
-    passage = " ".join(f"shared{i * i % 89}" for i in range(55))
-    a, b = (" ".join(f"{c}{i * i * 7 % 50_021}" for i in range(20_000)) for c in "ab")
-    texts = [(2, a + " " + passage), (1, b[:60_000] + " " + passage + " " + b[60_000:])]
-    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    found = {r.doc_id: r.a for r in spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()}
-    for i, text in texts:
-        assert len(found[i]) > len(text) / 8 and all(0 <= y.at - x.at <= 8 for x, y in zip(found[i], found[i][1:]))
-        fp, at, read = got[i].fingerprint, 0, []
-        for j in range(0, len(fp), 9):
-            at += int(fp[j], 16)
-            read.append((at, int(fp[j + 1 : j + 9], 16)))
-        assert read == [(x.at, x.hash) for x in found[i]]
-    x, y = ({x.hash for x in found[i]} for i in (2, 1))
-    assert got[2].near_next == got[1].near_next == len(x & y) / len(x | y) > 0
-
-
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
