@@ -7,9 +7,11 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
-from siftwell.llm import language_id, mixing, neardup, packing, pii, search, secret_ledger, sharding, warc
+from siftwell.llm import language_id, neardup, packing, pii, search, secret_ledger, sharding, warc
 
 from .cases import SCHEMA, rows
 
@@ -47,6 +49,65 @@ def test_language_id_learns_from_many_copies(spark):
     assert set(got) == {"en", "de"} and got == {k: v for k, v in language_id.fit(texts, sample_rows=12).items()}
 
 
+def brute_dictionaries(rows, sample=language_id.SAMPLE_ROWS):
+    """From (text, lang), apart from the code under test: the texts of lowest hash, each language's letters joined."""
+    texts, often = collections.defaultdict(dict), collections.Counter()
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            h = xxhash.xxh64_intdigest(text.encode(), 42)
+            texts[lang][h - (1 << 64) if h >> 63 else h] = text[:400]
+            often[lang] += 1
+    out = {}
+    for lang in sorted(texts, key=lambda x: (-often[x], x)):
+        heads = [re.sub(r"[\W\d_]+", " ", f" {t} ".lower()).encode() for _, t in sorted(texts[lang].items())[:sample]]
+        data = b"".join(dict.fromkeys(heads))
+        if data.strip():
+            while len(data) < 8:
+                data += data
+            out[lang] = data[: 1 << 17]
+    return out
+
+
+def brute_language(text, dictionaries):
+    body = re.sub(r"[\W\d_]+", " ", f" {text or ''} ".lower()).encode()
+    if not body.strip() or not dictionaries:
+        return "und", 0.0, True
+    need = {}
+    for lang, data in dictionaries.items():
+        need[lang] = sum(len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(body[i : i + 4096])) for i in range(0, len(body), 4096))
+    best = min(need, key=need.get)  # the first of equal ones is the more frequent language
+    others = [n for lang, n in need.items() if lang != best]
+    margin = (min(others) - need[best]) / min(others) if others else 1.0
+    return best, 1 / sum(2.0 ** -min(60, (n - need[best]) / 2) for n in need.values()), margin < language_id.REJECT_MARGIN
+
+
+def test_language_id_against_brute_force(spark, docs, real):
+    for df in (docs, real.limit(80)):
+        rows = df.select("doc_id", "text", "lang").collect()
+        dictionaries = brute_dictionaries([(r.text, r.lang) for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+        want = collections.Counter()
+        for r in rows:
+            lang, score, rejected = brute_language(r.text, dictionaries)
+            want[r.doc_id, r.text, lang, round(score, 9), rejected] += 1
+        got = language_id.identify(df).select("row.doc_id", "row.text", "lang_pred", "score", "rejected").collect()
+        assert collections.Counter((r.doc_id, r.text, r.lang_pred, round(r.score, 9), r.rejected) for r in got) == want
+
+
+def test_no_language_is_lost_to_copies_or_short_samples(spark):
+    many = spark.range(12).select(F.concat(F.lit("l"), "id").alias("lang"), F.concat(F.lit("a text that stands in it often "), F.sha2(F.col("id").cast("string"), 256)).alias("text")).crossJoin(spark.range(20_000).select())
+    short = spark.createDataFrame([("xx", "ab"), ("yy", "é"), ("zz", "12 34")], "lang string, text string")
+    got = language_id.fit(many.unionByName(short))
+    assert set(got) == {f"l{i}" for i in range(12)} | {"xx", "yy"} and min(map(len, got.values())) >= 8
+    assert list(language_id.fit(many.unionByName(short), languages=2)) == ["l0", "l1"]
+    asked = spark.createDataFrame([("ab",)], "text string").select(language_id.predict(F.col("text"), {"xx": got["xx"]}).alias("p")).first().p
+    assert asked.lang_pred == "xx" and asked.margin == 1.0
+
+
+def test_language_stage_compresses_once(spark, docs):
+    plan = language_id.stage(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_language_stage_keeps_columns(spark, docs):
     out = language_id.stage(spark, docs, "")
     assert out.columns == docs.columns and out.where("row = 'r'").count() > 5
@@ -269,46 +330,3 @@ def test_plan_places_every_rank_once(counts):
         b.sort()
         assert b[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(b, b[1:])) and sum(b[-1]) <= 2048
         assert sum(3 * n > 2048 for _, n in b) <= 2
-
-
-def brute_targets(sizes):
-    names = sorted(sizes, key=lambda s: (s is None, s))
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    target, total, free = {}, 1.5 * sum(sizes.values()), set(names)
-    while free:
-        level = total / sum(weight[s] for s in free)
-        over = {s for s in free if weight[s] * level > 2 * sizes[s]}
-        for s in over or free:
-            target[s] = 2 * sizes[s] if over else weight[s] * level
-            total -= target[s]
-        free -= over or free
-    return target
-
-
-def test_mixing(spark, docs, empty, real):
-    for df in (docs, real):
-        rows = df.select("doc_id", "source", *mixing._sizes("text"))
-        got = mixing.sample(rows).collect()
-        assert len(got) == df.count()
-        sizes, taken, target, largest = collections.Counter(), collections.Counter(), {}, collections.Counter()
-        for r in got:
-            assert 0 <= r.copies <= 2
-            sizes[r.source] += r.size
-            taken[r.source] += r.copies * r.size
-            target[r.source] = r.target
-            largest[r.source] = max(largest[r.source], r.size)
-        want = brute_targets(sizes)
-        for s in sizes:
-            assert math.isclose(target[s], want[s], rel_tol=1e-9, abs_tol=1e-6)
-            assert abs(taken[s] - target[s]) <= largest[s] + 1
-        again = mixing.sample(rows).collect()
-        assert sorted(map(str, got)) == sorted(map(str, again))
-    assert mixing.sample(empty.select("doc_id", "source", *mixing._sizes("text"))).count() == 0
-    assert mixing.stage(spark, docs, "").columns == docs.columns
-
-
-def test_targets_stop_at_twice_a_source(spark):
-    sizes = {"a": 10, "b": 10, "c": 1000, None: 30, "d": 0}
-    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
-    got = {r.source: r.target for r in mixing.targets(df).collect()}
-    assert got == pytest.approx(brute_targets(sizes))

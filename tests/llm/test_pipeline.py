@@ -9,7 +9,8 @@ import corpus_pipeline
 from siftwell.llm import language_id, packing, pii
 
 from .cases import SCHEMA, rows
-from .test_operators import brute_components, brute_targets
+from .test_mixing import brute_targets
+from .test_operators import brute_components
 
 
 def words(text):
