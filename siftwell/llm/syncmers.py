@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text's anchors are found once. A closed syncmer is decided by its own characters, so the anchors of an edited text are
-those of its parts, moved to their new places, and the few k-mers across the seam.
+Tokens are the words of every text, whatever its length; a word too long to be one (of a script without spaces, or of
+encoded data) gives its characters. A closed syncmer is a run of tokens that is decided by its own tokens, so a passage has the same anchors
+wherever it stands, and anchors of two texts match by where they stand.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Characters of a k-mer and of its inner s-mer.
-K, S = 16, 4
-#: Characters by which two shared anchors may differ in displacement and still confirm each other.
-BAND = 32
+#: Tokens of a k-mer and of its inner s-mer; characters of the longest word that is one token.
+K, S, LONG = 4, 1, 20
+#: Tokens by which two shared anchors may differ in displacement and still confirm each other.
+BAND = 8
 #: Rows of a range in which neighbours are found, ranges at most, and how many range ends are one step of a row's search.
 RANGE_ROWS, RANGES, STEP = 256, 65_536, 256
 #: An anchor is a whole number: its place times 2^32, and its hash; in the order of hashes: the hash, one bit for the side, the place.
 HASH, PLACE, SIDE = (1 << 32) - 1, 30, 31
+_GAP = r"[\x20\x09-\x0D]+"
 _NONE = "cast(array() as array<bigint>)"
 
 
@@ -37,39 +39,45 @@ def _name(anchor: Column) -> Column:
     return anchor.bitwiseAND(F.lit(HASH))
 
 
-def _moved(anchors: Column, by: Column) -> Column:
-    return F.transform(anchors, lambda a: a + F.shiftleft(by.cast("long"), 32))
-
-
 def _least(m: Column, upto: int, then, size: int = 1) -> Column:
     """then(low), low[i] being the least of the `upto` (a power of two) elements of m from i on."""
     return then(m) if size == upto else _bind(F.transform(m, lambda x, i: F.least(x, F.get(m, i + size))), lambda low: _least(low, upto, then, 2 * size))
 
 
-def closed(text: Column, k: int = K, s: int = S) -> Column:
-    """The anchors of all closed syncmers of text, in order; fewer than k characters have none.
+def tokens(text: Column, long: int = LONG) -> Column:
+    """The words between ASCII white space, in order; one of more than `long` characters gives its characters."""
+    words = F.filter(F.split(text, _GAP), lambda w: w != "")
+    apart = lambda w: F.when(F.length(w) > long, F.split(w, "")).otherwise(F.array(w))
+    return _bind(words, lambda ws: F.when(F.exists(ws, lambda w: F.length(w) > long), F.flatten(F.transform(ws, apart))).otherwise(ws))
+
+
+def _joined(h: Column, s: int, then) -> Column:
+    """then(m), m being the hashes of the s-mers of hashed tokens h; fewer than s tokens are left as they are."""
+    return then(h) if s == 1 else _bind(F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + d) for d in range(1, s)))), then)
+
+
+def closed(found: Column, k: int = K, s: int = S) -> Column:
+    """The anchors of all closed syncmers of an array of tokens, in order; fewer than k tokens have none.
 
     A k-mer is a closed syncmer if the least hash of its k - s + 1 s-mers is that of its first or of its last one. So
-    the next one starts at most k - s characters on, and 2 in k - s + 1 characters start one on average.
+    the next one starts at most k - s tokens on, and 2 in k - s + 1 tokens start one on average.
     """
     span = k - s
     if s < 1 or span < 2:
         raise ValueError("k is at least s + 2")
     inner = span - 1
     wide = 1 << (inner.bit_length() - 1)  # two runs of so many cover the s-mers between the first and the last
-    tiles = (*range(0, span, s), span)
 
-    def found(m: Column) -> Column:
-        def picked(low: Column) -> Column:
-            name = lambda i: F.pmod(F.xxhash64(*(F.get(m, i + d) for d in tiles)), F.lit(1 << 32))
+    def made(h: Column) -> Column:
+        def picked(m: Column, low: Column) -> Column:
+            name = lambda i: F.pmod(F.xxhash64(*(F.get(h, i + d) for d in range(k))), F.lit(1 << 32))
             edge = lambda x, i: F.least(x, F.get(m, i + span)) <= F.least(F.get(low, i + 1), F.get(low, i + span - wide))
-            one = lambda x, i: F.when((i < F.size(m) - span) & edge(x, i), F.shiftleft(i.cast("long"), 32) + name(i))
+            one = lambda x, i: F.when((i <= F.size(h) - k) & edge(x, i), F.shiftleft(i.cast("long"), 32) + name(i))
             return F.filter(F.transform(m, one), lambda a: a.isNotNull())
 
-        return _least(m, wide, picked)
+        return _joined(h, s, lambda m: _least(m, wide, lambda low: picked(m, low)))
 
-    mers = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{s}}}))."), F.lit(1))
-    return F.when(F.length(text) >= k, _bind(F.transform(mers, lambda x: F.xxhash64(x)), found)).otherwise(F.expr(_NONE))
+    return _bind(F.transform(found, lambda x: F.xxhash64(x)), made)
 
 
 def whole(found: Column, text: Column) -> Column:
@@ -78,8 +86,8 @@ def whole(found: Column, text: Column) -> Column:
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """array<long>: the anchors of a text in order, each its place x 2^32 + its hash. Every character counts as it is; a null text is empty."""
-    return _bind(F.coalesce(text, F.lit("")), lambda t: _bind(closed(t, k, s), lambda a: whole(a, t)))
+    """array<long>: the anchors of a text in order, each its place (of tokens) x 2^32 + its hash. A null text is empty."""
+    return _bind(F.coalesce(text, F.lit("")), lambda t: _bind(closed(tokens(t), k, s), lambda a: whole(a, t)))
 
 
 def by_hash(found: Column) -> Column:
@@ -92,7 +100,7 @@ def likeness(a: Column, b: Column, band: int = BAND) -> Column:
     """Share of two texts' different anchors (by_hash()) that match in hash and place, of all that they have. Two empty ones: 1.
 
     A shared anchor matches if another shared one is displaced between the texts by as much, give or take `band`
-    characters: what was inserted before a passage moves it whole, while a hash that the texts share by chance stands
+    tokens: what was inserted before a passage moves it whole, while a hash that the texts share by chance stands
     alone. Where one of the texts has but one anchor, that it is shared is enough.
     """
     place = (1 << PLACE) - 1
@@ -117,15 +125,6 @@ def printed(found: Column, k: int = K, s: int = S) -> Column:
     return F.lower(F.array_join(F.transform(found, lambda a, i: padded(F.shiftleft(apart(a, i).cast("long"), 32) + _name(a))), ""))
 
 
-def edited_anchors(found: Column, cut: Column, kept: Column, next_found: Column, taken: Column, k: int = K, s: int = S) -> Column:
-    """The closed syncmers of kept + taken: kept is the first `cut` characters of the text that has `found`, taken the start of the one that has next_found."""
-    own = F.filter(found, lambda a: _at(a) <= cut - k)
-    new = _moved(F.filter(next_found, lambda a: _at(a) <= F.length(taken) - k), cut)
-    left = F.least(cut, F.lit(k - 1))
-    seam = F.concat(F.substring(kept, cut - left + 1, left), F.substring(taken, F.lit(1), F.lit(k - 1)))
-    return F.concat(own, _moved(closed(seam, k, s), cut - left), new)
-
-
 def ranged(docs: DataFrame, key: str, rows: int = RANGE_ROWS) -> DataFrame:
     """docs with `_range` and `_wrap`, exchanged by _range: every row, and beside each range's rows the one that follows them.
 
@@ -157,20 +156,20 @@ def fingerprints(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """The columns of op9 for docs (doc_id, text); other columns are not read.
 
     A null text is empty: no anchors, an empty fingerprint. Long texts count whole. Equal doc_ids are ordered by
-    their texts, rows without doc_id come after all others, and equal rows follow each other; a single row is its own next one. No rows: no result. Texts
-    are exchanged once, to ranges of the doc_id; anchors are found there and never exchanged.
+    their texts, rows without doc_id come after all others, and equal rows follow each other; a single row is its own next one,
+    and of rows none of which has a doc_id the last has an empty next text. No rows: no result. Texts
+    are exchanged once, to ranges of the doc_id (the edited text needs its own and the next one's); anchors are found there and never exchanged.
     """
-    near = ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", rows).withColumn("found", closed(F.col("text")))
+    near = ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", rows).withColumn("own", anchors(F.col("text")))
     # Of a greatest key's repeated rows each has a ghost; the first of them, as ordered, is the one that follows.
     order = Window.partitionBy("_range").orderBy(F.col("_wrap") == 1, F.desc_nulls_last("doc_id"), F.desc("text"))
-    near = near.select("*", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next_text"), F.coalesce(F.lead("found").over(order), F.expr(_NONE)).alias("next_found")).where("_wrap = -1")
+    near = near.select("*", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next_text"), F.coalesce(F.lead("own").over(order), F.expr(_NONE)).alias("next")).where("_wrap = -1")
     n = F.length("text")
-    cut = n - F.floor(n / 3).cast("int")
-    near = near.select("*", n.alias("n"), cut.alias("cut"), F.substring("text", F.lit(1), cut).alias("kept"), F.substring("next_text", F.lit(1), n - cut).alias("taken"))
-    near = near.select("doc_id", "n", F.concat("kept", "taken").alias("edited"), whole(F.col("found"), F.col("text")).alias("own"), whole(F.col("next_found"), F.col("next_text")).alias("next"), edited_anchors(F.col("found"), F.col("cut"), F.col("kept"), F.col("next_found"), F.col("taken")).alias("mixed"))
-    near = near.withColumn("mixed", whole(F.col("mixed"), F.col("edited"))).withColumn("own_sorted", by_hash(F.col("own")))
+    third = F.floor(n / 3).cast("int")
+    near = near.select("doc_id", n.cast("long").alias("n_chars"), "own", "next", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)).alias("edited"))
+    near = near.withColumn("mixed", anchors(F.col("edited"))).withColumn("own_sorted", by_hash(F.col("own")))
     return near.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("mixed")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("mixed")).alias("edited_fingerprint"),
         likeness(F.col("own_sorted"), by_hash(F.col("mixed"))).alias("near_edited"), likeness(F.col("own_sorted"), by_hash(F.col("next"))).alias("near_next"),
     )
 

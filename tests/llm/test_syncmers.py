@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -20,15 +21,24 @@ def of_text(t):
     return signed(xxhash.xxh64_intdigest(t.encode(), 42))
 
 
+def brute_tokens(t, long=syncmers.LONG):
+    return [x for w in re.split(r"[ \t-\r]+", t) if w for x in (list(w) if len(w) > long else [w])]
+
+
 def brute_anchors(t, k=syncmers.K, s=syncmers.S):
-    m, out = [of_text(t[i : i + s]) for i in range(len(t) - s + 1)], []
-    for i in range(len(t) - k + 1):
+    h, out = [of_text(w) for w in brute_tokens(t)], []
+
+    def joined(values):
+        x = 42
+        for v in values:
+            x = xxhash.xxh64_intdigest((v & MASK).to_bytes(8, "little"), x)
+        return signed(x)
+
+    m = h if s == 1 else [joined(h[i : i + s]) for i in range(len(h) - s + 1)]
+    for i in range(len(h) - k + 1):
         inner = m[i : i + k - s + 1]
         if min(inner) in (inner[0], inner[-1]):
-            x = 42
-            for d in (*range(0, k - s, s), k - s):
-                x = xxhash.xxh64_intdigest((m[i + d] & MASK).to_bytes(8, "little"), x)
-            out.append((i, signed(x) % (1 << 32)))
+            out.append((i, joined(h[i : i + k]) % (1 << 32)))
     return out or ([(0, of_text(t) % (1 << 32))] if t else [])
 
 
@@ -124,6 +134,13 @@ def test_edges(spark):
     assert sorted(r.near_next for r in twice) == [0.0, 0.0, 1.0]
 
 
+@pytest.mark.parametrize("k, s", [(4, 1), (5, 2), (9, 3), (3, 1)])
+def test_any_k_and_s_against_brute_force(spark, k, s):
+    texts = [prose(60, 8), prose(k, 9), prose(k - 1, 9), "a a a a a a a a a a a b a a a", "y" * 50]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", syncmers.anchors(F.col("text"), k, s)).collect()
+    assert [(t, [(a >> 32, a % (1 << 32)) for a in found]) for t, found in got] == [(t, brute_anchors(t, k, s)) for t in texts]
+
+
 def test_bounds_of_k_and_s():
     with pytest.raises(ValueError):
-        syncmers.closed(F.lit("x"), 5, 4)
+        syncmers.closed(F.array(), 5, 4)
