@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, kept, table, written
@@ -21,9 +21,10 @@ MINS = 2 * HALVES * ROWS
 #: Hundredths of similarity from which documents link; agreeing minhashes that lead to a comparison in full lie four
 #: standard deviations below.
 PERCENT = 80
-#: Documents in a block of the comparison in full, rows of a bucket beyond which it is cut by a further half-key, documents
-#: up to which the ids of those to be compared are broadcast.
-BLOCK, WIDE, BROADCAST_ROWS = 256, 2048, 2_000_000
+#: Documents in a block of the comparison in full, rows of a bucket beyond which it is cut by a further half-key.
+BLOCK, WIDE = 256, 2048
+#: Rows of whole numbers, 64 bytes each at most, that are broadcast.
+BROADCAST_ROWS = (64 << 20) // 64
 
 _ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(SHINGLE)], "uint64")
 
@@ -54,7 +55,17 @@ def _families(seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, MINS, "uint32") | np.uint32(1), rng.integers(0, 1 << 32, MINS, "uint32")
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("mins", pa.binary()), ("code", pa.binary())])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("half1", pa.binary()), ("half2", pa.binary()), ("code", pa.binary())])
+
+
+def _half_keys(low: np.ndarray) -> np.ndarray:
+    """The 2 HALVES half-keys of a row of minhashes, the first collection's first."""
+    m = low.reshape(2 * HALVES, ROWS).astype("uint64")
+    out = np.full(2 * HALVES, np.uint64(0x51ED270B))
+    for r in range(ROWS):
+        out = (out ^ m[:, r]) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(32)
+    return out
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,30 +78,37 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low, x = np.full(MINS, 0xFFFFFFFF, "uint32"), (s >> np.uint64(32)).astype("uint32")
                 for at in range(0, len(x), 4096):
                     low = np.minimum(low, (np.multiply.outer(a, x[at : at + 4096]) + b[:, None]).min(1))
-                rows.append((len(s), *np.array([s.sum(dtype="uint64"), (s * s).sum(dtype="uint64")]).view("int64").tolist(), low.tobytes(), low.view("uint8")[::4].tobytes()))
+                half = _half_keys(low)
+                rows.append((len(s), *np.array([s.sum(dtype="uint64"), (s * s).sum(dtype="uint64")]).view("int64").tolist(), half[:HALVES].tobytes(), half[HALVES:].tobytes(), low.view("uint8")[::4].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(SKETCH)[1:], strict=True))], schema=SKETCH)
 
 
-def _half_keys(mins: np.ndarray) -> np.ndarray:
-    """(documents, 2 HALVES) 64-bit half-keys, the first collection first."""
-    m = mins.reshape(len(mins), 2 * HALVES, ROWS).astype("uint64")
-    out = np.full(m.shape[:2], np.uint64(0x51ED270B))
-    for r in range(ROWS):
-        out = (out ^ m[:, :, r]) * np.uint64(0x9FB21C651E98DF25)
-        out ^= out >> np.uint64(32)
-    return out
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a * np.uint64(3) + b) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
 
 
-def _table_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, rep): a row for each pair of half-keys, one from either collection."""
-    i, j = np.divmod(np.arange(HALVES * HALVES, dtype="uint64"), np.uint64(HALVES))
-    for pdf in batches:
-        for at in range(0, len(pdf), 2048):
-            part = pdf.iloc[at : at + 2048]
-            half = _half_keys(np.frombuffer(b"".join(part["mins"]), "uint32").reshape(len(part), MINS))
-            key = (half[:, i.astype(int)] * np.uint64(3) + half[:, HALVES + j.astype(int)]) * np.uint64(0x9E3779B97F4A7C15) + (i * np.uint64(HALVES) + j)
-            yield pd.DataFrame({"key": key.ravel().view("int64"), "rep": np.repeat(part["rep"].to_numpy(), HALVES * HALVES)})
+def _keys(column: str):
+    """(key, rep): each row's key, or its place among HALVES, mixed with the HALVES half-keys in `column`."""
+    place = np.arange(HALVES, dtype="uint64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for pdf in batches:
+                for at in range(0, len(pdf), 4096):
+                    part = pdf.iloc[at : at + 4096]
+                    half = np.frombuffer(b"".join(part[column]), "uint64").reshape(len(part), HALVES)
+                    own = part["key"].to_numpy().view("uint64") if "key" in part else np.zeros(len(part), "uint64")
+                    key = _mixed(_mixed(own[:, None], half), place)
+                    yield pd.DataFrame({"key": key.ravel().view("int64"), "rep": np.repeat(part["rep"].to_numpy(), HALVES)})
+
+    return run
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """rows (key, rep) of keys that stand there more than once; counts are combined before they are exchanged."""
+    return rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
 
 
 def _agreeing(percent: int) -> int:
@@ -103,45 +121,40 @@ def _alike(n: np.ndarray, codes: np.ndarray, x: int, others: np.ndarray, percent
     return ((codes[others] == codes[x]).sum(1) >= _agreeing(percent)) & (100 * low >= percent * high)
 
 
-def _spanning(rep: np.ndarray, n: np.ndarray, codes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of a bucket's likely pairs: at most one pair a row."""
-    if len(rep) > WIDE:
+def _contacts(of: np.ndarray, n: np.ndarray, codes: np.ndarray, percent: int, wide: int) -> Iterator[tuple[int, int]]:
+    """Pairs of components `of` which likely pairs of a bucket's rows join. A wide bucket is cut by every half-key in turn."""
+    if len(of) > wide:
         for h in range(2 * HALVES):
             _, at = np.unique(np.ascontiguousarray(codes[:, h * ROWS : (h + 1) * ROWS]).view(f"V{ROWS}").ravel(), return_inverse=True)
             order = np.argsort(at, kind="stable")
             for g in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-                if 1 < len(g) < len(rep):
-                    yield from _spanning(rep[g], n[g], codes[g], percent)
-                elif len(g) == len(rep):
-                    yield from _walk(rep, n, codes, percent)
+                if len(g) == len(of):
+                    yield from _contacts(of, n, codes, percent, len(of))
                     return
-    else:
-        yield from _walk(rep, n, codes, percent)
-
-
-def _walk(rep: np.ndarray, n: np.ndarray, codes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    left = np.arange(len(rep))
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            hit = _alike(n, codes, x, left, percent)
-            for y in left[hit]:
-                yield rep[x], rep[y]
-                queue.append(y)
-            left = left[~hit]
-
-
-def _likely(percent: int):
-    """Likely pairs (a, b) of rows (key, rep, n, code) that come sorted by key; a bucket may span batches."""
+                if len(g) > 1:
+                    yield from _contacts(of[g], n[g], codes[g], percent, wide)
+        return
+    names, at, size = np.unique(of, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    met = set()
+    for x in np.flatnonzero(at != size.argmax()):  # the largest component's rows are met by the others
+        others = np.flatnonzero(at != at[x])
+        for y in np.unique(at[others[_alike(n, codes, x, others, percent)]]):
+            met.add((min(at[x], y), max(at[x], y)))
+    yield from ((names[x], names[y]) for x, y in met)
+
+
+def _likely(percent: int, wide: int):
+    """Pairs (a, b) of components from rows (key, of, n, code) that come sorted by key; a bucket may span batches."""
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep, n = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
+        of, n = pdf["of"].to_numpy(), pdf["n"].to_numpy()
         codes = np.frombuffer(b"".join(pdf["code"]), "uint8").reshape(len(pdf), MINS)
         out: set = set()
         for g in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(pdf["key"].to_numpy())) + 1):
             if len(g) > 1:
-                out.update((min(p), max(p)) for p in _spanning(rep[g], n[g], codes[g], percent))
+                out.update(_contacts(of[g], n[g], codes[g], percent, wide))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,19 +176,38 @@ def _likely(percent: int):
     return run
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _star(percent: int):
+    """Links (a, b) of rows of one leader a with others: an id that stands with several texts links by any of them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        heads = [np.frombuffer(x, "uint64") for x in pdf.loc[pdf["lead"], "shingles"]]
+        rest = pdf[~pdf["lead"]]
+        hit = [any(_linked(h, np.frombuffer(x, "uint64"), percent) for h in heads) for x in rest["shingles"]]
+        b = np.unique(rest["doc_id"].to_numpy()[hit]) if len(rest) else np.empty(0, "int64")
+        return pd.DataFrame({"a": np.full(len(b), pdf["a"].iat[0]), "b": b}, dtype="int64")
+
+    return run
+
+
 def _exact(percent: int):
-    """Links (a, b) between one or two blocks of documents of one likely group: a spanning forest of those that hold on full sets."""
+    """Links (a, b) between one or two blocks of documents of one likely group: a spanning forest of those that hold on full sets and join two components."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("rep")
         sets = [np.frombuffer(x, "uint64") for x in pdf["shingles"]]
-        rep, n, size = pdf["rep"].to_numpy(), len(sets), np.array([len(s) for s in sets])
+        rep, n, size = pdf["doc_id"].to_numpy(), len(sets), np.array([len(s) for s in sets])
         cross = pdf["bi"].iat[0] != pdf["bj"].iat[0]
         side = (pdf["block"] == pdf["bi"]).to_numpy()
         tokens, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
-        root, out = np.arange(n), []
+        root, out = np.unique(pdf["of"].to_numpy(), return_inverse=True)[1], []
         for x in np.flatnonzero(side) if cross else range(n):
             other = ~side if cross else np.arange(n) > x
             todo = other & (root != root[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
@@ -199,49 +231,90 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="text").assign(shingles=[shingles(t).tobytes() for t in pdf["text"]])
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Confirmed links (a, b) of nodes (rep, n, mins, code: a byte of each minhash): enough of them that all that link are connected.
+def _with_sets(docs: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
+    """wanted (doc_id, ...) with the shingles of each document that it names; texts stay where they are while wanted is small."""
+    wanted = kept(wanted)
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    return docs.select("doc_id", "text").where("text is not null").join(wanted, "doc_id").mapInPandas(_sets, schema + ", shingles binary").where("length(shingles) > 0")
+
 
-    1. Table keys are exchanged as (key, rep) and only keys of two or more nodes stay. 2. In those buckets
-    agreeing minhashes tell likely pairs; a spanning forest of them leaves each bucket, so a bucket of any size
-    sends as many pairs as it has rows. 3. Connected likely pairs form groups, which are compared in full, in
-    blocks of about `block` documents: no group is gathered in one task, and no pair is dropped for size.
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, block: int) -> DataFrame:
+    """Those of pairs (a, b) that link on full sets. Each b's set is sent once, to a part of its leader a's pairs; parts hold about `block` of them."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    of = pairs.join(parts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(False).alias("lead"))
+    heads = parts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
+    sets = _with_sets(docs, of.unionByName(heads), "doc_id long, a long, part int, lead boolean")
+    return sets.groupBy("a", "part").applyInPandas(_star(percent), "a long, b long")
+
+
+def _compared(docs: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links on full sets between the components `of` of each group of members (doc_id, of, root).
+
+    The largest component of a group, which a hot group of copies is, is compared with the rest only, in blocks of about
+    `block` documents: with few others it is sent few times.
+    """
+    sizes = members.groupBy("root", "of").agg(F.count("*").alias("k"))
+    groups = sizes.groupBy("root").agg(F.max(F.struct("k", "of")).alias("most"), F.sum("k").alias("all")).select("root", F.col("most.of").alias("most"), F.ceil((F.col("all") - F.col("most.k")) / block).cast("int").alias("rest"), F.ceil(F.col("most.k") / block).cast("int").alias("own"))
+    at = F.pmod(F.xxhash64("doc_id"), F.when(F.col("of") == F.col("most"), F.col("own")).otherwise(F.col("rest"))).cast("int")
+    rows = members.join(groups, "root").withColumn("block", at + F.when(F.col("of") == F.col("most"), F.col("rest")).otherwise(0))
+    upto = F.when(F.col("of") == F.col("most"), F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1
+    sets = _with_sets(docs, rows.select("doc_id", "of", "root", "block", upto.alias("upto")), "doc_id long, of long, root long, block int, upto int")
+    sets = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("upto")))).select("doc_id", "of", "root", "block", F.least("block", "k").alias("bi"), F.greatest("block", "k").alias("bj"), "shingles")
+    return sets.groupBy("root", "bi", "bj").applyInPandas(_exact(percent), "a long, b long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
+    """Confirmed links (a, b) of nodes (rep, n, half1, half2, code: a byte of each minhash): enough of them that all that link are connected.
+
+    1. The first collection's half-keys are exchanged; only rows whose half-key repeats are split by the second
+    one's, and of these again those that repeat are the buckets of the tables. 2. Each node pairs with the least leader
+    of its buckets, one pair a node: a forest. These pairs are confirmed on full sets, and what links is one component,
+    so a group of copies with edits is settled by work in proportion to it. 3. Buckets that still hold several components
+    are searched for likely pairs of them (agreeing minhashes), and the groups which these make are compared in full,
+    but never within a component. No pair is dropped for the size of its bucket or group.
     """
-    keys = nodes.select("rep", "mins").mapInPandas(_table_keys, "key long, rep long")
-    rows = keys.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1").select("key", "rep")
-    pairs = rows.join(nodes.select("rep", "n", "code"), "rep").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_likely(percent), "a long, b long").distinct()
-    group = kept(components(pairs))
-    wide = group.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = group.join(wide, "root").select(F.col("id").alias("doc_id"), "root", "blocks")
-    member = F.broadcast(member) if group.count() <= broadcast_rows else member
-    sets = docs.select("doc_id", "text").join(member, "doc_id").mapInPandas(_sets, "doc_id long, root long, blocks int, shingles binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select(F.col("doc_id").alias("rep"), "root", "block", F.least("block", "k").alias("bi"), F.greatest("block", "k").alias("bj"), "shingles")
-    return sets.groupBy("root", "bi", "bj").applyInPandas(_exact(percent), "a long, b long").distinct()
+    first = _repeated(nodes.select("rep", "half1").mapInPandas(_keys("half1"), "key long, rep long"))
+    second = first.join(nodes.select("rep", "half2"), "rep").select("key", "rep", "half2").mapInPandas(_keys("half2"), "key long, rep long")
+    buckets = written(_repeated(written(second, "tables")), "buckets")
+    leaders = buckets.groupBy("key").agg(F.min("rep").alias("a"))
+    forest = kept(buckets.join(leaders, "key").where("rep > a").groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a")))
+    sure = kept(_confirmed(docs, forest, percent, block))
+    found = kept(components(sure))
+    rows = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("of"))
+    apart = rows.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("key")
+    rows = rows.join(apart, "key", "left_semi").join(nodes.select("rep", "n", "code"), "rep").select("key", "of", "n", "code")
+    likely = rows.repartition("key").sortWithinPartitions("key", "of").mapInPandas(_likely(percent, wide), "a long, b long").distinct()
+    groups = kept(components(likely).select(F.col("id").alias("of"), "root"))
+    within = groups.join(found.withColumnRenamed("root", "of"), "of", "left").select(F.coalesce("id", "of").alias("doc_id"), "of", "root")
+    return sure.unionByName(_compared(docs, within, percent, block)).distinct()
 
 
 def group(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per row of docs (doc_id, text). Documents link from `percent` on.
 
     Documents of equal shingle sets are one node, their smallest doc_id. Null, empty and blank texts have no
-    shingles and link with nothing. Rows that repeat a doc_id share its component; a row without one is alone; no rows, no result.
+    shingles and link with nothing. Long texts count whole. Repeated rows share a component; of an id with several texts each
+    row has its text's component, and others link to that id by any of its texts. A row without doc_id is alone, with a null component. No rows:
+    no result. Other columns are not read.
     """
-    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, n long, s1 long, s2 long, mins binary, code binary")
-    sketched = written(sketched, "sketches")
-    some = sketched.where("n > 0")
-    nodes = written(some.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("mins", "doc_id").alias("mins"), F.min_by("code", "doc_id").alias("code")), "nodes")
-    found = components(links(docs, nodes.select("rep", "n", "mins", "code"), **how))
+    kind = "doc_id long, n long, s1 long, s2 long, half1 binary, half2 binary, code binary"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketched = written(docs.mapInArrow(_sketch, kind), "sketches")
+    some, own = sketched.where("n > 0"), ("half1", "half2", "code")
+    nodes = written(some.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.min_by(c, "doc_id").alias(c) for c in own)), "nodes")
+    found = components(links(docs, nodes.select("rep", "n", *own), **how))
     classes = nodes.select("s1", "s2", "n", "rep").join(found, F.col("rep") == F.col("id"), "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component"))
-    out = sketched.drop("mins", "code").join(classes, ["s1", "s2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    out = sketched.drop(*own).join(classes, ["s1", "s2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those whose component has a smaller doc_id."""
+    """docs without those whose component has a smaller doc_id; rows without doc_id stay. Columns keep their names and order."""
     gone = written(group(docs).where("not kept").select("doc_id").distinct(), "near-copies")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies in the whole of `documents`, from 85 hundredths on: see group()."""
     return group(table(spark, sf_dir, "documents"), percent=85)
