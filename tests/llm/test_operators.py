@@ -193,6 +193,52 @@ def test_near_duplicates_against_brute_force(spark, percent):
     assert got == brute_components(texts, percent)
 
 
+def test_a_hot_group_against_brute_force(spark):
+    """5,000 near copies meet in one bucket, with others that are like them but below the threshold."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+
+    def edited(of, n):
+        out = list(of)
+        for at in rng.choice(len(of), n, replace=False):
+            out[at] = f"e{rng.integers(1 << 30)}"
+        return " ".join(out)
+
+    texts = [edited(base, 1) for _ in range(5000)] + [edited(base, n) for n in (3, 4, 5, 6, 7, 8, 9, 12)] + [edited(base[:60] + [f"v{i}" for i in range(60)], 1) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.group(df, percent=85, wide=1024).collect()}
+    sets = [neardup.shingles(t) for t in texts]
+    assert all(got[i] == 0 for i in range(5000))  # each is .92 like the others
+    for i in range(5000, 5008):
+        linked = any(neardup._linked(sets[i], sets[j], 85) for j in range(5000))
+        assert (got[i] == 0) == linked or any(got[j] == got[i] != 0 for j in range(5000, 5008))
+    assert {got[i] for i in range(5008, 5308)} == {5008}
+
+
+def test_components_that_meet_only_below_the_threshold(spark):
+    """Chains: a links with b and b with c but a not with c, in buckets that others share; cut as if they were wide, in small blocks."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for f in range(25):
+        words = [f"f{f}w{i}" for i in range(100)]
+        for step in range(6):
+            texts.append(" ".join(words))
+            for at in range(step * 3, step * 3 + 2):
+                words[at] = f"f{f}s{step}a{at}"
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    for wide, block in ((4, 4), (2048, 256)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, block=block, wide=wide).collect()}
+        assert got == brute_components(rows, 85)
+
+
+def test_an_id_with_several_texts_links_by_any_of_them(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, "else"), (1, a)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.group(df).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_near_duplicates_edges(spark, docs, empty):
     got = neardup.group(docs).collect()
     assert len(got) == docs.count()
