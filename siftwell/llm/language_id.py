@@ -14,7 +14,9 @@ from .common import table, unwrapped, wrapped
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Bounds of the fitted classifier, whatever the size of the corpus.
-SAMPLE_ROWS, SLICE_CHARS, DICT_BYTES = 1000, 400, 1 << 17
+LANGUAGES, SAMPLE_ROWS, SLICE_CHARS, DICT_BYTES = 1000, 1000, 400, 1 << 17
+#: Bytes from which Zstandard takes a raw dictionary at all; a shorter one is repeated.
+_LEAST_BYTES = 8
 LEVEL, WINDOW_BYTES = 7, 4096
 #: A text is rejected if the runner-up needs less than this share more bytes than the best.
 REJECT_MARGIN = 0.004
@@ -25,16 +27,18 @@ def letters(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", f" {text} ".lower()).encode("utf-8", "replace")
 
 
-def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, slice_chars: int = SLICE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def fit(labelled: DataFrame, *, languages: int = LANGUAGES, sample_rows: int = SAMPLE_ROWS, slice_chars: int = SLICE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries by language from (text, lang), most frequent language first.
 
-    At most sample_rows different texts of each language (those whose hashes are lowest in a share of the hash range
-    that holds about twice as many different texts, so that no task reads more of a language however large the
-    corpus; in the whole range if that share holds too few) give their first slice_chars characters, until
-    dict_bytes are full. Rows with a null text or language teach nothing. No usable row: no dictionaries.
+    The `languages` most frequent languages are learned (equal counts: the first by name). At most sample_rows different
+    texts of each (those whose hashes are lowest in a share of the hash range that holds about twice as many different
+    texts, so that no task reads more of a language however large the corpus; in the whole range if that share holds
+    too few) give their first slice_chars characters, until dict_bytes are full. Copies count once, so a language of many
+    copies is sampled like one of few. Rows with a null text or language teach nothing, and a language none of whose
+    sampled texts has a letter has no dictionary. No usable row: no dictionaries. Other columns are not read.
     """
     rows = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, slice_chars).alias("head"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     often = {r.lang: r.n for r in counts}
     shares = {r.lang: min(1.0, 2 * sample_rows / max(r.texts, 1)) for r in counts}
     heads: dict[str, list] = {}
@@ -50,8 +54,8 @@ def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, slice_chars: int
     out = {}
     for lang in sorted(heads, key=lambda x: (-often[x], x)):
         data = b"".join(dict.fromkeys(letters(head) for _, head in sorted(heads[lang])))
-        if len(data) >= 8:
-            out[lang] = data[:dict_bytes]
+        if data.strip():
+            out[lang] = (data * -(-_LEAST_BYTES // len(data)))[: max(dict_bytes, _LEAST_BYTES)]
     return out
 
 
@@ -80,7 +84,9 @@ def predict(text: Column, dictionaries: dict[str, bytes], *, level: int = LEVEL,
     """struct(lang_pred, score, margin) of each whole text; `und`, 0, 0 without a letter or without dictionaries.
 
     Each text is compressed against each dictionary and takes the language of the smallest output; margin is
-    the share of bytes that the runner-up needs more, score 2^-excess over all languages, normalised.
+    the share of bytes that the runner-up needs more, score 2^-excess over all languages, normalised. A long text counts
+    whole, `window` bytes at a time. Spark takes the column for nondeterministic, though it isn't, so that a filter on it
+    does not compress every text twice.
     """
 
     @F.arrow_udf("lang_pred string, score double, margin double")
@@ -90,7 +96,7 @@ def predict(text: Column, dictionaries: dict[str, bytes], *, level: int = LEVEL,
             lang, score, margin = zip(*(_classify(t.as_py(), compressors, window) for t in texts), strict=True) if len(texts) else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], names=["lang_pred", "score", "margin"])
 
-    return of(text)
+    return of.asNondeterministic()(text)
 
 
 def held_out() -> Column:
@@ -103,16 +109,21 @@ def taught(docs: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame, *, reject_margin: float = REJECT_MARGIN, **how) -> DataFrame:
-    """(row, lang_pred, score, margin, rejected) of docs (doc_id, text, lang, ...). Rejected: no letter, or a margin under reject_margin."""
+    """(row, lang_pred, score, margin, rejected) of docs (doc_id, text, lang, ...), a row per row of docs.
+
+    Rejected: no letter (so every null, empty or blank text), or a margin under reject_margin. Equal texts get equal predictions, and
+    repeated rows stay. Columns of docs stand in `row`, whatever their names. An empty table gives no rows.
+    """
     out = wrapped(docs).withColumn("id", predict(F.col("row.text"), fit(taught(docs), **how)))
     return out.select("row", "id.*", ((F.col("id.lang_pred") == "und") | (F.col("id.margin") < reject_margin)).alias("rejected"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that language ID rejects; lang becomes the predicted language."""
+    """docs without those that language ID rejects; lang becomes the predicted language. Nulls, repeats, clashing names: as identify()."""
     return unwrapped(identify(docs).where(~F.col("rejected")), docs.columns, lang=F.col("lang_pred"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of the whole of `documents`, learned from the rows that are not held out: see fit(), predict()."""
     got = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return got.select("row.doc_id", "lang_pred", "score", "margin", "rejected").select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
