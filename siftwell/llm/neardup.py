@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ MINS = 2 * HALVES * ROWS
 PERCENT = 80
 #: Documents in a block of the comparison in full, rows of a bucket beyond which it is cut by a further half-key.
 BLOCK, WIDE = 256, 2048
+#: Rounds in which nodes pair with the likeliest of other components, so many of them, and neighbours on either side that they look at in each order.
+NEAREST, PARTNERS, BESIDE = 4, 3, 4
 #: Rows of whole numbers, 64 bytes each at most, that are broadcast.
 BROADCAST_ROWS = (64 << 20) // 64
 
@@ -121,8 +124,53 @@ def _alike(n: np.ndarray, codes: np.ndarray, x: int, others: np.ndarray, percent
     return ((codes[others] == codes[x]).sum(1) >= _agreeing(percent)) & (100 * low >= percent * high)
 
 
+def _by_bucket(batches: Iterator[pd.DataFrame], f) -> Iterator[pd.DataFrame]:
+    """f of rows that come sorted by key, in portions that hold whole buckets; a bucket may span batches."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = pdf["key"].to_numpy()
+        if keys[0] == keys[-1] and (not held or held[0]["key"].iloc[0] == keys[-1]):
+            held.append(pdf)
+            continue
+        whole = pd.concat([*held, pdf])
+        tail = whole["key"].to_numpy() == keys[-1]
+        held = [whole[tail]]
+        yield f(whole[~tail])
+    if held:
+        yield f(pd.concat(held))
+
+
+def _nearest(percent: int):
+    """(b, a, agreeing): of each row its likeliest neighbour a of another component, in buckets of rows (key, rep, of, n, code).
+
+    A bucket's rows are sorted by each eight of their minhashes in turn, and each row looks at those beside it: rows that
+    are most alike stand side by side in some of these orders, and the work is in proportion to the rows.
+    """
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, rep, of, n = (pdf[c].to_numpy() for c in ("key", "rep", "of", "n"))
+        codes = np.frombuffer(b"".join(pdf["code"]), "uint8").reshape(len(pdf), MINS)
+        best, at = np.full(len(pdf), _agreeing(percent) - 1), np.full(len(pdf), -1)
+        for words in codes.view(">u8").T:
+            order = np.lexsort((words, key))
+            for d in range(1, min(BESIDE, len(order) - 1) + 1):
+                x, y = order[:-d], order[d:]
+                able = (key[x] == key[y]) & (of[x] != of[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                x, y = x[able], y[able]
+                same = (codes[x] == codes[y]).sum(1)
+                for p, q in ((x, y), (y, x)):
+                    more = same > best[p]
+                    best[p[more]], at[p[more]] = same[more], q[more]
+        has = at >= 0
+        return pd.DataFrame({"b": rep[has], "a": rep[at[has]], "agreeing": best[has]}, dtype="int64")
+
+    return lambda batches: _by_bucket(batches, pairs)
+
+
 def _contacts(of: np.ndarray, n: np.ndarray, codes: np.ndarray, percent: int, wide: int) -> Iterator[tuple[int, int]]:
-    """Pairs of components `of` which likely pairs of a bucket's rows join. A wide bucket is cut by every half-key in turn."""
+    """A spanning forest of the components `of` which likely pairs of a bucket's rows join. A wide bucket is cut by every half-key in turn."""
     if len(of) > wide:
         for h in range(2 * HALVES):
             _, at = np.unique(np.ascontiguousarray(codes[:, h * ROWS : (h + 1) * ROWS]).view(f"V{ROWS}").ravel(), return_inverse=True)
@@ -135,14 +183,15 @@ def _contacts(of: np.ndarray, n: np.ndarray, codes: np.ndarray, percent: int, wi
                     yield from _contacts(of[g], n[g], codes[g], percent, wide)
         return
     names, at, size = np.unique(of, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return
-    met = set()
+    root = np.arange(len(names))
     for x in np.flatnonzero(at != size.argmax()):  # the largest component's rows are met by the others
-        others = np.flatnonzero(at != at[x])
+        others = np.flatnonzero(root[at] != root[at[x]])
+        if not len(others):
+            return
         for y in np.unique(at[others[_alike(n, codes, x, others, percent)]]):
-            met.add((min(at[x], y), max(at[x], y)))
-    yield from ((names[x], names[y]) for x, y in met)
+            if root[y] != root[at[x]]:
+                root[root == root[y]] = root[at[x]]
+                yield min(names[y], names[at[x]]), max(names[y], names[at[x]])
 
 
 def _likely(percent: int, wide: int):
@@ -157,23 +206,7 @@ def _likely(percent: int, wide: int):
                 out.update(_contacts(of[g], n[g], codes[g], percent, wide))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            keys = pdf["key"].to_numpy()
-            if keys[0] == keys[-1] and (not held or held[0]["key"].iloc[0] == keys[-1]):
-                held.append(pdf)
-                continue
-            whole = pd.concat([*held, pdf])
-            tail = whole["key"].to_numpy() == keys[-1]
-            held = [whole[tail]]
-            yield pairs(whole[~tail])
-        if held:
-            yield pairs(pd.concat(held))
-
-    return run
+    return lambda batches: _by_bucket(batches, pairs)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -184,16 +217,17 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _star(percent: int):
-    """Links (a, b) of rows of one leader a with others: an id that stands with several texts links by any of them."""
+    """Links (a, b) of leaders with others, from rows (key, a, lead, doc_id, shingles) sorted by key: an id that stands with several texts links by any of them."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads = [np.frombuffer(x, "uint64") for x in pdf.loc[pdf["lead"], "shingles"]]
-        rest = pdf[~pdf["lead"]]
-        hit = [any(_linked(h, np.frombuffer(x, "uint64"), percent) for h in heads) for x in rest["shingles"]]
-        b = np.unique(rest["doc_id"].to_numpy()[hit]) if len(rest) else np.empty(0, "int64")
-        return pd.DataFrame({"a": np.full(len(b), pdf["a"].iat[0]), "b": b}, dtype="int64")
+    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
+        lead, ids, of = pdf["lead"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["a"].to_numpy()
+        sets, out = [np.frombuffer(x, "uint64") for x in pdf["shingles"]], set()
+        for g in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(pdf["key"].to_numpy())) + 1):
+            heads = g[lead[g]]
+            out.update((of[x], ids[x]) for x in g[~lead[g]] if any(_linked(sets[h], sets[x], percent) for h in heads))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    return run
+    return lambda batches: _by_bucket(batches, linked)
 
 
 def _exact(percent: int):
@@ -243,8 +277,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, block: int) -> D
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     of = pairs.join(parts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(False).alias("lead"))
     heads = parts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
-    sets = _with_sets(docs, of.unionByName(heads), "doc_id long, a long, part int, lead boolean")
-    return sets.groupBy("a", "part").applyInPandas(_star(percent), "a long, b long")
+    sets = _with_sets(docs, of.unionByName(heads), "doc_id long, a long, part int, lead boolean").withColumn("key", F.xxhash64("a", "part"))
+    return sets.repartition("key").sortWithinPartitions("key", "a").mapInPandas(_star(percent), "a long, b long")
 
 
 def _compared(docs: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
@@ -267,26 +301,38 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int
     """Confirmed links (a, b) of nodes (rep, n, half1, half2, code: a byte of each minhash): enough of them that all that link are connected.
 
     1. The first collection's half-keys are exchanged; only rows whose half-key repeats are split by the second
-    one's, and of these again those that repeat are the buckets of the tables. 2. Each node pairs with the least leader
-    of its buckets, one pair a node: a forest. These pairs are confirmed on full sets, and what links is one component,
-    so a group of copies with edits is settled by work in proportion to it. 3. Buckets that still hold several components
-    are searched for likely pairs of them (agreeing minhashes), and the groups which these make are compared in full,
-    but never within a component. No pair is dropped for the size of its bucket or group.
+    one's, and of these again those that repeat are the buckets of the tables. 2. Each node pairs with the likeliest nodes of its
+    buckets, PARTNERS at most; the pairs are confirmed on full sets, and what links is one component. So again, a few
+    times, with nodes of other components: a group of copies with edits is settled by work in proportion to it. 3. Buckets that
+    still hold several components are searched for likely pairs of these (agreeing minhashes), and the groups which they make are
+    compared in full, but never within a component. No pair is dropped for the size of its bucket or group.
     """
     first = _repeated(nodes.select("rep", "half1").mapInPandas(_keys("half1"), "key long, rep long"))
     second = first.join(nodes.select("rep", "half2"), "rep").select("key", "rep", "half2").mapInPandas(_keys("half2"), "key long, rep long")
-    buckets = written(_repeated(written(second, "tables")), "buckets")
-    leaders = buckets.groupBy("key").agg(F.min("rep").alias("a"))
-    forest = kept(buckets.join(leaders, "key").where("rep > a").groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a")))
-    sure = kept(_confirmed(docs, forest, percent, block))
-    found = kept(components(sure))
-    rows = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("of"))
-    apart = rows.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("key")
-    rows = rows.join(apart, "key", "left_semi").join(nodes.select("rep", "n", "code"), "rep").select("key", "of", "n", "code")
+    rows = written(_repeated(written(second, "tables")).join(nodes.select("rep", "n", "code"), "rep").select("key", "rep", F.col("rep").alias("of"), "n", "code"), "buckets")
+    sure, found = [], None
+    for _ in range(NEAREST):
+        near = rows.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_nearest(percent), "b long, a long, agreeing long")
+        best = F.slice(F.sort_array(F.collect_set(F.struct("agreeing", "a")), asc=False), 1, PARTNERS)  # of one a table at most
+        pairs = kept(near.groupBy("b").agg(best.alias("best")).select("b", F.explode("best.a").alias("a")))
+        if pairs.isEmpty():
+            break
+        sure.append(kept(_confirmed(docs, pairs, percent, block)))
+        found = kept(components(_union(sure)))
+        rows = rows.drop("of").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("of"), "n", "code")
+        apart = rows.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("key")
+        rows = written(rows.join(apart, "key", "left_semi").select("key", "rep", "of", "n", "code"), "apart")
     likely = rows.repartition("key").sortWithinPartitions("key", "of").mapInPandas(_likely(percent, wide), "a long, b long").distinct()
     groups = kept(components(likely).select(F.col("id").alias("of"), "root"))
-    within = groups.join(found.withColumnRenamed("root", "of"), "of", "left").select(F.coalesce("id", "of").alias("doc_id"), "of", "root")
-    return sure.unionByName(_compared(docs, within, percent, block)).distinct()
+    if groups.isEmpty():
+        return _union(sure) if sure else likely
+    within = groups if found is None else groups.join(found.withColumnRenamed("root", "of"), "of", "left")
+    within = within.select((F.coalesce("id", "of") if found is not None else F.col("of")).alias("doc_id"), "of", "root")
+    return _union([*sure, _compared(docs, within, percent, block)])
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables).distinct()
 
 
 def group(docs: DataFrame, **how) -> DataFrame:

@@ -208,7 +208,7 @@ def test_a_hot_group_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.group(df, percent=85, wide=1024).collect()}
     sets = [neardup.shingles(t) for t in texts]
-    assert all(got[i] == 0 for i in range(5000))  # each is .92 like the others
+    assert all(got[i] == 0 for i in range(5000))  # two are .84 alike, or more where their edits are close: all link in chains
     for i in range(5000, 5008):
         linked = any(neardup._linked(sets[i], sets[j], 85) for j in range(5000))
         assert (got[i] == 0) == linked or any(got[j] == got[i] != 0 for j in range(5000, 5008))
