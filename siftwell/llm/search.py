@@ -20,7 +20,7 @@ K1, B, TOP = 1.2, 0.75, 10
 #: Scores count to so many decimals; two that are equal then rank by doc_id.
 DIGITS = 6
 #: Documents and postings at which a shard is closed, documents of a block, queries of a block, blocks evaluated before pruning.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, FIRST = 8192, 4_000_000, 32, 256, 8
+SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, FIRST = 8192, 2_000_000, 32, 128, 8
 #: Most terms of a shard that count as common, and the share of its documents that such a term is in at least.
 COMMON, OFTEN = 512, 1 / 40
 #: Words whose hashes a task remembers.
@@ -122,6 +122,7 @@ class _Searcher:
         self.run_block = self.docs[self.run[:-1]] // BLOCK
         self.run_max = np.maximum.reduceat(self.impacts, self.run[:-1]) if len(self.docs) else np.empty(0)
         self.term_run = np.searchsorted(self.run, self.starts)
+        self.scored = self.asked = 0  # blocks scored for a query, and blocks that hold a term of it
         n, df = len(self.doc_ids), np.diff(self.starts)
         common = np.argsort(-df, kind="stable")[:COMMON]
         common = common[df[common] >= OFTEN * n]
@@ -171,11 +172,13 @@ class _Searcher:
         block = self.run_block[runs]
         bound = (most + np.bincount(block, self.run_max[runs] * weights[of], self.blocks)) * (1 + 1e-9)
         able = np.flatnonzero((bound > 0) & (bound >= floor - 10.0**-DIGITS))  # a rounded score may still reach the floor
+        self.asked += np.count_nonzero(bound > 0)
         order, found, scores, best = able[np.argsort(-bound[able], kind="stable")], [], [], np.empty(0)
         for take in (order[:FIRST], order[FIRST:]):
             take = take[bound[take] >= floor - 10.0**-DIGITS]
             if not len(take):
                 break
+            self.scored += len(take)
             chosen = np.zeros(self.blocks, bool)
             chosen[take] = True
             some = np.flatnonzero(chosen[block])
@@ -207,8 +210,11 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, **how) -> DataFr
     """(query_id, rank, doc_id, score): the exact BM25 `top` documents of docs (doc_id, text) for queries (query_id, text).
 
     Terms weigh by global document frequencies and lengths, so a document's score does not depend on its shard,
-    and merging each task's `top` is exact. Scores have DIGITS decimals, and equal ones rank by doc_id. Queries stand in the shared folder,
-    and each task reads them a block at a time against its shards. A query without a term that occurs has no rows.
+    and merging each shard's `top` is exact. Scores have DIGITS decimals, and equal ones rank by doc_id. Queries stand in the shared folder,
+    and each shard reads them a block at a time and hands on each block's best: a task holds a shard and a block. A query without a term that
+    occurs (so a null, empty or blank one) has no rows, and a document without terms is never found but counts among the documents. Long
+    texts count whole. Rows that repeat a doc_id are documents of their own; a row without doc_id can't be named in a result, and is no part of
+    the corpus or of its statistics. Other columns are not read. No documents or no queries: no rows.
     """
     spark = docs.sparkSession
     index = written(build(docs, **how), "index")
@@ -224,20 +230,15 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, **how) -> DataFr
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = fs.FileSystem.from_uri(where)
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for pdf in batches:
             for _, row in pdf.iterrows():
                 shard = _Searcher(row, mean)
                 for batch in ds.dataset(folder, filesystem=store, format="parquet").to_batches(batch_size=QUERIES):
-                    asked = batch["query_id"].to_pylist()
                     t, w = ([x.values.to_numpy() for x in batch[c]] for c in ("terms", "weights"))
-                    had = [held.get(q, (np.empty(0, "int64"), np.empty(0))) for q in asked]
-                    floors = [scores[-1] if len(scores) == top else 0.0 for _, scores in had]
-                    for q, (ids, scores), got in zip(asked, had, shard.search_all([x.view("uint64") for x in t], w, top, floors), strict=True):
-                        held[q] = _best(np.concatenate((ids, got[0])), np.concatenate((scores, got[1])), top)
-        for q, (ids, scores) in held.items():
-            if len(ids):
-                yield pd.DataFrame({"query_id": np.full(len(ids), q, "int64"), "doc_id": ids, "score": scores})
+                    got = [_best(*found, top) for found in shard.search_all([x.view("uint64") for x in t], w, top, [0.0] * len(t))]
+                    ids, scores = ([g[k] for g in got] for k in (0, 1))
+                    if got:  # what a shard finds for a block of queries leaves it at once
+                        yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), [len(i) for i in ids]), "doc_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     merged = index.mapInPandas(scored, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
@@ -245,5 +246,6 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, **how) -> DataFr
 
 
 def op6_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of the whole of `documents` for each document whose id is divisible by 100: see search()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))

@@ -265,6 +265,28 @@ def test_search_against_brute_force(spark, docs, empty, real):
     assert search.search(empty, empty.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
 
 
+def test_blocks_are_pruned():
+    """Documents of 40 topics that share common words: a query scores about half of the blocks, and finds what scoring all of them finds."""
+    rng = np.random.default_rng(7)
+    shard = search._Shard()
+    texts = [" ".join(rng.choice([f"t{i % 40}w{j}" for j in range(200)], 60)) + " " + " ".join(rng.choice([f"c{j}" for j in range(30)], 20)) for i in range(4000)]
+    for i, t in enumerate(texts):
+        shard.add(i, search.terms(t))
+    names = search.SHARD.replace(" long", "").replace(" binary", "").split(", ")
+    searcher = search._Searcher(dict(zip(names, shard.row())), 80.0)
+    asked = [search.terms(t) for t in texts[::100]]
+    t, w = [np.fromiter(a, "uint64", len(a)) for a in asked], [np.ones(len(a)) for a in asked]
+    got = [search._best(*found, 10) for found in searcher.search_all(t, w, 10, [0.0] * len(t))]
+    assert searcher.scored < 0.6 * searcher.asked
+    for (ids, scores), one, weight in zip(got, t, w):
+        total = np.zeros(len(searcher.doc_ids))
+        for k, x in zip(np.searchsorted(searcher.terms, one), weight):
+            part = slice(searcher.starts[k], searcher.starts[k + 1])
+            total[searcher.docs[part]] += searcher.impacts[part] * x
+        want = search._best(searcher.doc_ids, np.round(total, search.DIGITS), 10)
+        assert np.array_equal(ids, want[0]) and np.allclose(scores, want[1])
+
+
 def test_secrets(spark, docs, empty):
     texts = ['secret=token: abcdefghijklmnop', 'PassWD : "a1b2c3d4e5f6g7" api-key=abcdefghijklm APIKEY=short', "AKIA" + "A" * 13 + " AKIA" + "B" * 14, "f" * 15 + "g" + "0" * 16, "ſecret = abcdefghijklmnop", "😀 token=abcdefghijklmnop", None, ""]
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
