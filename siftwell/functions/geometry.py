@@ -20,13 +20,20 @@ def iou(a: Column, b: Column) -> Column:
     return F.coalesce(both / F.nullif(a["w"] * a["h"] + b["w"] * b["h"] - both, F.lit(0.0)), F.lit(0.0))
 
 
-def crop(width: Column, height: Column, cx: Column, cy: Column, ratio: float, scale: Column) -> Column:
-    """struct(left, top, w, h) in whole pixels of a crop of the ratio around a centre, moved inside the frame. Halves round to even."""
-    w = F.least(width * scale, height * scale * ratio)
-    h = w / ratio
-    left = F.least(F.greatest(cx * width - w / 2, F.lit(0.0)), width - w)
-    top = F.least(F.greatest(cy * height - h / 2, F.lit(0.0)), height - h)
-    return F.struct(*(F.bround(v).cast("long").alias(n) for n, v in (("left", left), ("top", top), ("w", w), ("h", h))))
+def crop(width: Column, height: Column, head: Column, ratio: Column, scale: Column, down: Column, aside: Column) -> Column:
+    """struct(left, top, right, bottom) in whole pixels of a crop around a head box: its height is `scale` heads, its width that times `ratio`.
+
+    Its centre lies `down` and `aside` heads from the box's. A crop larger than the frame shrinks to it, and one that
+    leaves it is moved inside. Each edge is rounded for itself, halves to even.
+    """
+    unit = head["h"] * height
+    h = unit * scale
+    fit = F.least(F.lit(1.0), width / (h * ratio), height / h)
+    w, h = h * ratio * fit, h * fit
+    inside = lambda centre, part, whole: F.greatest(F.lit(0.0), F.least(centre - part / 2, whole - part))
+    left = inside((head["x"] + head["w"] / 2) * width + aside * unit, w, width)
+    top = inside((head["y"] + head["h"] / 2) * height + down * unit, h, height)
+    return F.struct(*(F.bround(v).cast("long").alias(n) for n, v in (("left", left), ("top", top), ("right", left + w), ("bottom", top + h))))
 
 
 def oriented(x: Column, y: Column, orientation: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,16 @@ def group_digest(member: Column, fingerprint: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat(member.cast("string"), F.lit(":"), fingerprint))), ","), 256)
 
 
+def group_digests(rows: DataFrame, by: str, member: Column, fingerprint: Column) -> DataFrame:
+    """(by, digest) of groups of any size: members are digested by the first four digits of their MD5, and these 65,536 digests at most once more.
+
+    No array holds more than a group's share of one part or its parts. Rows without `by` are a group of their own.
+    """
+    member = member.cast("string")
+    parts = rows.groupBy(by, F.substring(F.md5(member), 1, 4).alias("_part")).agg(group_digest(member, fingerprint).alias("_digest"))
+    return parts.groupBy(by).agg(group_digest(F.col("_part"), F.col("_digest")).alias("digest"))
+
+
 def is_current(stored: Column, now: Column) -> Column:
     """A stored fingerprint that is null is never current."""
     return F.coalesce(stored == now, F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where none is set: a temporary one if all runs in one process, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="siftwell-")
-        if not found.isDefined():
+        if found.isDefined():
+            base = found.get()
+        elif re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            base = tempfile.mkdtemp(prefix="siftwell-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return base.rstrip("/")
 
 

@@ -27,6 +27,33 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _moments(blocks: Column) -> Column:
+    """Of each block its mean and population variance."""
+    mean = lambda b: F.aggregate(b, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(b)
+    return F.transform(blocks, lambda b: F.struct(mean(b).alias("mean"), (dot(b, b) / F.size(b) - mean(b) * mean(b)).alias("var")))
+
+
+def _mean_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def block_ssim_bound(a: Column, b: Column, range: float = 1.0) -> Column:
+    """The most that block_ssim() of the same blocks can be, from means and variances alone: no covariance passes the product of the deviations."""
+    c1, c2 = (0.01 * range) ** 2, (0.03 * range) ** 2
+    light = lambda x, y: (2 * x["mean"] * y["mean"] + c1) / (x["mean"] * x["mean"] + y["mean"] * y["mean"] + c1)
+    each = lambda x, y: (light(x, y) * c2 + F.abs(light(x, y)) * 2 * F.sqrt(F.greatest(x["var"] * y["var"], F.lit(0.0)))) / (x["var"] + y["var"] + c2)
+    return _mean_of(F.zip_with(_moments(a), _moments(b), each))
+
+
+def block_ssim(a: Column, b: Column, range: float = 1.0) -> Column:
+    """Mean structural similarity of blocks that stand in the same places, population moments, kept within -1 and 1."""
+    c1, c2 = (0.01 * range) ** 2, (0.03 * range) ** 2
+    joint = F.zip_with(F.zip_with(a, b, lambda x, y: dot(x, y) / F.size(x)), F.zip_with(_moments(a), _moments(b), lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda xy, m: F.struct(xy.alias("xy"), m["p"].alias("p"), m["q"].alias("q")))
+    light = lambda s: (2 * s["p"]["mean"] * s["q"]["mean"] + c1) / (s["p"]["mean"] * s["p"]["mean"] + s["q"]["mean"] * s["q"]["mean"] + c1)
+    each = lambda s: light(s) * (2 * (s["xy"] - s["p"]["mean"] * s["q"]["mean"]) + c2) / (s["p"]["var"] + s["q"]["var"] + c2)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _mean_of(F.transform(joint, each))))
+
+
 def ssim(a: Column, b: Column) -> Column:
     """Structural similarity of two blocks of equal size, population moments, dynamic range 1."""
     n = F.size(a)

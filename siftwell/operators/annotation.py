@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import latest
+from .ranking import percentiles
 
 
 def submitted(ratings: DataFrame, item: str, annotator: str, revision: str, status: str) -> DataFrame:
@@ -76,9 +77,9 @@ def disjoint_split(subject: Column, shares: Sequence[tuple[str, float]]) -> Colu
 
 def strata(rows: DataFrame, by: str, value: str, n: int) -> DataFrame:
     """rows with stratum, from 0: how many of the group's n - 1 inner percentiles of value lie below. Null values have none."""
-    cuts = rows.groupBy(F.col(by).alias("_b")).agg(F.percentile(value, F.array(*(F.lit(i / n) for i in range(1, n)))).alias("_cuts"))
+    cuts = percentiles(rows, [by], value, [i / n for i in range(1, n)]).select(F.col(by).alias("_b"), F.col("_p").alias("_cuts"))
     at = F.when(F.col(value).isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-    return rows.join(cuts, F.col(by).eqNullSafe(F.col("_b"))).withColumn("stratum", at).drop("_b", "_cuts")
+    return rows.join(cuts, F.col(by).eqNullSafe(F.col("_b")), "left").withColumn("stratum", at).drop("_b", "_cuts")
 
 
 def codes(rows: DataFrame, key: str, reasons: str, catalog: list[str]) -> DataFrame:

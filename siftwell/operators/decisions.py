@@ -200,3 +200,19 @@ def replies(rows: DataFrame, scope: str, expected: DataFrame, subject: str, part
     out = both.groupBy(key.alias(scope)).agg(F.bool_and(F.col("_s").isNotNull() & F.col(scope).isNotNull()).alias("_whole"), F.bool_or(F.coalesce(F.col("_sure") & (F.col("_state") == "severe"), F.lit(False))).alias("_severe"), F.bool_and(F.coalesce(fine, F.lit(False))).alias("_clear"), F.min(issue).alias("_issue"))
     verdict = F.when(~F.col("_whole"), "invalid").when(F.col("_severe"), "reject").when(F.col("_clear"), "keep").otherwise("review")
     return out.select(scope, verdict.alias("recommendation"), F.when(F.col("_whole"), F.col("_issue.part")).alias("first_issue"))
+
+
+def refused(gates: dict[str, Column]) -> Column:
+    """The name of the first gate that does not hold (null does not); null if all do. The gates of an automatic selection are its provenance, in order."""
+    out = F.lit(None).cast("string")
+    for name, holds in reversed(gates.items()):
+        out = F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)).otherwise(out)
+    return out
+
+
+def selection_origin(confirmed: Column, same_inputs: Column, reason: Column, stored_equal: Column) -> Column:
+    """human for a confirmed selection whose inputs are the same; automatic for one that no gate refuses and that equals what was stored; else null.
+
+    A confirmation that has lost its inputs never becomes an automatic selection.
+    """
+    return F.when(confirmed, F.when(same_inputs, "human")).when(reason.isNull() & stored_equal, "automatic")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 
 def confusion(rows: DataFrame, predicted: str, truth: str, predictions: list[str], truths: list[str]) -> DataFrame:
     """(predicted, truth, n) for every cell of both vocabularies, empty ones too. One aggregation, then a join of a few rows."""
@@ -64,12 +66,11 @@ def reasons(rows: DataFrame, reasons: str) -> DataFrame:
 def rank_correlation(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """(by, rho): Spearman's coefficient by group, ties at their mean rank.
 
-    Counts of each value are ranked, not rows: the window holds distinct values only.
+    Counts of each value are ranked, not rows, and a group of any size in ranges. Rows with a null count nowhere.
     """
+    rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     for c in (a, b):
-        values = rows.groupBy(by, c).agg(F.count("*").alias("_k"))
-        upto = F.sum("_k").over(Window.partitionBy(by).orderBy(c))
-        rows = rows.join(values.select(by, c, (upto - (F.col("_k") - 1) / 2).alias(f"_rank_{c}")), [by, c])
+        rows = rows.join(running(rows, [by], c).select(by, c, (F.col("_upto") - (F.col("_k") - 1) / 2).alias(f"_rank_{c}")), [by, c])
     return rows.groupBy(by).agg(F.corr(f"_rank_{a}", f"_rank_{b}").alias("rho"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .ranking import row_numbers
+
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], inputs: list[str], output: str, kind: str) -> DataFrame:
     """rows with output: step(state, values of inputs) of each row in order; the state begins anew with each key."""
@@ -175,7 +177,7 @@ def retained(rows: DataFrame, keys: list[str], order: list[str], most: int) -> D
 def numbered(rows: DataFrame, group: str, position: str) -> DataFrame:
     """rows with number, from 1, of their group by first appearance. Only groups are ranked, not rows."""
     first = rows.groupBy(F.col(group).alias("_g")).agg(F.min(position).alias("_p"))
-    order = first.withColumn("number", F.row_number().over(Window.orderBy("_p", "_g")))
+    order = row_numbers(first, ["_p", "_g"], "number")
     return rows.join(order.select("_g", "number"), F.col(group) == F.col("_g")).drop("_g")
 
 
@@ -297,7 +299,7 @@ def split_at(rows: DataFrame, group: str, position: str, at: Column, new: Column
 
 def merge_adjacent(rows: DataFrame, group: str, position: str, wanted: DataFrame) -> DataFrame:
     """rows in which wanted (first, second) groups are one, the earlier; only groups that follow each other by first position merge."""
-    order = rows.groupBy(F.col(group).alias("_g")).agg(F.min(position).alias("_p")).withColumn("_n", F.row_number().over(Window.orderBy("_p", "_g"))).select("_g", "_n")
+    order = row_numbers(rows.groupBy(F.col(group).alias("_g")).agg(F.min(position).alias("_p")), ["_p", "_g"], "_n").select("_g", "_n")
     a, b = order.select(F.col("_g").alias("first"), F.col("_n").alias("_a")), order.select(F.col("_g").alias("second"), F.col("_n").alias("_b"))
     both = wanted.join(a, "first").join(b, "second").where(F.abs(F.col("_a") - F.col("_b")) == 1)
     moves = both.select(F.when(F.col("_a") < F.col("_b"), F.col("second")).otherwise(F.col("first")).alias("_source"), F.when(F.col("_a") < F.col("_b"), F.col("first")).otherwise(F.col("second")).alias("_target"))

@@ -9,18 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import percentiles
+
 
 def contrast(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, p5, p95, contrast): exact percentiles, interpolated; Spark counts equal values before the exchange."""
-    out = rows.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.05), F.lit(0.95))).alias("_p"))
+    """(by, p5, p95, contrast): exact percentiles, interpolated; a group of any size is counted in ranges."""
+    out = percentiles(rows, [by], value, [0.05, 0.95])
     return out.select(by, F.get("_p", 0).alias("p5"), F.get("_p", 1).alias("p95"), (F.get("_p", 1) - F.get("_p", 0)).alias("contrast"))
 
 
 def noise_sigma(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, sigma): the median absolute deviation from the median, scaled to a standard deviation."""
-    middle = rows.groupBy(F.col(by).alias("_b")).agg(F.median(value).alias("_m"))
-    away = rows.join(middle, F.col(by) == F.col("_b")).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    return away.groupBy(by).agg((F.median("_d") / 0.67448975).alias("sigma"))
+    middle = percentiles(rows, [by], value, [0.5]).select(F.col(by).alias("_b"), F.get("_p", 0).alias("_m"))
+    away = rows.join(middle, F.col(by).eqNullSafe(F.col("_b"))).select(by, F.abs(F.col(value) - F.col("_m")).alias("_d"))
+    return percentiles(away, [by], "_d", [0.5]).select(by, (F.get("_p", 0) / 0.67448975).alias("sigma"))
 
 
 def histogram(rows: DataFrame, by: str, vector: str, lo: float, hi: float, bins: int) -> DataFrame:

@@ -87,11 +87,10 @@ def primary(box: Column, width: Column, height: Column) -> Column:
 
 
 def _led(pairs: DataFrame, keys: list[str], score: str, other: str, least: float) -> DataFrame:
-    """The best pair of each key with _clear: it leads the second by `least`, or is alone. Scores count to nine decimals, so that ties are ties."""
-    pairs = pairs.withColumn(score, F.round(score, 9))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), F.desc(other))
-    out = pairs.withColumn("_next", F.lead(score).over(w)).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return out.withColumn("_clear", F.col("_next").isNull() | (F.round(F.col(score) - F.col("_next"), 9) >= least)).drop("_r", "_next")
+    """The best pair of each key with _clear: it leads the second by `least`, or is alone. Scores rank by nine decimals, so that ties are ties, and stay as they are."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("_nine"), F.desc(other))
+    out = pairs.withColumn("_nine", F.round(score, 9)).withColumn("_next", F.lead("_nine").over(w)).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return out.withColumn("_clear", F.col("_next").isNull() | (F.round(F.col("_nine") - F.col("_next"), 9) >= least)).drop("_r", "_next", "_nine")
 
 
 def face_bodies(faces: DataFrame, bodies: DataFrame, photo: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hamming
@@ -14,26 +17,79 @@ from ..functions.storage import written
 
 #: Rows of a block of queries that a task compares at once.
 BLOCK = 1024
+#: Values that a value sends in a Hamming join at most.
+PROBES = 1024
+
+
+def _bands(radius: int, bits: int, probes: int) -> tuple[list[int], int]:
+    """(cuts, near): the fewest bands of the bits such that a value's neighbours within near = radius // bands in every band number `probes` at most."""
+    for n in range(1, radius + 2):
+        near, wide = radius // n, -(-bits // n)
+        if n * sum(math.comb(wide, k) for k in range(near + 1)) <= probes:
+            break
+    return [bits * i // n for i in range(n + 1)], near
+
+
+def _banded(values: DataFrame, value: str, cuts: list[int], near: int | None = None) -> DataFrame:
+    """values with (band, part): a row for each band, or for each value that differs from a band's part in `near` bits at most."""
+    flips = lambda wide: [sum(1 << b for b in some) for k in range((near or 0) + 1) for some in itertools.combinations(range(wide), k)]
+    bands = list(zip(cuts, cuts[1:], strict=False))
+    part = lambda lo, hi: F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+    if near is None:
+        return values.select("*", F.posexplode(F.array(*(part(*b) for b in bands))).alias("band", "part"))
+    around = lambda lo, hi: F.transform(F.from_json(F.lit(json.dumps(flips(hi - lo))), "array<bigint>"), lambda x: part(lo, hi).bitwiseXOR(x))
+    return values.select("*", F.posexplode(F.array(*(around(*b) for b in bands))).alias("band", "parts")).select("*", F.explode("parts").alias("part")).drop("parts")
+
+
+def _first_band(a: Column, b: Column, cuts: list[int], near: int) -> Column:
+    """The first band in which a and b differ in `near` bits at most."""
+    each = [F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))) <= near for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return F.array_position(F.array(*each), F.lit(True)) - 1
+
+
+def hamming_candidates(left: DataFrame, right: DataFrame, radius: int, bits: int = 64, probes: int = PROBES) -> DataFrame:
+    """Rows of left (_v, ...) beside those of right (_w, ...), no column of both, whose values agree in some band but for a few bits: all within radius, each pair once.
+
+    Values within radius differ in radius // bands bits at most in one of the bands (pigeonhole). The left side sends every
+    value that a band's part may then have, the right side its own parts, so few wide bands serve that hold few values each.
+    """
+    cuts, near = _bands(radius, bits, probes)
+    l, r = _banded(left, "_v", cuts, near), _banded(right, "_w", cuts)
+    return l.join(r, ["band", "part"]).where(_first_band(F.col("_v"), F.col("_w"), cuts, near) == F.col("band")).drop("band", "part")
 
 
 def hamming_pairs(rows: DataFrame, key: str, value: str, radius: int, bits: int = 64) -> DataFrame:
     """(a, b, distance): rows whose 64-bit values are within radius, a before b.
 
     Rows of equal value are a class under their least key: each links with it at distance 0, and classes link
-    by their least keys, so a value with many rows gives one row each. Values within radius agree in full in
-    one of radius + 1 bands of the bits, so the join is on the bands; a pair comes from its first shared band only.
+    by their least keys, so a value with many rows gives one row each. A null value has no pair.
     """
-    cuts = [bits * i // (radius + 1) for i in range(radius + 2)]
-    of = lambda c: F.array(*(F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)))
     rows = rows.where(F.col(value).isNotNull())
     classes = rows.groupBy(F.col(value).alias("_v")).agg(F.min(key).alias("_k"))
-    banded = classes.select("_v", "_k", F.posexplode(of(F.col("_v"))).alias("band", "part"))
-    l, r = banded.alias("l"), banded.alias("r")
-    found = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.part") == F.col("r.part")) & (F.col("l._k") < F.col("r._k")))
-    same = F.zip_with(of(F.col("l._v")), of(F.col("r._v")), lambda x, y: x == y)
-    found = found.withColumn("distance", hamming(F.col("l._v"), F.col("r._v"))).where((F.col("distance") <= radius) & (F.array_position(same, F.lit(True)) == F.col("l.band") + 1))
+    found = hamming_candidates(classes.withColumnRenamed("_k", "_a"), classes.select(F.col("_v").alias("_w"), F.col("_k").alias("_b")), radius, bits)
+    found = found.where("_a < _b").withColumn("distance", hamming(F.col("_v"), F.col("_w"))).where(F.col("distance") <= radius)
     members = rows.join(classes, F.col(value) == F.col("_v")).where(F.col(key) > F.col("_k")).select(F.col("_k").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
-    return found.select(F.col("l._k").alias("a"), F.col("r._k").alias("b"), "distance").unionByName(members)
+    return found.select(F.col("_a").alias("a"), F.col("_b").alias("b"), "distance").unionByName(members)
+
+
+def variant_pairs(rows: DataFrame, key: str, value: str, variants: str, radius: int, bits: int = 64) -> DataFrame:
+    """(a, b, distance): rows (key, value, variants: an array of values) one of whose variants is within radius of the other's own value, a before b; distance is the least.
+
+    Two variants are never compared. Rows of equal value and variants are a class under their least key, by which classes link; each of the
+    others has a row beside it, with the distance from its own value to its nearest variant, or null where that is beyond the radius. A
+    null or empty array has no variants.
+    """
+    classes = rows.groupBy(value, variants).agg(F.min(key).alias("_k"))
+    whole = classes.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_w")).agg(F.collect_set("_k").alias("_b"))
+    parts = classes.select(F.explode(variants).alias("_v"), F.col("_k").alias("_a")).where("_v is not null").distinct()
+    sides = parts.select("_v").distinct()
+    near = hamming_candidates(sides, whole.select("_w"), radius, bits).withColumn("distance", hamming(F.col("_v"), F.col("_w"))).where(F.col("distance") <= radius)
+    both = near.join(parts, "_v").join(whole, "_w").select("_a", F.explode("_b").alias("_b"), "distance")
+    own = both.where("_a = _b").groupBy("_a").agg(F.min("distance").alias("distance"))
+    found = both.where("_a <> _b").groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("distance").alias("distance"))
+    same = rows.join(classes, rows[value].eqNullSafe(classes[value]) & rows[variants].eqNullSafe(classes[variants])).where(rows[key] > F.col("_k"))
+    members = same.select(F.col("_k").alias("a"), rows[key].alias("b")).join(own, F.col("a") == F.col("_a"), "left").select("a", "b", "distance")
+    return found.unionByName(members)
 
 
 def nearest(pairs: DataFrame, key: str, other: str, distance: str) -> DataFrame:
@@ -42,11 +98,12 @@ def nearest(pairs: DataFrame, key: str, other: str, distance: str) -> DataFrame:
     return both.groupBy(key).agg(F.min(F.struct(distance, other)).alias("_m")).select(key, F.col(f"_m.{other}").alias(other), F.col(f"_m.{distance}").alias(distance))
 
 
-def cosine_pairs(rows: DataFrame, key: str, vector: str, queries: DataFrame, least: float) -> DataFrame:
-    """(query, key, score): every row whose cosine with a query (query, vector) is `least` or more.
+def cosine_pairs(rows: DataFrame, key: str, vector: str, queries: DataFrame, least: float, best: int | None = None) -> DataFrame:
+    """(query, key, score): every row whose cosine with a query (query, vector) is `least` or more; of each row's the `best` only, if that is given.
 
     Queries stand in the shared folder and every task reads them in blocks of BLOCK against its batch of rows, so
-    neither side need fit in memory and no pair under `least` leaves Python. A vector of no length has no score.
+    neither side need fit in memory and no pair under `least` leaves Python. Scores rank by nine decimals, equal ones by
+    query. A vector of no length has no score.
     """
     import pyarrow.dataset as ds
     from pyarrow import fs
@@ -65,12 +122,20 @@ def cosine_pairs(rows: DataFrame, key: str, vector: str, queries: DataFrame, lea
             if not len(pdf):
                 continue
             m, ids = unit(pdf["v"]), pdf["k"].to_numpy()
+            held = pd.DataFrame({"query": [], key: [], "score": []})
             for block in ds.dataset(path, filesystem=store, format="parquet").to_batches(batch_size=BLOCK):
                 if not len(block):
                     continue
-                s = np.einsum("id,jd->ij", unit(block["vector"].to_pylist()), m)
+                s = unit(block["vector"].to_pylist()) @ m.T
                 i, j = np.nonzero(s >= least)
-                yield pd.DataFrame({"query": block["query"].to_numpy()[i], key: ids[j], "score": s[i, j]})
+                found = pd.DataFrame({"query": block["query"].to_numpy()[i], key: ids[j], "score": s[i, j]})
+                if best is None:
+                    yield found
+                else:
+                    held = pd.concat([held, found]) if len(held) else found
+                    held = held.assign(nine=held["score"].round(9)).sort_values(["nine", "query"], ascending=[False, True]).groupby(key, sort=False).head(best).drop(columns="nine")
+            if len(held):
+                yield held
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(score, f"query {queries.schema['query'].dataType.simpleString()}, {key} {kind}, score double")

@@ -28,6 +28,33 @@ def crop_overrides(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).select("l_orderkey", "l_linenumber", regions.override(face, photo, regions.SCALE).alias("scale"), regions.override(shift, F.lit(None).cast("double"), regions.SHIFT).alias("shift"), ratio.alias("ratio"), regions.box_key(_box("l_discount", "l_tax", "l_quantity / 100", "0.5")).alias("box_key"))
 
 
+@query("""WITH u AS (SELECT *, l_quantity / 100 * 800 AS unit, CASE l_linenumber % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 ELSE 1.5 END AS ratio FROM lineitem), z AS (SELECT *, unit * 2.5 AS ch, least(1.0, 1000 / (unit * 2.5 * ratio), 800 / (unit * 2.5)) AS fit FROM u),
+f AS (SELECT *, ch * ratio * fit AS w, ch * fit AS h, (l_discount * 5 + 0.1) * 1000 + l_tax * unit AS cx, (l_tax * 8 + l_quantity / 100 / 2) * 800 - l_discount * unit AS cy FROM z),
+e AS (SELECT *, greatest(0.0, least(cx - w / 2, 1000 - w)) AS l, greatest(0.0, least(cy - h / 2, 800 - h)) AS t FROM f)
+SELECT l_orderkey, l_linenumber, cast(round_even(l, 0) AS BIGINT) AS "left", cast(round_even(t, 0) AS BIGINT) AS top, cast(round_even(l + w, 0) AS BIGINT) AS "right", cast(round_even(t + h, 0) AS BIGINT) AS bottom FROM e""")
+def crop_windows(spark: SparkSession, sf: str) -> DataFrame:
+    ratio = F.expr("case l_linenumber % 3 when 0 then 1.0D when 1 then 0.75D else 1.5D end")
+    got = geometry.crop(F.lit(1000.0), F.lit(800.0), _box("l_discount * 5", "l_tax * 8", "0.2D", "l_quantity / 100"), ratio, F.lit(2.5), -F.col("l_discount"), F.col("l_tax"))
+    return _lines(spark, sf).select("l_orderkey", "l_linenumber", got.alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
+_SELECTION = """WITH p AS (SELECT l_orderkey AS photo, l_orderkey % 11 = 0 AS touched, l_orderkey % 13 = 0 AS hidden, l_orderkey % 17 = 0 AS pending, if(l_orderkey % 19 = 0, 'older', 'v1') AS version, count(*) FILTER (l_returnflag = 'N') AS candidates,
+  l_orderkey % 5 <> 0 AS landmarks, if(l_orderkey % 23 = 0, 0.5, 0.6) AS threshold, min(l_linenumber) FILTER (l_returnflag = 'N') AS box, count(*) FILTER (l_returnflag <> 'R') AS faces, min(l_linenumber) FILTER (l_returnflag <> 'R') AS face, l_orderkey % 7 <> 0 AS same FROM lineitem GROUP BY l_orderkey),
+a AS (SELECT *, CASE WHEN touched THEN 'manual' WHEN hidden THEN 'hidden' WHEN pending THEN 'pending' WHEN version <> 'v1' THEN 'version' WHEN candidates <> 1 THEN 'candidates' WHEN threshold <> 0.6 THEN 'threshold' WHEN NOT landmarks THEN 'landmarks' WHEN faces <> 1 OR face <> box THEN 'subjects' WHEN NOT same THEN 'inputs' END AS refused FROM p) """
+
+
+@query(_SELECTION + """SELECT photo, refused, CASE WHEN photo % 33 = 0 AND same THEN 'human' WHEN photo % 33 <> 0 AND refused IS NULL AND photo % 3 <> 0 THEN 'automatic' END AS origin FROM a""")
+def current_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """A confirmed selection counts while its inputs are the same; an automatic one while it can be derived again and equals what was stored."""
+    count = lambda c: F.count_if(F.expr(c))
+    least = lambda c: F.expr(f"min(l_linenumber) filter (where {c})")
+    at = lambda n: F.col("photo") % n == 0
+    p = _lines(spark, sf).groupBy(F.col("l_orderkey").alias("photo")).agg(count("l_returnflag = 'N'").alias("candidates"), least("l_returnflag = 'N'").alias("box"), count("l_returnflag <> 'R'").alias("faces"), least("l_returnflag <> 'R'").alias("face"))
+    gates = {"manual": ~at(11), "hidden": ~at(13), "pending": ~at(17), "version": ~at(19), "candidates": F.col("candidates") == 1, "threshold": ~at(23), "landmarks": ~at(5), "subjects": (F.col("faces") == 1) & F.col("face").eqNullSafe(F.col("box")), "inputs": ~at(7)}
+    p = p.withColumn("refused", decisions.refused(gates))
+    return p.select("photo", "refused", decisions.selection_origin(at(33), ~at(7), F.col("refused"), ~at(3)).alias("origin"))
+
+
 @query("""WITH e AS (SELECT l_orderkey, l_returnflag, cast(l_tax * 100 AS INTEGER) // 2 AS name, count(DISTINCT l_discount) AS k, bool_and(l_quantity > 1) AS ok FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, count(*) AS regions, bool_and(k = 1 AND ok) AS usable FROM e GROUP BY l_orderkey""")
 def region_selection(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,9 +97,9 @@ def face_body_association(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH l AS (SELECT l_orderkey AS photo, l_linenumber AS n, l_returnflag, l_discount * 10 AS x, l_tax * 10 AS y, l_quantity / 50 AS w, l_quantity / 40 AS h, l_quantity / 50 AS c FROM lineitem),
 p AS (SELECT f.photo, f.n AS face, q.n AS person, q.c, greatest(least(f.x + f.w, q.x + q.w) - greatest(f.x, q.x), 0) * greatest(least(f.y + f.h, q.y + q.h) - greatest(f.y, q.y), 0) AS s, f.w * f.h + q.w * q.h AS a,
   sqrt((q.x + q.w / 2 - f.x - f.w / 2) ** 2 + (q.y + q.h / 2 - f.y - f.h / 2) ** 2) / greatest(sqrt(f.w ** 2 + f.h ** 2), 1.0) AS away FROM l f JOIN l q ON f.photo = q.photo AND f.l_returnflag = 'N' AND q.l_returnflag <> 'N'),
-t AS (SELECT *, s / (a - s) AS over, round(2 * s / (a - s) + greatest(1 - away, 0) + 0.1 * c, 9) AS score FROM p),
-u AS (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS r FROM t WINDOW w AS (PARTITION BY photo, face ORDER BY score DESC, person DESC))
-SELECT f.photo, f.n AS face, if((nxt IS NULL OR round(score - nxt, 9) >= 0.08) AND (over >= 0.05 OR away <= 0.75), person, NULL) AS person, round(score, 6) AS score FROM l f LEFT JOIN u ON f.photo = u.photo AND f.n = u.face AND r = 1 WHERE f.l_returnflag = 'N'""")
+t AS (SELECT *, s / (a - s) AS over, 2 * (s / (a - s)) + greatest(1 - away, 0) + 0.1 * c AS score, round(2 * (s / (a - s)) + greatest(1 - away, 0) + 0.1 * c, 9) AS nine FROM p),
+u AS (SELECT *, lead(nine) OVER w AS nxt, row_number() OVER w AS r FROM t WINDOW w AS (PARTITION BY photo, face ORDER BY nine DESC, person DESC))
+SELECT f.photo, f.n AS face, if((nxt IS NULL OR round(nine - nxt, 9) >= 0.08) AND (over >= 0.05 OR away <= 0.75), person, NULL) AS person, round(score, 6) AS score FROM l f LEFT JOIN u ON f.photo = u.photo AND f.n = u.face AND r = 1 WHERE f.l_returnflag = 'N'""")
 def face_person_association(spark: SparkSession, sf: str) -> DataFrame:
     rows = _lines(spark, sf).withColumnRenamed("l_orderkey", "photo").withColumn("box", _box("l_discount * 10", "l_tax * 10", "l_quantity / 50", "l_quantity / 40"))
     faces = rows.where("l_returnflag = 'N'").select("photo", F.col("l_linenumber").alias("face"), "box")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, identity, vectors
-from ..operators import decisions, evaluation, folds, inventory, journal, measurement, similarity
+from ..operators import decisions, evaluation, folds, inventory, journal, measurement, ranking, similarity
 from ..operators.graph import components
 from .registry import query, read
 
@@ -233,9 +233,10 @@ def photo_id_digest(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", identity.photo_id(F.col("url")).alias("photo_id"))
 
 
-@query("SELECT source, sha256(string_agg(doc_id || ':' || md5(text), ',' ORDER BY doc_id || ':' || md5(text))) AS digest FROM documents GROUP BY source")
+@query("""WITH m AS (SELECT source, doc_id || ':' || md5(text) AS m, md5(cast(doc_id AS VARCHAR))[1:4] AS part FROM documents), p AS (SELECT source, part, sha256(string_agg(m, ',' ORDER BY m)) AS d FROM m GROUP BY ALL)
+SELECT source, sha256(string_agg(part || ':' || d, ',' ORDER BY part)) AS digest FROM p GROUP BY source""")
 def group_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").groupBy("source").agg(identity.group_digest(F.col("doc_id"), F.md5("text")).alias("digest"))
+    return identity.group_digests(read(spark, sf, "documents"), "source", F.col("doc_id"), F.md5("text"))
 
 
 @query("""WITH n AS (SELECT l_orderkey, sha256(string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber || ':' || l_returnflag)) AS d FROM lineitem GROUP BY 1),
@@ -293,10 +294,10 @@ def hamming_top1(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.nearest(similarity.hamming_pairs(_hashes(spark, sf), "vec_id", "h", RADIUS), "vec_id", "other", "distance")
 
 
-def _cosines(spark: SparkSession, sf: str, least: float, step: int = 1) -> DataFrame:
+def _cosines(spark: SparkSession, sf: str, least: float, step: int = 1, best: int | None = None) -> DataFrame:
     e = read(spark, sf, "embeddings")
     stated = e.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    return similarity.cosine_pairs(e, "vec_id", "embedding", stated, least)
+    return similarity.cosine_pairs(e, "vec_id", "embedding", stated, least, best)
 
 
 _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
@@ -306,7 +307,7 @@ _COS = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(
 SELECT a.vec_id AS query, b.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND b.vec_id % 25 <> 0) WHERE score >= 0.05) WHERE rank <= 3""")
 def cosine_reference_ranking(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("vec_id").orderBy(F.desc(F.round("score", 9)), "query")
-    got = _cosines(spark, sf, 0.05, 25).where("vec_id % 25 <> 0").withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    got = _cosines(spark, sf, 0.05, 25, 3).where("vec_id % 25 <> 0").withColumn("rank", F.row_number().over(w)).where("rank <= 3")
     return got.select("query", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -314,7 +315,7 @@ def cosine_reference_ranking(spark: SparkSession, sf: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, query) AS n FROM c WHERE score >= 0.05)
 SELECT vec_id, max(query) FILTER (n = 1) AS query, max(score) FILTER (n = 1) AS score, max(score) FILTER (n = 2) AS runner_up, coalesce(max(score) FILTER (n = 1) - max(score) FILTER (n = 2) < 0.05, false) AS ambiguous FROM r GROUP BY vec_id""")
 def margin_ambiguity(spark: SparkSession, sf: str) -> DataFrame:
-    got = _cosines(spark, sf, 0.05, 25).where("vec_id % 25 <> 0").withColumn("score", F.round("score", 9)).where("score >= 0.05")
+    got = _cosines(spark, sf, 0.05, 25, 2).where("vec_id % 25 <> 0").withColumn("score", F.round("score", 9)).where("score >= 0.05")
     out = decisions.margin(got, "vec_id", "score", ["query"], 0.05)
     return out.select("vec_id", "query", "score", "runner_up", "ambiguous")  # scores were rounded once; rounding again would part halves
 
@@ -339,6 +340,29 @@ def block_ssim_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("a", "b", F.round(vectors.ssim(F.col("x"), F.col("y")), 6).alias("ssim"))
 
 
+#: Variants of an embedding's hash: it turned by 5 and by 11 bits. Its own value is within 12 of another's variant.
+@query("""WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings), v AS (SELECT vec_id, list_concat(s[n + 1:64], s[1:n]) AS s FROM h CROSS JOIN (VALUES (5), (11)) t(n)),
+d AS (SELECT h.vec_id AS a, v.vec_id AS b, cast(list_sum(list_transform(list_zip(h.s, v.s), lambda z: if(z[1] = z[2], 0, 1))) AS INTEGER) AS distance FROM h JOIN v ON h.vec_id <> v.vec_id)
+SELECT least(a, b) AS a, greatest(a, b) AS b, min(distance) AS distance FROM d WHERE distance <= 16 GROUP BY ALL""")
+def variant_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    turned = lambda n: F.shiftrightunsigned("h", n).bitwiseOR(F.shiftleft("h", 64 - n))
+    return similarity.variant_pairs(_hashes(spark, sf).withColumn("v", F.array(turned(5), turned(11))), "vec_id", "h", "v", 16)
+
+
+@query("""WITH n AS (SELECT vec_id AS a, lead(vec_id) OVER w AS b, embedding::DOUBLE[] AS x, lead(embedding) OVER w::DOUBLE[] AS y FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+k AS (SELECT a, b, unnest(list_transform(range(8), lambda i: {'x': list_slice(x, 8 * i + 1, 8 * i + 8), 'y': list_slice(y, 8 * i + 1, 8 * i + 8)})) AS k FROM n WHERE b IS NOT NULL),
+m AS (SELECT a, b, list_avg(k.x) AS mx, list_avg(k.y) AS my, list_inner_product(k.x, k.x) / 8 AS xx, list_inner_product(k.y, k.y) / 8 AS yy, list_inner_product(k.x, k.y) / 8 AS xy FROM k),
+t AS (SELECT a, b, (2 * mx * my + 0.0001) / (mx * mx + my * my + 0.0001) AS light, xx - mx * mx AS vx, yy - my * my AS vy, xy - mx * my AS cov FROM m),
+s AS (SELECT a, b, avg((light * 0.0009 + abs(light) * 2 * sqrt(greatest(vx * vy, 0))) / (vx + vy + 0.0009)) AS bound, avg(light * (2 * cov + 0.0009) / (vx + vy + 0.0009)) AS score FROM t GROUP BY ALL)
+SELECT a, b, round(bound, 6) AS bound, if(bound >= 0.2, round(score, 6), NULL) AS score FROM s""")
+def block_ssim_verified(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("label").orderBy("vec_id")
+    n = read(spark, sf, "embeddings").select(F.col("vec_id").alias("a"), F.lead("vec_id").over(w).alias("b"), F.col("embedding").alias("x"), F.lead("embedding").over(w).alias("y")).where("b is not null")
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(c, 8 * i + 1, 8))
+    n = n.select("a", "b", cut("x").alias("x"), cut("y").alias("y")).withColumn("bound", vectors.block_ssim_bound(F.col("x"), F.col("y")))
+    return n.select("a", "b", F.round("bound", 6).alias("bound"), F.when(F.col("bound") >= 0.2, F.round(vectors.block_ssim(F.col("x"), F.col("y")), 6)).alias("score"))
+
+
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {_COS} >= {COSINE}),
 r AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
 SELECT id, min(other) AS root FROM r GROUP BY id""")
@@ -519,7 +543,7 @@ def normalised_options(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT DISTINCT o_orderkey, ntile AS stratum FROM (SELECT o_orderkey, CASE WHEN o_totalprice <= q[1] THEN 1 WHEN o_totalprice <= q[2] THEN 2 WHEN o_totalprice <= q[3] THEN 3 ELSE 4 END AS ntile FROM orders, (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q FROM orders))""")
 def quantile_strata(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders")
-    cuts = o.agg(F.percentile("o_totalprice", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).first()["q"] or [0.0] * 3
+    cuts = [q or 0.0 for q in ranking.percentiles(o, [], "o_totalprice", [0.25, 0.5, 0.75]).first()["_p"]]
     p = F.col("o_totalprice")
     return o.select("o_orderkey", F.when(p <= cuts[0], 1).when(p <= cuts[1], 2).when(p <= cuts[2], 3).otherwise(4).alias("stratum"))
 

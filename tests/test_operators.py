@@ -1,8 +1,10 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.functions import geometry, identity, vectors
+from siftwell.functions import geometry, identity, storage, vectors
 from siftwell.operators import decisions, evaluation, folds, inventory, journal, measurement, similarity
 from siftwell.operators.graph import components
 from siftwell.sources import images, json
@@ -130,7 +132,12 @@ def test_geometry(spark):
     assert one(geometry.iou(F.expr(box(0, 0, 0.1, 0.1)), F.expr(box(0.5, 0.5, 0.1, 0.1)))) == 0
     turned = {k: tuple(one(geometry.oriented(F.lit(0.1), F.lit(0.2), F.lit(k)))) for k in range(1, 9)}
     assert [tuple(round(v, 9) for v in turned[k]) for k in (1, 3, 6, 8)] == [(0.1, 0.2), (0.9, 0.8), (0.8, 0.1), (0.2, 0.9)]
-    assert tuple(one(geometry.crop(F.lit(100.0), F.lit(50.0), F.lit(0.0), F.lit(0.5), 1.0, F.lit(1.0)))) == (0, 0, 50, 50)
+    head = lambda x, y, w, h: F.struct(*(F.lit(v).alias(n) for n, v in zip("xywh", (x, y, w, h))))
+    crop = lambda box, ratio, scale, down=0.0, aside=0.0, size=(1000.0, 800.0): tuple(one(geometry.crop(F.lit(size[0]), F.lit(size[1]), box, *map(F.lit, (ratio, scale, down, aside)))))
+    assert crop(head(0.4, 0.4, 0.2, 0.25), 1.0, 2.0) == (300, 220, 700, 620)
+    assert crop(head(0.0, 0.0, 0.2, 0.25), 0.75, 2.0, 0.5, -0.5) == (0, 0, 300, 400)  # moved inside
+    assert crop(head(0.4, 0.4, 0.2, 0.5), 1.0, 4.0) == (100, 0, 900, 800)  # shrunk to the frame
+    assert crop(head(0.25, 0.25, 0.125, 0.125), 1.0, 0.75, size=(32.0, 32.0)) == (8, 8, 12, 12)  # 8.5 and 11.5, each to even
     assert len(one(geometry.tiles(F.lit(4), F.lit(4)))) == 16
 
 
@@ -184,3 +191,82 @@ def test_contained_needs_every_word(spark):
     docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine y"), (2, "one two three four five six seven eight ten"), (3, None), (4, "short")], "d long, t string")
     items = spark.createDataFrame([(7, "one two three four five six seven eight nine"), (8, "short")], "i long, p string")
     assert pairs(evaluation.contained(docs, "d", "t", items, "i", "p"), "d", "i") == [(1, 7), (4, 8)]
+
+
+def test_hamming_join_filters_candidates(spark):
+    """Of thousands of values a value meets few, and no pair within the radius is missed, nor one of two variants added."""
+    rng = np.random.default_rng(4)
+    near = lambda v, n: int(v) ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    base = [int(x) for x in rng.integers(0, 1 << 63, 1500)]
+    values = base + [near(base[i], i % 10) for i in range(300)] + base[:5]
+    df = spark.createDataFrame([(i, signed(v)) for i, v in enumerate(values)], "id long, v long")
+    for radius in (0, 3, 8):
+        got = {(r.a, r.b): r.distance for r in similarity.hamming_pairs(df, "id", "v", radius).collect()}
+        first = {}
+        for i, v in enumerate(values):
+            first.setdefault(v, i)
+        reps = sorted(first.items(), key=lambda x: x[1])
+        want = {(i, j): (v ^ w).bit_count() for k, (v, i) in enumerate(reps) for w, j in reps[k + 1 :] if (v ^ w).bit_count() <= radius} | {(first[v], i): 0 for i, v in enumerate(values) if first[v] != i}
+        assert got == want
+    classes = df.groupBy(F.col("v").alias("_v")).agg(F.min("id").alias("_a"))
+    met = similarity.hamming_candidates(classes, classes.select(F.col("_v").alias("_w"), F.col("_a").alias("_b")), 8).groupBy("_a").count().agg(F.max("count")).first()[0]
+    assert met < 100
+    some, rows = range(0, 1800, 12), []
+    for i in some:
+        rows.append((i, signed(values[i]), [signed(near(values[(i + 7) % 1800], 2)), signed(near(values[(i + 12) % 1800], 5)), None] if i % 5 else None))
+    rows += [(5000, *rows[1][1:]), (5001, *rows[1][1:])]
+    got = {(r.a, r.b): r.distance for r in similarity.variant_pairs(spark.createDataFrame(rows, "id long, v long, parts array<long>"), "id", "v", "parts", 8).collect()}
+    kinds = {}
+    for i, v, parts in rows:
+        kinds.setdefault((v, str(parts)), []).append(i)
+    heads = {own[0] for own in kinds.values()}
+    want = {}
+    for i, v, parts in rows:
+        for j, w, others in rows:
+            if not {i, j} <= heads:
+                continue
+            d = min([((v ^ x) & (2**64 - 1)).bit_count() for x in others or () if x is not None] or [99])
+            if i != j and d <= 8:
+                want[min(i, j), max(i, j)] = min(d, want.get((min(i, j), max(i, j)), 99))
+    members = {(own[0], i): None for own in kinds.values() for i in own[1:]}  # none is near its own variants
+    assert len(members) > 2 and len(want) > 100 and got == want | members
+
+
+def test_best_of_each_row_leaves_the_task(spark):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    asked = df.where("id < 30").select(F.col("id").alias("query"), F.col("v").alias("vector"))
+    every = similarity.cosine_pairs(df, "id", "v", asked, -1.0).collect()
+    best = similarity.cosine_pairs(df, "id", "v", asked, -1.0, best=2).collect()
+    want = {i: sorted(((-round(r.score, 9), r.query) for r in every if r.id == i))[:2] for i in range(60)}
+    assert {i: sorted((-round(r.score, 9), r.query) for r in best if r.id == i) for i in range(60)} == want
+
+
+def test_block_ssim(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(100, 40, (16, 64)), rng.normal(100, 40, (16, 64))
+    pairs = [(a, a), (a, b), (a, a + 5), (a, -a), (np.zeros_like(a), np.zeros_like(a))]
+    df = spark.createDataFrame([(x.tolist(), y.tolist()) for x, y in pairs], "x array<array<double>>, y array<array<double>>")
+    got = df.select(vectors.block_ssim("x", "y", 255.0).alias("s"), vectors.block_ssim_bound("x", "y", 255.0).alias("m")).collect()
+    c1, c2 = 2.55**2, 7.65**2
+    for (x, y), r in zip(pairs, got):
+        mx, my, vx, vy = x.mean(1), y.mean(1), x.var(1), y.var(1)
+        cov = (x * y).mean(1) - mx * my
+        want = ((2 * mx * my + c1) / (mx**2 + my**2 + c1) * (2 * cov + c2) / (vx + vy + c2)).mean()
+        assert math.isclose(r.s, np.clip(want, -1, 1), rel_tol=1e-9, abs_tol=1e-9) and r.s <= r.m + 1e-9
+    assert got[0].s == got[4].s == 1.0
+
+
+def test_no_shared_folder_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("C", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    class Session:
+        conf = type("Conf", (), {"get": lambda self, *a: None})()
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
