@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.functions import geometry, identity, storage, vectors
-from siftwell.operators import decisions, evaluation, folds, inventory, journal, measurement, similarity
+from siftwell.operators import decisions, evaluation, folds, inventory, journal, measurement, ranking, similarity
 from siftwell.operators.graph import components
 from siftwell.sources import images, json
 
@@ -270,3 +270,22 @@ def test_no_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(RuntimeError):
         storage.shared_dir(Session())
+
+
+def test_ranking(spark):
+    """Numbers, running counts and percentiles against one sorted list a group, over more ranges than groups."""
+    rng = np.random.default_rng(12)
+    rows = [(["a", "b", None][int(min(g, 2))], float(v)) for g, v in zip(rng.integers(0, 9, 3000), rng.integers(0, 400, 3000))] + [("a", None), ("c", None), ("d", 5.0), ("d", math.nan)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    values = {}
+    for g, v in rows:
+        if v is not None and not math.isnan(v):
+            values.setdefault(g, []).append(v)
+    got = {r.g: r._p for r in ranking.percentiles(df, ["g"], "v", [0.0, 0.05, 0.5, 0.9, 1.0]).collect()}
+    assert got.keys() == values.keys() and all(np.allclose(got[g], np.percentile(values[g], [0, 5, 50, 90, 100])) for g in values)
+    for r in ranking.running(df, ["g"], "v").collect():
+        own = values[r.g]
+        assert (r._k, r._upto, r._n) == (own.count(r.v), sum(x <= r.v for x in own), len(own))
+    numbers = ranking.row_numbers(df.where("v is not null").select("v").distinct(), ["v"], "n").collect()
+    assert [r.n for r in sorted(numbers, key=lambda r: (math.isnan(r.v), r.v))] == list(range(1, len(numbers) + 1))
+    assert ranking.row_numbers(df.limit(0), ["v"], "n").count() == 0 and ranking.percentiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
