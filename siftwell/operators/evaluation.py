@@ -63,6 +63,12 @@ def reasons(rows: DataFrame, reasons: str) -> DataFrame:
     return each.join(once, "reason")
 
 
+def counters(stages: dict[str, DataFrame]) -> DataFrame:
+    """(counter, n): the rows of each stage of a run, one row a counter; a stage without rows counts 0."""
+    each = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n") for name, df in stages.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def rank_correlation(rows: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """(by, rho): Spearman's coefficient by group, ties at their mean rank.
 

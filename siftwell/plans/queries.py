@@ -228,6 +228,18 @@ def removed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return inventory_symdiff(spark, sf).where("change = 'removed'").select("k")
 
 
+@query("""SELECT l_orderkey, l_linenumber, coalesce(if(l_linenumber = 6, NULL, if(l_quantity > 40, 'R', l_returnflag)) = l_returnflag, false) AS current FROM lineitem""")
+def current_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    stored = F.expr("if(l_linenumber = 6, null, if(l_quantity > 40, 'R', l_returnflag))")
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", identity.is_current(stored, F.col("l_returnflag")).alias("current"))
+
+
+@query("""SELECT p_brand, p_partkey, 'v' || p_size || '.' || (p_partkey % 100) AS version FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey % 100 DESC, p_partkey) = 1""")
+def latest_release(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "part").select("p_brand", "p_partkey", F.expr("concat('v', p_size, '.', p_partkey % 100)").alias("version"))
+    return rows.groupBy("p_brand").agg(F.max_by(F.struct("p_partkey", "version"), F.struct(identity.version_key(F.col("version")), -F.col("p_partkey"))).alias("m")).select("p_brand", "m.*")
+
+
 @query("SELECT page_id, 'P' || upper(sha256(lower(url))[1:12]) AS photo_id FROM pages")
 def photo_id_digest(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", identity.photo_id(F.col("url")).alias("photo_id"))
@@ -294,6 +306,13 @@ def hamming_top1(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.nearest(similarity.hamming_pairs(_hashes(spark, sf), "vec_id", "h", RADIUS), "vec_id", "other", "distance")
 
 
+@query(_HAMMING + """SELECT 'photos' AS counter, count(*) AS n FROM h UNION ALL SELECT 'representatives', count(DISTINCT s) FROM h UNION ALL SELECT 'hash_candidates', count(*) FROM p UNION ALL SELECT 'close_candidates', count(*) FROM p WHERE distance <= 16""")
+def grouping_counters(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _hashes(spark, sf)
+    pairs = similarity.hamming_pairs(rows, "vec_id", "h", RADIUS)
+    return evaluation.counters({"photos": rows, "representatives": rows.select("h").distinct(), "hash_candidates": pairs, "close_candidates": pairs.where("distance <= 16")})
+
+
 def _cosines(spark: SparkSession, sf: str, least: float, step: int = 1, best: int | None = None) -> DataFrame:
     e = read(spark, sf, "embeddings")
     stated = e.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
