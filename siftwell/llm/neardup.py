@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ PERCENT = 80
 #: Documents in a block of the comparison in full, rows of a bucket beyond which it is cut by a further half-key.
 BLOCK, WIDE = 256, 2048
 #: Rounds in which nodes pair with the likeliest of other components, so many of them, and neighbours on either side that they look at in each order.
-NEAREST, PARTNERS, BESIDE = 4, 3, 4
+NEAREST, PARTNERS, BESIDE = 3, 2, 4
 #: Rows of whole numbers, 64 bytes each at most, that are broadcast.
 BROADCAST_ROWS = (64 << 20) // 64
 
@@ -93,7 +92,7 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _keys(column: str):
-    """(key, rep): each row's key, or its place among HALVES, mixed with the HALVES half-keys in `column`."""
+    """(key, rep, or of beside it): each row's key, if it has one, mixed with the HALVES half-keys in `column` and their places."""
     place = np.arange(HALVES, dtype="uint64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,7 +103,7 @@ def _keys(column: str):
                     half = np.frombuffer(b"".join(part[column]), "uint64").reshape(len(part), HALVES)
                     own = part["key"].to_numpy().view("uint64") if "key" in part else np.zeros(len(part), "uint64")
                     key = _mixed(_mixed(own[:, None], half), place)
-                    yield pd.DataFrame({"key": key.ravel().view("int64"), "rep": np.repeat(part["rep"].to_numpy(), HALVES)})
+                    yield pd.DataFrame({"key": key.ravel().view("int64"), **{c: np.repeat(part[c].to_numpy(), HALVES) for c in ("rep", "of") if c in part}})
 
     return run
 
@@ -143,7 +142,7 @@ def _by_bucket(batches: Iterator[pd.DataFrame], f) -> Iterator[pd.DataFrame]:
 
 
 def _nearest(percent: int):
-    """(b, a, agreeing): of each row its likeliest neighbour a of another component, in buckets of rows (key, rep, of, n, code).
+    """(key, b, a, agreeing): of each row its likeliest neighbour a of another component, in buckets of rows (key, rep, of, n, code).
 
     A bucket's rows are sorted by each eight of their minhashes in turn, and each row looks at those beside it: rows that
     are most alike stand side by side in some of these orders, and the work is in proportion to the rows.
@@ -164,7 +163,7 @@ def _nearest(percent: int):
                     more = same > best[p]
                     best[p[more]], at[p[more]] = same[more], q[more]
         has = at >= 0
-        return pd.DataFrame({"b": rep[has], "a": rep[at[has]], "agreeing": best[has]}, dtype="int64")
+        return pd.DataFrame({"key": key[has], "b": rep[has], "a": rep[at[has]], "agreeing": best[has]}, dtype="int64")
 
     return lambda batches: _by_bucket(batches, pairs)
 
@@ -297,42 +296,55 @@ def _compared(docs: DataFrame, members: DataFrame, percent: int, block: int) ->
     return sets.groupBy("root", "bi", "bj").applyInPandas(_exact(percent), "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
-    """Confirmed links (a, b) of nodes (rep, n, half1, half2, code: a byte of each minhash): enough of them that all that link are connected.
+def linked(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK, wide: int = WIDE) -> DataFrame:
+    """(id, root): the components of nodes (rep, n, half1, half2, code: a byte of each minhash) under their confirmed links; a node without links has no row.
 
-    1. The first collection's half-keys are exchanged; only rows whose half-key repeats are split by the second
-    one's, and of these again those that repeat are the buckets of the tables. 2. Each node pairs with the likeliest nodes of its
-    buckets, PARTNERS at most; the pairs are confirmed on full sets, and what links is one component. So again, a few
-    times, with nodes of other components: a group of copies with edits is settled by work in proportion to it. 3. Buckets that
-    still hold several components are searched for likely pairs of these (agreeing minhashes), and the groups which they make are
+    1. The first collection's half-keys are exchanged; rows whose half-key repeats are buckets. 2. Each node pairs with the
+    likeliest nodes of its buckets, PARTNERS at most; the pairs are confirmed on full sets, and what links is one component. So
+    again, a few times, with nodes of other components in the buckets that had such pairs: a group of copies with edits is settled by work in proportion to
+    it. 3. Rows of buckets that hold several components are split by the second collection's half-keys into the buckets of the
+    tables, and of these again those that hold several are searched for likely pairs (agreeing minhashes). The groups which the pairs make are
     compared in full, but never within a component. No pair is dropped for the size of its bucket or group.
     """
-    first = _repeated(nodes.select("rep", "half1").mapInPandas(_keys("half1"), "key long, rep long"))
-    second = first.join(nodes.select("rep", "half2"), "rep").select("key", "rep", "half2").mapInPandas(_keys("half2"), "key long, rep long")
-    rows = written(_repeated(written(second, "tables")).join(nodes.select("rep", "n", "code"), "rep").select("key", "rep", F.col("rep").alias("of"), "n", "code"), "buckets")
-    sure, found = [], None
+    first = written(_repeated(nodes.select("rep", "half1").mapInPandas(_keys("half1"), "key long, rep long")), "buckets")
+    codes = nodes.select("rep", "n", "code")
+    active, found = first.select("key", "rep", F.col("rep").alias("of")), None
     for _ in range(NEAREST):
-        near = rows.repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_nearest(percent), "b long, a long, agreeing long")
-        best = F.slice(F.sort_array(F.collect_set(F.struct("agreeing", "a")), asc=False), 1, PARTNERS)  # of one a table at most
+        near = active.join(codes, "rep").select("key", "rep", "of", "n", "code").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_nearest(percent), "key long, b long, a long, agreeing long")
+        near = written(near, "near")
+        best = F.slice(F.sort_array(F.collect_set(F.struct("agreeing", "a")), asc=False), 1, PARTNERS)  # of one a bucket at most
         pairs = kept(near.groupBy("b").agg(best.alias("best")).select("b", F.explode("best.a").alias("a")))
         if pairs.isEmpty():
             break
-        sure.append(kept(_confirmed(docs, pairs, percent, block)))
-        found = kept(components(_union(sure)))
-        rows = rows.drop("of").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("of"), "n", "code")
-        apart = rows.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("key")
-        rows = written(rows.join(apart, "key", "left_semi").select("key", "rep", "of", "n", "code"), "apart")
+        found = _merged(found, _confirmed(docs, pairs, percent, block))
+        active = kept(_apart(_placed(first.join(near.select("key").distinct(), "key", "left_semi"), found)))
+    rows = _apart(_placed(first, found)).join(nodes.select("rep", "half2"), "rep").select("key", "rep", "of", "half2")
+    rows = _apart(written(rows.mapInPandas(_keys("half2"), "key long, rep long, of long"), "tables")).join(codes, "rep").select("key", "of", "n", "code")
     likely = rows.repartition("key").sortWithinPartitions("key", "of").mapInPandas(_likely(percent, wide), "a long, b long").distinct()
     groups = kept(components(likely).select(F.col("id").alias("of"), "root"))
     if groups.isEmpty():
-        return _union(sure) if sure else likely
+        return groups.select(F.col("of").alias("id"), "root") if found is None else found
     within = groups if found is None else groups.join(found.withColumnRenamed("root", "of"), "of", "left")
     within = within.select((F.coalesce("id", "of") if found is not None else F.col("of")).alias("doc_id"), "of", "root")
-    return _union([*sure, _compared(docs, within, percent, block)])
+    return _merged(found, _compared(docs, within, percent, block))
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, tables).distinct()
+def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of what is found, if anything, and of links (a, b)."""
+    return kept(components(links if found is None else links.unionByName(found.select(F.col("id").alias("a"), F.col("root").alias("b")))))
+
+
+def _placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(key, rep, of): rows (key, rep) with their component."""
+    if found is None:
+        return rows.select("key", "rep", F.col("rep").alias("of"))
+    return rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("of"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows (key, rep, of) of the keys that hold several components."""
+    keys = rows.groupBy("key").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("key")
+    return rows.join(keys, "key", "left_semi").select("key", "rep", "of")
 
 
 def group(docs: DataFrame, **how) -> DataFrame:
@@ -348,7 +360,7 @@ def group(docs: DataFrame, **how) -> DataFrame:
     sketched = written(docs.mapInArrow(_sketch, kind), "sketches")
     some, own = sketched.where("n > 0"), ("half1", "half2", "code")
     nodes = written(some.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.min_by(c, "doc_id").alias(c) for c in own)), "nodes")
-    found = components(links(docs, nodes.select("rep", "n", *own), **how))
+    found = linked(docs, nodes.select("rep", "n", *own), **how)
     classes = nodes.select("s1", "s2", "n", "rep").join(found, F.col("rep") == F.col("id"), "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component"))
     out = sketched.drop(*own).join(classes, ["s1", "s2", "n"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
