@@ -181,13 +181,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """items (doc_id, piece, length, ...) with sequence_id and offset.
+    """items (doc_id, piece, length, ...) with sequence_id and offset; items come from a written table.
 
-    A piece's rank among equals is its place in its (length, salt) group plus the count of the salts before it;
+    A piece that fills a sequence has one of its own (of a negative number) and is not exchanged. Another's rank among equals is its place in
+    its (length, salt) group plus the count of the salts before it;
     the driver holds lengths x salts counts. A length with a third of all rows is spread over `salts` tasks.
-    No items: no rows.
+    Repeated pieces are packed as often as they stand there. No items: no rows.
     """
     spark = items.sparkSession
+    full = items.where(F.col("length") >= capacity).select(*items.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    items = items.where(F.col("length") < capacity)
     salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = {(x, s): n for x, s, n in salted.groupBy("length", "_salt").count().collect()}
     keys = sorted(counts)
@@ -208,13 +211,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
 
     nth = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
     placed = salted.withColumn("_nth", nth).withColumn("_at", place(F.col("length"), F.col("_salt"), F.col("_nth")))
-    return placed.select(*items.columns, "_at.sequence_id", "_at.offset")
+    return placed.select(*items.columns, "_at.sequence_id", "_at.offset").unionByName(full)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of each document (repeated rows are packed as often as they stand there)."""
+    """One row per piece of each document: see pieces(), pack(). A null doc_id stays null; other columns than doc_id and text are not read."""
     return pack(written(pieces(docs), "pieces"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of `documents` in sequences of 2048 tokens: see stage()."""
     return stage(spark, table(spark, sf_dir, "documents"), sf_dir)

@@ -38,7 +38,7 @@ WIDER = (
 )
 #: Cheap tests that a text with a match of a pattern passes.
 HINT = {"email": "instr(text, '@') > 0", "ip": r"text rlike '[0-9]\\.[0-9]'", "card": "text rlike '[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]'", "phone": "instr(text, '+') > 0"}
-WIDER_HINT = (r"instr(text, 'at)') > 0 or instr(text, 'at]') > 0", "instr(text, ' dot ') > 0", "text rlike '[0-9A-Fa-f]:[0-9A-Fa-f]'", r"text rlike '[0-9][ .-][0-9]{3}[ .-][0-9]{4}'", rf"text rlike '{_DIGIT}[ -]{_DIGIT}[ -]{_DIGIT}'")
+WIDER_HINT = (r"instr(text, 'at)') > 0 or instr(text, 'at]') > 0", "instr(text, ' dot ') > 0", "text rlike '[0-9A-Fa-f]:[0-9A-Fa-f]'", r"text rlike '[0-9][ .-][0-9]{3}[ .-][0-9]{4}'", rf"text rlike '[ -]{_DIGIT}[ -]{_DIGIT}[ -]'")
 #: Cues in the words before a span.
 FOR = r"(?i)(mail|contact|write|tel|phone|call|fax|mobile|cell|card|visa|master|amex|credit|debit|payment|host|server|address|login|reach|\bip\b)"
 AGAINST = r"(?i)(version|release|isbn|issn|doi|sku|serial|order|invoice|section|chapter|figure|table|part|item|\bv|\bno)[\x20.:#]*$"

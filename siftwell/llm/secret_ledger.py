@@ -63,7 +63,9 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, rule_version: int =
 
     Of a blob's paths only the least is read: the others' ids, which are narrow, are taken out by an anti-join
     before texts reach Python. Repeated blobs and those ids are tables of their own, broadcast if counted to be few; beyond
-    that they are exchanged, and Spark can split a blob that a third of all paths share.
+    that they are exchanged, and Spark can split a blob that a third of all paths share. A null text is an empty blob, very long texts
+    are scanned whole, a path with several texts has as many versions, a repeated row is one. A null path can't be the least of a blob's paths unless it
+    is the only one. Other columns are not read; no paths, no rows.
     """
     every = versions(paths)
     first = written(every.groupBy("blob").agg(F.min("path").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("blob", "_first"), "repeated")
@@ -86,5 +88,6 @@ def join_back(paths: DataFrame, ledger: DataFrame, rule_version: int = RULE_VERS
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the whole of `documents`, with an empty ledger: see scan(), join_back()."""
     paths = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     return join_back(paths, written(scan(paths), "ledger")).withColumnRenamed("path", "doc_id")

@@ -77,8 +77,9 @@ def shard(docs: DataFrame, shards: int = 40, parts: int = PARTS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): sizes near equal by shard, slots in key order.
 
     A shard is sorted as `parts` ranges in tasks of their own: the rows below each range are known exactly, so
-    slots are gapless without gathering a shard in one task. Null texts have size 16 and the crc32 of no bytes;
-    rows equal in text and doc_id stay together; fewer rows than shards leave shards empty; no rows, no result.
+    slots are gapless without gathering a shard in one task. Null texts, like empty ones, have size 16 and the crc32 of no bytes;
+    a null doc_id is an id like another; rows equal in text and doc_id stay together, and so share a shard; a very long text makes its shard larger by
+    what cannot be cut; fewer rows than shards leave shards empty; no rows, no result. Other columns are not read.
     """
     rows = written(keyed(docs), "keyed")
     cuts = splitters(rows, shards * parts)
@@ -100,5 +101,6 @@ def shard(docs: DataFrame, shards: int = 40, parts: int = PARTS) -> DataFrame:
 
 
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of `documents` in 40 shards of near equal bytes: see shard()."""
     got = shard(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

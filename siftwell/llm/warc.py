@@ -114,8 +114,9 @@ def write(pages: DataFrame, folder: str, *, least: int = 0, frame_bytes: int = F
     """Archives pages (page_id, url, html) in folder; returns its index (INDEX), which also stands in folder/index.
 
     Of equal payloads of `least` bytes or more the one with the smallest page_id is a response and the others
-    revisit it. A null html is an empty payload; a record without page_id is a response, unless one with the same payload has an id. Only digests are gathered to find the repeats, and only those
-    of payloads that repeat are joined back; a digest of a third of all pages is one row there.
+    revisit it. A null html is an empty payload; a record without page_id is a response, unless one with the same payload has an id. Repeated
+    rows are records of their own, very long payloads count whole, other columns are not read, no pages make an empty index. Only digests are gathered
+    to find the repeats. These are joined back to the pages: while they are small Spark broadcasts them, beyond that payloads are exchanged by digest.
     """
     spark, folder = pages.sparkSession, uri(folder)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -168,5 +169,6 @@ def lookup(index: DataFrame, record_ids: list[int]) -> DataFrame:
 
 
 def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of `pages`, archived and read back: see write(), read()."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     return read(write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder))
