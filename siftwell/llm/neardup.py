@@ -24,7 +24,7 @@ PERCENT = 80
 #: Documents in a block of the comparison in full, rows of a bucket beyond which it is cut by a further half-key.
 BLOCK, WIDE = 256, 2048
 #: Rounds in which nodes pair with the likeliest of other components, so many of them, and neighbours on either side that they look at in each order.
-NEAREST, PARTNERS, BESIDE = 3, 2, 4
+NEAREST, PARTNERS, BESIDE = 1, 3, 4
 #: Rows of whole numbers, 64 bytes each at most, that are broadcast.
 BROADCAST_ROWS = (64 << 20) // 64
 
