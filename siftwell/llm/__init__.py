@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fill_in_middle import op11_fill_in_middle
 from .language_id import op1_language_id
 from .mixing import op10_pareto_mixing
 from .neardup import op4_minhash_near_dedup
@@ -18,7 +19,7 @@ from .sharding import op2_histogram_sort
 from .syncmers import op9_closed_syncmers
 from .warc import op3_warc_bundles
 
-_QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op5_weak_supervision_pii, op6_block_max_wand, op7_secret_ledger, op8_best_fit_packing, op9_closed_syncmers, op10_pareto_mixing)
+_QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op5_weak_supervision_pii, op6_block_max_wand, op7_secret_ledger, op8_best_fit_packing, op9_closed_syncmers, op10_pareto_mixing, op11_fill_in_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

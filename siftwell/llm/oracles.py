@@ -38,4 +38,12 @@ s AS (SELECT doc_id, kind, start, name || ':' || start || ':' || upto AS span FR
 a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM s GROUP BY doc_id)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN a USING (doc_id)"""
 
-ORACLES = {"op3_warc_bundles": OP3, "op4_minhash_near_dedup": OP4, "op6_block_max_wand": OP6, "op7_secret_ledger": OP7}
+#: Lists of DuckDB slice without harm beyond their ends.
+OP11 = r"""WITH h AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS s FROM documents),
+d AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substring(s, i, 8) AS BIGINT)) AS h FROM h),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(list_slice(u, 1, a), ''), '') AS pre, coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') AS mid, coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') AS suf FROM c)
+SELECT doc_id, cast(n AS BIGINT) AS n, form, if(form = 'plain', NULL, length(pre)) AS prefix_chars, if(form = 'plain', NULL, length(mid)) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+ORACLES = {"op3_warc_bundles": OP3, "op4_minhash_near_dedup": OP4, "op6_block_max_wand": OP6, "op7_secret_ledger": OP7, "op11_fill_in_middle": OP11}
