@@ -19,8 +19,9 @@ from .sharding import op2_histogram_sort
 from .syncmers import op9_closed_syncmers
 from .token_store import op12_shared_dictionary_ids
 from .warc import op3_warc_bundles
+from .whitening import op13_tsqr_whitening
 
-_QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op5_weak_supervision_pii, op6_block_max_wand, op7_secret_ledger, op8_best_fit_packing, op9_closed_syncmers, op10_pareto_mixing, op11_fill_in_middle, op12_shared_dictionary_ids)
+_QUERIES = (op1_language_id, op2_histogram_sort, op3_warc_bundles, op4_minhash_near_dedup, op5_weak_supervision_pii, op6_block_max_wand, op7_secret_ledger, op8_best_fit_packing, op9_closed_syncmers, op10_pareto_mixing, op11_fill_in_middle, op12_shared_dictionary_ids, op13_tsqr_whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ COLUMNS = {
     "op1": "doc_id held_out lang_pred score", "op2": "doc_id size text_crc32 law shard slot grown_shard", "op3": "page_id payload_bytes payload_digest record_type refers_to",
     "op4": "doc_id n_shingles component_id kept", "op5": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op6": "query_id rank doc_id score", "op7": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op8": "doc_id piece start length ids_crc32 sequence_id offset", "op9": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op10": "doc_id size source_size target taken",
-    "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "op12": "doc_id start n_tokens ids_crc32",
+    "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", "op12": "doc_id start n_tokens ids_crc32", "op13": "vec_id component n deviation whitened explained identity_error",
 }
 
 
