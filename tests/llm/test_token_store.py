@@ -22,7 +22,7 @@ def plain():
 
 
 TEXTS = [
-    "don't  we'll\n\nstop", " lead", "trail ", "\n", "", "a\tb\rc d e", "<|endoftext|>x <|ENDOFTEXT|> <|start oftext|>", "ΣΑΣ İi ÉCOLE é ́ x", "你好 world😀\x00z", "1234 56", "it's'S 'T 're", "x" * 9000, " " * 50, "word\n" * 3000, "Ａ ﬁ",
+    "don't  we'll\n\nstop", " lead", "trail ", "\n", "", "a\tb\rc d e", "<|endoftext|>x <|ENDOFTEXT|> <|start oftext|>", "ΣΑΣ İi ÉCOLE é ́ x", "你好 world😀\x00z", "1234 56", "it's'S 'T 're", "x" * 9000, " " * 50, "word\n" * 3000, "Ａ ﬁ", "don't!'t 's5's ''ll I'LL x'5", "E\u0301 K\u0301 A\u030a I\u0307x 1\u0301 !\u0301", "a|b <|startoftext|>A <|endoftext|>'s (<|endoftext|)", "—!x …?Y a—b!—c", "A1b2,C3_d-e.f@G", "\x85a\xa0b\u2028c\x1fd",
 ]
 
 
@@ -34,6 +34,16 @@ def test_encoder_equals_the_tokenizer(plain):
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain(t) for t in texts]
 
 
+def test_encoder_on_random_signs(plain):
+    import random
+
+    rng = random.Random(1)
+    signs = [*"aZ'st|<>!.,-_ \n\t05é—²", "\u0301", "<|endoftext|>", "'ll", "你", "İ", "ſ", "\xa0"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)]
+    ids, at = ts.Encoder(tokenizer_path())(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain(t) for t in texts]
+
+
 def test_encoder_forgets(plain, monkeypatch):
     monkeypatch.setattr(ts, "CACHE_ROWS", 2)
     encode = ts.Encoder(tokenizer_path())
