@@ -35,7 +35,7 @@ DICT_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 64 << 10, 1000, 8 << 10
 #: Bytes of frames a file: the most, and the least where that many tasks are not needed.
 FILE_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 #: Text bytes encoded at a time; entries of a worker's cache of runs, and ids in it.
-BLOCK_BYTES, CACHE_ROWS, CACHE_IDS = 4 << 20, 500_000, 4 << 20
+BLOCK_BYTES, CACHE_ROWS, CACHE_IDS = 4 << 20, 1_000_000, 8 << 20
 #: Bytes read at a time.
 READ_BYTES = 8 << 20
 
@@ -133,7 +133,7 @@ class Encoder:
         if len(edges):
             cuts = np.append(edges, np.int32(len(data)))
             runs = pa.Array.from_buffers(pa.string(), len(edges), [None, pa.py_buffer(cuts), pa.py_buffer(self._lowered(data, kind, edges))]).dictionary_encode()
-            slot = self._slots(runs.dictionary.to_pylist())[runs.indices.to_numpy()]
+            slot = self._slots(runs.dictionary.to_numpy(zero_copy_only=False).tolist())[runs.indices.to_numpy()]
         else:
             slot = np.zeros(0, np.int32)
         n = self.lengths[slot]
