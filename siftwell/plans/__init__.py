@@ -1,7 +1,8 @@
 """Queries over the library's operators."""
 
 from . import evidence as _evidence
+from . import pictures as _pictures
 from . import queries as _queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "_evidence", "_queries"]
+__all__ = ["ORACLES", "QUERIES", "_evidence", "_pictures", "_queries"]
