@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pixels
+from ..operators import pixels, portrait
 from .registry import query, read
 
 
@@ -143,3 +143,68 @@ def refreshed_region_features(spark: SparkSession, sf: str) -> DataFrame:
     stored = pixels.region_features(before, lines.where("l_linenumber <> 7").withColumn("box", box("0D")), None, "vec_id", "l_linenumber")
     now = lines.withColumn("box", box("if(f = 'R', 0.05D, 0D)"))
     return pixels.region_features(images, now, stored, "vec_id", "l_linenumber").select("vec_id", "l_linenumber", "recomputed", "hash")
+
+
+def _fit(n: int) -> str:
+    """SQL for the n-th fit: centred sums over a pair's inliers, then who fits."""
+    return f"""c{n} AS (SELECT part, avg(sx) AS mx, avg(sy) AS my, avg(tx) AS mu, avg(ty) AS mv FROM m{n} WHERE i GROUP BY part),
+f{n} AS (SELECT part, any_value(mx) AS mx, any_value(my) AS my, any_value(mu) AS mu, any_value(mv) AS mv, sum((sx - mx) * (tx - mu) + (sy - my) * (ty - mv)) / nullif(sum((sx - mx) ** 2 + (sy - my) ** 2), 0) AS a, sum((sx - mx) * (ty - mv) - (sy - my) * (tx - mu)) / nullif(sum((sx - mx) ** 2 + (sy - my) ** 2), 0) AS b FROM m{n} JOIN c{n} USING (part) WHERE i GROUP BY part),
+m{n + 1} AS MATERIALIZED (SELECT m.part, sx, sy, tx, ty, votes, f.a, f.b, mu - f.a * mx + f.b * my AS p, mv - f.b * mx - f.a * my AS q, coalesce((f.a * (sx - mx) - f.b * (sy - my) + mu - tx) ** 2 + (f.b * (sx - mx) + f.a * (sy - my) + mv - ty) ** 2 <= 9, false) AS i FROM m{n} m LEFT JOIN f{n} f USING (part))"""
+
+
+def _hull_sql(x: str, y: str, name: str) -> str:
+    """SQL for the hull of a part's inliers: the sides that leave no point outside, each as long as it can be."""
+    return f"""{name}p AS MATERIALIZED (SELECT DISTINCT part, {x} AS x, {y} AS y FROM m3 WHERE i),
+{name} AS (SELECT part, abs(sum(p.x * q.y - q.x * p.y)) / 2 AS area FROM {name}p p JOIN {name}p q USING (part) WHERE (p.x <> q.x OR p.y <> q.y) AND NOT EXISTS (SELECT 1 FROM {name}p o WHERE o.part = p.part AND ((q.x - p.x) * (o.y - p.y) < (q.y - p.y) * (o.x - p.x) OR ((q.x - p.x) * (o.y - p.y) = (q.y - p.y) * (o.x - p.x) AND (o.x - p.x) * (o.x - q.x) + (o.y - p.y) * (o.y - q.y) > 0))) GROUP BY part)"""
+
+
+_NOISY = "list_transform(range(64), lambda k: least(255, p[k + 1] + if((k * 7 + part) % 3 = 0, part % 5 * 16, 0)))"
+_SSIM = "list_avg(list_transform(range(4), lambda g: (2 * list_avg(l[16 * g + 1:16 * g + 16]) * list_avg(r[16 * g + 1:16 * g + 16]) + 6.5025) / (list_avg(l[16 * g + 1:16 * g + 16]) ** 2 + list_avg(r[16 * g + 1:16 * g + 16]) ** 2 + 6.5025) * (2 * (list_inner_product(l[16 * g + 1:16 * g + 16], r[16 * g + 1:16 * g + 16]) / 16 - list_avg(l[16 * g + 1:16 * g + 16]) * list_avg(r[16 * g + 1:16 * g + 16])) + 58.5225) / (list_aggregate(l[16 * g + 1:16 * g + 16], 'var_pop') + list_aggregate(r[16 * g + 1:16 * g + 16], 'var_pop') + 58.5225)))"
+
+
+@query(f"""WITH {_IMAGES}, l AS (SELECT l_partkey AS part, l_orderkey * 10 + l_linenumber AS point, min(l_quantity) AS q, min(l_extendedprice) AS e, min(l_suppkey) AS s, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
+k AS (SELECT part, point, s, f = 'A' AND part % 3 = 0 AS odd, q / 50 * 640 AS x, e % 1000 / 1000 * 480 AS y, list_transform([1, 9, 17, 25], lambda j: cast('0x' || substring(md5(cast(point AS VARCHAR)), j, 8) AS BIGINT)) AS w, list_transform([1, 9, 17, 25], lambda j: cast('0x' || substring(md5('r' || point), j, 8) AS BIGINT)) AS v FROM l),
+r AS (SELECT part, point, if(odd, 640 - x, x + part % 21 - 10 + s % 3 - 1) AS tx, if(odd, 480 - y, y + part % 13 - 6 + s % 2) AS ty, if(s % 5 = 0, v, [xor(w[1], 1), w[2], w[3], w[4]]) AS w FROM k),
+d AS (SELECT part, a.point AS i, b.point AS j, x AS sx, y AS sy, tx, ty, bit_count(xor(a.w[1], b.w[1])) + bit_count(xor(a.w[2], b.w[2])) + bit_count(xor(a.w[3], b.w[3])) + bit_count(xor(a.w[4], b.w[4])) AS n FROM k a JOIN r b USING (part)),
+n AS (SELECT *, row_number() OVER z AS g, lead(n) OVER z AS nxt FROM d WINDOW z AS (PARTITION BY part, i ORDER BY n, j)), u AS (SELECT * FROM n WHERE g = 1 AND n < 0.78 * nxt QUALIFY row_number() OVER (PARTITION BY part, j ORDER BY n, i) = 1),
+vt AS (SELECT part, floor((tx - sx) / 20) - ox AS dx, floor((ty - sy) / 20) - oy AS dy, count(*) AS votes FROM u, range(2) a(ox), range(2) b(oy) GROUP BY ALL), pk AS (SELECT * FROM vt QUALIFY row_number() OVER (PARTITION BY part ORDER BY votes DESC, dx, dy) = 1),
+m0 AS MATERIALIZED (SELECT part, sx, sy, tx, ty, votes, floor((tx - sx) / 20) - dx IN (0, 1) AND floor((ty - sy) / 20) - dy IN (0, 1) AS i FROM u JOIN pk USING (part)), {_fit(0)}, {_fit(1)}, {_fit(2)},
+{_hull_sql("sx", "sy", "hs")}, {_hull_sql("tx", "ty", "ht")},
+al AS (SELECT part, count(*) AS matches, count(*) FILTER (i) AS inliers, any_value(votes) AS votes, any_value(a) AS a, any_value(b) AS b, any_value(p) AS p, any_value(q) AS q, max(sx) FILTER (i) - min(sx) FILTER (i) AS wx, max(sy) FILTER (i) - min(sy) FILTER (i) AS wy, max(tx) FILTER (i) - min(tx) FILTER (i) AS vx, max(ty) FILTER (i) - min(ty) FILTER (i) AS vy FROM m3 GROUP BY part),
+pc AS (SELECT p_partkey AS part, p AS l, {_NOISY.replace("part", "p_partkey")} AS r FROM part JOIN i ON vec_id = p_partkey % 500),
+mv AS (SELECT al.*, sqrt(a * a + b * b) AS scale, abs(degrees(atan2(b * 640 / 480, a))) AS rotation, greatest(abs((a * 320 - b * 240 + p) / 640 - 0.5), abs((b * 320 + a * 240 + q) / 480 - 0.5)) AS translation FROM al),
+gr AS (SELECT part, r[8 * y + x + 1] AS rv, x, y, l, floor((a * ((x + 0.5) / 8 - p / 640) + b * 480 / 640 * ((y + 0.5) / 8 - q / 480)) / (a * a + b * b) * 8) AS j, floor((a * ((y + 0.5) / 8 - q / 480) - b * 640 / 480 * ((x + 0.5) / 8 - p / 640)) / (a * a + b * b) * 8) AS i FROM pc JOIN mv USING (part), range(8) g(x), range(8) h(y) WHERE a IS NOT NULL),
+bg AS (SELECT part, count(*) FILTER (ok) / 64 AS coverage, avg(abs(l[8 * cast(i AS BIGINT) + cast(j AS BIGINT) + 1] - rv)) FILTER (ok) / 255 AS difference FROM (SELECT *, i BETWEEN 0 AND 7 AND j BETWEEN 0 AND 6 AND x < 7 AS ok FROM gr) GROUP BY part),
+pe AS (SELECT part, {_SSIM} AS ssim, list_sum(list_transform(range(8), lambda b: least(len(list_filter(l, lambda v: v // 32 = b)), len(list_filter(r, lambda v: v // 32 = b))))) / 64 AS shared FROM pc)
+SELECT part, coalesce(matches, 0) AS matches, coalesce(inliers, 0) AS inliers, round(scale, 6) AS scale, round(rotation, 6) AS rotation, round(translation, 6) AS translation, round(coverage, 6) AS coverage,
+ CASE WHEN NOT part % 7 * 0.013 + part % 4 * 0.005 <= 0.06 THEN 'face_moved' WHEN NOT (0.2 + part % 4 * 0.01) * 0.2 / (0.2 * 0.2) <= 1.25 THEN 'face_resized' WHEN part % 11 > 8 THEN 'face_hash' WHEN NOT ssim + 1e-6 >= 0.65 THEN 'face_structure' WHEN NOT shared >= 0.55 THEN 'face_colour' WHEN part % 17 > 10 THEN 'context_hash'
+  WHEN NOT coalesce(matches >= 12, false) THEN 'few_matches' WHEN inliers < 12 THEN 'few_inliers' WHEN inliers / matches < 0.55 THEN 'low_share' WHEN NOT (wx / 640 >= 0.12 AND wy / 480 >= 0.12 AND hs.area / 307200 >= 0.03 AND vx / 640 >= 0.12 AND vy / 480 >= 0.12 AND ht.area / 307200 >= 0.03) THEN 'not_spread'
+  WHEN NOT (scale BETWEEN 0.94 AND 1.06 AND rotation <= 3 AND translation <= 0.06) THEN 'frame_moved' WHEN coverage < 0.12 THEN 'little_background' WHEN NOT coalesce(difference <= 0.04, false) THEN 'other_background' END AS reason
+FROM pe LEFT JOIN mv USING (part) LEFT JOIN bg USING (part) LEFT JOIN hs USING (part) LEFT JOIN ht USING (part)""")
+def pose_compatible(spark: SparkSession, sf: str) -> DataFrame:
+    """A part is a photo beside one that was taken after it; its lines are keypoints, a third of which may have moved by themselves."""
+    lines = read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point")).agg(F.min("l_quantity").alias("q"), F.min("l_extendedprice").alias("e"), F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("f"))
+    words = lambda text: F.array(*(F.conv(F.substring(F.md5(text), j, 8), 16, 10).cast("long") for j in (1, 9, 17, 25)))
+    w = lines.selectExpr("part", "point", "s", "f = 'A' and part % 3 = 0 as odd", "q / 50 * 640 as x", "e % 1000 / 1000 * 480 as y").withColumn("w", words(F.col("point").cast("string")))
+    moved = F.expr("if(odd, 640 - x, x + part % 21 - 10 + s % 3 - 1)"), F.expr("if(odd, 480 - y, y + part % 13 - 6 + s % 2)")
+    bits = F.when(F.col("s") % 5 == 0, words(F.concat(F.lit("r"), F.col("point").cast("string")))).otherwise(F.expr("array(w[0] ^ 1, w[1], w[2], w[3])"))
+    points = w.select(F.col("part").alias("photo"), "point", "x", "y", F.col("w").alias("bits")).unionByName(w.select((-1 - F.col("part")).alias("photo"), "point", moved[0].alias("x"), moved[1].alias("y"), bits.alias("bits")))
+    parts = read(spark, sf, "part").select(F.col("p_partkey").alias("left"), (-1 - F.col("p_partkey")).alias("right"))
+    size = (F.lit(640.0), F.lit(480.0))
+    found = portrait.aligned(portrait.matches(parts, points)).drop("right")
+    noisy = F.transform("pixels", lambda v, k: F.least(F.lit(255), v + F.when((k * 7 + F.col("left")) % 3 == 0, F.col("left") % 5 * 16).otherwise(0)))
+    images = _images(spark, sf).select(F.col("vec_id").alias("_v"), "pixels")
+    rows = parts.join(images, F.col("left") % 500 == F.col("_v")).withColumn("noisy", noisy).join(found, "left", "left")
+    fit = {c: F.col(c) for c in ("matches", "inliers", "a", "b", "p", "q", "source", "target")}
+    rows = rows.withColumn("moved", portrait.movement(fit, size, size)).withColumn("mask", F.transform("pixels", lambda v, k: (k % 8 < 7).cast("long")))
+    rows = rows.withColumn("behind", portrait.background(F.col("pixels"), F.col("mask"), F.col("noisy"), F.col("mask"), F.lit(8), F.when(F.col("a").isNotNull(), portrait.unit_map(fit, size, size))))
+    part = F.col("left")
+    box = lambda x, w: F.struct(x.alias("x"), F.lit(0.3).alias("y"), w.alias("w"), F.lit(0.2).alias("h"))
+    blocks = lambda c: F.array(*(F.slice(c, 16 * g + 1, 16) for g in range(4)))
+    levels = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.size(F.filter(c, lambda v: F.floor(v / 32) == b)).cast("double"))
+    flipped = lambda n: F.expr(f"shiftleft(1L, cast(left % {n} as int)) - 1")
+    one = {"face": box(F.lit(0.4), F.lit(0.2)), "face_hash": F.lit(0).cast("long"), "face_blocks": blocks("pixels"), "face_colour": levels("pixels"), "context_hash": F.lit(0).cast("long"), "context_colour": levels("pixels")}
+    two = {"face": box(0.4 + part % 7 * 0.013, 0.2 + part % 4 * 0.01), "face_hash": flipped(11), "face_blocks": blocks("noisy"), "face_colour": levels("noisy"), "context_hash": flipped(17), "context_colour": levels("noisy")}
+    gates = portrait.compatible(portrait.same_person(one, two, portrait.STANDARD), portrait.same_scene(fit, F.col("moved"), F.col("behind"), size, size, portrait.STANDARD))
+    rounded = (F.round(f"moved.{c}", 6).alias(c) for c in ("scale", "rotation", "translation"))
+    return rows.select(part.alias("part"), F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("inliers", F.lit(0)).alias("inliers"), *rounded, F.round("behind.coverage", 6).alias("coverage"), gates["reason"].alias("reason"))
