@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import digest, group_digests
+from ..functions.storage import written
+from .measurement import dhash
 
 LONGS = "array<bigint>"
 #: What the tables of summed() add up: a pixel, its square, the squared differences across and down, and the squared Laplacian.
@@ -24,12 +26,17 @@ def image_ok(pixels: Column, width: Column, channels: int = 1) -> Column:
     return F.coalesce((width > 0) & (F.size(pixels) > 0) & (F.size(pixels) % F.nullif(part, F.lit(0)) == 0) & ~F.exists(pixels, lambda p: p.isNull()), F.lit(False))
 
 
+def _stated(box: Column) -> Column:
+    """Whether a box has all four numbers; the least and greatest of columns pass over nulls."""
+    return box["x"].isNotNull() & box["y"].isNotNull() & box["w"].isNotNull() & box["h"].isNotNull()
+
+
 def pixel_box(box: Column, width: Column, height: Column) -> Column:
     """struct(x0, y0, x1, y1) in whole pixels, the ends exclusive: all that a unit box touches; null for a box that is null or touches none."""
     low = lambda p, n: F.greatest(F.floor(box[p] * n), F.lit(0)).cast("int")
     high = lambda p, s, n: F.least(F.ceil((box[p] + box[s]) * n), n).cast("int")
     out = F.struct(low("x", width).alias("x0"), low("y", height).alias("y0"), high("x", "w", width).alias("x1"), high("y", "h", height).alias("y1"))
-    return F.when((out["x0"] < out["x1"]) & (out["y0"] < out["y1"]), out)
+    return F.when(_stated(box) & width.isNotNull() & height.isNotNull() & (out["x0"] < out["x1"]) & (out["y0"] < out["y1"]), out)
 
 
 def _shapes(pixels: pa.Array, width: pa.Array) -> tuple[list, list[tuple[int, int, np.ndarray]]]:
@@ -207,7 +214,7 @@ def around(box: Column, kind: str) -> Column:
     left, down, w, h = AROUND[kind]
     x, y = box["x"] + box["w"] / 2 - left * box["w"], box["y"] + down * box["h"]
     x0, y0, x1, y1 = F.greatest(x, F.lit(0.0)), F.greatest(y, F.lit(0.0)), F.least(x + w * box["w"], F.lit(1.0)), F.least(y + h * box["h"], F.lit(1.0))
-    return F.when((x1 - x0 > 1e-5) & (y1 - y0 > 1e-5), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
+    return F.when(_stated(box) & (x1 - x0 > 1e-5) & (y1 - y0 > 1e-5), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
 
 
 def references(images: DataFrame, faces: DataFrame, key: str, rgb: str = "rgb", width: str = "width", box: str = "box", least: int = 8) -> DataFrame:
@@ -256,11 +263,10 @@ def appearance(a: dict[str, Column], b: dict[str, Column], weights: dict[str, fl
 
 def part_hash(pixels: Column, width: Column, box: Column, across: int = 9, down: int = 8) -> Column:
     """64 signs of neighbouring differences of a pixel box, as a bigint, read at across x down places in the middles of its equal parts; the first is the highest bit."""
-    w, h = box["x1"] - box["x0"], box["y1"] - box["y0"]
-    part = lambda i, n, size: F.floor((2 * i + 1) * size / (2 * n)).cast("int")
-    at = lambda y, x: F.get(pixels, ((box["y0"] + part(y, down, h)) * width + box["x0"] + part(x, across, w)).cast("int"))
-    bits = F.transform(F.sequence(F.lit(0), F.lit((across - 1) * down - 1)), lambda i: F.when(at(F.floor(i / (across - 1)), i % (across - 1) + 1) > at(F.floor(i / (across - 1)), i % (across - 1)), 1).otherwise(0).cast("long"))
-    return F.when(box.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x)))
+    places = lambda n, lo, hi: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (lo + F.floor((2 * i + 1) * (hi - lo) / (2 * n))).cast("int"))
+    columns = places(across, box["x0"], box["x1"])
+    read = F.flatten(F.transform(places(down, box["y0"], box["y1"]), lambda y: F.transform(columns, lambda x: F.get(pixels, y * width + x))))
+    return F.when(box.isNotNull(), F.get(F.transform(F.array(read), lambda p: dhash(p, across, down)), F.lit(0)))  # read once, not at every sign
 
 
 def region_features(images: DataFrame, regions: DataFrame, stored: DataFrame | None, key: str, region: str, pixels: str = "pixels", width: str = "width", box: str = "box", schema: str = "1") -> DataFrame:
@@ -268,7 +274,7 @@ def region_features(images: DataFrame, regions: DataFrame, stored: DataFrame | N
 
     inputs is the digest of what a hash depends on: schema, the image's own digest, its width and the box. root binds a photo's hashes and inputs as the digest of its
     regions' digests, so that any change shows in it; it is made in parts, so a photo may have any number of regions. Only regions whose inputs differ meet
-    the pixels. A region is one row of regions; one without an image keeps no hash. Regions that are stored but no longer given are dropped.
+    the pixels, and the rows are written once. A region is one row of regions; one without an image keeps no hash. Regions that are stored but no longer given are dropped.
     """
     image = images.select(F.col(key).alias("_key"), F.col(pixels).alias("_pixels"), F.col(width).cast("int").alias("_width"))
     pictures = image.select("_key", digest(F.to_json("_pixels"), F.col("_width")).alias("_image"))
@@ -279,12 +285,11 @@ def region_features(images: DataFrame, regions: DataFrame, stored: DataFrame | N
         known = now.join(old, (F.col(key) == F.col("_k")) & (F.col(region) == F.col("_r")) & (F.col("inputs") == F.col("_inputs")), "left").drop("_k", "_r", "_inputs")
     else:
         known = now.withColumns({"hash": F.lit(None).cast("long"), "_known": F.lit(None).cast("boolean")})
-    fresh = known.where("_known is not null").select(key, region, "inputs", "hash", F.lit(False).alias("recomputed"))
     height = F.floor(F.size("_pixels") / F.nullif(F.col("_width"), F.lit(0))).cast("int")
     at = F.when(image_ok(F.col("_pixels"), F.col("_width")), pixel_box(b, F.col("_width"), height))
-    stale = known.where("_known is null").drop("hash").join(image, F.col(key) == F.col("_key"), "left")
-    stale = stale.select(key, region, "inputs", part_hash(F.col("_pixels"), F.col("_width"), at).alias("hash"), F.lit(True).alias("recomputed"))
-    rows = fresh.unionByName(stale)
+    met = known.join(image, (F.col(key) == F.col("_key")) & F.col("_known").isNull(), "left").withColumn("_box", at)
+    made = F.when(F.col("_known").isNull(), part_hash(F.col("_pixels"), F.col("_width"), F.col("_box"))).otherwise(F.col("hash"))
+    rows = written(met.select(key, region, "inputs", made.alias("hash"), F.col("_known").isNull().alias("recomputed")), "features")
     roots = group_digests(rows, key, F.col(region), digest(F.col("inputs"), F.col("hash"))).select(F.col(key).alias("_key"), F.col("digest").alias("root"))
     return rows.join(roots, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
