@@ -134,9 +134,9 @@ def swept(trial: DataFrame, bins: int = 20, lo: float = -1.0, hi: float = 1.0) -
     A named subject is correct if it is the probe's own; with its subject's references gone it names the best other one: `false` counts those, over all probes. missed are probes whose own score lies below. Scores
     are counted by bin once and cumulated over bins, so a threshold costs no pass; scores beyond lo and hi belong to the end bins.
     """
-    at = lambda c: F.least(F.greatest(F.floor((c - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    at = lambda c: F.when(c.isNotNull(), F.least(F.greatest(F.floor((c - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1)).cast("int"))
     own, other = F.col("own"), F.col("other_score")
-    named = F.coalesce(F.greatest(own, other), F.lit(None).cast("double"))
+    named = F.greatest(own, other)
     each = F.explode(F.array(F.struct(at(named).alias("bin"), F.lit("accepted").alias("what")), F.struct(F.when(F.coalesce(own >= other, own.isNotNull()), at(own)).alias("bin"), F.lit("correct").alias("what")), F.struct(at(other).alias("bin"), F.lit("false").alias("what")), F.struct(at(own).alias("bin"), F.lit("own").alias("what"))))
     counts = trial.select(each.alias("e")).where("e.bin is not null").groupBy("e.bin").agg(*(F.count_if(F.col("e.what") == w).alias(w) for w in ("accepted", "correct", "false", "own")))
     grid = trial.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))

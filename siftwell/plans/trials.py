@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import trials
+from ..functions import vectors
+from ..operators import scenes, trials
 from .registry import query, read
 
 
@@ -47,3 +48,73 @@ def recognition_ranks(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT b, if(b = 0, -2, -1 + b * 0.05) AS e FROM range(40) q(b)) CROSS JOIN r GROUP BY b""")
 def recognition_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return trials.swept(_trial(spark, sf), 40).withColumn("threshold", F.round("threshold", 9))
+
+
+@query("""WITH w AS (SELECT source, doc_id, unnest(string_split(text, ' ')) AS c FROM documents), t AS (SELECT source, doc_id, c, count(*) AS m FROM w WHERE source IS NOT NULL GROUP BY ALL), h AS (SELECT *, round(m / sum(m) OVER (PARTITION BY source, doc_id), 12) AS s FROM t),
+k AS (SELECT source, doc_id, list({'c': c, 's': s} ORDER BY c) AS h FROM h GROUP BY ALL), e AS (SELECT source, h, min(doc_id) AS k FROM k GROUP BY ALL), o AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, sum(least(a.s, b.s)) AS overlap FROM h a JOIN h b ON a.source = b.source AND a.c = b.c AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT k FROM e) AND b.doc_id IN (SELECT k FROM e) GROUP BY ALL)
+SELECT source, a, b, round(overlap, 6) AS overlap FROM o WHERE overlap + 1e-9 >= 0.64 UNION ALL SELECT source, k, doc_id, 1 FROM k JOIN e USING (source, h) WHERE k <> doc_id""")
+def histogram_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a source as photos, their words as cells."""
+    words = read(spark, sf, "documents").select("source", "doc_id", F.explode(F.split("text", " ")).alias("word")).where("source is not null").groupBy("source", "doc_id", "word").agg(F.count("*").alias("n"))
+    return scenes.overlaps(words, "doc_id", "word", "n", 0.64, ["source"]).withColumn("overlap", F.round("overlap", 6))
+
+
+@query("""WITH w AS (SELECT source, doc_id, unnest(string_split(text, ' ')) AS c FROM documents), t AS (SELECT source, doc_id, c, count(*) AS m FROM w WHERE source IS NOT NULL GROUP BY ALL), h AS (SELECT *, round(m / sum(m) OVER (PARTITION BY source, doc_id), 12) AS s FROM t),
+k AS (SELECT source, doc_id, list({'c': c, 's': s} ORDER BY c) AS h FROM h GROUP BY ALL), e AS (SELECT source, h, min(doc_id) AS k FROM k GROUP BY ALL), o AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, sum(least(a.s, b.s)) AS overlap FROM h a JOIN h b ON a.source = b.source AND a.c = b.c AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT k FROM e) AND b.doc_id IN (SELECT k FROM e) GROUP BY ALL),
+p AS (SELECT a, b, overlap FROM o WHERE overlap + 1e-9 >= 0.64 UNION ALL SELECT k, doc_id, 1 FROM k JOIN e USING (source, h) WHERE k <> doc_id),
+q AS (SELECT a, b, round(overlap, 6) AS v, coalesce(x.lang = y.lang, false) AS people, x.lang IS NULL OR y.lang IS NULL AS blind, greatest(x.n_chars, y.n_chars) / least(x.n_chars, y.n_chars) AS ratio, x.n_chars > y.n_chars AS more FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b)
+SELECT a, b, v AS overlap, CASE WHEN ratio > 2 THEN false WHEN NOT people AND NOT blind THEN false WHEN ratio <= 1.08 THEN people OR blind AND v >= 0.8 ELSE people AND v >= if(more, 0.8, 0.7) AND (NOT more OR blind) OR blind AND v >= 0.8 END AS accepted FROM q""")
+def burst_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """What two documents share, and whether that makes them one burst: lengths stand for the camera, languages for who is seen."""
+    from ..operators import decisions
+
+    docs = read(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    side = lambda k: docs.select(F.col("doc_id").alias(k), F.col("lang").alias(f"_l{k}"), F.col("n_chars").alias(f"_n{k}"))
+    found = histogram_overlaps(spark, sf).join(side("a"), "a").join(side("b"), "b")
+    ratio, people, blind = F.greatest("_na", "_nb") / F.least("_na", "_nb"), F.coalesce(F.col("_la") == F.col("_lb"), F.lit(False)), F.col("_la").isNull() | F.col("_lb").isNull()
+    seen = F.when(ratio > 2, "different").when(ratio <= 1.08, "same").otherwise("unknown")
+    got = decisions.same_burst(seen, F.lit(False), F.lit(False), ~people & ~blind, people, blind, F.lit(False), F.col("overlap"), F.col("_na") > F.col("_nb"))
+    return found.select("a", "b", "overlap", got.alias("accepted"))
+
+
+_STRUCTURE = """WITH RECURSIVE h AS (SELECT vec_id, label % 3 AS r, list_transform(embedding, lambda c: cast(c AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(range(64), lambda k: if((a.v[k + 1] > 0) = (b.v[k + 1] > 0), 0, 1))) AS distance, a.v AS x, b.v AS y FROM h a JOIN h b ON a.vec_id < b.vec_id AND abs(a.r - b.r) <= 1),
+s AS (SELECT a, b, cast(distance AS INTEGER) AS distance, list_avg(list_transform(range(8), lambda g: (2 * list_avg(x[8 * g + 1:8 * g + 8]) * list_avg(y[8 * g + 1:8 * g + 8]) + 0.0001) / (list_avg(x[8 * g + 1:8 * g + 8]) ** 2 + list_avg(y[8 * g + 1:8 * g + 8]) ** 2 + 0.0001) * (2 * (list_inner_product(x[8 * g + 1:8 * g + 8], y[8 * g + 1:8 * g + 8]) / 8 - list_avg(x[8 * g + 1:8 * g + 8]) * list_avg(y[8 * g + 1:8 * g + 8])) + 0.0009) / (list_aggregate(x[8 * g + 1:8 * g + 8], 'var_pop') + list_aggregate(y[8 * g + 1:8 * g + 8], 'var_pop') + 0.0009))) AS score FROM p WHERE distance <= 22),
+l AS MATERIALIZED (SELECT a, b, distance, round(score, 6) AS score FROM s WHERE score >= 0.15) """
+
+
+def _structures(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", 8 * i + 1, 8))
+    return read(spark, sf, "embeddings").select("vec_id", vectors.sign_hash(F.col("embedding")).alias("hash"), blocks.alias("blocks"), (1 + F.col("label") % 3 * 0.1).alias("aspect"))
+
+
+@query(_STRUCTURE + "SELECT a, b, distance, score FROM l")
+def structure_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashes within 22 bits, shapes within 1.15, then structure; the vectors hold no copies."""
+    links, _ = scenes.verified_pairs(_structures(spark, sf), "vec_id", "hash", "blocks", "aspect", 22, 0.15, 1.15)
+    return links.withColumn("score", F.round("score", 6))
+
+
+@query(_STRUCTURE + """, o AS MATERIALIZED (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS n, coalesce(m, []) AS m FROM h LEFT JOIN (SELECT b, list(a) AS m FROM l GROUP BY b) ON b = vec_id),
+w AS (SELECT cast(0 AS BIGINT) AS n, cast([] AS BIGINT[]) AS reps UNION ALL SELECT o.n, if(list_has_any(reps, m), reps, list_append(reps, id)) FROM w JOIN o ON o.n = w.n + 1), f AS (SELECT unnest(reps) AS rep FROM (SELECT reps FROM w ORDER BY n DESC LIMIT 1)),
+g AS (SELECT b, arg_min(a, (distance, a)) AS rep FROM l JOIN f ON rep = a WHERE b NOT IN (SELECT rep FROM f) GROUP BY b)
+SELECT vec_id, coalesce(rep, vec_id) AS representative FROM h LEFT JOIN g ON b = vec_id""")
+def structure_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return scenes.grouped(_structures(spark, sf), "vec_id", "hash", "blocks", "aspect", 22, 0.15, 1.15).select("vec_id", "representative")
+
+
+@query("""WITH a AS (SELECT user_id, bool_and(value < 200) AS q FROM events GROUP BY 1), s AS (SELECT user_id, event_id, event_type, ts, q, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events JOIN a USING (user_id))
+SELECT event_id, user_id, if(q, 'b' || sum(if(p IS NULL OR ts - p > INTERVAL 12 HOUR, 1, 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id), event_type) AS "group" FROM s""")
+def dispatched_engines(spark: SparkSession, sf: str) -> DataFrame:
+    """Users of small values only are cut at gaps, all others grouped by what the events are."""
+    from pyspark.sql import Window
+
+    rows = read(spark, sf, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
+    w = Window.partitionBy("user_id").orderBy("t", "event_id")
+
+    def gaps(part: DataFrame) -> DataFrame:
+        new = F.coalesce(F.col("t") - F.lag("t").over(w) > 12 * 3_600_000_000, F.lit(True)).cast("int")
+        return part.withColumn("_n", new).select("event_id", "user_id", F.concat(F.lit("b"), F.sum("_n").over(w)).alias("group"))
+
+    kinds = lambda part: part.select("event_id", "user_id", F.col("event_type").alias("group"))
+    return scenes.dispatched(rows, "user_id", F.col("value") < 200, gaps, kinds)
