@@ -118,3 +118,59 @@ def dispatched_engines(spark: SparkSession, sf: str) -> DataFrame:
 
     kinds = lambda part: part.select("event_id", "user_id", F.col("event_type").alias("group"))
     return scenes.dispatched(rows, "user_id", F.col("value") < 200, gaps, kinds)
+
+
+_PART_TEXT = """'{{"part":"p' {c} cast(l_linenumber % 5 as {s}) {c} '","visibility":"' {c} CASE l_returnflag WHEN 'A' THEN 'visible' WHEN 'N' THEN 'not_visible' ELSE 'unknown' END {c} '","severity":"' {c} CASE WHEN l_tax > 0.075 THEN 'blurry' WHEN l_linestatus = 'F' THEN 'clear' ELSE 'uncertain' END
+ {c} '","sufficient":' {c} CASE WHEN l_discount > 0.095 THEN '"yes"' WHEN l_discount > 0.045 THEN 'true' ELSE 'false' END {c} CASE WHEN l_quantity = 50 THEN '' WHEN l_quantity > 47 THEN ',"reason":"  "' ELSE ',"reason":"seen"' END {c} CASE WHEN l_quantity = 1 THEN ',"more":null' ELSE '' END {c} '}}'"""
+_REPLY_TEXT = """'{{' {c} CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE '"version":2,' END {c} '"order":' {c} cast(l_orderkey as {s}) {c} ',"digest":"' {c} CASE WHEN l_orderkey % 11 = 0 THEN 'old' ELSE 'd' {c} cast(l_orderkey as {s}) END {c} '","parts":[' {c} parts {c} ']' {c} CASE WHEN l_orderkey % 17 = 0 THEN ',"note":[1]' ELSE '' END {c} CASE WHEN l_orderkey % 19 = 0 THEN '' ELSE '}}' END"""
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "lineitem")
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, {_PART_TEXT.format(c="||", s="VARCHAR")} AS p FROM lineitem), o AS (SELECT l_orderkey, string_agg(p, ',' ORDER BY p) AS parts FROM t GROUP BY 1), r AS (SELECT l_orderkey, {_REPLY_TEXT.format(c="||", s="VARCHAR")} AS text FROM o),
+j AS (SELECT l_orderkey, json(text) AS v FROM r WHERE json_valid(text)), e AS (SELECT l_orderkey, i, json_extract(v, '$.parts[' || i || ']') AS p FROM (SELECT l_orderkey, v, unnest(range(cast(json_array_length(json_extract(v, '$.parts')) AS BIGINT))) AS i FROM j)),
+k AS (SELECT *, '$.parts[' || i || ']' AS pos, json_extract_string(p, '$.part') AS part, json_extract_string(p, '$.visibility') AS vis, json_extract_string(p, '$.severity') AS sev, json_extract_string(p, '$.reason') AS reason, json_type(json_extract(p, '$.sufficient')) AS kind, json_extract(p, '$.sufficient') = 'true' AS suf FROM e)
+SELECT l_orderkey, '$' AS path, 'invalid' AS fault FROM r WHERE NOT json_valid(text) UNION ALL SELECT l_orderkey, '$.version', 'missing' FROM j WHERE json_extract(v, '$.version') IS NULL UNION ALL SELECT l_orderkey, '$.digest', 'differs' FROM j WHERE json_extract_string(v, '$.digest') <> 'd' || l_orderkey UNION ALL SELECT l_orderkey, '$.note', 'unexpected' FROM j WHERE json_extract(v, '$.note') IS NOT NULL
+UNION ALL SELECT l_orderkey, '$.parts', 'too_long' FROM j WHERE json_array_length(json_extract(v, '$.parts')) > 6 UNION ALL SELECT l_orderkey, pos || '.severity', 'not_one_of' FROM k WHERE sev NOT IN ('clear', 'uncertain') UNION ALL SELECT l_orderkey, pos || '.sufficient', 'not_flag' FROM k WHERE kind <> 'BOOLEAN' UNION ALL SELECT l_orderkey, pos || '.reason', 'missing' FROM k WHERE reason IS NULL
+UNION ALL SELECT l_orderkey, pos || '.reason', 'too_short' FROM k WHERE trim(reason) = '' UNION ALL SELECT l_orderkey, pos || '.more', 'unexpected' FROM k WHERE json_extract(p, '$.more') IS NOT NULL UNION ALL SELECT l_orderkey, pos, 'unseen_but_told' FROM k WHERE kind = 'BOOLEAN' AND vis <> 'visible' AND (sev <> 'uncertain' OR suf)
+UNION ALL SELECT l_orderkey, pos, 'sufficient_but_uncertain' FROM k WHERE kind = 'BOOLEAN' AND vis = 'visible' AND suf = (sev = 'uncertain') UNION ALL SELECT l_orderkey, pos || '.part', 'repeated' FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, part ORDER BY i) AS n FROM k) WHERE n > 1""")
+def reply_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies made of an order's lines, with faults of every kind."""
+    from ..operators.protocol import Rule, checked
+
+    parts = _lines(spark, sf).select("l_orderkey", F.expr(_PART_TEXT.format(c="||", s="string")).alias("p")).groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list("p")), ",").alias("parts"))
+    replies = parts.select("l_orderkey", F.expr(_REPLY_TEXT.format(c="||", s="string")).alias("text"))
+    told = lambda get: (get("visibility", "string") == "visible") | ((get("severity", "string") == "uncertain") & ~get("sufficient", "boolean"))
+    sure = lambda get: (get("visibility", "string") != "visible") | (get("sufficient", "boolean") != (get("severity", "string") == "uncertain"))
+    # a flag that isn't one is told as that, and by no check
+    flagged = lambda check: lambda get: F.when(get("sufficient", "string").isin("true", "false"), check(get))
+    part = Rule("object", {
+        "part": Rule("text", least=1), "visibility": Rule("choice", choices=("visible", "not_visible", "unknown")), "severity": Rule("choice", choices=("clear", "uncertain")), "sufficient": Rule("flag"), "reason": Rule("text", least=1, most=160),
+    }, checks={"unseen_but_told": flagged(told), "sufficient_but_uncertain": flagged(sure)})
+    reply = Rule("object", {
+        "version": Rule("number", least=2, most=2, whole=True), "order": Rule("echo", same=F.col("l_orderkey")), "digest": Rule("echo", same=F.concat(F.lit("d"), F.col("l_orderkey").cast("string"))), "parts": Rule("array", items=part, least=1, most=6, unique="part"),
+    })
+    return checked(replies, ["l_orderkey"], "text", reply)
+
+
+_JSON_LINE = """'{"below":null,"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"state":{"flag":"' || l_returnflag || '","part":' || part || '}}'"""
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_returnflag) AS l_returnflag, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2), d AS (SELECT *, sha256({_JSON_LINE}) AS d FROM l),
+o AS (SELECT l_orderkey, sha256('{{"below":' || to_json(list(d ORDER BY l_linenumber)) || ',"l_orderkey":' || l_orderkey || ',"total":' || count(*) || '}}') AS d FROM d GROUP BY 1),
+t AS (SELECT l_orderkey, l_linenumber, sha256({_JSON_LINE.replace("part ||", "if(q = 50, part + 1, part) ||")}) AS now, if(q = 49, 'forged', d) AS stored FROM d),
+s AS (SELECT l_orderkey, sha256('{{"below":' || to_json(list(stored ORDER BY l_linenumber)) || ',"l_orderkey":' || l_orderkey || ',"total":' || count(*) || '}}') AS now FROM t GROUP BY 1)
+SELECT t.l_orderkey, t.l_linenumber, CASE WHEN t.l_orderkey % 29 = 0 THEN '0_missing' WHEN s.now <> o.d THEN '0_changed' WHEN t.now <> t.stored THEN '1_changed' ELSE 'ok' END AS status FROM t JOIN s USING (l_orderkey) JOIN o USING (l_orderkey)""")
+def evidence_recheck(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests are stored along order and line; then some lines' fields change, others' digests, and some orders are lost."""
+    from ..operators.protocol import canonical_digest, rechecked
+
+    lines = _lines(spark, sf).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"), F.max("l_quantity").alias("q"))
+    lines = lines.withColumn("state", F.struct("part", "flag")).withColumn("below", F.lit(None).cast("array<string>"))
+    lines = lines.withColumn("stored", canonical_digest(lines, ["l_orderkey", "l_linenumber", "state", "below"]))
+    orders = lines.groupBy("l_orderkey").agg(F.count("*").alias("total"), F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "stored"))), lambda s: s["stored"]).alias("below"))
+    orders = orders.withColumn("stored", canonical_digest(orders, ["l_orderkey", "total", "below"])).drop("below").where("l_orderkey % 29 <> 0")
+    changed = lines.drop("below").withColumn("state", F.struct(F.expr("if(q = 50, part + 1, part)").alias("part"), "flag")).withColumn("stored", F.expr("if(q = 49, 'forged', stored)"))
+    return rechecked([(orders, ["l_orderkey"], ["total"], "stored"), (changed, ["l_orderkey", "l_linenumber"], ["state"], "stored")])
