@@ -174,3 +174,18 @@ def evidence_recheck(spark: SparkSession, sf: str) -> DataFrame:
     orders = orders.withColumn("stored", canonical_digest(orders, ["l_orderkey", "total", "below"])).drop("below").where("l_orderkey % 29 <> 0")
     changed = lines.drop("below").withColumn("state", F.struct(F.expr("if(q = 50, part + 1, part)").alias("part"), "flag")).withColumn("stored", F.expr("if(q = 49, 'forged', stored)"))
     return rechecked([(orders, ["l_orderkey"], ["total"], "stored"), (changed, ["l_orderkey", "l_linenumber"], ["state"], "stored")])
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey % 12 <> 0 AS known, l_linenumber % 7 AS mode, 4000 + l_suppkey % 7 AS w, 3000 AS h, cast(l_quantity AS INTEGER) * 82 - 50 AS x, cast(floor(l_extendedprice) AS INTEGER) % 3200 AS y, if(l_returnflag = 'R', NULL, cast(l_tax * 100 AS INTEGER) * 100) AS bw, if(l_linestatus = 'O', 0, 1) AS ok FROM lineitem),
+r AS (SELECT *, CASE WHEN NOT known THEN 'unsupported_or_unknown_camera' WHEN mode NOT IN (2, 3, 4) THEN 'focus_mode_not_supported' WHEN x < 0 OR x >= w OR y >= h THEN 'focus_location_outside_frame' WHEN abs(2 * x - w) <= 1 AND abs(2 * y - h) <= 1 THEN 'camera_center_fallback_ambiguous'
+  WHEN bw IS NOT NULL AND (ok = 0 OR bw = 0) THEN 'invalid_or_ambiguous_focus_frame' WHEN bw IS NOT NULL AND (x / w - bw / w / 2 < 0 OR y / h - 400 / h / 2 < 0 OR x / w + bw / w / 2 > 1 OR y / h + 400 / h / 2 > 1) THEN 'area_extends_outside_frame' ELSE 'playback_location_geometry_only' END AS reason FROM l)
+SELECT l_orderkey, l_linenumber, reason, if(reason LIKE 'playback%', round(x / w, 6), NULL) AS x, if(reason LIKE 'playback%', round(y / h, 6), NULL) AS y, if(reason LIKE 'playback%', round(bw / w, 6), NULL) AS width FROM r""")
+def focus_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as the tags of one maker's photos."""
+    from ..functions import markers
+
+    lines = _lines(spark, sf).selectExpr("*", "4000 + l_suppkey % 7 as w", "cast(l_quantity as int) * 82 - 50 as x", "cast(floor(l_extendedprice) as int) % 3200 as y", "if(l_returnflag = 'R', null, cast(round(l_tax * 100) as int) * 100) as bw", "if(l_linestatus = 'O', 0, 1) as ok")
+    given = F.expr("""map_filter(map('IFD0:Make', 'SONY ', 'IFD0:Model', if(l_partkey % 12 = 0, 'ILCE-7', 'ILCE-6600'), 'Sony:FocusMode', cast(l_linenumber % 7 as string), 'Sony:FocusLocation', concat_ws(' ', w, 3000, x, y), 'Sony:FocusFrameSize', bw || ' 400 ' || ok), (k, v) -> v is not null)""")
+    found = lines.select("l_orderkey", "l_linenumber", markers.let({"tags": given}, lambda g: markers.sony(g["tags"])).alias("m"))
+    point = F.get(F.col("m.points"), F.lit(0))
+    return found.select("l_orderkey", "l_linenumber", "m.reason", F.round(point["x"], 6).alias("x"), F.round(point["y"], 6).alias("y"), F.round(point["w"], 6).alias("width"))
