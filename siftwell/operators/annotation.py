@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .evaluation import latest
 from .ranking import percentiles
@@ -19,16 +20,21 @@ def submitted(ratings: DataFrame, item: str, annotator: str, revision: str, stat
 def adjudicated(ratings: DataFrame, adjudications: DataFrame, item: str, annotator: str, revision: str, status: str, field: str) -> DataFrame:
     """(item, raters, field, basis) of every item with a submitted rating.
 
-    adjudications (item, revision, cites: array of revisions, field) settle an item if they cite exactly its
-    submitted ratings and are later than its last change; of several the last counts. Otherwise raters who agree
-    give the value, and raters who don't leave it null: unresolved.
+    adjudications (item, revision, cites, field) settle an item if they cite exactly its
+    submitted ratings, each as often as it stands there, and are later than its last change; of several the last counts. cites is an array of revisions, or one of them a row (null or an empty array cites none). Otherwise raters who agree
+    give the value, and raters who don't leave it null: unresolved. Citations meet ratings as rows and are counted, so an item may have any number of raters.
     """
     now = submitted(ratings, item, annotator, revision, status)
-    each = now.groupBy(item).agg(F.count("*").alias("raters"), F.array_sort(F.collect_list(revision)).alias("_cited"), F.countDistinct(F.coalesce(F.col(field).cast("string"), F.lit(""))).alias("_values"), F.min(field).alias("_v"))
+    each = now.groupBy(item).agg(F.count("*").alias("raters"), F.countDistinct(F.coalesce(F.col(field).cast("string"), F.lit(""))).alias("_values"), F.min(field).alias("_v"))
     last = ratings.where(F.col(status).isin("submitted", "withdrawn")).groupBy(item).agg(F.max(revision).alias("_last"))
-    a = adjudications.select(F.col(item).alias("_i"), F.col(revision).alias("_at"), F.array_sort("cites").alias("_cites"), F.col(field).alias("_f"))
     state = each.join(last, item)
-    valid = state.join(a, F.col(item) == F.col("_i")).where((F.col("_cites") == F.col("_cited")) & (F.col("_at") > F.col("_last")))
+    single = isinstance(adjudications.schema["cites"].dataType, ArrayType)
+    each_cited = adjudications.select(F.col(item).alias("_i"), F.col(revision).alias("_at"), F.col(field).alias("_f"), (F.explode_outer("cites") if single else F.col("cites")).alias("_c"))
+    cited = each_cited.groupBy("_i", "_at", "_f", "_c").agg(F.count("_c").alias("_n"))
+    current = now.groupBy(F.col(item).alias("_j"), F.col(revision).alias("_r")).agg(F.count("*").alias("_m"))
+    met = cited.join(current, (F.col("_i") == F.col("_j")) & (F.col("_c") == F.col("_r")), "left")
+    found = met.groupBy("_i", "_at", "_f").agg(F.sum(F.when(F.col("_n") == F.col("_m"), F.col("_m")).otherwise(0)).alias("_right"), F.sum("_n").alias("_all"))
+    valid = state.join(found, F.col(item) == F.col("_i")).where((F.col("_right") == F.col("raters")) & (F.col("_all") == F.col("raters")) & (F.col("_at") > F.col("_last")))
     settled = valid.groupBy(F.col(item).alias("_i")).agg(F.max_by("_f", "_at").alias("_f"), F.lit(True).alias("_settled"))
     out = state.join(settled, F.col(item) == F.col("_i"), "left")
     agree = F.col("_values") == 1

@@ -223,19 +223,17 @@ def open_bursts(rows: DataFrame, keys: list[str], ts: str, order: list[str], vec
 def guarded_merge(pairs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """members (keys, id, part) with root: pairs (keys, a, b: compatible) merge parts, in order, only if all their cross pairs are compatible too.
 
-    A merge is checked by counting compatible pairs between two parts, so no cross pair is listed. A key is one
-    task's work, as the order of merges matters; keys run side by side.
+    A merge is checked by counting compatible pairs between two parts, so no cross pair is listed. Pairs are counted by their two parts first, and only these counts, with the first pair of
+    each, are folded: parts that can't merge when they first meet never can, as what they then are made of stays in them. A key's parts are one task's work, as the order of merges
+    matters; its members are not, and keys run side by side.
     """
 
     def run(key: tuple, p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        root = dict(zip(m["id"], m["part"], strict=True))
-        size = m.groupby("part").size().to_dict()
+        size = dict(zip(m["part"], m["_size"], strict=True))
         between: dict = {}
-        for a, b in zip(p["a"], p["b"], strict=True):
-            x, y = root.get(a), root.get(b)
-            if x is not None and y is not None and x != y:
-                between.setdefault(x, {})[y] = between.get(x, {}).get(y, 0) + 1
-                between.setdefault(y, {})[x] = between[x][y]
+        for x, y, n in zip(p["_x"], p["_y"], p["_n"], strict=True):
+            between.setdefault(x, {})[y] = n
+            between.setdefault(y, {})[x] = n
         into = {x: x for x in size}
 
         def find(x):
@@ -243,10 +241,8 @@ def guarded_merge(pairs: DataFrame, members: DataFrame, keys: list[str]) -> Data
                 x = into[x]
             return x
 
-        for a, b in p.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
-            if a not in root or b not in root:
-                continue
-            x, y = sorted((find(root[a]), find(root[b])))
+        for x, y in p.sort_values(["_a", "_b"])[["_x", "_y"]].itertuples(index=False):
+            x, y = sorted((find(x), find(y)))
             if x != y and between.get(x, {}).get(y, 0) == size[x] * size[y]:
                 into[y] = x
                 size[x] += size[y]
@@ -255,11 +251,24 @@ def guarded_merge(pairs: DataFrame, members: DataFrame, keys: list[str]) -> Data
                     if z != x:
                         between[x][z] = between[x].get(z, 0) + n
                         between[z][x] = between[x][z]
-        return m.assign(root=[find(x) for x in m["part"]])
+        return m.assign(root=[find(x) for x in m["part"]])[[*keys, "part", "root"]]
 
-    schema = StructType(list(members.schema.fields)).add("root", members.schema["part"].dataType)
     once = pairs.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    return once.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(run, schema)
+
+    def of(rows: DataFrame, right: DataFrame, on: str, to: str, value: str, how: str = "inner") -> DataFrame:
+        """rows with value of right (keys, to, value) where `on` is `to`; null keys are keys."""
+        named = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(to).alias("_to"), F.col(value).alias(f"_{on}"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        return rows.join(named, [*same, F.col(on).eqNullSafe(F.col("_to"))], how).drop("_to", *(f"_k{i}" for i in range(len(keys))))
+
+    crossing = of(of(once, members, "a", "id", "part"), members, "b", "id", "part").where("_a <> _b")
+    counts = crossing.groupBy(*keys, F.least("_a", "_b").alias("_x"), F.greatest("_a", "_b").alias("_y")).agg(F.count("*").alias("_n"), F.min(F.struct("a", "b")).alias("_first"))
+    counts = counts.select(*keys, "_x", "_y", "_n", F.col("_first.a").alias("_a"), F.col("_first.b").alias("_b"))
+    sizes = members.groupBy(*keys, "part").agg(F.count("*").alias("_size"))
+    sizes = sizes.select(*(F.col(c).alias(c) for c in sizes.columns))  # columns of its own, as pairs may come from members
+    schema = StructType([members.schema[k] for k in keys] + [members.schema["part"]]).add("root", members.schema["part"].dataType)
+    roots = counts.groupBy(*keys).cogroup(sizes.groupBy(*keys)).applyInPandas(run, schema)
+    return of(members, roots, "part", "part", "root", "left").select(*members.columns, F.col("_part").alias("root"))
 
 
 def matched(pairs: DataFrame, keys: list[str], left: str, right: str, score: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import group_digests
+
 
 def replay(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The latest patch of each key. A max_by, so a hot key is combined before the exchange."""
@@ -46,10 +48,8 @@ def outcome(log: DataFrame, key: str, order: list[str], begins: Column, ends: Co
 
 
 def stale_groups(members: DataFrame, group: str, member: str, now: Column, stored: DataFrame) -> DataFrame:
-    """(group, stale): whether a group's digest differs from the stored (group, digest); one never stored is stale."""
-    from ..functions.identity import group_digest
-
-    current = members.groupBy(group).agg(group_digest(F.col(member), now).alias("_now"))
+    """(group, stale): whether a group's digest, as group_digests() makes it for groups of any size, differs from the stored (group, digest); one never stored is stale."""
+    current = group_digests(members, group, F.col(member), now).withColumnRenamed("digest", "_now")
     return current.join(stored, group, "left").select(group, (~F.coalesce(F.col("_now") == F.col("digest"), F.lit(False))).alias("stale"))
 
 

@@ -256,7 +256,7 @@ s AS (SELECT l_orderkey, sha256(string_agg(l_linenumber || ':' || l_returnflag,
 SELECT l_orderkey, coalesce(n.d <> s.d, true) AS stale FROM n LEFT JOIN s USING (l_orderkey)""")
 def stale_propagation(spark: SparkSession, sf: str) -> DataFrame:
     lines = read(spark, sf, "lineitem")
-    stored = lines.where("l_quantity > 2").groupBy("l_orderkey").agg(identity.group_digest(F.col("l_linenumber"), F.col("l_returnflag")).alias("digest"))
+    stored = identity.group_digests(lines.where("l_quantity > 2"), "l_orderkey", F.col("l_linenumber"), F.col("l_returnflag"))
     return journal.stale_groups(lines, "l_orderkey", "l_linenumber", F.col("l_returnflag"), stored)
 
 

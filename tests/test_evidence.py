@@ -1,10 +1,12 @@
 import itertools
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators import annotation, decisions, folds, people, regions
+from siftwell.functions import identity
+from siftwell.operators import annotation, decisions, folds, journal, people, regions
 from siftwell.plans import evidence
 
 
@@ -124,3 +126,31 @@ def test_metadata_files(spark, tmp_path):
         (tmp_path / "w" / s).mkdir(parents=True)
         (tmp_path / "w" / s / "session.json").write_text("{}")
     assert sorted(r.session for r in metadata.sessions(spark, str(tmp_path / "w")).collect()) == ["s1", "s2"]
+
+
+def test_groups_of_two_hundred_thousand_rows(spark):
+    """One key with all rows: nothing gathers them in one row or task."""
+    n = 200_000
+    ratings = spark.range(n).selectExpr("cast(0 as long) item", "id who", "id rev", "'submitted' status", "cast(id % 2 as long) label")
+    whole = ratings.select("item", (F.lit(n) + 1).cast("long").alias("rev"), F.col("rev").alias("cites"), F.lit(5).cast("long").alias("label"))
+    got = annotation.adjudicated(ratings, whole, "item", "who", "rev", "status", "label").first()
+    assert (got["raters"], got["label"], got["basis"]) == (n, 5, "adjudication")
+    short = annotation.adjudicated(ratings, whole.where("cites > 0"), "item", "who", "rev", "status", "label").first()
+    assert (short["label"], short["basis"]) == (None, "unresolved")
+    stored = identity.group_digests(ratings, "item", F.col("who"), F.col("label").cast("string"))
+    stale = lambda rows: journal.stale_groups(rows, "item", "who", F.col("label").cast("string"), stored).first()["stale"]
+    assert not stale(ratings) and stale(ratings.withColumn("label", F.expr("if(who = 77, 9, label)")))
+    members = spark.range(n).selectExpr("cast(null as string) k", "id", "id div 50000 part")
+    pairs = members.where("id < 50000").selectExpr("k", "id a", "id + 50000 b")
+    roots = {r["part"]: r["root"] for r in folds.guarded_merge(pairs, members, ["k"]).groupBy("part").agg(F.max("root").alias("root")).collect()}
+    assert roots == {0: 0, 1: 1, 2: 2, 3: 3}  # of 2.5 thousand million pairs only some are compatible
+
+
+def test_written_tables_go_with_their_scope(spark):
+    from siftwell.functions import storage
+
+    with storage.scope(spark):
+        kept = storage.written(spark.range(3).toDF("id"), "scoped")
+        place = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert kept.count() == 3 and os.path.isdir(place)
+    assert not os.path.exists(place) and not storage._MADE
