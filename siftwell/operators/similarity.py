@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hamming
@@ -141,19 +141,30 @@ def cosine_pairs(rows: DataFrame, key: str, vector: str, queries: DataFrame, lea
     return rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(score, f"query {queries.schema['query'].dataType.simpleString()}, {key} {kind}, score double")
 
 
+def _two_best(rows: DataFrame, side: str, other: str, rank: Column) -> DataFrame:
+    """(side, _best, _second): the other of the least rank (then least other) of each side, as struct(rank, other), and the next rank, null if there is none.
+
+    Two aggregations, which combine before the exchange: a side with many pairs is no sorted window. A pair that stands twice is its own second.
+    """
+    each = rows.groupBy(F.col(side).alias(side), F.col(other).alias("_other"), rank.alias("_rank")).agg(F.count("*").alias("_k"))
+    best = each.groupBy(side).agg(F.min(F.struct("_rank", "_other", (-F.col("_k")).alias("_k"))).alias("_best"))
+    rest = each.join(best, side).where((F.col("_other") != F.col("_best._other")) | (F.col("_rank") != F.col("_best._rank"))).groupBy(side).agg(F.min("_rank").alias("_next"))
+    again = F.when(F.col("_best._k") < -1, F.col("_best._rank"))
+    return best.join(rest, side, "left").select(side, "_best", F.coalesce(again, "_next").alias("_second"))
+
+
 def mutual(scores: DataFrame, a: str, b: str, score: str, ratio: float) -> DataFrame:
     """Pairs that are each other's best and whose second best falls to ratio x the best or below, on either side."""
     out = scores
     for side, other in ((a, b), (b, a)):
-        w = Window.partitionBy(side).orderBy(F.desc(score), other)
-        out = out.withColumn(f"_r_{side}", F.row_number().over(w)).withColumn(f"_n_{side}", F.lead(score).over(w))
-    clear = lambda side: F.coalesce(F.col(f"_n_{side}") <= ratio * F.col(score), F.lit(True))
-    return out.where((F.col(f"_r_{a}") == 1) & (F.col(f"_r_{b}") == 1) & clear(a) & clear(b)).select(a, b, score)
+        two = _two_best(scores, side, other, -F.col(score)).select(F.col(side).alias("_side"), F.col("_best._other").alias("_o"), (-F.col("_second")).alias("_n"))
+        clear = F.coalesce(F.col("_n") <= ratio * F.col(score), F.lit(True))
+        out = out.join(two, F.col(side) == F.col("_side")).where((F.col(other) == F.col("_o")) & clear).drop("_side", "_o", "_n")
+    return out.select(a, b, score)
 
 
 def ratio_matches(scores: DataFrame, a: str, b: str, distance: str, ratio: float) -> DataFrame:
     """(a, b, distance): the nearest b of each a, if the second nearest is farther by the ratio; of those that share a b the nearest stays."""
-    w = Window.partitionBy(a).orderBy(distance, b)
-    best = scores.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.lead(distance).over(w)).where("_r = 1")
-    clear = best.where(F.col("_n").isNull() | (F.col(distance) < ratio * F.col("_n")))
+    two = _two_best(scores, a, b, F.col(distance)).select(a, F.col("_best._other").alias(b), F.col("_best._rank").alias(distance), "_second")
+    clear = two.where(F.col("_second").isNull() | (F.col(distance) < ratio * F.col("_second")))
     return clear.groupBy(b).agg(F.min(F.struct(distance, a)).alias("_m")).select(F.col(f"_m.{a}").alias(a), b, F.col(f"_m.{distance}").alias(distance))

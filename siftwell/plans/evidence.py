@@ -346,14 +346,26 @@ def group_merge_adjacent(spark: SparkSession, sf: str) -> DataFrame:
     return folds.merge_adjacent(rows, "user_id", "event_id", wanted).select("event_id", "user_id")
 
 
-@query()
+#: Vectors of k modulo 4 radians are alike only if they are the same.
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1000000 AS t, cast(json_extract_string(props, '$.k') AS BIGINT) % 4 AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, i, event_id, cast(0 AS BIGINT) AS burst, [{'n': cast(0 AS BIGINT), 'a': t, 'z': t, 'c': c}] AS op, cast(1 AS BIGINT) AS nxt FROM o WHERE i = 1 UNION ALL
+ SELECT user_id, i, event_id, coalesce(hit, nxt), if(hit IS NULL, list_append(live, {'n': nxt, 'a': t, 'z': t, 'c': c}), list_transform(live, lambda b: if(b.n = hit, {'n': b.n, 'a': b.a, 'z': t, 'c': b.c}, b))), if(hit IS NULL, nxt + 1, nxt)
+ FROM (SELECT *, list_min(list_transform(list_filter(live, lambda b: b.c = c), lambda b: b.n)) AS hit FROM (SELECT o.user_id, o.i, o.event_id, o.t, o.c, nxt, list_filter(op, lambda b: o.t - b.z <= 28800 AND o.t - b.a <= 86400) AS live FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1)))
+SELECT event_id, user_id, burst FROM s""")
 def open_bursts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     rows = read(spark, sf, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.array(F.cos(k % 4), F.sin(k % 4)).alias("v"))
     return folds.open_bursts(rows, ["user_id"], "t", ["event_id"], "v", 8 * 3600.0, 24 * 3600.0, 0.9).select("event_id", "user_id", "burst")
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda c: cast(c AS DOUBLE)) AS v FROM embeddings),
+e AS (SELECT x.label, x.id AS a, y.id AS b, row_number() OVER (PARTITION BY x.label ORDER BY x.id, y.id) AS n FROM v x JOIN v y ON x.label = y.label AND x.id < y.id WHERE list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) >= 0.15),
+k AS (SELECT label, list(a * 10000000 + b) AS codes FROM e GROUP BY label), p AS MATERIALIZED (SELECT e.*, codes FROM e JOIN k USING (label)),
+s AS (SELECT label, cast(0 AS BIGINT) AS n, list({'id': id, 'root': id} ORDER BY id) AS r FROM v GROUP BY label UNION ALL
+ SELECT label, n, CASE WHEN x <> y AND list_sum(list_transform(list_filter(r, lambda m: m.root = x), lambda m: len(list_filter(r, lambda o: o.root = y AND list_contains(codes, least(m.id, o.id) * 10000000 + greatest(m.id, o.id)))))) = len(list_filter(r, lambda m: m.root = x)) * len(list_filter(r, lambda m: m.root = y))
+   THEN list_transform(r, lambda m: {'id': m.id, 'root': if(m.root = greatest(x, y), least(x, y), m.root)}) ELSE r END
+ FROM (SELECT s.label, p.n, r, codes, list_filter(r, lambda m: m.id = a)[1].root AS x, list_filter(r, lambda m: m.id = b)[1].root AS y FROM s JOIN p ON p.label = s.label AND p.n = s.n + 1))
+SELECT label, m.id AS id, m.root AS root FROM (SELECT label, unnest(r) AS m FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1)""")
 def guarded_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of a label are parts of one; those with a cosine of .15 are compatible."""
     from ..operators.similarity import cosine_pairs
