@@ -9,8 +9,9 @@ from ..functions.geometry import iou
 from ..functions.vectors import cosine
 from .folds import fold
 
-#: Eligibility on positive evidence, weight of the detector, penalty of negatives, overlap, margin, candidates, references.
-ELIGIBLE, DETECTOR, PENALTY, OVERLAP, MARGIN, MOST, REFERENCES = 0.46, 0.10, 0.15, 0.38, 0.05, 8, 6
+#: Eligibility on positive evidence, weight of the detector, penalty of negatives, overlap, candidates, references; margins of appearances and of identities.
+ELIGIBLE, DETECTOR, PENALTY, OVERLAP, MOST, REFERENCES = 0.46, 0.10, 0.15, 0.38, 8, 6
+AMBIGUOUS, MARGIN = 0.065, 0.05
 
 
 def threshold(references: Column) -> Column:
@@ -33,7 +34,7 @@ def scored(candidates: DataFrame, references: DataFrame, person: str, eligible:
     out = candidates.join(best, [person, "candidate"]).withColumn("appearance", F.col("_best._s")).withColumn("reference", -F.col("_best._r"))
     positive = (1 - DETECTOR) * F.col("appearance") + DETECTOR * F.least(F.greatest(F.col("confidence"), F.lit(0.0)), F.lit(1.0))
     out = out.withColumn("_positive", positive).where(F.col("_positive") >= eligible)
-    reasons = F.array_compact(F.array(F.when(F.col("_positive") < eligible + MARGIN, "near_threshold"), F.when(F.col("_worst") >= F.col("appearance"), "negative_conflict")))
+    reasons = F.array_compact(F.array(F.when(F.col("_positive") < eligible + AMBIGUOUS, "near_threshold"), F.when(F.col("_worst") >= F.col("appearance"), "negative_conflict")))
     return out.withColumn("score", F.greatest(F.col("_positive") - PENALTY * F.coalesce("_worst", F.lit(0.0)), F.lit(0.0))).withColumn("reasons", reasons).drop("_best", "_worst", "_positive")
 
 
@@ -57,7 +58,7 @@ def ranked(found: DataFrame, keys: list[str], order: list[str], least: float = O
     flat = found.select("*", *(F.col(f"box.{c}").alias(f"_{c}") for c in "xywh"), (-F.col("score")).alias("_falling"))
     out = fold(flat, keys, ["_falling", *order], list, step, ["_x", "_y", "_w", "_h"], "rank", "integer").where("rank > 0")
     w = Window.partitionBy(*keys).orderBy("rank")
-    close = (F.col("rank") == 1) & F.coalesce(F.lead("score").over(w) >= F.col("score") - MARGIN, F.lit(False))
+    close = (F.col("rank") == 1) & F.coalesce(F.lead("score").over(w) >= F.col("score") - AMBIGUOUS, F.lit(False))
     return out.withColumn("ambiguous", close).drop("_x", "_y", "_w", "_h", "_falling")
 
 

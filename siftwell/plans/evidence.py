@@ -153,7 +153,19 @@ def greedy_matching(spark: SparkSession, sf: str) -> DataFrame:
     return folds.matched(pairs, ["l_orderkey"], "l_linenumber", "other", "score")
 
 
-@query()
+_VEC = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT label % 4 AS person, vec_id AS ref, embedding, vec_id % 3 <> 0 AS positive FROM embeddings WHERE vec_id % 41 = 0 QUALIFY row_number() OVER (PARTITION BY label % 4, vec_id % 3 <> 0 ORDER BY vec_id) <= 6),
+l AS (SELECT b.label % 4 AS person, b.vec_id AS candidate, ref, positive, {_VEC} AS s FROM embeddings b JOIN r a ON a.person = b.label % 4 WHERE b.vec_id % 41 <> 0), g AS (SELECT person, candidate, max(s) FILTER (positive) AS look, max(s) FILTER (NOT positive) AS worst FROM l GROUP BY ALL),
+p AS (SELECT g.*, 0.9 * look + 0.1 * least(abs(embedding[5]::DOUBLE), 1) AS good, abs(embedding[1]::DOUBLE) AS x, abs(embedding[2]::DOUBLE) AS y FROM g JOIN embeddings ON vec_id = candidate),
+f AS (SELECT *, greatest(good - 0.15 * coalesce(worst, 0), 0) AS score, concat_ws(',', if(good < 0.1 + 0.065, 'near_threshold', NULL), if(worst >= look, 'negative_conflict', NULL)) AS reasons FROM p WHERE good >= 0.1),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY person ORDER BY score DESC, candidate) AS n FROM f),
+s AS (SELECT person, cast(0 AS BIGINT) AS n, cast([] AS STRUCT(i BIGINT, x DOUBLE, y DOUBLE)[]) AS kept FROM (SELECT DISTINCT person FROM o) UNION ALL
+ SELECT s.person, o.n, if(len(kept) < {{most}} AND len(list_filter(kept, lambda b: greatest(0, 0.4 - abs(o.x - b.x)) * greatest(0, 0.4 - abs(o.y - b.y)) >= {{overlap}} * (0.32 - greatest(0, 0.4 - abs(o.x - b.x)) * greatest(0, 0.4 - abs(o.y - b.y))))) = 0, list_append(kept, {{{{'i': o.candidate, 'x': o.x, 'y': o.y}}}}), kept) FROM s JOIN o ON o.person = s.person AND o.n = s.n + 1),
+k AS (SELECT person, unnest(kept).i AS candidate, unnest(range(1, len(kept) + 1)) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY person ORDER BY n DESC) = 1),
+z AS (SELECT *, lead(score) OVER (PARTITION BY person ORDER BY rank) AS nxt FROM k JOIN o USING (person, candidate))
+SELECT person, candidate, round(score, 6) AS score, cast(rank AS INTEGER) AS rank, rank = 1 AND coalesce(nxt >= score - 0.065, false) AS ambiguous, reasons FROM z""".format(most=people.MOST, overlap=people.OVERLAP))
 def person_ranking(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select((F.col("label") % 4).alias("person"), F.col("vec_id").alias("candidate"), F.col("embedding").alias("vector"))
     refs = e.where("candidate % 41 = 0").select("person", F.col("candidate").alias("ref"), "vector", (F.col("candidate") % 3 != 0).alias("positive"))
@@ -428,7 +440,6 @@ def focus_point_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select("event_id", geometry.focus_pair(x, F.lit(0.5)).alias("p")).select("event_id", "p.reason", "p.x")
 
 
-_VEC = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
 
 
 @query(f"""WITH r AS (SELECT label % 4 AS person, vec_id AS ref, embedding, vec_id % 3 <> 0 AS positive, row_number() OVER (PARTITION BY label % 4, vec_id % 3 <> 0 ORDER BY vec_id) AS n FROM embeddings WHERE vec_id % 41 = 0 QUALIFY n <= 6),
