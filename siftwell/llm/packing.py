@@ -8,86 +8,19 @@ among pieces of their length, so no task and no driver ever holds the pieces.
 from __future__ import annotations
 
 import bisect
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .tokens import blocks, encoder, tokenizer_path
 
 CAPACITY, SALTS = 2048, 32
-#: Entries of each of a task's two caches, the longest text that they hold, bytes encoded at a time.
-_CACHE_ROWS, _CACHE_CHARS, _BATCH_BYTES = 250_000, 48, 1 << 20
-#: Runs that this tokenizer never joins with each other: lower-case Latin letters, a digit, ASCII signs but ' and <.
-_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class _Encoder:
-    """Texts to their ids as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and never joins across a space or line feed, so a text's ids are those of
-    its parts between them, and a part of plain runs has the ids of its runs. Both are encoded once and cached;
-    any other part goes to the tokenizer as it is.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        from tokenizers import Tokenizer
-
-        self.tok, self.parts, self.runs = Tokenizer.from_file(path), {"": b""}, {}
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a run
-        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def _learn(self, runs: list[str]) -> None:
-        ids = np.asarray(self.tok.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        data = ids.tobytes()
-        self.runs.update((r, data[a:b]) for r, a, b in zip(runs, [0, *cuts[:-1]], cuts, strict=True))
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-            text = text.lower()  # letter by letter here, as the tokenizer does
-        except UnicodeEncodeError:
-            pass
-        return text.replace("\n", " ").split(" ")
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > _CACHE_ROWS:
-            self.parts = {"": b""}
-        split = [self._split(t) for t in texts]
-        plain, other = {}, []
-        for p in set().union(*split).difference(self.parts):
-            if len(p) > _CACHE_CHARS:
-                other.append(p)
-            elif p.isascii() and p.isalpha() and p.islower():  # one run, as most parts are
-                plain[p] = (p,)
-            elif sum(map(len, runs := _RUNS.findall(p))) == len(p):
-                plain[p] = runs
-            else:
-                other.append(p)
-        if len(self.runs) > _CACHE_ROWS:
-            self.runs.clear()
-        if new := list(set().union(*plain.values()).difference(self.runs)):
-            self._learn(new)
-        self.parts.update((p, self.runs[p] if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))) for p, runs in plain.items())
-        rest = {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True)} if other else {}
-        self.parts.update((p, b) for p, b in rest.items() if len(p) <= _CACHE_CHARS)
-        return [b"".join([self.parts[p] if p in self.parts else rest[p] for p in parts] if rest else map(self.parts.__getitem__, parts)) for parts in split]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -100,22 +33,22 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     kind = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step = _Encoder(path), 4 * capacity
+        encode = encoder(path, 0)
         for batch in batches:
-            upto = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(), dtype="int64") // _BATCH_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):  # of a batch only so many texts are Python strings at once
-                of, rows = [], []
-                for i, ids in enumerate(encode([t or "" for t in batch["text"].slice(lo, hi - lo).to_pylist()]), lo):
-                    ids += b"\0\0\0\0"
-                    for k, at in enumerate(range(0, len(ids), step)):
-                        of.append(i)
-                        rows.append((k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step])))
-                if rows:
-                    columns = (pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(kind)[1:], strict=True))
-                    yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(of, pa.int64())), *columns], schema=kind)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+            for row, texts in blocks(batch["text"]):
+                ids, at = encode(texts)
+                n = np.diff(at)
+                each = -(-n // capacity)
+                of = np.repeat(np.arange(len(n)), each)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
+                start = piece * capacity
+                length = np.minimum(n[of] - start, capacity)
+                first, data = at[:-1][of] + start, memoryview(ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), length.tolist(), strict=True)]
+                columns = (pa.array(c, f.type) for c, f in zip((piece, start, length, crc), list(kind)[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, len(texts)).take(pa.array(of)), *columns], schema=kind)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

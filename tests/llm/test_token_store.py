@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from siftwell.llm import token_store as ts
-from siftwell.llm.packing import tokenizer_path
+from siftwell.llm import tokens
+from siftwell.llm.tokens import tokenizer_path
 
 from . import cases
 
@@ -27,7 +28,7 @@ TEXTS = [
 
 
 def test_encoder_equals_the_tokenizer(plain):
-    encode = ts.Encoder(tokenizer_path())
+    encode = tokens.Encoder(tokenizer_path())
     for texts in (TEXTS, TEXTS[::-1], [""], ["", "a", ""], []):
         whole = pa.array(["skipped", *texts, "after"]).slice(1, len(texts))  # a slice of a larger buffer
         ids, at = encode(whole)
@@ -40,13 +41,13 @@ def test_encoder_on_random_signs(plain):
     rng = random.Random(1)
     signs = [*"aZ'st|<>!.,-_ \n\t05é—²", "\u0301", "<|endoftext|>", "'ll", "你", "İ", "ſ", "\xa0"]
     texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)]
-    ids, at = ts.Encoder(tokenizer_path())(pa.array(texts))
+    ids, at = tokens.Encoder(tokenizer_path())(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain(t) for t in texts]
 
 
 def test_encoder_forgets(plain, monkeypatch):
-    monkeypatch.setattr(ts, "CACHE_ROWS", 2)
-    encode = ts.Encoder(tokenizer_path())
+    monkeypatch.setattr(tokens, "CACHE_ROWS", 2)
+    encode = tokens.Encoder(tokenizer_path())
     for t in TEXTS:
         assert encode(pa.array([t]))[0].tolist() == plain(t)
 
