@@ -27,8 +27,8 @@ from .tokens import END_ID, blocks, encoder, tokenizer_path
 from .warc import uri
 
 LEVEL = 3
-#: The dictionary's size, and the sample that it is trained on: so many documents of at most so many bytes.
-DICT_BYTES, SAMPLE_ROWS, SAMPLE_BYTES = 64 << 10, 1000, 8 << 10
+#: The dictionary's size, and the sample that it is trained on: so many documents of at most so many bytes, and how many times as many hashes are looked at.
+DICT_BYTES, SAMPLE_ROWS, SAMPLE_BYTES, OVERSAMPLED = 64 << 10, 1000, 8 << 10, 8
 #: Bytes of frames a file: the most, and the least where that many tasks are not needed.
 FILE_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 #: Bytes read at a time.
@@ -47,10 +47,13 @@ MANIFEST = "part int, file string, docs long, ids long, bytes long, first_id lon
 def train(docs: DataFrame, path: str, end_id: int = END_ID, *, dict_bytes: int = DICT_BYTES, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> bytes:
     """A dictionary for the ids of short documents, trained on those with the least hashes, each whole: `rows` at most, of `most` bytes at most.
 
-    Copies count once in it. Empty where there is too little to train on; what a frame decodes to never depends on the dictionary.
+    Only hashes of a share of the range are looked at that holds OVERSAMPLED times as many documents of any length, so that a task sends no more than its part; where few documents are
+    short the sample is smaller. Copies count once in it. Empty where there is too little to train on; what a frame decodes to never depends on the dictionary.
     """
-    short = docs.where(F.octet_length("text").between(1, most))
-    sample = short.select("text").orderBy(F.xxhash64(F.col("doc_id").cast("string"), "text"), "text").limit(rows).dropDuplicates()
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 62))
+    share = int((1 << 62) * min(1.0, OVERSAMPLED * rows / max(1, docs.count())))
+    short = docs.select("text", at.alias("at")).where((F.col("at") < share) & F.octet_length("text").between(1, most))
+    sample = short.orderBy("at", "text").limit(rows).select("text").dropDuplicates()
 
     def serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, end_id)
