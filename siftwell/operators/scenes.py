@@ -20,7 +20,7 @@ def overlaps(cells: DataFrame, photo: str, cell: str, mass: str, least: float, b
 
     A histogram's masses become shares of their sum. Histograms that are equal are one class under its least photo: classes are compared, and each other member has a
     row beside its class's photo, of overlap 1. A class sends only its rarest cells, until what is left weighs less than `least`: two histograms that share as much
-    have one of those in common (a cell that both have stands in the same order in both). Pairs come from shared cells of this index, each from the first one only, and are then summed in full.
+    have one of those in common (a cell that both have stands in the same order in both). Cells of one class alone meet none and are not sent. Pairs come from shared cells of this index, are made different, and then summed in full.
     Null masses and those of 0 or less count nowhere; a photo without mass has no pair.
     """
     by = by or []
@@ -37,9 +37,9 @@ def overlaps(cells: DataFrame, photo: str, cell: str, mass: str, least: float, b
     ordered = each.join(often, [*by, "_c"]).groupBy(*by, "_k").agg(F.sort_array(F.collect_list(F.struct("_n", "_c", "_m"))).alias("_o"))
     # the cells before which the mass that is still to come reaches `least`
     left = F.aggregate("_o", F.struct(F.lit(1.0).alias("rest"), F.lit(0).alias("n")), lambda s, x: F.struct((s["rest"] - x["_m"]).alias("rest"), F.when(s["rest"] + SLACK >= least, s["n"] + 1).otherwise(s["n"]).alias("n")))
-    sent = ordered.select(*by, "_k", F.slice("_o", F.lit(1), F.greatest(left["n"], F.lit(1))).alias("_o")).select(*by, "_k", F.posexplode(F.transform("_o", lambda x: x["_c"])).alias("_at", "_c"), F.transform("_o", lambda x: x["_c"]).alias("_sent"))
-    one, two = (sent.select(*by, "_c", F.col("_k").alias(k), F.col("_at").alias(f"_at_{k}"), F.slice("_sent", F.lit(1), F.col("_at")).alias(f"_before_{k}")) for k in "ab")
-    met = one.join(two, [*by, "_c"]).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("_before_a", "_before_b")).select(*by, "a", "b")
+    sent = ordered.select(*by, "_k", F.explode(F.slice("_o", F.lit(1), F.greatest(left["n"], F.lit(1)))).alias("_x")).where("_x._n > 1").select(*by, "_k", F.col("_x._c").alias("_c"))
+    one, two = (sent.select(*by, "_c", F.col("_k").alias(k)) for k in "ab")
+    met = one.join(two, [*by, "_c"]).where("a < b").select(*by, "a", "b").distinct()
     side = lambda k: classes.select(*by, F.col("_k").alias(k), F.map_from_entries("_h").alias(f"_h_{k}"))
     full = met.join(side("a"), [*by, "a"]).join(side("b"), [*by, "b"])
     shared = F.aggregate(F.map_values(F.map_zip_with("_h_a", "_h_b", lambda c, x, y: F.when(x.isNotNull() & y.isNotNull(), F.least(x, y)).otherwise(0.0))), F.lit(0.0), lambda s, x: s + x)
