@@ -271,6 +271,40 @@ def guarded_merge(pairs: DataFrame, members: DataFrame, keys: list[str]) -> Data
     return of(members, roots, "part", "part", "root", "left").select(*members.columns, F.col("_part").alias("root"))
 
 
+def cliques(rows: DataFrame, keys: list[str], row: str, vector: str, least: float) -> DataFrame:
+    """rows with root: what guarded_merge gives where every row is a part of its own and those with a cosine of `least` or more are compatible.
+
+    Pairs in order then merge each row, by rising id, into the first group all of whose members it suits, so no pair is made: the state of a key is its rows' vectors and groups.
+    A vector of no length suits nothing.
+    """
+    import numpy as np
+
+    class State:
+        def __init__(self):
+            self.roots, self.of, self.units = [], np.zeros(16, "int64"), None
+            self.n = 0
+
+    def step(s: State, values: tuple) -> int:
+        i, v = values
+        u = np.asarray(v, "float64")
+        length = np.linalg.norm(u)
+        u = u / length if length > 0 else np.full(len(u), np.nan)
+        if s.units is None or s.n == len(s.units):
+            grown = np.zeros((max(16, 2 * s.n), len(u)))
+            grown[: s.n] = s.units[: s.n] if s.n else 0
+            s.units, s.of = grown, np.concatenate([s.of[: s.n], np.zeros(len(grown) - s.n, "int64")])
+        suits = np.ones(len(s.roots) + 1, "bool")
+        suits[s.of[: s.n][~(s.units[: s.n] @ u >= least)]] = False
+        group = int(np.argmax(suits))  # the last is a new one
+        if group == len(s.roots):
+            s.roots.append(i)
+        s.units[s.n], s.of[s.n] = u, group
+        s.n += 1
+        return s.roots[group]
+
+    return fold(rows, keys, [row], State, step, [row, vector], "root", "long")
+
+
 def matched(pairs: DataFrame, keys: list[str], left: str, right: str, score: str) -> DataFrame:
     """The pairs that greedy matching keeps: by falling score, a pair stays if neither side is taken. Ties go to the greater ids."""
 
