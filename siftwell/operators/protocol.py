@@ -34,13 +34,15 @@ class Rule:
     checks: dict[str, Callable[[Callable[[str, str], Column]], Column]] = field(default_factory=dict)
 
 
-def _kind(value: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's type of a variant; null for none."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
+_NUMBERS = ("BIGINT", "DOUBLE", "FLOAT")
+_TYPE = {"text": ("STRING",), "choice": ("STRING",), "flag": ("BOOLEAN",), "number": _NUMBERS, "echo": ("STRING", "BOOLEAN", *_NUMBERS)}
 
 
-_NUMBERS = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
-_TYPE = {"object": ("OBJECT",), "array": ("ARRAY",), "text": ("STRING",), "choice": ("STRING",), "flag": ("BOOLEAN",), "number": _NUMBERS, "echo": ("STRING", "BOOLEAN", *_NUMBERS)}
+def _is(value: Column, kind: str) -> Column:
+    """Whether a variant is a leaf of that kind."""
+    type_ = F.schema_of_variant(value)
+    found = type_.isin(*_TYPE[kind])
+    return found | type_.startswith("DECIMAL") if kind in ("number", "echo") else found
 
 
 def _join(parts: list[Column]) -> Column:
@@ -48,60 +50,107 @@ def _join(parts: list[Column]) -> Column:
     return F.concat(none, *(F.coalesce(p, none) for p in parts)) if parts else none
 
 
-def faults(value: Column, rule: Rule, path: Column | str = "$") -> Column:
-    """array(struct(path, fault)) of everything that is wrong with a variant, in the order of the rule: nothing stops at the first.
-
-    Faults: not_<kind>, missing, unexpected, too_short, too_long, not_one_of, below, above, not_whole, differs, repeated, and the names of checks. A value that is null (a text that is no JSON) is invalid.
-    """
-    path = F.lit(path) if isinstance(path, str) else path
-    one = lambda when, name, at=path: F.when(when, F.array(F.struct(at.alias("path"), F.lit(name).alias("fault"))))
-    kind = _kind(value)
-    wrong = ~kind.isin(*_TYPE[rule.kind])
-    right: list[Column] = []
-    if rule.kind == "object":
-        # a map of its values: each key is read from it, and what it has beyond the rule is told
-        found = value.cast("map<string,variant>")
-        keys = [*rule.fields, *rule.optional]
+def _one(when: Column, name: str, at: Column) -> Column:
+    return F.when(when, F.array(F.struct(at.alias("path"), F.lit(name).alias("fault"))))
+
+
+class _Level:
+    """The values of one depth of arrays: columns that are bound once a row, stage by stage, as what is bound later reads what was bound before."""
+
+    def __init__(self, depth: int):
+        self.name, self.stages, self.below, self.nodes = f"_l{depth}", {}, [], []
+
+    def bind(self, stage: int, value: Column) -> Column:
+        name = f"{self.name}_{sum(map(len, self.stages.values()))}"
+        self.stages.setdefault(stage, {})[name] = value
+        return F.col(name)
+
+    def faults(self, value: Column, rule: Rule, path: Column, stage: int = 0) -> Column:
+        """Those of a bound value that isn't null, in the order of the rule; an array's items become nodes of the level below."""
+        bad = F.array(F.struct(path.alias("path"), F.lit(f"not_{rule.kind}").alias("fault"))).cast(FAULTS)
+        if rule.kind in ("object", "array"):
+            kind, parts = ("map<string,variant>", self._object) if rule.kind == "object" else ("array<variant>", self._array)
+            found = self.bind(stage, F.try_variant_get(value, "$", kind))
+            return F.when(found.isNull(), bad).otherwise(_join(parts(value, found, rule, path, stage + 1)))
+        right: list[Column] = []
+        if rule.kind == "number":
+            number = self.bind(stage, F.try_variant_get(value, "$", "double"))
+            right += [_one(number < rule.least, "below", path)] if rule.least is not None else []
+            right += [_one(number > rule.most, "above", path)] if rule.most is not None else []
+            right += [_one(number != F.floor(number), "not_whole", path)] if rule.whole else []
+        elif rule.kind != "flag":
+            text = self.bind(stage, F.try_variant_get(value, "$", "string"))
+            right += [_one(F.length(F.trim(text)) < rule.least, "too_short", path)] if rule.least is not None else []
+            right += [_one(F.length(F.trim(text)) > rule.most, "too_long", path)] if rule.most is not None else []
+            right += [_one(~text.isin(*rule.choices), "not_one_of", path)] if rule.choices else []
+            right += [_one(~text.eqNullSafe(rule.same.cast("string")), "differs", path)] if rule.same is not None else []
+        return F.when(~self.bind(stage, _is(value, rule.kind)), bad).otherwise(_join(right))
+
+    def _object(self, value: Column, found: Column, rule: Rule, path: Column, stage: int) -> list[Column]:
+        out, held = [], []
         for key, of in {**rule.fields, **rule.optional}.items():
-            at = F.concat(path, F.lit(f".{key}"))
-            has = F.map_contains_key(found, key)
-            below = F.when(has, faults(F.try_variant_get(value, f"$.{key}", "variant"), of, at))
-            right += [one(~has, "missing", at), below] if key in rule.fields else [below]
-        extra = F.filter(F.array_sort(F.map_keys(found)), lambda k: ~k.isin(*keys))
-        right.append(F.transform(extra, lambda k: F.struct(F.concat(path, F.lit("."), k).alias("path"), F.lit("unexpected").alias("fault"))))
-        get = lambda key, type_: F.try_variant_get(value, f"$.{key}", type_)
-        right += [one(~F.coalesce(check(get), F.lit(True)), name) for name, check in rule.checks.items()]
-    elif rule.kind == "array":
-        found = value.cast("array<variant>")
-        right += [one(F.size(found) < rule.least, "too_short")] if rule.least is not None else []
-        right += [one(F.size(found) > rule.most, "too_long")] if rule.most is not None else []
+            at, child = F.concat(path, F.lit(f".{key}")), self.bind(stage, F.try_element_at(found, F.lit(key)))
+            held.append(child.isNotNull().cast("int"))
+            out += [_one(child.isNull(), "missing", at)] if key in rule.fields else []
+            out.append(F.when(child.isNotNull(), self.faults(child, of, at, stage + 1)))
+        keys = [*rule.fields, *rule.optional]
+        extra = F.array_sort(F.filter(F.map_keys(found), lambda k: ~k.isin(*keys)))
+        more = F.transform(extra, lambda k: F.struct(F.concat(path, F.lit("."), k).alias("path"), F.lit("unexpected").alias("fault")))
+        out.append(F.when(F.size(found) > sum(held, F.lit(0)), more))
+        read: dict[tuple[str, str], Column] = {}
+
+        def get(key: str, type_: str) -> Column:
+            if (key, type_) not in read:
+                read[key, type_] = self.bind(stage, F.try_variant_get(value, f"$.{key}", type_))
+            return read[key, type_]
+
+        return out + [_one(~F.coalesce(check(get), F.lit(True)), name, path) for name, check in rule.checks.items()]
+
+    def _array(self, value: Column, found: Column, rule: Rule, path: Column, stage: int) -> list[Column]:
+        out = [_one(F.size(found) < rule.least, "too_short", path)] if rule.least is not None else []
+        out += [_one(F.size(found) > rule.most, "too_long", path)] if rule.most is not None else []
         name = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
         if rule.items is not None:
-            right.append(F.flatten(F.transform(found, lambda v, i: faults(v, rule.items, name(i)))))
+            of = len(self.below)
+            self.below.append(rule.items)
+            self.nodes.append(F.transform(found, lambda v, i: F.struct(F.lit(of).alias("of"), name(i).alias("path"), v.alias("value"), F.lit(None).cast(FAULTS).alias("told"))))
         if rule.unique is not None:
-            named = F.transform(found, lambda v: F.try_variant_get(v, f"$.{rule.unique}", "string"))
-            again = F.transform(named, lambda n, i: F.when(n.isNotNull() & F.array_contains(F.slice(named, F.lit(1), i), n), F.struct(F.concat(name(i), F.lit(f".{rule.unique}")).alias("path"), F.lit("repeated").alias("fault"))))
-            right.append(F.array_compact(again))
-    elif rule.kind == "number":
-        number = F.try_variant_get(value, "$", "double")
-        right += [one(number < rule.least, "below")] if rule.least is not None else []
-        right += [one(number > rule.most, "above")] if rule.most is not None else []
-        right += [one(number != F.floor(number), "not_whole")] if rule.whole else []
-    else:
-        text = F.try_variant_get(value, "$", "string")
-        right += [one(F.length(F.trim(text)) < rule.least, "too_short")] if rule.least is not None else []
-        right += [one(F.length(F.trim(text)) > rule.most, "too_long")] if rule.most is not None else []
-        right += [one(~text.isin(*rule.choices), "not_one_of")] if rule.choices else []
-        right += [one(~text.eqNullSafe(rule.same.cast("string")), "differs")] if rule.same is not None else []
-    bad = F.array(F.struct(path.alias("path"), F.lit(f"not_{rule.kind}").alias("fault"))).cast(FAULTS)
-    invalid = F.array(F.struct(path.alias("path"), F.lit("invalid").alias("fault"))).cast(FAULTS)
-    return F.when(value.isNull(), invalid).when(F.coalesce(wrong, F.lit(True)), bad).otherwise(_join(right))
+            names = self.bind(stage, F.transform(found, lambda v: F.try_variant_get(v, f"$.{rule.unique}", "string")))
+            spot = lambda i: F.struct(F.concat(name(i), F.lit(f".{rule.unique}")).alias("path"), F.lit("repeated").alias("fault"))
+            again = F.array_compact(F.transform(names, lambda n, i: F.when(n.isNotNull() & F.array_contains(F.slice(names, F.lit(1), i), n), spot(i))))
+            out.append(F.when(F.size(F.array_distinct(names)) < F.size(names), again))
+        return out
 
 
 def checked(rows: DataFrame, key: list[str], text: str, rule: Rule) -> DataFrame:
-    """(key, path, fault): every fault of every reply's text, a row each; a reply without any has no row. Keys that stand twice in an object make it invalid."""
-    each = F.explode(faults(F.try_parse_json(F.col(text)), rule))
-    return rows.select(*key, each.alias("_f")).select(*key, "_f.path", "_f.fault")
+    """(key, path, fault): every fault of every reply's text, a row each and none stops the others; a reply without any has no row.
+
+    Faults: not_<kind>, missing, unexpected, too_short, too_long, not_one_of, below, above, not_whole, differs, repeated, and the names of checks. A text that is no JSON is invalid, as is one in which a key
+    stands twice in an object. A text is parsed once and an object taken apart once: an array's items become rows, so that each rule is columns over a row and not a function in a function.
+    (explode_outer: for explode, Spark pushes a filter on the array's size down to the text, and makes all of it a second time.)
+    """
+    depth, rules = 0, [rule]
+    nodes = rows.select("*", F.lit(0).alias("_of"), F.lit("$").alias("_path"), F.try_parse_json(F.col(text)).alias("_value"), F.lit(None).cast(FAULTS).alias("_told"))
+    while rules:
+        level = _Level(depth)
+        of, path, value, told = (F.col(c) for c in ("_of", "_path", "_value", "_told"))
+        invalid = F.array(F.struct(path.alias("path"), F.lit("invalid").alias("fault"))).cast(FAULTS)
+        found = F.when(told.isNotNull(), told).when(value.isNull(), invalid)
+        for i, r in enumerate(rules):
+            mine = level.bind(0, F.when(of == i, value)) if len(rules) > 1 else value
+            found = found.when(of == i, level.faults(mine, r, path, 1))
+        for _, columns in sorted(level.stages.items()):
+            nodes = nodes.select("*", *(c.alias(n) for n, c in columns.items()))
+        kept = [c for c in rows.columns if c != text or c in key]
+        if level.below:
+            own = F.array(F.struct(F.lit(-1).alias("of"), path.alias("path"), F.lit(None).cast("variant").alias("value"), found.alias("told")))
+            none = F.array().cast("array<struct<of:int,path:string,value:variant,told:" + FAULTS + ">>")
+            nodes = nodes.select(*kept, F.concat(own, *(F.coalesce(n, none) for n in level.nodes)).alias("_a")).select(*kept, F.explode_outer("_a").alias("_n"))
+            nodes = nodes.select(*kept, *(F.col(f"_n.{c}").alias(f"_{c}") for c in ("of", "path", "value", "told")))
+        else:
+            nodes = nodes.select(*key, found.alias("_f"))
+        depth, rules = depth + 1, level.below
+    return nodes.select(*key, F.explode_outer("_f").alias("_f")).where("_f is not null").select(*key, "_f.path", "_f.fault")
 
 
 def canonical(value: Column, kind: DataType) -> Column:

@@ -38,6 +38,24 @@ def test_texts_that_are_no_json(spark):
     assert faults(spark, None, "", "{", '{"id":"a","id":"a"}', "NaN") == [[("$", "invalid")]] * 5
 
 
+def test_a_text_is_parsed_once_and_an_object_taken_apart_once(spark):
+    rows = spark.createDataFrame([(1, "a", "{}")], "n int, id string, text string")
+    plan = checked(rows, ["n"], "text", reply())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("MapType(StringType,VariantType") == 2  # the reply, its parts
+
+
+def test_faults_in_arrays_of_arrays_and_in_objects_of_objects(spark):
+    inner = Rule("object", {"v": Rule("number", most=3)}, unique=None)
+    rule = Rule("object", {"rows": Rule("array", items=Rule("array", items=inner, most=2)), "at": Rule("object", {"x": Rule("flag")})}, {"tags": Rule("array", items=Rule("text", least=1), least=1)})
+    texts = ['{"rows":[[{"v":1},{"v":9}],[],[7,{},null]],"at":{"x":true}}', '{"rows":[5],"at":{"x":1,"y":2},"tags":["a"," "]}', '{"rows":[],"at":null,"tags":[]}', '{"rows":[],"at":{"x":false}}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = sorted((r["n"], r["path"], r["fault"]) for r in checked(rows, ["n"], "text", rule).collect())
+    assert got == sorted([
+        (0, "$.rows[0][1].v", "above"), (0, "$.rows[2]", "too_long"), (0, "$.rows[2][0]", "not_object"), (0, "$.rows[2][1].v", "missing"), (0, "$.rows[2][2]", "not_object"),
+        (1, "$.rows[0]", "not_array"), (1, "$.at.x", "not_flag"), (1, "$.at.y", "unexpected"), (1, "$.tags[1]", "too_short"), (2, "$.at", "not_object"), (2, "$.tags", "too_short"),
+    ])
+
+
 def test_digests_do_not_depend_on_the_order_of_fields(spark):
     a = spark.createDataFrame([((1, ("x", None)), [(1, 2)])], "s struct<b:int,a:struct<d:string,c:string>>, l array<struct<q:int,p:int>>")
     b = spark.createDataFrame([([(2, 1)], ((None, "x"), 1))], "l array<struct<p:int,q:int>>, s struct<a:struct<c:string,d:string>,b:int>")
