@@ -140,3 +140,9 @@ def test_points_turn_with_the_photo(spark):
     got = {r["o"]: r["u"] for r in df.select("o", markers.upright(F.col("p"), F.col("o")).alias("u")).collect()}
     assert got[9] is None and got[None] is None and tuple(got[1][0])[2:] == pytest.approx((0.25, 0.5, 0.1, 0.2)) and tuple(got[3][0])[2:] == pytest.approx((0.75, 0.5, 0.1, 0.2))
     assert tuple(got[6][0])[2:] == pytest.approx((0.5, 0.25, 0.2, 0.1)) and got[6][1]["w"] is None
+
+
+def test_a_tag_is_looked_up_once(spark):
+    df = spark.createDataFrame([({"IFD0:Make": "SONY "},)], "t map<string,string>").select(markers.sony(F.col("t")).alias("m"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_keys(") == 5 and plan.count("playback_location_geometry_only") == 1  # make, model, mode, location, frame
