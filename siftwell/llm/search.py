@@ -110,9 +110,14 @@ class _Searcher:
 
     def __init__(self, row, mean: float):
         of = lambda name, kind: np.frombuffer(row[name], kind)
-        self.doc_ids, self.terms, self.starts, self.docs = of("doc_ids", "int64"), of("terms", "uint64"), of("starts", "uint32").astype("int64"), of("docs", "uint32").astype("int64")
-        tf = of("tfs", "uint32").astype("float64")
-        self.impacts = tf * (K1 + 1) / (tf + K1 * (1 - B + B * of("lengths", "uint32")[self.docs] / mean))
+        self.doc_ids, self.terms, self.starts, self.docs = of("doc_ids", "int64"), of("terms", "uint64"), of("starts", "uint32").astype("int64"), of("docs", "uint32")
+        # in place, as a shard has millions of postings: tf * (K1 + 1) / (tf + what the document's length makes of it)
+        self.impacts = of("tfs", "uint32").astype("float64")
+        below = (K1 * (1 - B + B * of("lengths", "uint32") / mean))[self.docs]
+        below += self.impacts
+        self.impacts *= K1 + 1
+        self.impacts /= below
+        del below
         self.blocks = -(-len(self.doc_ids) // BLOCK)
         # runs: postings of one term in one block
         new = np.zeros(len(self.docs), bool)
@@ -239,6 +244,7 @@ def search(docs: DataFrame, queries: DataFrame, top: int = TOP, **how) -> DataFr
                     ids, scores = ([g[k] for g in got] for k in (0, 1))
                     if got:  # what a shard finds for a block of queries leaves it at once
                         yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), [len(i) for i in ids]), "doc_id": np.concatenate(ids), "score": np.concatenate(scores)})
+                del shard  # or it stays until the next one stands
 
     merged = index.mapInPandas(scored, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))

@@ -3,6 +3,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -265,6 +266,20 @@ def test_search_against_brute_force(spark, docs, empty, real):
     assert search.search(empty, empty.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
 
 
+def test_a_shard_is_opened_in_place():
+    """Beyond what stays, opening a shard takes less than one more column of its postings."""
+    rng = np.random.default_rng(3)
+    shard = search._Shard()
+    for i in range(2000):
+        shard.add(i, collections.Counter(dict.fromkeys(rng.integers(0, 40_000, 200).tolist(), 2)))
+    row = dict(zip(search.SHARD.replace(" long", "").replace(" binary", "").split(", "), shard.row()))
+    tracemalloc.start()
+    searcher = search._Searcher(row, 400.0)
+    left, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert searcher.docs.dtype == np.uint32 and most - left < 8 * len(searcher.docs)
+
+
 def test_blocks_are_pruned():
     """Documents of 40 topics that share common words: a query scores about half of the blocks, and finds what scoring all of them finds."""
     rng = np.random.default_rng(7)
