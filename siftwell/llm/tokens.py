@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Text bytes encoded at a time; entries of a worker's cache of runs, and ids in it.
-BLOCK_BYTES, CACHE_ROWS, CACHE_IDS = 4 << 20, 500_000, 4 << 20
+BLOCK_BYTES, CACHE_ROWS, CACHE_IDS = 1 << 20, 500_000, 4 << 20
 
 
 def tokenizer_path() -> str:
@@ -82,7 +82,7 @@ class Encoder:
         return np.fromiter(map(self.slots.__getitem__, runs), np.int32, len(runs))
 
     @staticmethod
-    def _lowered(data: np.ndarray, kind: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    def _lowered(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """data with ASCII letters in lower case, but for those that a mark may follow and the runs that may be special tokens."""
         upper = (data >= 0x41) & (data <= 0x5A)
         upper[:-1] &= data[1:] < 0x80
@@ -103,9 +103,10 @@ class Encoder:
         begins[1:] = _MAY_CUT[kind[:-1] * 6 + kind[1:]]
         begins[lo[lo < hi]] = True
         edges = np.flatnonzero(begins).astype(np.int32)
+        del kind, begins
         if len(edges):
             cuts = np.append(edges, np.int32(len(data)))
-            runs = pa.Array.from_buffers(pa.string(), len(edges), [None, pa.py_buffer(cuts), pa.py_buffer(self._lowered(data, kind, edges))]).dictionary_encode()
+            runs = pa.Array.from_buffers(pa.string(), len(edges), [None, pa.py_buffer(cuts), pa.py_buffer(self._lowered(data, edges))]).dictionary_encode()
             slot = self._slots(runs.dictionary.to_numpy(zero_copy_only=False).tolist())[runs.indices.to_numpy()]
         else:
             slot = np.zeros(0, np.int32)

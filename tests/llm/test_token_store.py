@@ -107,3 +107,8 @@ def test_damage_is_an_error(spark, tmp_path, what):
     open(name, "wb").write(bytes(data))
     with pytest.raises(Exception, match="ids that its index states|dictionary is not|ZstdError|decompress"):
         ts.read(manifest).collect()
+
+
+def test_texts_are_encoded_in_small_blocks():
+    held = [x.nbytes for _, x in tokens.blocks(pa.array(["word " * 20_000] * 60))]
+    assert len(held) > 3 and max(held) < 2 << 20
