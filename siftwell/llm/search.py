@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import table, written
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Scores count to so many decimals; two that are equal then rank by doc_id.
 DIGITS = 6
 #: Documents and postings at which a shard is closed, documents of a block, queries of a block, blocks evaluated before pruning.
 SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, FIRST = 8192, 2_000_000, 32, 128, 8
+#: Groups of shards: a query leaves each with its best, so that what is merged grows with the queries, not with the shards too.
+GROUPS = 8
 #: Most terms of a shard that count as common, and the share of its documents that such a term is in at least.
 COMMON, OFTEN = 512, 1 / 40
 #: Words whose hashes a task remembers.
@@ -206,47 +208,69 @@ class _Searcher:
         return self.doc_ids[found[stay]], np.round(scores[stay], DIGITS)
 
 
+def _rows(store: fs.FileSystem, files: list[str]) -> Iterator[dict]:
+    """The shards of files, one in memory at a time."""
+    for file in files:
+        with store.open_input_file(file) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=1, use_threads=False):
+                yield {name: batch[name][0].as_buffer() for name in ("doc_ids", "lengths", "terms", "starts", "docs", "tfs")}
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -scores))[:top]
     return ids[order], scores[order]
 
 
+def _found(index: DataFrame, packed: DataFrame, mean: float, top: int) -> DataFrame:
+    """(query_id, doc_id, score): the `top` of each group of shards of index, a written table, for each of packed (query_id, terms, weights), another."""
+    files = index.inputFiles()
+    if not files:
+        return packed.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    folder = files[0].rpartition("/")[0]
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, path = fs.FileSystem.from_uri(folder)
+        shards = sorted(ds.dataset(path, filesystem=store, format="parquet").files)
+        for pdf in batches:
+            for group, asked in pdf.groupby("group"):
+                t, w = ([np.asarray(x) for x in asked[c]] for c in ("terms", "weights"))
+                best = [(np.empty(0, "int64"), np.empty(0))] * len(t)
+                for row in _rows(store, shards[group::GROUPS]):
+                    shard = _Searcher(row, mean)
+                    for low in range(0, len(t), QUERIES):
+                        some = slice(low, low + QUERIES)
+                        floors = [scores[-1] if len(scores) == top else 0.0 for _, scores in best[some]]
+                        for i, found in enumerate(shard.search_all([x.view("uint64") for x in t[some]], w[some], top, floors), low):
+                            if len(found[0]):
+                                best[i] = _best(*map(np.concatenate, zip(best[i], found, strict=True)), top)
+                    del shard, row  # or they stay until the next ones stand
+                yield pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy(), [len(ids) for ids, _ in best]), "doc_id": np.concatenate([ids for ids, _ in best]), "score": np.concatenate([scores for _, scores in best])})
+
+    tasks = 3 * packed.sparkSession.sparkContext.defaultParallelism
+    dealt = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))).repartitionByRange(tasks, "group", "query_id")
+    return dealt.sortWithinPartitions("group").mapInPandas(scored, "query_id long, doc_id long, score double")
+
+
 def search(docs: DataFrame, queries: DataFrame, top: int = TOP, **how) -> DataFrame:
     """(query_id, rank, doc_id, score): the exact BM25 `top` documents of docs (doc_id, text) for queries (query_id, text).
 
     Terms weigh by global document frequencies and lengths, so a document's score does not depend on its shard,
-    and merging each shard's `top` is exact. Scores have DIGITS decimals, and equal ones rank by doc_id. Queries stand in the shared folder,
-    and each shard reads them a block at a time and hands on each block's best: a task holds a shard and a block. A query without a term that
+    and merging the `top` of GROUPS groups of shards is exact. Scores have DIGITS decimals, and equal ones rank by doc_id. Shards stand in the shared folder, a file each;
+    a task opens those of a group one after another for its batch of queries, whose best so far bound what a later shard need score: it holds a shard and a batch. A query without a term that
     occurs (so a null, empty or blank one) has no rows, and a document without terms is never found but counts among the documents. Long
     texts count whole. Rows that repeat a doc_id are documents of their own; a row without doc_id can't be named in a result, and is no part of
     the corpus or of its statistics. Other columns are not read. No documents or no queries: no rows.
     """
     spark = docs.sparkSession
-    index = written(build(docs, **how), "index")
+    index = written(build(docs, **how), "index", maxRecordsPerFile=1)
     n, words = index.agg(F.sum("n"), F.sum("words")).first()
     n, mean = n or 0, (words or 0) / n if n and words else 1.0
     df = index.select("terms", "starts").mapInPandas(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     asked = queries.select("query_id", "text").mapInPandas(_query_terms, "query_id long, term long, tf long").groupBy("query_id", "term").agg(F.max("tf").alias("tf"))
     weighed = asked.join(df, "term").select("query_id", F.struct("term", (F.col("tf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w")).alias("t"))
     packed = weighed.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.w").alias("weights"))
-    path = f"{shared_dir(spark)}/queries-{uuid.uuid4().hex}"
-    packed.write.parquet(path)
-    where = path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, folder = fs.FileSystem.from_uri(where)
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                shard = _Searcher(row, mean)
-                for batch in ds.dataset(folder, filesystem=store, format="parquet").to_batches(batch_size=QUERIES):
-                    t, w = ([x.values.to_numpy() for x in batch[c]] for c in ("terms", "weights"))
-                    got = [_best(*found, top) for found in shard.search_all([x.view("uint64") for x in t], w, top, [0.0] * len(t))]
-                    ids, scores = ([g[k] for g in got] for k in (0, 1))
-                    if got:  # what a shard finds for a block of queries leaves it at once
-                        yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), [len(i) for i in ids]), "doc_id": np.concatenate(ids), "score": np.concatenate(scores)})
-                del shard  # or it stays until the next one stands
-
-    merged = index.mapInPandas(scored, "query_id long, doc_id long, score double")
+    packed = written(packed, "queries")
+    merged = _found(index, packed, mean, top)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
 

@@ -266,6 +266,18 @@ def test_search_against_brute_force(spark, docs, empty, real):
     assert search.search(empty, empty.select(F.col("doc_id").alias("query_id"), "text")).count() == 0
 
 
+def test_search_merges_the_best_of_a_fixed_number_of_groups(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.concat(F.lit("w"), F.col("id") % 7), F.concat(F.lit("v"), F.col("id") % 31)).alias("text"))
+    index = search.written(search.build(docs.repartition(4), shard_docs=5), "index", maxRecordsPerFile=1)
+    assert index.count() >= 80 and len(index.inputFiles()) == index.count()  # a shard a file
+    term = lambda word: search.xxhash.xxh3_64_intdigest(word.encode()) - (1 << 64) * (search.xxhash.xxh3_64_intdigest(word.encode()) >> 63)
+    packed = search.written(spark.createDataFrame([(q, [t for t, _ in some], [w for _, w in some]) for q in range(20) for some in [sorted([(term("word"), 0.1), (term(f"w{q % 7}"), 1.0)])]], "query_id long, terms array<long>, weights array<double>"), "queries")
+    got = search._found(index, packed, 3.0, 10).toPandas()
+    assert len(got) == 20 * 10 * search.GROUPS  # not of each of the shards
+    every = search.search(docs, docs.where("doc_id < 20").withColumnRenamed("doc_id", "query_id"), shard_docs=1000).orderBy("query_id", "rank").collect()
+    assert every == search.search(docs.repartition(4), docs.where("doc_id < 20").withColumnRenamed("doc_id", "query_id"), shard_docs=5).orderBy("query_id", "rank").collect()
+
+
 def test_a_shard_is_opened_in_place():
     """Beyond what stays, opening a shard takes less than one more column of its postings."""
     rng = np.random.default_rng(3)
