@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept, shared_dir, written
 from ..operators.graph import components
 
-__all__ = ["WORD", "components", "kept", "shared_dir", "table", "unwrapped", "utf8_size", "word_count", "wrapped", "written"]
+__all__ = ["WORD", "components", "kept", "shared_dir", "table", "tidied", "unwrapped", "utf8_size", "word_count", "wrapped", "written"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +39,22 @@ def wrapped(docs: DataFrame, *more: Column) -> DataFrame:
 def unwrapped(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
     """The columns of `row` again, those in new replaced."""
     return rows.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns))
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidied(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f over a task's batches, which at the end gives back to the system what it has freed: Python workers outlive their tasks, and what idle ones hold counts against the executor all the same."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, unwrapped, wrapped
+from .common import table, tidied, unwrapped, wrapped
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Bounds of the fitted classifier, whatever the size of the corpus.
@@ -91,6 +91,9 @@ def predict(text: Column, dictionaries: dict[str, bytes], *, level: int = LEVEL,
 
     @F.arrow_udf("lang_pred string, score double, margin double")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(predicted)(batches)
+
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compressors = _compressors(dictionaries, level)
         for texts in batches:  # one text at a time is a Python string
             lang, score, margin = zip(*(_classify(t.as_py(), compressors, window) for t in texts), strict=True) if len(texts) else ((), (), ())

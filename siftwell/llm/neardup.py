@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, kept, table, written
+from .common import components, kept, table, tidied, written
 
 SHINGLE = 5
 #: Two collections of HALVES half-keys of ROWS minhashes make HALVES^2 tables of 2 x ROWS rows: 72 minhashes do the work of
@@ -268,7 +268,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, schema: str) -> DataFrame:
     """wanted (doc_id, ...) with the shingles of each document that it names; texts stay where they are while wanted is small."""
     wanted = kept(wanted)
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return docs.select("doc_id", "text").where("text is not null").join(wanted, "doc_id").mapInPandas(_sets, schema + ", shingles binary").where("length(shingles) > 0")
+    return docs.select("doc_id", "text").where("text is not null").join(wanted, "doc_id").mapInPandas(tidied(_sets), schema + ", shingles binary").where("length(shingles) > 0")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, block: int) -> DataFrame:
@@ -277,7 +277,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, block: int) -> D
     of = pairs.join(parts, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(False).alias("lead"))
     heads = parts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
     sets = _with_sets(docs, of.unionByName(heads), "doc_id long, a long, part int, lead boolean").withColumn("key", F.xxhash64("a", "part"))
-    return sets.repartition("key").sortWithinPartitions("key", "a").mapInPandas(_star(percent), "a long, b long")
+    return sets.repartition("key").sortWithinPartitions("key", "a").mapInPandas(tidied(_star(percent)), "a long, b long")
 
 
 def _compared(docs: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
@@ -306,11 +306,11 @@ def linked(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int
     tables, and of these again those that hold several are searched for likely pairs (agreeing minhashes). The groups which the pairs make are
     compared in full, but never within a component. No pair is dropped for the size of its bucket or group.
     """
-    first = written(_repeated(nodes.select("rep", "half1").mapInPandas(_keys("half1"), "key long, rep long")), "buckets")
+    first = written(_repeated(nodes.select("rep", "half1").mapInPandas(tidied(_keys("half1")), "key long, rep long")), "buckets")
     codes = nodes.select("rep", "n", "code")
     active, found = first.select("key", "rep", F.col("rep").alias("of")), None
     for _ in range(NEAREST):
-        near = active.join(codes, "rep").select("key", "rep", "of", "n", "code").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(_nearest(percent), "key long, b long, a long, agreeing long")
+        near = active.join(codes, "rep").select("key", "rep", "of", "n", "code").repartition("key").sortWithinPartitions("key", "rep").mapInPandas(tidied(_nearest(percent)), "key long, b long, a long, agreeing long")
         near = written(near, "near")
         best = F.slice(F.sort_array(F.collect_set(F.struct("agreeing", "a")), asc=False), 1, PARTNERS)  # of one a bucket at most
         pairs = kept(near.groupBy("b").agg(best.alias("best")).select("b", F.explode("best.a").alias("a")))
@@ -319,8 +319,8 @@ def linked(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, block: int
         found = _merged(found, _confirmed(docs, pairs, percent, block))
         active = kept(_apart(_placed(first.join(near.select("key").distinct(), "key", "left_semi"), found)))
     rows = _apart(_placed(first, found)).join(nodes.select("rep", "half2"), "rep").select("key", "rep", "of", "half2")
-    rows = _apart(written(rows.mapInPandas(_keys("half2"), "key long, rep long, of long"), "tables")).join(codes, "rep").select("key", "of", "n", "code")
-    likely = rows.repartition("key").sortWithinPartitions("key", "of").mapInPandas(_likely(percent, wide), "a long, b long").distinct()
+    rows = _apart(written(rows.mapInPandas(tidied(_keys("half2")), "key long, rep long, of long"), "tables")).join(codes, "rep").select("key", "of", "n", "code")
+    likely = rows.repartition("key").sortWithinPartitions("key", "of").mapInPandas(tidied(_likely(percent, wide)), "a long, b long").distinct()
     groups = kept(components(likely).select(F.col("id").alias("of"), "root"))
     if groups.isEmpty():
         return groups.select(F.col("of").alias("id"), "root") if found is None else found
@@ -357,7 +357,7 @@ def group(docs: DataFrame, **how) -> DataFrame:
     """
     kind = "doc_id long, n long, s1 long, s2 long, half1 binary, half2 binary, code binary"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(docs.mapInArrow(_sketch, kind), "sketches")
+    sketched = written(docs.mapInArrow(tidied(_sketch), kind), "sketches")
     some, own = sketched.where("n > 0"), ("half1", "half2", "code")
     nodes = written(some.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), *(F.min_by(c, "doc_id").alias(c) for c in own)), "nodes")
     found = linked(docs, nodes.select("rep", "n", *own), **how)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 from .tokens import blocks, encoder, tokenizer_path
 
 CAPACITY, SALTS = 2048, 32
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
                 columns = (pa.array(c, f.type) for c, f in zip((piece, start, length, crc), list(kind)[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(row, len(texts)).take(pa.array(of)), *columns], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Text bytes encoded at a time; entries of a worker's cache of runs, and ids in it.
-BLOCK_BYTES, CACHE_ROWS, CACHE_IDS = 1 << 20, 500_000, 4 << 20
+BLOCK_BYTES, CACHE_ROWS, CACHE_IDS = 1 << 20, 300_000, 3 << 20
 
 
 def tokenizer_path() -> str:

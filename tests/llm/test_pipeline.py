@@ -126,3 +126,20 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path, table):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_task_gives_back_what_it_freed(monkeypatch):
+    from siftwell.llm import common, tokens
+
+    given = []
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    assert list(common.tidied(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and given == [1]
+    early = common.tidied(lambda batches: (x for x in batches))(iter([1, 2]))
+    next(early)
+    early.close()  # a task that is left early gives back too
+    assert given == [1, 1]
+
+    encode = tokens.Encoder(tokens.tokenizer_path())
+    for low in range(0, 360_000, 40_000):
+        encode(tokens.pa.array([" ".join(f"w{i}" for i in range(low, low + 40_000))]))
+    assert len(encode.slots) <= 340_001  # a worker keeps the runs of some blocks only
