@@ -154,3 +154,12 @@ def test_written_tables_go_with_their_scope(spark):
         place = kept.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
         assert kept.count() == 3 and os.path.isdir(place)
     assert not os.path.exists(place) and not storage._MADE
+
+
+def test_reply_assembly_groups_rows_and_joins_none(spark):
+    expected = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("b", 1, 1), ("c", 1, 1), ("c", 1, 5), ("d", 1, 1), (None, 1, 1), ("e", None, 1), ("f", 1, None)], "scope string, subject int, ordinal int")
+    rows = spark.createDataFrame([("a", 1, "x", "soft"), ("a", 2, "z", "soft"), ("a", 2, "y", None), ("b", 1, "x", "clear"), ("b", 2, "x", "clear"), ("c", 1, "x", "severe"), ("d", 1, "x", "clear"), (None, 1, "x", "clear"), ("e", None, "x", "clear"), ("f", 1, "x", "soft")], "scope string, subject int, part string, state string")
+    got = decisions.replies(rows, "scope", expected, "subject", "part", F.col("state"), F.lit(True), F.lit(None).cast("boolean"))
+    want = {("a", "review", "y"), ("b", "invalid", None), ("c", "reject", "x"), ("d", "keep", None), (None, "invalid", None), ("e", "invalid", None), ("f", "review", "x")}
+    assert {tuple(r) for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # both sides' sorts and a third one held a task's memory at once
