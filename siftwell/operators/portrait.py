@@ -67,6 +67,18 @@ def context_problem(photo: dict[str, Column]) -> Column:
     return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules), F.lit(None).cast("string"))
 
 
+def _cut(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Elements of all of rows' lists, and where each list's begin, and the end; a null list has none."""
+    return rows.flatten(), np.append(0, np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+
+
+def _lists(rows: pa.Array) -> list[np.ndarray | None]:
+    """Each row's list of numbers as a slice of one array, or None."""
+    values, at = _cut(rows)
+    values = values.to_numpy(zero_copy_only=False)
+    return [values[a:b] if ok else None for a, b, ok in zip(at, at[1:], rows.is_valid().to_pylist(), strict=False)]
+
+
 _MATCHES = "array<struct<sx:double,sy:double,tx:double,ty:double,distance:int>>"
 _ROWS = 256
 
@@ -96,11 +108,21 @@ def matches(pairs: DataFrame, points: DataFrame, photo: str = "photo", ratio: fl
     @F.arrow_udf(_MATCHES)
     def near(left: pa.Array, right: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("sx", pa.float64()), ("sy", pa.float64()), ("tx", pa.float64()), ("ty", pa.float64()), ("distance", pa.int32())]))
-        out = []
-        for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            bits = lambda rows: np.array([r["bits"] for r in rows], np.int64)
-            out.append([{"sx": a[i]["x"], "sy": a[i]["y"], "tx": b[j]["x"], "ty": b[j]["y"], "distance": n} for i, j, n in _nearest(bits(a), bits(b), ratio)] if a and b else [])
-        return pa.array(out, kind)
+        if not len(left):
+            return pa.array([], kind)
+        (one, a), (two, b) = _cut(left), _cut(right)
+        (v, p), (w, q) = ((x.to_numpy(zero_copy_only=False), y) for x, y in (_cut(side.field("bits")) for side in (one, two)))
+        first, second, apart, n = [], [], [], []
+        for k in range(len(left)):  # slices of the batch's own buffers; no point becomes a Python object
+            own, other = a[k + 1] - a[k], b[k + 1] - b[k]
+            found = _nearest(v[p[a[k]] : p[a[k + 1]]].reshape(own, -1), w[q[b[k]] : q[b[k + 1]]].reshape(other, -1), ratio) if own and other else []
+            first.extend(a[k] + i for i, _, _ in found)
+            second.extend(b[k] + j for _, j, _ in found)
+            apart.extend(d for _, _, d in found)
+            n.append(len(found))
+        first, second = pa.array(first, pa.int64()), pa.array(second, pa.int64())
+        rows = [one.field("x").take(first), one.field("y").take(first), two.field("x").take(second), two.field("y").take(second), pa.array(apart, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.StructArray.from_arrays(rows, fields=list(kind.value_type)))
 
     arrays = points.groupBy(F.col(photo).alias("_photo")).agg(F.sort_array(F.collect_list(F.struct("point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("bits").cast("array<bigint>").alias("bits")))).alias("_points"))
     side = lambda name: arrays.select(F.col("_photo").alias(name), F.col("_points").alias(f"_{name}"))
@@ -129,7 +151,9 @@ def hull_area(points: Column) -> Column:
 
     @F.arrow_udf("double")
     def area(points: pa.Array) -> pa.Array:
-        return pa.array([_hull([(p["x"], p["y"]) for p in row]) if row else 0.0 for row in points.to_pylist()], pa.float64())
+        of, at = _cut(points)
+        both = list(zip(of.field("x").to_pylist(), of.field("y").to_pylist(), strict=True)) if len(of) else []
+        return pa.array([_hull(both[a:b]) if b > a else 0.0 for a, b in zip(at, at[1:], strict=False)], pa.float64())
 
     return area(points)
 
@@ -197,8 +221,8 @@ def background(left: Column, left_mask: Column, right: Column, right_mask: Colum
     @F.arrow_udf("coverage double, difference double")
     def laid(left: pa.Array, left_mask: pa.Array, right: pa.Array, right_mask: pa.Array, width: pa.Array, unit: pa.Array) -> pa.Array:
         out = []
-        for l, lm, r, rm, w, u in zip(left.to_pylist(), left_mask.to_pylist(), right.to_pylist(), right_mask.to_pylist(), width.to_pylist(), unit.to_pylist(), strict=True):
-            if None in (l, lm, r, rm, w, u) or None in u.values() or not (det := u["xx"] * u["yy"] - u["xy"] * u["yx"]):
+        for l, lm, r, rm, w, u in zip(_lists(left), _lists(left_mask), _lists(right), _lists(right_mask), width.to_pylist(), unit.to_pylist(), strict=True):
+            if any(c is None for c in (l, lm, r, rm, w, u)) or None in u.values() or not (det := u["xx"] * u["yy"] - u["xy"] * u["yx"]):
                 out.append(None)
                 continue
             middle = (np.arange(w) + 0.5) / w

@@ -236,3 +236,17 @@ def test_context_of_one_automatic_subject(spark):
     rows = spark.createDataFrame([tuple((good | o).values()) for o in odd], kind)
     got = [r["p"] for r in rows.select(portrait.context_problem({c: F.col(c) for c in good}).alias("p")).collect()]
     assert got == [None, "not_a_portrait", "not_decoded", "old_schema", "primary_not_selected", "not_one_subject", "not_one_subject", "not_primary", "not_automatic", "moved_box", "changed_pixels"]
+
+
+def test_lists_of_a_batch_are_slices(spark):
+    import pyarrow as pa
+
+    rows = pa.array([[9], [1, 2], None, [], [3, None]], pa.list_(pa.int64())).slice(1)
+    got = portrait._lists(rows)
+    assert got[0].tolist() == [1, 2] and got[1] is None and got[2].tolist() == [] and got[3][0] == 3 and np.isnan(got[3][1])
+    values, at = portrait._cut(rows)
+    assert values.to_pylist() == [1, 2, 3, None] and at.tolist() == [0, 2, 2, 2, 4]
+    # a photo's descriptors have a width of their own, and a place that isn't known stays null
+    points = spark.createDataFrame([(p, i, None if i == 1 else float(i), 0.0, [(1 << 4 * i) - 1] * w) for p, w in (("a", 1), ("b", 1), ("c", 2), ("d", 2)) for i in range(3)], "photo string, point int, x double, y double, bits array<bigint>")
+    found = portrait.matches(spark.createDataFrame([("a", "b"), ("c", "d"), ("a", "none")], "left string, right string"), points).collect()
+    assert sorted((r["left"], r["sx"] is None, r["tx"] is None, r["distance"]) for r in found) == sorted((p, i == 1, i == 1, 0) for p in "ac" for i in range(3))
