@@ -1,6 +1,7 @@
 """Comparisons in blocks, copies among the rows, against every pair."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,76 @@ def test_passages_end_within_words_and_begin_within_them(spark):
             if t and p and p in f" {t} " and p.split(" ")[0] in t.split(" ") and (len(p.split(" ")) < 2 or " ".join(p.split(" ")[:2]) in t):
                 want.add((d, i))
     assert {tuple(r) for r in got} == want and len(got) == len(want) and {(1, 1), (2, 1), (6, 4)} <= want
+
+
+def _brute(texts, least):
+    """(group, a, b): what overlaps must give for words; texts of (group, key, text)."""
+    counts = {}
+    for g, k, t in texts:
+        if g is not None and k is not None and t is not None:
+            for w in t.split(" "):
+                cells = counts.setdefault((g, k), {})
+                cells[w] = cells.get(w, 0) + 1
+    share = {at: {w: n / sum(c.values()) for w, n in c.items()} for at, c in counts.items()}
+    classes, want = {}, {}
+    for (g, k), c in sorted(share.items()):
+        head = classes.setdefault((g, tuple(sorted((w, round(s, 12)) for w, s in c.items()))), k)
+        if head != k:
+            want[g, head, k] = 1.0
+    heads = sorted((g, k) for (g, _), k in classes.items())
+    for n, (g, b) in enumerate(heads):
+        for h, a in heads[:n]:
+            both = sum(min(s, share[g, b].get(w, 0)) for w, s in share[h, a].items())
+            if g == h and both + 1e-9 >= least:
+                want[g, a, b] = both
+    return want
+
+
+@pytest.mark.parametrize("least", [0.2, 0.64, 0.9])
+def test_words_are_histograms_of_all_texts_of_a_key(spark, monkeypatch, least):
+    monkeypatch.setattr(blocks, "EACH", 3)  # so that most tiles end by weight
+    monkeypatch.setattr(scenes, "TEXTS", 200)
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(25)] + ["ß", "漢字", "\n"]
+    texts = [(f"g{i % 3}", f"k{i:03}", " ".join(rng.choice(words, rng.integers(1, 9)))) for i in range(90)]
+    texts += [(g, f"z{k}", t) for g, k, t in texts[:12]]  # copies
+    texts += [("g0", "k000", "w1 w2"), ("g1", "k000", "w1 w2"), ("g0", "y1", None), ("g0", "y2", ""), ("g0", "y3", ""), ("g0", "y4", " "), ("g0", "y5", "w1  w2 "), ("g0", None, "w1"), (None, "y6", "w1"), (None, "y7", "w1")]
+    texts += [("g1", f"t{i}", "w3 " * (i + 1) + "rare") for i in range(40)] + [("g2", "long", " ".join(f"v{i}" for i in range(400)))]
+    df = spark.createDataFrame(texts, "g string, k string, t string").repartition(5)
+    got = scenes.shared_histograms(scenes.worded(df, "k", "t", ["g"]), least, ["g"]).collect()
+    want = _brute(texts, least)
+    assert len(want) > 100 and len(got) == len(want)
+    assert all(abs(want[r["g"], r["a"], r["b"]] - r["overlap"]) < 1e-9 for r in got)
+    none = df.where("false")
+    assert scenes.shared_histograms(scenes.worded(none, "k", "t", ["g"]), least, ["g"]).count() == 0
+
+
+def test_words_are_not_rows(spark):
+    df = spark.createDataFrame([("g", 1, "a b")], "g string, k int, t string")
+    plan = scenes.worded(df, "k", "t", ["g"])._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_pairs_that_share_common_cells_only_are_not_summed_in_full(spark, monkeypatch):
+    # 0.62 is the same in all, and by chance a little more in cells thrown together
+    near = [(i, f"r{i // 2 if i < 10 else i}_{j}") for i in range(80) for j in range(38)]
+    cells = [(i, f"common{j}", 2) for i in range(80) for j in range(31)] + [(i, c, 1) for i, c in near]
+    asked, made = [], []
+
+    def local(rows, stated, answer, schema, *_):
+        pdf = stated.toPandas()
+        monkeypatch.setattr(scenes, "_shared", lambda *a, real=scenes._shared: asked.append(1) or real(*a))
+        made.extend(zip(*(found[c] for c in "ab"), strict=True) for found in answer(pdf, iter([pdf])))
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(scenes, "compared", local)
+    cells += [(i, "one", 1) for i in range(0, 10, 2)]  # so that two of a pair aren't copies
+    scenes.overlaps(spark.createDataFrame(cells, "p int, c string, m int"), "p", "c", "m", 0.64)
+    assert sorted(p for found in made for p in found) == [(i, i + 1) for i in range(0, 10, 2)]
+    assert len(asked) < 20
+
+
+def test_tiles_end_by_weight():
+    rows = [1, 1, 1, 9, 1, 20, 1, 1, 1, 1, 1]
+    got = blocks.weighed(iter([pd.DataFrame({"w": rows[:4]}), pd.DataFrame({"w": rows[4:4]}), pd.DataFrame({"w": rows[4:]})]), 4, "w", 10)
+    assert [t["w"].tolist() for t in got] == [[1, 1, 1], [9, 1], [20], [1, 1, 1, 1], [1]]
