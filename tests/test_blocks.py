@@ -257,3 +257,21 @@ def test_tiles_end_by_weight():
     rows = [1, 1, 1, 9, 1, 20, 1, 1, 1, 1, 1]
     got = blocks.weighed(iter([pd.DataFrame({"w": rows[:4]}), pd.DataFrame({"w": rows[4:4]}), pd.DataFrame({"w": rows[4:]})]), 4, "w", 10)
     assert [t["w"].tolist() for t in got] == [[1, 1, 1], [9, 1], [20], [1, 1, 1, 1], [1]]
+
+
+def test_weighed_tiles_are_read_once_and_meet_only_what_they_ask_for(spark, monkeypatch):
+    import pyarrow.dataset as ds
+
+    monkeypatch.setattr(blocks, "EACH", 2)
+    rows = spark.range(120).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 12).cast("int").alias("size"), F.format_string("k%03d", "id").alias("k"), F.lit(b"x").alias("load"))
+
+    def answer(tile, found):
+        for block in found:
+            assert len(block) <= blocks.BLOCK
+            yield tile[["g", "size", "k", "load"]].merge(block.rename(columns={"g": "h", "size": "other", "k": "l"})[["h", "other", "l"]], how="cross")
+
+    got = blocks.compared(rows, rows, answer, "g long, size int, k string, load binary, h long, other int, l string", ["g", "size", "k"], 4, "size", lambda tile: ds.field("size") >= int(tile["size"].min())).collect()
+    pairs = {(r["k"], r["l"]) for r in got}
+    every = [(i, j) for i in range(120) for j in range(120) if i % 2 == j % 2 and i // 12 <= j // 12]
+    assert len(got) == len(pairs) < 120 * 120 * 0.7 and all(bytes(r["load"]) == b"x" for r in got)
+    assert {(f"k{i:03}", f"k{j:03}") for i, j in every} <= pairs
